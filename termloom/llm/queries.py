@@ -6,10 +6,14 @@ from importlib import import_module
 
 #: query name -> module of this package that defines it
 _WHERE = {
+    "op5_mix_sources": "mixing",
+    "op6_license_scan": "license_scan",
+    "op7_substring_dedup": "substring_dedup",
     "op9_jaccard": "jaccard_join",
 }
 
-_SQL: dict[str, str] = {}
+#: modules with a ``SQL`` string for their query
+_SQL_IN = ("op5_mix_sources",)
 
 
 def queries() -> dict:
@@ -17,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: import_module(f"termloom.llm.{_WHERE[name]}").SQL for name in _SQL_IN}
