@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module of this package that defines it
 _WHERE = {
     "op2_bpe_codec": "bpe_codec",
+    "op4_token_counts": "token_counts",
     "op5_mix_sources": "mixing",
     "op6_license_scan": "license_scan",
     "op7_substring_dedup": "substring_dedup",
