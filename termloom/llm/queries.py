@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module of this package that defines it
 _WHERE = {
+    "op1_language_id": "language_id",
     "op2_bpe_codec": "bpe_codec",
     "op4_token_counts": "token_counts",
     "op5_mix_sources": "mixing",
