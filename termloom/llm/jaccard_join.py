@@ -16,7 +16,7 @@ How it runs at scale:
    groups meet on prefix shingles. First every group meets only the pivot of
    each posting list (linear in the list), and the links found are closed into
    components. Then only pairs of different components are left, and only
-   those that the size bounds cannot refuse. No list is ever paired with itself
+   those that neither the size bounds nor the sets' parity sketches can refuse. No list is ever paired with itself
    as a whole, and no pair is skipped that could still join two components.
 
 Defined results: null or blank text has an empty set (n_shingles 0) and is
@@ -145,7 +145,15 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[x.split()[0] for x in _ANSWER.split(", ")])
 
 
-_SETS = "doc_id long, n long, digest long, shared array<long>"
+#: Bits of the parity sketch of a set.
+SKETCH = 1024
+_SETS = "doc_id long, n long, digest long, shared array<long>, sketch array<long>"
+
+
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of shingles fall on i. Two sketches differ in at most as many bits as the sets differ in shingles."""
+    odd = np.bincount(tokens % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
 def _gathered(num: int, den: int):
@@ -171,7 +179,7 @@ def _gathered(num: int, den: int):
         order = np.lexsort((tok, lev, own))
         tok = tok[order].astype(np.int64)
         at = np.concatenate([[0], np.cumsum(np.where(able, n_shared, 0))])
-        return pd.DataFrame({"doc_id": pd.Series(ids).where(known.astype(bool)).astype("Int64"), "n": n, "digest": digest, "shared": [tok[at[i] : at[i + 1]] for i in range(n_docs)]})
+        return pd.DataFrame({"doc_id": pd.Series(ids).where(known.astype(bool)).astype("Int64"), "n": n, "digest": digest, "shared": [tok[at[i] : at[i + 1]] for i in range(n_docs)], "sketch": [_parity(tok[at[i] : at[i + 1]]) if at[i + 1] > at[i] else tok[:0] for i in range(n_docs)]})
 
     return run
 
@@ -192,7 +200,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     classes = sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
     able = sets.where((F.size("shared") > 0) & F.col("doc_id").isNotNull()).join(classes.select(F.col("rep").alias("doc_id"), "digest", "n"), ["doc_id", "digest", "n"], "left_semi")
     need = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
-    able = able.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "shared", (F.col("n") - F.size("shared")).alias("own"))
+    able = able.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "shared", "sketch", (F.col("n") - F.size("shared")).alias("own"))
     # Own shingles come first in the order; what is left of the prefix are shared ones.
     able = able.withColumn("prefix", F.slice("shared", 1, F.greatest(F.lit(0), F.col("n") - need + 1 - F.col("own")).cast("int")))
     able = c.materialize(able.withColumn("grp", F.xxhash64("prefix", "n")), "able")
@@ -209,18 +217,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     labels = c.connected(links, "near-1")
 
     # Second round: only groups and postings that still hold different components, and only possible partners in them.
-    placed = able.select("grp", "rep", "n", "own", "prefix").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    spread = placed.select(F.explode("prefix").alias("shingle"), "rep", "n", "own", "label")
+    placed = able.select("grp", "rep", "n", "own", "prefix", "sketch").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    spread = placed.select(F.posexplode("prefix").alias("pos", "shingle"), "rep", "n", "own", "label", "sketch", "prefix")
+    spread = spread.withColumn("ahead", F.expr("slice(prefix, 1, pos)")).drop("prefix")
     best = spread.groupBy("shingle", "label").agg(F.min(F.struct("own", "n")).alias("m"), F.min("own").alias("low"))
     per = best.groupBy("shingle").agg(F.count("*").alias("many"), F.min(F.struct("low", "label")).alias("first")).where("many > 1")
     others = best.join(per.select("shingle", F.col("first.label").alias("l1"), F.col("first.low").alias("low1")), "shingle")
     second = others.where("label <> l1").groupBy("shingle", "l1", "low1").agg(F.min("low").alias("low2"))
     # A partner in another component has at least ``least`` own shingles: overlap <= n - own, union >= n + least.
     open_ = spread.join(second, "shingle").withColumn("least", F.when(F.col("label") == F.col("l1"), F.col("low2")).otherwise(F.col("low1")))
-    open_ = open_.where(F.lit(den) * (F.col("n") - F.col("own")) >= F.lit(num) * (F.col("n") + F.col("least"))).select("shingle", "rep", "n", "own", "label")
+    open_ = open_.where(F.lit(den) * (F.col("n") - F.col("own")) >= F.lit(num) * (F.col("n") + F.col("least"))).select("shingle", "rep", "n", "own", "label", "sketch", "ahead")
     open_ = c.materialize(open_, "open")
     x, y = open_.alias("x"), open_.alias("y")
-    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & _possible("x.n", "x.own", "y.n", "y.own", num, den))
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & _possible("x.n", "x.own", "y.n", "y.own", num, den) & ~F.arrays_overlap("x.ahead", "y.ahead") & _near(num, den))  # a pair meets on its first common shingle
     rest = both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = c.materialize(_verified(rest, able, num, den), "links-2")
     if not more.isEmpty():
@@ -236,6 +245,13 @@ def _possible(n: str, own: str, m: str, other: str, num: int, den: int):
     return F.lit(den) * F.least(n - own, m - other) >= F.lit(num) * F.greatest(n + other, m + own)
 
 
+def _near(num: int, den: int):
+    """The sets x and y differ in their own shingles and at least in the bits in which their sketches differ."""
+    bits = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    apart = F.col("x.own") + F.col("y.own") + bits
+    return apart * F.lit(den + num) <= F.lit(den - num) * (F.col("x.n") + F.col("y.n"))
+
+
 def _verified(pairs: DataFrame, able: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets meet the threshold; what two sets share is in their shared shingles."""
     left = able.select(F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("shared").alias("a_shared"))
