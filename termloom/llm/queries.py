@@ -8,10 +8,12 @@ from importlib import import_module
 _WHERE = {
     "op1_language_id": "language_id",
     "op2_bpe_codec": "bpe_codec",
+    "op3_media_columns": "media",
     "op4_token_counts": "token_counts",
     "op5_mix_sources": "mixing",
     "op6_license_scan": "license_scan",
     "op7_substring_dedup": "substring_dedup",
+    "op8_lm_scoring": "lm_scoring",
     "op9_jaccard": "jaccard_join",
 }
 
