@@ -15,6 +15,7 @@ _WHERE = {
     "op7_substring_dedup": "substring_dedup",
     "op8_lm_scoring": "lm_scoring",
     "op9_jaccard": "jaccard_join",
+    "op10_embedding_dedup": "embedding_dedup",
 }
 
 #: modules with a ``SQL`` string for their query
