@@ -12,7 +12,8 @@ taken from the content, which keeps the property that makes it work - two equal
 1. *Sample*: the leftmost minimum of the hashed k-tuples in each 400-byte string
    is its anchor. Sampled k-tuples are named by hash and grouped; an anchor whose
    name is unique ends all strings that hang on it.
-2. *Recurse on names*: what is left is named again by the bytes that 32
+2. *Recurse on names*: what is left is named again, first by all bytes of the
+   windows that hang on an anchor (copies are settled here), then by the bytes that 32
    neighbouring suffixes of an anchor share (core) and the 31 + 31 bytes around
    it (context); equal (core, context) settle 32 suffixes at once, a core with
    one context settles them too.
@@ -79,19 +80,42 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     return q, first, last, np.searchsorted(offsets, first, "right") - 1, h[q], roll
 
 
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """First index of each run of equal keys in sorted arrays."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _lists(values: np.ndarray, heads: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(heads, len(values)).astype(np.int32)), pa.array(values))
+
+
+#: Odd multipliers that name a context.
+_PLACES = c.mix(np.arange(1, 2 * SPAN - 1, dtype=_U)) | _U(1)
+
+
 def _names(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (np.asarray(batch.column(i)) for i in (0, 1))
             for first, _, data, offsets in c.text_blocks(batch, "text"):
-                q, _, _, doc, name, _ = anchors_of(data, offsets, length, k)
+                q, begin, last, doc, name, roll = anchors_of(data, offsets, length, k)
                 if len(q):
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(k1[first + doc]), pa.array(k2[first + doc]), pa.array((q - offsets[doc]).astype(np.int32))], ["name", "k1", "k2", "at"])
+                    # All bytes of the windows that hang on the anchor, and where it stands in them.
+                    whole = c.mix(roll.of(begin, last + length) + (q - begin).astype(_U))
+                    order = np.lexsort((whole, name, doc))
+                    name, whole, doc, q, begin, last = (x[order] for x in (name, whole, doc, q, begin, last))
+                    head = _heads(name, whole, doc)
+                    d = doc[head]
+                    back = (q - begin)[head].astype(np.int16)
+                    more = (last - begin)[head].astype(np.int16)
+                    yield pa.RecordBatch.from_arrays([pa.array(name[head].view(np.int64)), pa.array(whole[head].view(np.int64)), pa.array(k1[first + d]), pa.array(k2[first + d]), _lists((q - offsets[doc]).astype(np.int32), head), pa.array(back), pa.array(more)], ["name", "whole", "k1", "k2", "at", "back", "more"])
 
     return run
 
 
-_CORES = "k1 long, k2 long, start int, name long, core long, low int, high int, context binary"
+_CORES = "k1 long, k2 long, starts array<int>, name long, core long, way long, low int, high int, context binary"
 
 
 def _cores(length: int, k: int):
@@ -125,10 +149,16 @@ def _cores(length: int, k: int):
                 d = doc[a]
                 within = (places >= offsets[d][:, None]) & (places < offsets[d + 1][:, None])
                 context = np.where(within, data[np.clip(places, 0, len(data) - 1)], 0).astype(np.uint8)
+                way = c.mix((context * _PLACES).sum(axis=1, dtype=_U) + lo.astype(_U) * _U(1 << 40) + hi.astype(_U) * _U(1 << 50))
+                # Periodic text brings the same core many times in one document: one row, with all starts.
+                order = np.lexsort((way, core, d))
+                head = _heads(d[order], core[order], way[order])
+                one = order[head]
                 wide = 2 * (SPAN - 1)
-                context = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.arange(len(a) + 1) * wide).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(context))])
-                cols = [k1[first_row + d], k2[first_row + d], (start - offsets[d]).astype(np.int32), name[a].view(np.int64), core.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), context], [x.split()[0] for x in _CORES.split(", ")])
+                around = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer((np.arange(len(one) + 1) * wide).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(context[one]))])
+                starts = _lists((start - offsets[d])[order].astype(np.int32), head)
+                cols = [name[a].view(np.int64), core.view(np.int64), way.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(k1[first_row + d[one]]), pa.array(k2[first_row + d[one]]), starts, *[pa.array(x[one]) for x in cols], around], [x.split()[0] for x in _CORES.split(", ")])
 
     return run
 
@@ -146,15 +176,21 @@ def _spans(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.arange(SPAN)
         for batch in batches:
-            texts, found = batch.column(2), batch.column(3)
+            texts, found, wholes = (batch.column(batch.schema.get_field_index(x)) for x in ("text", "marks", "wholes"))
             rows = []
             for i in range(batch.num_rows):
                 raw = (texts[i].as_py() or "").encode()
                 marks = found.slice(i, 1).flatten()
-                start = np.asarray(marks.field("start")).astype(np.int64)
-                mask = np.asarray(marks.field("mask")).astype(np.int64)
+                start = np.asarray(marks.field("starts").flatten()).astype(np.int64)
+                mask = np.repeat(np.asarray(marks.field("mask")).astype(np.int64), np.asarray(marks.field("starts").value_lengths()))
                 r, b = np.nonzero((mask[:, None] >> bits) & 1)
-                runs = covered(len(raw), start[r] - b, length)
+                ranges = wholes.slice(i, 1).flatten()
+                at = np.asarray(ranges.field("at").flatten()).astype(np.int64)
+                n_at = np.asarray(ranges.field("at").value_lengths())
+                begin = at - np.repeat(np.asarray(ranges.field("back")).astype(np.int64), n_at)
+                size = np.repeat(np.asarray(ranges.field("more")).astype(np.int64), n_at) + 1
+                in_range = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+                runs = covered(len(raw), np.concatenate([start[r] - b, in_range]), length)
                 at, kept = 0, []
                 for s, e in runs:
                     kept.append(raw[at:s])
@@ -176,14 +212,22 @@ def repeated_runs(docs: DataFrame, length: int = 400, k: int = 100, with_text: b
     """(k1, k2, n_removed, n_spans, kept_sha256, kept) of each document that loses bytes; keys as in ``_keyed``."""
     c.small_batches(docs.sparkSession)
     slim = _keyed(docs).select("k1", "k2", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    names = c.materialize(slim.mapInArrow(_names(length, k), "name long, k1 long, k2 long, at int"), "names")
-    several = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    suspects = names.join(several, "name").groupBy("k1", "k2").agg(F.collect_list("at").alias("anchors"))
-    texts = c.materialize(slim.join(suspects, ["k1", "k2"]), "suspects")
-    cores = texts.mapInArrow(_cores(length, k), _CORES).withColumn("way", F.xxhash64("low", "high", "context"))
-    cores = c.materialize(cores, "cores")
-
-    ways = cores.groupBy("name", "core", "way", "low", "high", "context").agg(F.count("*").alias("n"))
+    names = slim.mapInArrow(_names(length, k), "name long, whole long, k1 long, k2 long, at array<int>, back short, more short")
+    names = c.materialize(names, "names")
+    # Per (name, all bytes around): how often; per name: in how many ways. One way and one place: nothing is repeated.
+    counts = names.groupBy("name", "whole").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct("k1", "k2")).alias("lead"))
+    several = counts.groupBy("name").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("total > 1")
+    state = c.materialize(counts.join(several, "name").select("name", "whole", "n", "m", "lead"), "state")
+    placed = names.join(state, ["name", "whole"])
+    is_open = (F.col("m") > 1) & ((F.col("n") == 1) | (F.col("lead") == F.struct("k1", "k2")))
+    ranges = F.when(F.col("n") > 1, F.struct("at", "back", "more"))
+    placed = placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.when(is_open, F.col("at")))).alias("anchors"), F.collect_list(ranges).alias("wholes"))
+    placed = placed.where((F.size("anchors") > 0) | (F.size("wholes") > 0))
+    texts = c.materialize(slim.join(placed, ["k1", "k2"]), "suspects")
+    unsettled = texts.where(F.size("anchors") > 0)
+    cores = c.materialize(unsettled.mapInArrow(_cores(length, k), _CORES), "cores")
+
+    ways = cores.groupBy("name", "core", "way", "low", "high", "context").agg(F.sum(F.size("starts")).alias("n"))
     ways = c.materialize(ways, "ways")
     open_ = ways.groupBy("name", "core").agg(F.count("*").alias("m")).where("m > 1").select("name", "core")
     whole = ways.where("n > 1").select("name", "core", "way", F.expr("shiftleft(1L, high + 1) - shiftleft(1L, low)").alias("mask"))
@@ -194,8 +238,11 @@ def repeated_runs(docs: DataFrame, length: int = 400, k: int = 100, with_text: b
     alike = single.groupBy("name", "core", "suffix").agg(F.sum("n").alias("s")).where("s > 1").select("name", "core", "suffix")
     part = single.where("n = 1").join(alike, ["name", "core", "suffix"]).groupBy("name", "core", "way").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
     masks = whole.unionAll(part)
-    marks = cores.select("k1", "k2", "start", "name", "core", "way").join(masks, ["name", "core", "way"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
-    return texts.select("k1", "k2", "text").join(marks, ["k1", "k2"]).mapInArrow(_spans(length, with_text), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string").dropDuplicates(["k1", "k2"])
+    marks = cores.select("k1", "k2", "starts", "name", "core", "way").join(masks, ["name", "core", "way"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
+    none = F.array().cast("array<struct<starts:array<int>,mask:bigint>>")
+    settled = texts.where(F.size("anchors") == 0).select("k1", "k2", "text", "wholes", none.alias("marks"))
+    ended = unsettled.select("k1", "k2", "text", "wholes").join(marks, ["k1", "k2"], "left").select("k1", "k2", "text", "wholes", F.coalesce("marks", none).alias("marks"))
+    return settled.unionAll(ended).mapInArrow(_spans(length, with_text), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string").dropDuplicates(["k1", "k2"])
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
