@@ -56,8 +56,11 @@ def shingles(norm: Column, n: int = 5) -> Column:
 
 def signature(shingle_array: Column, hashes: int) -> Column:
     """MinHash: for each seed the least md5(seed:shingle), as fixed-width hex."""
-    mins = [F.array_min(F.transform(shingle_array, lambda s, k=k: F.md5(F.concat(F.lit(f"{k}:"), s).cast("binary")))) for k in range(hashes)]
-    return F.array(*mins)
+
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(shingle_array, lambda s: F.md5(F.concat(F.lit(f"{seed}:"), s).cast("binary"))))
+
+    return F.array(*map(least, range(hashes)))
 
 
 def lsh_bands(parts: DataFrame, hashes: int = 64, rows: int = 4) -> DataFrame:

@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..functions import replies as R
 from ..functions import rules, text as T
@@ -41,7 +42,7 @@ def complete(prompts: DataFrame, model: Model, threads: int = 8) -> DataFrame:
                 got = list(pool.map(ask, zip(pdf["system"], pdf["user"], strict=True)))
                 yield pdf.assign(reply=[g[0] for g in got], ok=[g[1] for g in got])
 
-    return prompts.mapInPandas(run, prompts.schema.add("reply", "string").add("ok", "boolean"))
+    return prompts.mapInPandas(run, StructType([*prompts.schema.fields, StructField("reply", StringType()), StructField("ok", BooleanType())]))
 
 
 def translate(terms: DataFrame, exemplars: DataFrame | None, guide: str, model: Model, done: DataFrame | None = None, threads: int = 8) -> DataFrame:

@@ -55,7 +55,7 @@ def surface_gold(terms: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def preferred(rows: DataFrame, key: str, value: str, first: Column, pos: str = "pos") -> DataFrame:
     """One value per key: rows for which ``first`` holds come before others, then by position."""
-    return rows.groupBy(key).agg(F.min_by(value, F.struct((~first).cast("int"), F.col(pos))).alias(value))
+    return rows.groupBy(key).agg(F.min_by(value, F.struct((~first).cast("int"), F.col(pos), F.col(value).alias("_tie"))).alias(value))
 
 
 def acceptable_terms(rows: DataFrame, key: str, term: str, pos: str = "pos") -> DataFrame:
