@@ -519,10 +519,10 @@ def ancestor_closure(spark, sf_dir):
     return graph.ancestor_closure(A.is_a(spark, sf_dir))
 
 
-@query("coherence_features", f"WITH RECURSIVE {_EDGES}, a AS (SELECT child AS node, parent AS ancestor FROM e UNION SELECT a.node, e.parent FROM a JOIN e ON e.child = a.ancestor), s AS (SELECT node, ancestor FROM a UNION SELECT child, child FROM e), an AS (SELECT node, list(ancestor) AS anc FROM s GROUP BY node), cand AS (SELECT o_custkey AS q, 'c' || o_custkey AS node, 1 AS rank FROM orders GROUP BY o_custkey UNION ALL SELECT o_custkey, 's' || (o_custkey % 10 + 1), 2 FROM orders GROUP BY o_custkey), j AS (SELECT x.q, len(list_intersect(ax.anc, ay.anc))::DOUBLE / len(list_distinct(ax.anc || ay.anc)) AS j, list_intersect(ax.anc, ay.anc) AS common FROM cand x JOIN cand y ON x.q = y.q AND x.rank = 1 AND y.rank = 2 JOIN an ax ON ax.node = x.node JOIN an ay ON ay.node = y.node), dep AS (SELECT node AS ancestor, count(*) + 1 AS depth FROM a GROUP BY node) SELECT q AS query_id, 2 AS n, round(j, 6) AS jaccard, 0.5::DOUBLE AS lineage, CAST(coalesce(list_max(list_transform(common, lambda c: CASE WHEN c[1] = 'r' THEN 1 ELSE 2 END)), 0) AS BIGINT) AS common_depth FROM j")
+@query("coherence_features", f"WITH RECURSIVE {_EDGES}, a AS (SELECT child AS node, parent AS ancestor FROM e UNION SELECT a.node, e.parent FROM a JOIN e ON e.child = a.ancestor), s AS (SELECT node, ancestor FROM a UNION SELECT child, child FROM e), an AS (SELECT node, list(ancestor) AS anc FROM s GROUP BY node), cand AS (SELECT o_custkey AS q, 'c' || o_custkey AS node, 1 AS rank FROM orders GROUP BY o_custkey UNION ALL SELECT o_custkey, 's' || (o_custkey % 10), 2 FROM orders GROUP BY o_custkey), j AS (SELECT x.q, len(list_intersect(ax.anc, ay.anc))::DOUBLE / len(list_distinct(ax.anc || ay.anc)) AS j, list_intersect(ax.anc, ay.anc) AS common FROM cand x JOIN cand y ON x.q = y.q AND x.rank = 1 AND y.rank = 2 JOIN an ax ON ax.node = x.node JOIN an ay ON ay.node = y.node), dep AS (SELECT node AS ancestor, count(*) + 1 AS depth FROM a GROUP BY node) SELECT q AS query_id, 2 AS n, round(j, 6) AS jaccard, 0.5::DOUBLE AS lineage, CAST(coalesce(list_max(list_transform(common, lambda c: CASE WHEN c[1] = 'r' THEN 1 ELSE 2 END)), 0) AS BIGINT) AS common_depth FROM j")
 def coherence_features(spark, sf_dir):
     o = A.table(spark, sf_dir, "orders").select("o_custkey").distinct()
-    cand = o.select(F.col("o_custkey").alias("query_id"), F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node")), F.struct(F.lit(2).alias("rank"), F.concat(F.lit("s"), (F.col("o_custkey") % 10 + 1).cast("string")).alias("node")))).alias("x")).select("query_id", "x.*")
+    cand = o.select(F.col("o_custkey").alias("query_id"), F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node")), F.struct(F.lit(2).alias("rank"), F.concat(F.lit("s"), (F.col("o_custkey") % 10).cast("string")).alias("node")))).alias("x")).select("query_id", "x.*")
     return graph.coherence(cand, graph.ancestor_closure(A.is_a(spark, sf_dir)))
 
 
@@ -687,7 +687,7 @@ def back_translate(spark, sf_dir):
 def windowed_event_counts(spark, sf_dir):
     from .streaming.metrics import windowed_counts
 
-    return windowed_counts(A.table(spark, sf_dir, "events"))
+    return windowed_counts(A.table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def queries() -> dict[str, Query]:
