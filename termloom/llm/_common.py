@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ _U = np.uint64
 
 #: Bytes of text that one vectorised step handles at most (one longer document
 #: is a step of its own).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,6 +67,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, side by side with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (two xor-shift-multiply rounds)."""
     h = h ^ (h >> _U(32))
@@ -131,6 +141,7 @@ def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 0) -> Iterator[
         end = min(n, max(first + 1, end))
         yield first, end, raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+    trim()
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _common as c
 from .bpe_core import Merges, Trie, flat, propose_and_verify
@@ -247,6 +248,7 @@ def _encoded(raw, with_ids: bool):
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
                 first = end
+            c.trim()
 
     return run
 
@@ -258,8 +260,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep: tuple[str,
     with open(path or default_path(), "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_encoded(raw, with_ids), schema + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    made = StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(_encoded(raw, with_ids), StructType([*[f for f in rows.schema if f.name != "text"], *made.fields]))
 
 
 def op2_bpe_codec(spark, sf_dir: str) -> DataFrame:

@@ -142,6 +142,8 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
         share = lv > 0
         n_share = np.bincount(np.repeat(np.arange(w.shape[1]), w[1])[share], minlength=w.shape[1])
         out.append((block, bucket, counts, _pack(t[share]), n_share.astype("<u4").tobytes(), lv[share].tobytes(), ids))
+    del tokens, whom, sets, h, held, level
+    c.trim()
     return pd.DataFrame(out, columns=[x.split()[0] for x in _ANSWER.split(", ")])
 
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _common as c
 
@@ -38,7 +39,7 @@ _fold: list[np.ndarray] = []
 def fold_table() -> np.ndarray:
     """Letter -> its lower case (16 bits), other characters -> 32."""
     if not _fold:
-        out = np.full(0x110000, 32, _U)
+        out = np.full(0x110000, 32, np.uint16)
         for i in range(0x110000):
             x = chr(i)
             if x.isalpha():
@@ -54,7 +55,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(["   " + t for t in texts]).encode("utf-32-le"), np.uint32)
     at = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 3 for t in texts], out=at[1:])
-    folded = fold_table()[codes]
+    folded = fold_table()[codes].astype(_U)
     blank = folded == 32
     again = np.zeros(len(codes), bool)  # a space after a space
     again[1:] = blank[1:] & blank[:-1]
@@ -245,7 +246,7 @@ def _predicted(shared, keep: tuple[str, ...]):
             col, n, first = batch.column(batch.schema.get_field_index("text")), batch.num_rows, 0
             while first < n:
                 texts, end, size = [], first, 0
-                while end < n and (size < c.BLOCK_BYTES // 2 or end == first):
+                while end < n and (size < c.BLOCK_BYTES // 4 or end == first):
                     texts.append(col[end].as_py() or "")
                     size += len(texts[-1])
                     end += 1
@@ -255,6 +256,7 @@ def _predicted(shared, keep: tuple[str, ...]):
                 cols += [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), pa.array(entropy, pa.float64()), pa.array(letters, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, *[x.split()[0] for x in _COLUMNS.split(", ")]])
                 first = end
+            c.trim()
 
     return run
 
@@ -264,9 +266,9 @@ def identify(docs: DataFrame, model: Identifier, keep: tuple[str, ...] = ("doc_i
     spark = docs.sparkSession
     c.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text")) if "text" not in keep else docs.select(*keep)
-    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(_predicted(shared, keep), f"{schema}, {_COLUMNS}")
+    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    schema = StructType([*[rows.schema[k] for k in keep], *StructType.fromDDL(_COLUMNS).fields])
+    return rows.mapInArrow(_predicted(shared, keep), schema)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
@@ -279,4 +281,5 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
 def kept_languages(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents; the models are fitted on all labelled rows."""
     model = fit(docs)
-    return identify(docs, model, keep=tuple(docs.columns)).where(~F.col("rejected")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return identify(rows, model, keep=("row",)).where(~F.col("rejected")).select("row.*")

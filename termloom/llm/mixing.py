@@ -3,8 +3,9 @@
 Each document, in a shuffled order of its source, gets the virtual finish time
 *(words of its source up to and with it) / (target of its source)*; a source
 that is to be read more than once queues again after its last document, up to
-``passes`` times. All (document, pass) entries are range-sorted by that time and
-the queue is cut where the total budget is used up.
+``passes`` times. A source sends no document after its target is reached. All (document,
+pass) entries are range-sorted by that time and the queue is cut where the total
+budget is used up, so no source is off its target by more than one document.
 
 At scale no task sees a whole source: the shuffled order is the order of
 md5(doc_id), so its first three hex digits split each source, the hot one too,
@@ -73,7 +74,9 @@ def _queued(rows: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def _finish(i: int) -> Column:
-    return F.when(F.col("target") > 0, (F.lit(i) * F.col("source_size") + F.col("upto")) / F.col("target"))
+    """Virtual finish time in pass i; null once the source has reached its target before the document."""
+    words = F.lit(i) * F.col("source_size") + F.col("upto")
+    return F.when((F.col("target") > 0) & (words - F.col("size") < F.col("target")), words / F.col("target"))
 
 
 def _slot(finish: Column) -> Column:
@@ -95,7 +98,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: i
     offsets = c.materialize(offsets, "offsets")
     queued = c.materialize(_queued(rows, offsets), "queued")
 
-    entries = queued.where("target > 0").withColumn("finish", F.explode(F.array(*map(_finish, range(passes))))).select("key", "ord", "doc_id", "size", "budget", "finish")
+    entries = queued.where("target > 0").withColumn("finish", F.explode(F.array(*map(_finish, range(passes))))).where("finish is not null").select("key", "ord", "doc_id", "size", "budget", "finish")
     slots = entries.groupBy(_slot(F.col("finish")).alias("slot")).agg(F.sum("size").alias("words"), F.max("budget").alias("budget"))
     along = Window.partitionBy(F.lit(0)).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     slots = slots.withColumn("end", F.sum("words").over(along)).withColumn("start", F.col("end") - F.col("words"))
@@ -152,7 +155,7 @@ q AS (
          CAST(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.ord, r.doc_id, r.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
   FROM rows r JOIN tgt t ON r.source IS NOT DISTINCT FROM t.source),
 e AS (
-  SELECT q.*, p, (p * source_size + upto) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS p) WHERE target > 0),
+  SELECT q.*, p, (p * source_size + upto) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS p) WHERE target > 0 AND p * source_size + upto - size < target),
 cut AS (
   SELECT doc_id, source, ord, size, budget,
          sum(size) OVER (ORDER BY finish, source NULLS LAST, ord, doc_id, size ROWS UNBOUNDED PRECEDING) AS total FROM e),

@@ -257,9 +257,8 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """``docs`` with the repeated bytes cut from the texts; a document that loses its whole text goes."""
     found = repeated_runs(docs, length, with_text=True).select("k1", "k2", "kept")
-    joined = _keyed(docs).join(found, ["k1", "k2"], "left")
-    text = F.coalesce(F.col("kept"), F.col("text"))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.where(F.col("kept").isNull() | (F.length("kept") > 0)).select(*docs.columns)
+    rows = _keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text")).select("row", "k1", "k2").join(found, ["k1", "k2"], "left")
+    rows = rows.where(F.col("kept").isNull() | (F.length("kept") > 0))
+    text = F.coalesce("kept", F.col("row.text"))
+    made = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[made.get(n, F.col("row").getField(n)).alias(n) for n in docs.columns])

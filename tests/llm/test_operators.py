@@ -1,0 +1,295 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from termloom.llm import bpe_codec, embedding_dedup, jaccard_join, language_id, license_scan, lm_scoring, media, mixing, substring_dedup, token_counts
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def split(text):
+    return re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOW))
+
+
+# 1
+def test_language_id(docs, empty, rows):
+    model = language_id.fit(docs.where(~language_id.held_out(docs["doc_id"])))
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    for i, text, lang, _ in rows:
+        r = got[i]
+        assert 0 <= r["score"] <= 1
+        if not any(x.isalpha() for x in text or ""):
+            assert (r["lang_pred"], r["rejected"]) == ("und", True)
+        elif i < 60:
+            assert r["lang_pred"] == lang and not r["rejected"]
+    kept = language_id.kept_languages(docs)
+    assert kept.columns == docs.columns
+    assert not {85, 86, 87, 90} & {r["doc_id"] for r in kept.collect()}
+    assert language_id.identify(empty, language_id.fit(empty)).count() == 0
+    assert {r["lang_pred"] for r in language_id.identify(docs, language_id.fit(empty)).collect()} == {"und"}
+
+
+def test_kneser_ney_sums_to_one():
+    key, _, _ = language_id.grams(["abracadabra abba", "cab dab"])
+    keys, n = np.unique(key, return_counts=True)
+    model = language_id.CharModel(keys, n, len(np.unique(key & np.uint64(0xFFFF))))
+    letters = np.unique(key & np.uint64(0xFFFF))
+    for context in keys[:6] >> np.uint64(16):
+        every = (context << np.uint64(16)) | letters
+        total = np.exp(model.log_probability(every)).sum() + np.exp(model.log_probability(np.array([(context << np.uint64(16)) | np.uint64(0x4E00)], np.uint64)))[0]
+        assert abs(total - 1) < 1e-9
+
+
+# 2
+def test_bpe_equals_the_library(docs, empty, rows):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe_codec.default_path())
+    got = {r["doc_id"]: r for r in bpe_codec.encode_documents(docs, with_ids=True).collect()}
+    for i, text, _, _ in rows:
+        want = lib.encode(text or "", add_special_tokens=False).ids
+        r = got[i]
+        assert r["ids"] == want and r["n_tokens"] == len(want)
+        assert r["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(lib.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe_codec.encode_documents(empty).count() == 0
+
+
+def test_bpe_odd_characters():
+    from tokenizers import Tokenizer
+
+    path = bpe_codec.default_path()
+    lib, own = Tokenizer.from_file(path), bpe_codec.WordBpe(open(path, "rb").read())
+    for x in ["ΑΣ Σ", "İ K Å ﬁ", "a\x85b\x1cc", "<|endoftext|>a<|startoftext|>", "<|endoftext", "it's WE'LL", "한국어 مرحبا हिन्दी", "⵿ \U00020000 \U0001f600 ՘", "x" * 999]:
+        assert own.encode(x)[0].tolist() == lib.encode(x, add_special_tokens=False).ids, x
+
+
+# 3
+def test_media_round_trip(spark, tmp_path, rows):
+    tmp = str(tmp_path)
+    spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string").write.parquet(f"{tmp}/documents.parquet")
+    got = defaultdict(list)
+    for r in media.op3_media_columns(spark, tmp).collect():
+        got[r["doc_id"]].append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for i, text, _, _ in rows:
+        raw = (text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        stored = media.to_media(payload)
+        assert media.from_media(stored) == payload
+        for r in got[i]:
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(stored), hashlib.sha256(stored).hexdigest(), media.feature_of(payload))
+
+
+def test_interleaving(spark):
+    html = '<p>One <b>two</b></p><figure><img src="sha256:ab" alt="x"><figcaption>Cap &amp; tion</figcaption></figure><script>no</script>tail<img src="y.png" alt="z"><img>'
+    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "plain < text")], "key long, html string")
+    got = [tuple(r)[1:] for r in media.interleave(pages).where("key = 1").orderBy("position").collect()]
+    assert got == [(0, "text", "One two", None, None), (1, "media", None, "sha256:ab", "Cap & tion"), (2, "text", "tail", None, None), (3, "media", None, "y.png", "z")]
+    assert media.interleave(pages).where("key in (2, 3)").count() == 0
+    assert media.resolve(media.interleave(pages), media.store_payloads(spark.createDataFrame([(b"q",)], "raw binary"))).count() == media.interleave(pages).count()
+
+
+# 4
+def test_token_counts(docs, empty, rows):
+    import sentencepiece
+
+    path = bpe_codec.default_path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r["doc_id"]: r for r in token_counts.count_documents(docs).collect()}
+    for i, text, _, _ in rows:
+        n = len(lib.encode(text or ""))
+        assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((text or "").encode()), n > 4096)
+    assert token_counts.count_documents(empty).count() == 0
+    own = token_counts.PieceBpe(open(path, "rb").read())
+    for x in ["", " ", "   a  b", "naïve \n\n text <s> 日本 ", "▁▁x", "internationalisation"]:
+        assert own.every_prefix(x).tolist() == [len(lib.encode(x[:k])) for k in range(len(x) + 1)]
+    cut = own.truncate("some words to be cut here", 3)
+    assert len(lib.encode(cut)) <= 3 < len(lib.encode("some words to be cut here"[: len(cut) + 1]))
+
+
+# 5
+def mixed(rows):
+    size = [(i, s, len(re.findall("[^\x20\x09-\x0d]+", t or ""))) for i, t, _, s in rows]
+    sources = sorted({s for _, s, _ in size}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for _, t, n in size if t == s) for s in sources}
+    weight = {s: k % 3 + 1 for k, s in enumerate(sources)}
+    target, left, budget = {}, set(sources), sum(total.values())
+    while True:
+        rest = budget - sum(target.values())
+        share = {s: rest * weight[s] / sum(weight[t] for t in left) for s in left}
+        over = [s for s in left if share[s] > 3 * total[s]]
+        if not over:
+            return size, total, target | share
+        worst = min(over, key=lambda s: total[s] / weight[s])
+        target[worst] = 3.0 * total[worst]
+        left.remove(worst)
+
+
+def test_mixing(docs, empty, rows):
+    size, total, target = mixed(rows)
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    source = {i: s for i, _, _, s in rows}
+    taken = Counter()
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == total[s] and abs(r["target"] - target[s]) < 1e-6 * max(1, target[s])
+        assert r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    longest = {s: max(n for _, t, n in size if t == s) for s in total}
+    for s in total:
+        assert abs(taken[s] - target[s]) <= longest[s]
+    assert sum(taken.values()) <= sum(total.values())
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(docs.repartition(5)).collect()), key=str)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in got)
+    assert mixing.mix_sources(empty).count() == 0
+
+
+# 6
+def test_license_scan(docs, empty, rows):
+    got = defaultdict(list)
+    for r in license_scan.scan(docs).collect():
+        got[r["doc_id"]].append(r)
+    for i, text, _, _ in rows:
+        low = (text or "").translate(LOW)
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+        places, base, found, best = [], set(), set(), 0.0
+        for phrase, label in license_scan.BASE:
+            q = phrase.split()
+            at = [k for k in range(len(w) - len(q) + 1) if w[k : k + len(q)] == q]
+            places += at
+            base |= {label} if at else set()
+        for line in low.split("\n"):
+            have = set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", line))
+            for words, label in license_scan.TEMPLATES:
+                t = set(words.split())
+                if len(t & have) >= 0.8 * len(t) - 1e-9:
+                    found.add(label)
+                    best = max(best, len(t & have) / len(t))
+        want = (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if places else best)
+        for r in got[i]:
+            assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) == want
+    assert license_scan.scan(empty).count() == 0
+
+
+# 7
+def test_substring_dedup(spark, docs, empty, rows, tmp_path):
+    length, raws = 400, [(i, (t or "").encode()) for i, t, _, _ in rows]
+    seen = Counter(b[p : p + length] for _, b in raws for p in range(len(b) - length + 1))
+    want = defaultdict(list)
+    for i, b in raws:
+        cover = np.zeros(len(b) + 1, int)
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                cover[p] += 1
+                cover[p + length] -= 1
+        on = np.cumsum(cover)[:-1] > 0
+        want[i].append((len(b), int(on.sum()), int((np.diff(np.r_[0, on.astype(int)]) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~on].tobytes()).hexdigest()))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = defaultdict(list)
+    for r in substring_dedup.op7_substring_dedup(spark, str(tmp_path)).collect():
+        got[r["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
+    assert got == want
+    out = substring_dedup.without_repeats(docs)
+    assert out.columns == docs.columns and out.where("text is not null and length(text) <> n_chars").count() == 0
+    assert substring_dedup.without_repeats(empty).count() == 0
+
+
+# 8
+def test_lm_scoring(docs, empty, rows):
+    ready = docs.select("doc_id", "text", lm_scoring.held_out(docs["doc_id"]).alias("held_out"))
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(ready, filter_bits=1 << 20).collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
+    count = Counter(w for i, t, _, _ in rows if not out[i] for w in [*split(t), "\n"])
+    n, v = sum(count.values()), len(count)
+    for i, text, _, _ in rows:
+        w, r = [*split(text), "\n"], got[i]
+        want = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)
+        assert abs(r["base_score"] - want) < 1e-9 * abs(want) + 1e-9
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(w), sum(count[x] > 0 for x in w), n)
+        assert r["score"] < 0
+    assert sum(got[i]["score"] for i in got) > sum(got[i]["base_score"] for i in got)
+    assert lm_scoring.score_documents(ready.limit(0), filter_bits=1 << 20).count() == 0
+
+
+def test_log_counts():
+    n = np.arange(1, 5000)
+    value = lm_scoring.value_of(lm_scoring.level_of(n))
+    assert (np.maximum(value / n, n / value) <= math.sqrt(2) + 1e-9).all()
+
+
+# 9
+def components(rows):
+    sets = {}
+    for i, t, _, _ in rows:
+        w = split(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_jaccard_components(docs, empty, rows):
+    want = components(rows)
+    got = jaccard_join.jaccard_components(docs).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert sum(c != i for i, (_, c) in want.items()) > 10
+    assert jaccard_join.jaccard_components(empty).count() == 0
+
+
+def test_jaccard_chains_and_thresholds(spark):
+    base = [f"w{i}" for i in range(104)]
+    texts = [" ".join(base)]
+    for k in range(8):  # each step changes one more word, so the ends are apart but a chain joins them
+        base = [*base]
+        base[k * 12] = f"new{k}"
+        texts.append(" ".join(base))
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == components(rows) and {c for _, c in got.values()} == {0}
+
+
+# 10
+@pytest.mark.parametrize("width", [16])
+def test_embedding_dedup(spark, width):
+    rnd = np.random.default_rng(2)
+    base = rnd.standard_normal((120, width))
+    near = np.repeat(base[:20], 6, axis=0) + 0.08 * rnd.standard_normal((120, width))
+    x = np.concatenate([base, near, base[:5], base[:5]])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    bad = [(900, None), (901, [0.0] * width), (902, [float("nan")] * width), (903, [None] * width), (904, [])]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("label", __import__("pyspark").sql.functions.lit(1))
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.array([min(label[i], label[link[i]].min(initial=label[i])) for i in range(len(x))])
+        if (new == label).all():
+            break
+        label = new
+    for i in range(len(x)):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (link[i].sum(), label[i], label[i] == i)
+    for i, _ in bad:
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
