@@ -317,3 +317,21 @@ def parse_sections(markdown: str) -> dict[str, str]:
         elif at is not None:
             out[at].append(line)
     return {k: "\n".join(v).strip() for k, v in out.items()}
+
+
+def sentence_chunks(c: Column, size: int = 1024, overlap: int = 200) -> Column:
+    """Chunks of whole sentences of up to ``size`` characters; the last sentences of a chunk, up to
+    ``overlap`` characters, begin the next one. A longer sentence is a chunk of its own."""
+    sentences = F.filter(F.split(strip(F.regexp_replace(c, r"\s+", " ")), r"(?<=[.!?]) "), lambda x: x != "")
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("now"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x) + 1)
+
+    def carried(now: Column) -> Column:
+        back = F.aggregate(F.reverse(now), F.array().cast("array<string>"), lambda acc, x: F.when(total(acc) + F.length(x) + 1 <= overlap, F.concat(acc, F.array(x))).otherwise(acc))
+        return F.reverse(back)
+
+    def step(acc: Column, x: Column) -> Column:
+        full = (F.size(acc["now"]) > 0) & (total(acc["now"]) + F.length(x) > size)
+        return F.struct(F.when(full, F.concat(acc["out"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["out"]).alias("out"), F.when(full, F.concat(carried(acc["now"]), F.array(x))).otherwise(F.concat(acc["now"], F.array(x))).alias("now"))
+
+    return F.aggregate(sentences, empty, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["out"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["out"]))

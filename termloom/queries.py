@@ -12,7 +12,7 @@ from .functions import replies as R
 from .functions import rules as H
 from .functions import similarity as S
 from .functions import text as T
-from .operators import axes, corpus, graph, metrics, pairs, retrieval, sampling
+from .operators import axes, corpus, graph, metrics, pairs, reports, retrieval, sampling
 from .sources import files as SRC
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,6 +445,68 @@ def token_cost(spark, sf_dir):
     return metrics.token_cost(c, "chars", "turn", (3.0, 15.0), ["role"])
 
 
+@query("dimension_means", "SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean_n_chars, round(avg(doc_id), 6) AS mean_doc_id FROM documents GROUP BY lang HAVING count(*) >= 10")
+def dimension_means(spark, sf_dir):
+    return reports.dimension_means(A.table(spark, sf_dir, "documents"), ["n_chars", "doc_id"], ["lang"], 10)
+
+
+@query("source_split_summary", f"{_SCORED}, p AS (SELECT s.*, p_size FROM s JOIN part USING (p_partkey)) SELECT count(*) AS all_n, round(avg(chrf), 6) AS all_mean, round(avg(exact), 6) AS all_exact, count(*) FILTER (WHERE p_size < 20) AS small_n, round(avg(chrf) FILTER (WHERE p_size < 20), 6) AS small_mean, round(avg(exact) FILTER (WHERE p_size < 20), 6) AS small_exact FROM p")
+def source_split_summary(spark, sf_dir):
+    return reports.source_split(_scored(spark, sf_dir).join(A.table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"), "chrf", "exact", {"small": F.col("p_size") < 20})
+
+
+@query("label_counts_cost", "SELECT coalesce(event_type, '(none)') AS label, count(*) AS n, round(sum(value), 6) AS cost FROM events GROUP BY 1")
+def label_counts_cost(spark, sf_dir):
+    return reports.label_counts(A.table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("round_trip_ceiling", "WITH a AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS r, p_retailprice AS s, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS c FROM part) SELECT count(*) AS n, round(avg(r), 6) AS recovery, round(avg(c), 6) AS ceiling, round(avg(s) FILTER (WHERE r = 1), 6) AS mean_recovered_score, CAST(count(*) FILTER (WHERE c = 1 AND r = 0) AS BIGINT) AS lost FROM a")
+def round_trip_ceiling(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part")
+    row = lambda k: p.select(F.col("p_partkey").alias("id"), (F.col("p_size") % k == 0).cast("int").alias("recovered"), F.col("p_retailprice").alias("score"))
+    return reports.round_trip(row(3), row(2))
+
+
+@query("groups_with_rest", "WITH g AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), x AS (SELECT CASE WHEN g.n >= 80 THEN part.p_brand ELSE '(other)' END AS name, p_retailprice FROM part JOIN g USING (p_brand)) SELECT name, count(*) AS n, round(avg(p_retailprice), 6) AS mean FROM x GROUP BY name")
+def groups_with_rest(spark, sf_dir):
+    return reports.groups_with_rest(A.table(spark, sf_dir, "part"), "p_brand", 80, "p_retailprice")
+
+
+@query("eval_set_coverage", "SELECT count(*) AS concepts, count(CASE WHEN s_acctbal > 0 THEN 1 END) AS with_target, round(count(CASE WHEN s_acctbal > 0 THEN 1 END)::DOUBLE / count(*), 6) AS share FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1")
+def eval_set_coverage(spark, sf_dir):
+    s = A.table(spark, sf_dir, "supplier").withColumn("sctid", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
+    root = spark.createDataFrame([("r1",)], "node string")
+    return reports.eval_set(A.is_a(spark, sf_dir), root, s.select("sctid", F.col("s_name").alias("en")), s.where("s_acctbal > 0").select("sctid", F.col("s_name").alias("target")))[1]
+
+
+@query("site_lookup", "SELECT c_custkey, coalesce(n_name || ' (also: ' || r_name || ')', '') AS site FROM customer LEFT JOIN (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
+def site_lookup(spark, sf_dir):
+    n, r = A.table(spark, sf_dir, "nation").where("n_nationkey < 20"), A.table(spark, sf_dir, "region")
+    t = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("pos"), F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("term"), F.array("r_name").alias("others"))
+    c = A.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("k"))
+    return reports.site_lookup(c, "k", t).select("c_custkey", "site")
+
+
+@query("run_compare", "SELECT p_partkey, p_name AS before, p_type AS after, CASE WHEN p_name = p_type THEN 1 ELSE 0 END AS same FROM part")
+def run_compare(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part")
+    return reports.axis_compare(p.select("p_partkey", F.lit("").alias("translation"), F.col("p_name").alias("candidate")), p.select("p_partkey", F.col("p_type").alias("candidate")), "p_partkey", ["translation", "candidate"])
+
+
+@query("dictionary_lookup", "WITH d AS (SELECT lower(n_name) AS k, n_nationkey AS v FROM nation UNION ALL SELECT lower(n_name) || ' structure', n_nationkey FROM nation) SELECT s_suppkey AS id, CAST(d.v AS VARCHAR) AS value FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN d ON d.k = lower(n_name) || CASE WHEN s_suppkey % 2 = 0 THEN ' structure' ELSE '' END")
+def dictionary_lookup(spark, sf_dir):
+    n = A.table(spark, sf_dir, "nation")
+    s = A.table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    rows = s.select(F.col("s_suppkey").alias("id"), F.lit("").alias("direct"), F.concat("n_name", F.when(F.col("s_suppkey") % 2 == 0, " structure").otherwise("")).alias("indirect"))
+    return graph.dictionary_lookup(rows, ["direct", "indirect"], n.select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value")))
+
+
+@query("sentence_chunks")
+def sentence_chunks(spark, sf_dir):
+    d = A.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.sentence_chunks(F.col("text"), 200, 60)).alias("pos", "chunk"))
+    return d.select("item_id", "pos", F.length("chunk").alias("chars"))
+
+
 # ---------------------------------------------------------------- corpus cleaning
 def _lines(spark, sf_dir):
     return corpus.clean_lines(A.table(spark, sf_dir, "documents"))

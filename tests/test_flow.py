@@ -64,3 +64,19 @@ def test_retrieval_flow(spark):
     assert all(r.ok for r in done.values()), {k: r.error for k, r in done.items()}
     assert done["r"].outputs["metrics"].first()["recall_at_1"] == 100
     assert done["k"].outputs["metrics"].first()["recall_at_1"] == 100
+
+
+def test_config_and_overrides(spark, tmp_path):
+    from termloom.plans import config
+
+    (tmp_path / "t.csv").write_text("id,english,ko\n1,Heart,심장\n2,Knee,무릎\n")
+    env = {"sources": {"s": {"kind": "csv", "path": str(tmp_path / "t.csv")}}, "guides": {"g": "x"}}
+    spec = {"nodes": [{"id": "d", "type": "datasource", "params": {"source": "s"}}, {"id": "g", "type": "style_guide", "params": {"guide": "g"}}, {"id": "t", "type": "translate", "params": {"model_key": "m"}, "inputs": {"terms": "d", "exemplars": "d", "style_guide": "g"}}, {"id": "e", "type": "evaluate", "params": {"limit": None}, "inputs": {"translations": "t", "reference": "d"}}]}
+    nodes, ctx = config.assemble(spark, config.override(spec, {"e.limit": "1"}), env, {"m": lambda s, u: "심장"})
+    assert ctx.sources["s"].roles == {"sctid": "id", "en": "english", "target": "ko"}
+    done = flow.run(nodes, ctx)
+    assert done["e"].ok and done["e"].outputs["metrics"].first()["n"] == 1
+    with pytest.raises(FlowError):
+        config.assemble(spark, spec, {"sources": {}}, {})
+    with pytest.raises(FlowError):
+        config.override(spec, {"zzz": "1"})

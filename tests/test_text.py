@@ -86,3 +86,9 @@ def test_replies(spark):
     assert one(spark, R.confidence(F.lit("confidence: 9"))) == 5
     assert one(spark, R.verdict(F.lit("WINNER: tie"))) == "tie"
     assert one(spark, R.first_line_bare(F.lit('"Term."\nnote'))) == "Term"
+
+
+def test_sentence_chunks(spark):
+    got = one(spark, T.sentence_chunks(F.lit("Aa aa. Bb bb. Cc cc. Dd dd."), 14, 7))
+    assert got == ["Aa aa. Bb bb.", "Bb bb. Cc cc.", "Cc cc. Dd dd."]
+    assert one(spark, T.sentence_chunks(F.lit(""))) == []
