@@ -119,3 +119,35 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, threshold: float = 0.8
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(c.table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The same scan in DuckDB: every line against every template, phrases by position."""
+
+    def places(phrase: str) -> str:
+        words = phrase.split()
+        test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+        return f"list_filter(range(1, len(w) - {len(words) - 2}), lambda i: {test})"
+
+    gap = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    templates = ", ".join(f"('{label}', string_split('{words}', ' '))" for words, label in TEMPLATES)
+    base = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(BASE))
+    lists = ", ".join(f"{places(words)} AS p{i}" for i, (words, _) in enumerate(BASE))
+    every = " || ".join(f"p{i}" for i in range(len(BASE)))
+    return f"""
+WITH d AS (SELECT doc_id, {low} AS low FROM documents),
+w AS (SELECT doc_id, low, list_filter(regexp_split_to_array(low, {gap}), lambda x: x <> '') AS w FROM d),
+p AS (SELECT doc_id, len(w) AS n_words, {lists} FROM w),
+q AS (SELECT doc_id, n_words, {every} AS places, list_distinct(list_filter([{base}], lambda x: x IS NOT NULL)) AS based FROM p),
+l AS (SELECT doc_id, list_distinct(regexp_split_to_array(line, {gap})) AS have FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
+t AS (SELECT label, list_distinct(words) AS words FROM (VALUES {templates}) AS v(label, words)),
+m AS (SELECT doc_id, label, len(list_intersect(words, have))::DOUBLE / len(words) AS c FROM l, t WHERE len(list_intersect(words, have)) >= ceil(0.8::DOUBLE * len(words) - 1e-9)),
+h AS (SELECT doc_id, list(DISTINCT label) AS found, max(c) AS best FROM m GROUP BY doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+       array_to_string(list_sort(based), ',') AS base_labels, array_to_string(list_sort(list_distinct(based || coalesce(found, []))), ',') AS labels,
+       greatest(coalesce(best, 0), CASE WHEN len(places) > 0 THEN 1 ELSE 0 END)::DOUBLE AS score
+FROM q LEFT JOIN h USING (doc_id)"""
+
+
+SQL = _sql()

@@ -19,7 +19,7 @@ _WHERE = {
 }
 
 #: modules with a ``SQL`` string for their query
-_SQL_IN = ("op5_mix_sources",)
+_SQL_IN = ("op5_mix_sources", "op6_license_scan", "op9_jaccard")
 
 
 def queries() -> dict:
