@@ -216,9 +216,9 @@ def store_payloads(blobs: DataFrame, with_media: bool = False) -> DataFrame:
 
 
 def resolve(sequence: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Each segment with the features of the payload that its ``sha256:`` reference names."""
+    """Each segment with the features of the payload that its ``sha256:`` reference names (one row per digest)."""
     digest = F.when(F.col("ref").startswith("sha256:"), F.substring("ref", 8, 64))
-    return sequence.withColumn("digest", digest).join(payloads.dropDuplicates(["digest"]), "digest", "left")
+    return sequence.withColumn("digest", digest).join(payloads, "digest", "left")
 
 
 def op3_media_columns(spark, sf_dir: str) -> DataFrame:
@@ -227,5 +227,6 @@ def op3_media_columns(spark, sf_dir: str) -> DataFrame:
     # Each document is a page with one figure, its text as payload and its size in the caption.
     html = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(raw, 256), F.lit('"><figcaption>'), F.octet_length(raw).cast("string"), F.lit("</figcaption></figure>"))
     sequence = interleave(docs.select(F.col("doc_id").alias("key"), html.alias("html")))
-    found = resolve(sequence.where("kind = 'media'"), store_payloads(docs.select(raw.alias("raw"))))
+    payloads = c.materialize(store_payloads(docs.select(raw.alias("raw"))).dropDuplicates(["digest"]), "payloads")
+    found = resolve(sequence.where("kind = 'media'"), payloads)
     return found.select(F.col("key").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), *[x.split()[0] for x in _FEATURES.split(", ")[1:]], "position")
