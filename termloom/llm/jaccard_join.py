@@ -199,7 +199,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     """One row per document: (doc_id, n_shingles, component_id); links are ``den * |A & B| >= num * |A | B|``."""
     sets = c.materialize(document_sets(docs, width, num, den), "sets")
     # Equal sets are one class, named by its smallest id.
-    classes = sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
+    classes = c.materialize(sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "classes")
     able = sets.where((F.size("shared") > 0) & F.col("doc_id").isNotNull()).join(classes.select(F.col("rep").alias("doc_id"), "digest", "n"), ["doc_id", "digest", "n"], "left_semi")
     need = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
     able = able.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "shared", "sketch", (F.col("n") - F.size("shared")).alias("own"))
@@ -219,25 +219,28 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     labels = c.connected(links, "near-1")
 
     # Second round: only groups and postings that still hold different components, and only possible partners in them.
-    placed = able.select("grp", "rep", "n", "own", "prefix", "sketch").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    spread = placed.select(F.posexplode("prefix").alias("pos", "shingle"), "rep", "n", "own", "label", "sketch", "prefix")
-    spread = spread.withColumn("ahead", F.expr("slice(prefix, 1, pos)")).drop("prefix")
-    best = spread.groupBy("shingle", "label").agg(F.min(F.struct("own", "n")).alias("m"), F.min("own").alias("low"))
-    per = best.groupBy("shingle").agg(F.count("*").alias("many"), F.min(F.struct("low", "label")).alias("first")).where("many > 1")
-    others = best.join(per.select("shingle", F.col("first.label").alias("l1"), F.col("first.low").alias("low1")), "shingle")
-    second = others.where("label <> l1").groupBy("shingle", "l1", "low1").agg(F.min("low").alias("low2"))
+    placed = able.select("grp", "rep", "n", "own", "prefix").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    spread = placed.select(F.explode("prefix").alias("shingle"), "rep", "n", "own", "label")
+    best = spread.groupBy("shingle", "label").agg(F.min("own").alias("low"), F.count("*").alias("members"))
+    per = best.groupBy("shingle").agg(F.count("*").alias("many"), F.min(F.struct("low", "label")).alias("first"), F.max(F.struct("members", "label")).alias("big")).where("many > 1")
+    others = best.join(per.select("shingle", F.col("first.label").alias("l1"), F.col("first.low").alias("low1"), F.col("big.label").alias("big")), "shingle")
+    second = others.where("label <> l1").groupBy("shingle", "l1", "low1", "big").agg(F.min("low").alias("low2"))
     # A partner in another component has at least ``least`` own shingles: overlap <= n - own, union >= n + least.
     open_ = spread.join(second, "shingle").withColumn("least", F.when(F.col("label") == F.col("l1"), F.col("low2")).otherwise(F.col("low1")))
-    open_ = open_.where(F.lit(den) * (F.col("n") - F.col("own")) >= F.lit(num) * (F.col("n") + F.col("least"))).select("shingle", "rep", "n", "own", "label", "sketch", "ahead")
-    open_ = c.materialize(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & _possible("x.n", "x.own", "y.n", "y.own", num, den) & ~F.arrays_overlap("x.ahead", "y.ahead") & _near(num, den))  # a pair meets on its first common shingle
+    open_ = open_.where(F.lit(den) * (F.col("n") - F.col("own")) >= F.lit(num) * (F.col("n") + F.col("least")))
+    # Of two components one is not the shingle's largest, so one side of the join leaves that out.
+    open_ = open_.select("shingle", "rep", "n", "own", "label", (F.col("label") == F.col("big")).alias("big"))
+    rows = c.materialize(open_.join(able.select("rep", "sketch"), "rep"), "open")
+    x, y = rows.where("not big").alias("x"), rows.alias("y")
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("y.big") | ((F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")))) & _possible("x.n", "x.own", "y.n", "y.own", num, den) & _near(num, den))
     rest = both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = c.materialize(_verified(rest, able, num, den), "links-2")
     if not more.isEmpty():
         labels = c.connected(links.unionAll(more), "near-2")
 
+    # A table, so that the last join's hot classes (many copies) can be split.
     of_class = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", "n", F.coalesce("label", "rep").alias("component_id"))
+    of_class = c.materialize(of_class, "of-class")
     return sets.select("doc_id", "n", "digest").join(of_class, ["digest", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
