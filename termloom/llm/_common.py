@@ -44,7 +44,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    table_ = spark.read.schema(schema).parquet(path)
+    table_._written_to = path
+    return table_
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later plan reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

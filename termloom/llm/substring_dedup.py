@@ -224,6 +224,7 @@ def repeated_runs(docs: DataFrame, length: int = 400, k: int = 100, with_text: b
     placed = placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.when(is_open, F.col("at")))).alias("anchors"), F.collect_list(ranges).alias("wholes"))
     placed = placed.where((F.size("anchors") > 0) | (F.size("wholes") > 0))
     texts = c.materialize(slim.join(placed, ["k1", "k2"]), "suspects")
+    c.discard(names, state)
     unsettled = texts.where(F.size("anchors") > 0)
     cores = c.materialize(unsettled.mapInArrow(_cores(length, k), _CORES), "cores")
 
@@ -256,7 +257,7 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """``docs`` with the repeated bytes cut from the texts; a document that loses its whole text goes."""
-    found = repeated_runs(docs, length, with_text=True).select("k1", "k2", "kept")
+    found = c.materialize(repeated_runs(docs, length, with_text=True).select("k1", "k2", "kept"), "kept")
     rows = _keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text")).select("row", "k1", "k2").join(found, ["k1", "k2"], "left")
     rows = rows.where(F.col("kept").isNull() | (F.length("kept") > 0))
     text = F.coalesce("kept", F.col("row.text"))
