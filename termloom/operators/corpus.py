@@ -65,10 +65,11 @@ def signature(shingle_array: Column, hashes: int) -> Column:
 
 def lsh_bands(parts: DataFrame, hashes: int = 64, rows: int = 4) -> DataFrame:
     """(norm, band, key): band keys of each distinct chunk; signatures are computed once per distinct text."""
-    distinct = parts.select("norm").where("norm <> ''").distinct()
-    signed = distinct.withColumn("sig", signature(shingles(F.col("norm")), hashes))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(hashes // rows - 1)), lambda b: F.struct(b.alias("band"), F.md5(F.concat_ws("|", F.slice("sig", b * rows + 1, F.lit(rows))).cast("binary")).alias("key")))
-    return signed.select("norm", F.explode(bands).alias("b")).select("norm", "b.*")
+    words = parts.select("norm").where("norm <> ''").distinct().select("norm", F.explode(shingles(F.col("norm"))).alias("s"))
+    mins = [F.min(F.md5(F.concat(F.lit(f"{k}:"), F.col("s")).cast("binary"))).alias(f"h{k}") for k in range(hashes)]
+    signed = words.groupBy("norm").agg(*mins)
+    bands = [F.struct(F.lit(b).alias("band"), F.md5(F.concat_ws("|", *[f"h{b * rows + i}" for i in range(rows)]).cast("binary")).alias("key")) for b in range(hashes // rows)]
+    return signed.select("norm", F.explode(F.array(*bands)).alias("b")).select("norm", "b.*")
 
 
 def hot_chunks(parts: DataFrame, threshold: int, hashes: int = 64, rows: int = 4) -> DataFrame:

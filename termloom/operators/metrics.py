@@ -128,8 +128,10 @@ def tally(rows: DataFrame, group: str, winner: str) -> DataFrame:
 def consistency_scores(candidates: DataFrame, references: DataFrame, key: str) -> DataFrame:
     """candidates(key, candidates) against references(key, refs): chrF of the first (majority) and the best (oracle) candidate."""
     both = candidates.join(references, key)
-    each = F.transform("candidates", lambda x: F.round(S.best_chrf(x["text"], F.col("refs"))["chrf"], 4))
-    out = both.withColumn("scores", each)
+    each = both.select(key, "candidates", F.posexplode("candidates").alias("i", "x"), "refs")
+    each = each.withColumn("s", F.round(S.best_chrf(F.col("x.text"), F.col("refs"))["chrf"], 4))
+    scores = F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"])
+    out = each.groupBy(key).agg(F.first("candidates").alias("candidates"), scores.alias("scores"))
     return out.select(key, F.size("candidates").alias("n_candidates"), F.array_max("scores").alias("oracle_chrf"), F.array_position("scores", F.array_max("scores")).alias("oracle_index"), F.element_at("scores", 1).alias("majority_chrf"), (F.element_at("scores", 1) >= F.array_max("scores") - 1e-6).cast("int").alias("chose_oracle"))
 
 
