@@ -10,9 +10,17 @@ from ..functions import text as T
 from ..sources.tables import checkpointed
 
 
+def _widened(df: DataFrame, *keys: str) -> DataFrame:
+    """At least as many partitions as the shuffles have: the work here is in proportion to CPU, not to bytes,
+    so neither a scan of few row groups nor coalescing by size should narrow it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys) if keys or df.rdd.getNumPartitions() < n else df
+
+
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, lines): markdown stripped, named sections and layout noise out."""
     lines = F.split(F.regexp_replace(T.markdown_strip(F.coalesce(F.col(text), F.lit(""))), r"\r\n?", "\n"), "\n")
+    docs = _widened(docs)
     return docs.select("doc_id", F.filter(T.skip_sections(lines), lambda x: ~T.is_layout_noise(x)).alias("lines"))
 
 
@@ -65,7 +73,8 @@ def signature(shingle_array: Column, hashes: int) -> Column:
 
 def lsh_bands(parts: DataFrame, hashes: int = 64, rows: int = 4) -> DataFrame:
     """(norm, band, key): band keys of each distinct chunk; signatures are computed once per distinct text."""
-    words = parts.select("norm").where("norm <> ''").distinct().select("norm", F.explode(shingles(F.col("norm"))).alias("s"))
+    distinct = _widened(parts.select("norm").where("norm <> ''").distinct(), "norm")
+    words = distinct.select("norm", F.explode(shingles(F.col("norm"))).alias("s"))
     mins = [F.min(F.md5(F.concat(F.lit(f"{k}:"), F.col("s")).cast("binary"))).alias(f"h{k}") for k in range(hashes)]
     signed = words.groupBy("norm").agg(*mins)
     bands = [F.struct(F.lit(b).alias("band"), F.md5(F.concat_ws("|", *[f"h{b * rows + i}" for i in range(rows)]).cast("binary")).alias("key")) for b in range(hashes // rows)]
