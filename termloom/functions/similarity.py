@@ -25,7 +25,7 @@ def char_ngrams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def _bound(value: Column, body) -> Column:
+def bound(value: Column, body) -> Column:
     """``body(value)`` with the value computed once (a lambda's variable is not inlined)."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -46,15 +46,15 @@ def chrf(candidate: Column, reference: Column, order: int = 6, beta: float = 2.0
         for n in range(1, order + 1):
             both = (F.length(hyp) >= n) & (F.length(ref) >= n)
             grams = F.struct(char_ngrams(hyp, n).alias("a"), char_ngrams(ref, n).alias("b"))
-            same = F.when(both, _bound(grams, lambda g: _overlap(g["a"], g["b"]))).otherwise(0).cast("double")
+            same = F.when(both, bound(grams, lambda g: _overlap(g["a"], g["b"]))).otherwise(0).cast("double")
             precision = precision + F.when(both, same / (F.length(hyp) - (n - 1))).otherwise(0.0)
             recall = recall + F.when(both, same / (F.length(ref) - (n - 1))).otherwise(0.0)
             used = used + F.when(both, 1).otherwise(0)
         sums = F.struct((precision / F.greatest(used, F.lit(1))).alias("p"), (recall / F.greatest(used, F.lit(1))).alias("r"))
         b = beta * beta
-        return _bound(sums, lambda x: F.when((x["p"] + x["r"]) > 0, (1 + b) * x["p"] * x["r"] / (b * x["p"] + x["r"]) * 100).otherwise(0.0))
+        return bound(sums, lambda x: F.when((x["p"] + x["r"]) > 0, (1 + b) * x["p"] * x["r"] / (b * x["p"] + x["r"]) * 100).otherwise(0.0))
 
-    return _bound(F.struct(T.without_space(candidate).alias("h"), T.without_space(reference).alias("r")), of)
+    return bound(F.struct(T.without_space(candidate).alias("h"), T.without_space(reference).alias("r")), of)
 
 
 def _sentence_chrf(hyp: str, ref: str, order: int = 6, beta: float = 2.0) -> float:

@@ -57,9 +57,12 @@ def frequent_chunks(parts: DataFrame, threshold: int) -> DataFrame:
 
 def shingles(norm: Column, n: int = 5) -> Column:
     """Distinct word n-grams; of fewer words the words themselves."""
-    w = S.tokens(norm)
-    grams = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(w)
-    return F.array_distinct(grams)
+
+    def grams(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.array_distinct(F.when(F.size(w) >= n, many).otherwise(w))
+
+    return S.bound(S.tokens(norm), grams)
 
 
 def signature(shingle_array: Column, hashes: int) -> Column:
@@ -71,14 +74,18 @@ def signature(shingle_array: Column, hashes: int) -> Column:
     return F.array(*map(least, range(hashes)))
 
 
+def _bands(shingle_array: Column, hashes: int, rows: int) -> Column:
+    def keys(sig: Column) -> Column:
+        return F.array(*[F.struct(F.lit(b).alias("band"), F.md5(F.concat_ws("|", F.slice(sig, b * rows + 1, rows)).cast("binary")).alias("key")) for b in range(hashes // rows)])
+
+    return S.bound(signature(shingle_array, hashes), keys)
+
+
 def lsh_bands(parts: DataFrame, hashes: int = 64, rows: int = 4) -> DataFrame:
     """(norm, band, key): band keys of each distinct chunk; signatures are computed once per distinct text."""
     distinct = _widened(parts.select("norm").where("norm <> ''").distinct(), "norm")
-    words = distinct.select("norm", F.explode(shingles(F.col("norm"))).alias("s"))
-    mins = [F.min(F.md5(F.concat(F.lit(f"{k}:"), F.col("s")).cast("binary"))).alias(f"h{k}") for k in range(hashes)]
-    signed = words.groupBy("norm").agg(*mins)
-    bands = [F.struct(F.lit(b).alias("band"), F.md5(F.concat_ws("|", *[f"h{b * rows + i}" for i in range(rows)]).cast("binary")).alias("key")) for b in range(hashes // rows)]
-    return signed.select("norm", F.explode(F.array(*bands)).alias("b")).select("norm", "b.*")
+    bands = S.bound(shingles(F.col("norm")), lambda x: _bands(x, hashes, rows))
+    return distinct.select("norm", F.explode(bands).alias("b")).select("norm", "b.*")
 
 
 def hot_chunks(parts: DataFrame, threshold: int, hashes: int = 64, rows: int = 4) -> DataFrame:
