@@ -21,7 +21,7 @@ _U = np.uint64
 
 #: Bytes of text that one vectorised step handles at most (one longer document
 #: is a step of its own).
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,7 +71,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 400) -> None:
     """Bound the rows that one Arrow batch carries to a Python worker; the workers get this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -151,7 +151,7 @@ def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 0) -> Iterator[
         end = min(n, max(first + 1, end))
         yield first, end, raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
-    trim()
+        trim()
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

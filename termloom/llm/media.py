@@ -211,7 +211,7 @@ def store_payloads(blobs: DataFrame, with_media: bool = False) -> DataFrame:
 
     With ``with_media`` the stored form itself is a column (a table to write, not to shuffle).
     """
-    c.small_batches(blobs.sparkSession, 500)
+    c.small_batches(blobs.sparkSession)
     return blobs.select("raw").mapInArrow(_stored(with_media), _FEATURES + ", media binary" * with_media)
 
 
