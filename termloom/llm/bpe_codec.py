@@ -33,6 +33,8 @@ from .bpe_core import Merges, Trie, flat, propose_and_verify
 
 #: Distinct words that a worker remembers.
 CACHE_WORDS = 250_000
+#: Characters of text whose new words are encoded together.
+BLOCK = 1 << 20
 #: Words of more symbols than this are merged one by one.
 LONG = 64
 
@@ -227,7 +229,7 @@ def _encoded(raw, with_ids: bool):
             n, first = batch.num_rows, 0
             while first < n:
                 texts, end, size = [], first, 0
-                while end < n and (size < c.BLOCK_BYTES or end == first):
+                while end < n and (size < BLOCK or end == first):
                     texts.append(col[end].as_py() or "")
                     size += len(texts[-1])
                     end += 1
@@ -256,7 +258,7 @@ def _encoded(raw, with_ids: bool):
 def encode_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """(*keep, n_tokens, ids_sha256, decoded_sha256[, ids]) of every document's text."""
     spark = docs.sparkSession
-    c.small_batches(spark)
+    c.small_batches(spark, 1000)
     with open(path or default_path(), "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))

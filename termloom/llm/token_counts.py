@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as c
-from .bpe_codec import default_path
+from .bpe_codec import BLOCK, default_path
 from .bpe_core import Merges, Trie, flat, prefix_counts
 
 #: Distinct words that a worker remembers.
@@ -266,7 +266,7 @@ def _counted(raw, limit: int):
             ids, n, first = batch.column(batch.schema.get_field_index("doc_id")), batch.num_rows, 0
             while first < n:
                 split, end, size, nbytes = [], first, 0, []
-                while end < n and (size < c.BLOCK_BYTES or end == first):
+                while end < n and (size < BLOCK or end == first):
                     text = col[end].as_py() or ""
                     nbytes.append(len(text.encode()))
                     split.append(model.split(text))
@@ -286,7 +286,7 @@ def _counted(raw, limit: int):
 def count_documents(docs: DataFrame, path: str | None = None, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every document."""
     spark = docs.sparkSession
-    c.small_batches(spark)
+    c.small_batches(spark, 1000)
     with open(path or default_path("piece_bpe_32k.model"), "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
