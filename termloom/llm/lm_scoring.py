@@ -198,10 +198,7 @@ def _pair_answers(pdf: pd.DataFrame) -> pd.DataFrame:
     k, n = k[order], n[order]
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     total = np.add.reduceat(n, starts)
-    level = level_of(total)
-    hist = np.bincount(level, minlength=256).astype("<i8")
-    more = total > 1  # pairs seen once stay out of the filter's candidates, but in the histogram
-    return pd.DataFrame({"words": [_pack(k[starts[more]])], "levels": [level[more].tobytes()], "hist": [hist.tobytes()]})
+    return pd.DataFrame({"words": [_pack(k[starts])], "levels": [level_of(total).tobytes()]})
 
 
 def _hist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +306,7 @@ def score_documents(docs: DataFrame, mix: float = 0.3, filter_bits: int = FILTER
     words = slim.mapInArrow(_word_requests(bits), "block string, bucket int, words binary, often binary, whom binary, docs binary").groupBy("bucket").applyInPandas(_word_answers, _PART)
     words = c.materialize(words, "words")
     base = c.materialize(words.select("block", "bucket", "whom", "logs", "known", "docs").groupBy("block").applyInPandas(_gathered, _BASE), "base")
-    pairs = slim.mapInArrow(_pair_requests(bits), "bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(_pair_answers, "words binary, levels binary, hist binary")
+    pairs = slim.mapInArrow(_pair_requests(bits), "bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(_pair_answers, "words binary, levels binary")
     pairs = c.materialize(pairs, "pairs")
 
     sizes = base.agg(F.coalesce(F.sum(F.when(F.col("train"), F.col("n_tokens"))), F.lit(0)).alias("n")).first()

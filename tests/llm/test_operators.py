@@ -220,6 +220,36 @@ def test_lm_scoring(docs, empty, rows):
     assert lm_scoring.score_documents(ready.limit(0), filter_bits=1 << 20).count() == 0
 
 
+def test_lm_score_has_every_count(docs, rows):
+    """``score`` of exact counts on the log scale."""
+    ready = docs.select("doc_id", "text", lm_scoring.held_out(docs["doc_id"]).alias("held_out"))
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
+    word, pair = Counter(), Counter()
+    for i, text, _, _ in rows:
+        w = [*split(text), "\n"]
+        if not out[i]:
+            word.update(w)
+            pair.update(zip(["\n", *w[:-1]], w, strict=True))
+    n, v = sum(word.values()), len(word)
+    assert sum(x == 1 for x in pair.values()) > len(pair) / 2
+
+    def count(x):
+        return float(lm_scoring.value_of(lm_scoring.level_of(np.array([x])))[0]) if x else 0.0
+
+    def logp(a, b):
+        p = (count(word[b]) + 1) / (n + v + 1)
+        if not word[a]:
+            return math.log10(p)
+        return math.log10(0.3 * min(count(pair[a, b]) / count(word[a]), 1) + 0.7 * p)
+
+    near = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(ready).collect()}
+    assert near.keys() == out.keys()
+    for i, text, _, _ in rows:
+        w = [*split(text), "\n"]
+        want = sum(map(logp, ["\n", *w[:-1]], w))
+        assert abs(near[i] - want) < 0.02 * abs(want) + 0.7, i  # what wrong probes may change
+
+
 def test_log_counts():
     n = np.arange(1, 5000)
     value = lm_scoring.value_of(lm_scoring.level_of(n))
