@@ -9,11 +9,16 @@ same way.
 Model. Word and bigram counts are quantised on a logarithmic scale (two levels
 per doubling) and written into a Bloom filter: an n-gram of level q inserts
 (n-gram, 1), ..., (n-gram, q), so its level is read back by probing 1, 2, ...
-until a probe fails, and errors are one-sided and rare. The filter has a fixed
-size (``filter_bits``), which bounds the broadcast: levels are dropped from below
-until what is left fits. Probability of a word w after v, with probes for all
-counts: ``mix * c(vw) / c(v) + (1 - mix) * (c(w) + 1) / (N + V + 1)``, or the
-second factor alone where v or the pair was never seen in training.
+until a probe fails, and errors are one-sided and rare. Every n-gram of the
+training documents is in it, whatever its count: the filter has one segment for
+each hash range, and a segment is as large as the items of its range need. A
+filter of at most ``filter_bits`` is broadcast. A larger one stays where it is:
+each block of documents sends its distinct n-grams to their ranges and gets the
+levels back. Both ways read the same segments, so scores do not depend on which
+was taken. Probability of a word w after v, with probes for all counts:
+``mix * c(vw) / c(v) + (1 - mix) * (c(w) + 1) / (N + V + 1)``; where the pair was
+never seen in training its first term is 0, and where v was never seen it is
+``(c(w) + 1) / (N + V + 1)`` alone.
 
 Defined results: null text is empty and has the end token only; without any
 training document all counts are 0; repeated rows each get their row; a null
@@ -36,9 +41,8 @@ _U = np.uint64
 _KEEP = _U((1 << 48) - 1)
 #: Hash of the end token, which no word has by construction of the words' hash.
 END = c.mix(np.array([0x5EED], _U))[0]
-#: Bits of the filter, its probes per item, and quantisation levels per doubling.
+#: Bits of the largest filter that is broadcast, probes per item, and quantisation levels per doubling.
 FILTER_BITS, PROBES, STEPS = 1 << 27, 4, 2
-SEGMENT = 1 << 19
 #: Bytes of text in a block: words that many of its documents share are handled once a block.
 BLOCK = 1 << 20
 
@@ -198,102 +202,168 @@ def _pair_answers(pdf: pd.DataFrame) -> pd.DataFrame:
     k, n = k[order], n[order]
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     total = np.add.reduceat(n, starts)
-    return pd.DataFrame({"words": [_pack(k[starts])], "levels": [level_of(total).tobytes()]})
+    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "words": [_pack(k[starts])], "levels": [level_of(total).tobytes()]})
 
 
-def _hist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            if x.is_valid:
-                total += np.bincount(np.frombuffer(x.as_py(), np.uint8), minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["level", "n"])
-
-
-def _slots(key: np.ndarray, level, probe: int, bits: int) -> np.ndarray:
-    """Bit of one probe for the item (key, level)."""
-    return (c.mix(key * _U(0xA0761D6478BD642F) + np.asarray(level).astype(_U) * _U(0x9E3779B97F4A7C15) + _U(probe * 0x632BE59BD9B4E019 & (2**64 - 1))) % _U(bits)).astype(np.int64)
-
+def _slots(key: np.ndarray, level, probe: int, size: np.ndarray) -> np.ndarray:
+    """Bit of one probe for the item (key, level), in a segment of ``size`` bits."""
+    return (c.mix(key * _U(0xA0761D6478BD642F) + np.asarray(level).astype(_U) * _U(0x9E3779B97F4A7C15) + _U(probe * 0x632BE59BD9B4E019 & (2**64 - 1))) % size).astype(np.int64)
 
-def _inserts(low: int, bits: int):
-    """Bit positions, by filter segment, of the n-grams of level ``low`` and up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, levels in zip(batch.column(0), batch.column(1), strict=True):
-                if not keys.is_valid:
-                    continue
-                k, q = _unpack(keys.as_py()), np.frombuffer(levels.as_py(), np.uint8)
-                k, q = k[q >= low], q[q >= low].astype(np.int64)
-                if not len(k):
-                    continue
-                item = np.repeat(k, q)
-                level = np.arange(len(item)) - np.repeat(np.cumsum(q) - q, q) + 1
-                at = np.unique(np.concatenate([_slots(item, level, i, bits) for i in range(PROBES)]))
-                seg = at // SEGMENT
-                head = np.flatnonzero(np.diff(seg, prepend=-1))
-                ends = np.append(head[1:], len(at))
-                yield pa.RecordBatch.from_arrays([pa.array(seg[head].astype(np.int32)), pa.array([(at[s:e] % SEGMENT).astype("<u4").tobytes() for s, e in zip(head, ends, strict=True)], pa.binary())], ["segment", "bits"])
 
-    return run
+_SEGMENTS = "bucket int, size long, bits binary"
 
 
 def _segment(pdf: pd.DataFrame) -> pd.DataFrame:
-    on = np.zeros(SEGMENT, np.uint8)
-    for x in pdf["bits"]:
-        on[np.frombuffer(x, "<u4")] = 1
-    return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "bits": [np.packbits(on).tobytes()]})
-
-
-class LogBloom:
-    """The filter, with the corpus sizes that smoothing needs."""
-
-    def __init__(self, data: np.ndarray, bits: int, tokens: int, distinct: int, mix: float) -> None:
-        self.data, self.bits, self.tokens, self.distinct, self.mix = data, bits, tokens, distinct, mix
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each key: probes of 1, 2, ... until one fails."""
-        out = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys))
-        while len(live):
-            k, ok = keys[live], np.ones(len(live), bool)
-            for i in range(PROBES):
-                at = _slots(k[ok], out[live[ok]] + 1, i, self.bits)
-                ok[np.flatnonzero(ok)] = (self.data[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            live = live[ok]
-            out[live] += 1
-            if len(live) and out[live[0]] > 128:
-                break
-        return out
-
-    def log10(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each token."""
-        word, back = np.unique(h, return_inverse=True)
-        count = value_of(self.levels(word))
-        c_w = count[back]
-        pair, pback = np.unique(_pairs(h, at), return_inverse=True)
-        c_p = value_of(self.levels(pair))[pback]
+    """Of one hash range: the filter of all its n-grams, at half of the capacity that the probes are best for."""
+    k = np.concatenate([_unpack(x) for x in pdf["words"]])
+    q = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["levels"]]).astype(np.int64)
+    size = 64 * int(np.ceil((q.sum() + 1) * PROBES * 2 / np.log(2) / 64))
+    on = np.zeros(size, bool)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        item = k[q >= level]
+        for i in range(PROBES):
+            on[_slots(item, level, i, _U(size))] = True
+    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "size": [size], "bits": [np.packbits(on).tobytes()]})
+
+
+def _levels(data: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Level of each key: probes of 1, 2, ... in the key's segment until one fails.
+
+    Segments begin at bit ``start[bucket]`` of ``data`` and have ``size[bucket]`` bits.
+    """
+    out = np.zeros(len(keys), np.uint8)
+    bucket = (keys >> _U(48 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    live = np.flatnonzero(size[bucket] > 0)
+    level = 1
+    while len(live) and level <= 128:
+        for i in range(PROBES):
+            b = bucket[live]
+            at = _slots(keys[live], level, i, size[b]) + start[b]
+            live = live[(data[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+        out[live] = level
+        level += 1
+    return out
+
+
+def _keys(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The distinct n-grams of a block, which are in the order of their ranges."""
+    return np.unique(np.concatenate([h, p]))
+
+
+class Model:
+    """Probabilities from levels, with the corpus sizes that smoothing needs."""
+
+    def __init__(self, tokens: int, distinct: int, mix: float) -> None:
+        self.tokens, self.distinct, self.mix = tokens, distinct, mix
+
+    def log10(self, h: np.ndarray, p: np.ndarray, at: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """log10 probability of each token, from the levels of the block's n-grams."""
+        count = value_of(np.arange(256))[levels]
+        c_w, c_p = count[np.searchsorted(keys, h)], count[np.searchsorted(keys, p)]
         c_v = np.empty(len(h))
         c_v[1:] = c_w[:-1]
-        c_v[at[:-1]] = value_of(self.levels(np.array([END & _KEEP], _U)))[0]
-        p = (c_w + 1) / (self.tokens + self.distinct + 1)
+        c_v[at[:-1]] = c_w[-1]  # the last token is an END
+        p_w = (c_w + 1) / (self.tokens + self.distinct + 1)
         seen = (c_p > 0) & (c_v > 0) & (c_w > 0)  # a pair cannot be without its words
         ratio = np.minimum(c_p / np.maximum(c_v, 1), 1.0)
-        return np.log10(np.where(c_v > 0, np.where(seen, self.mix * ratio, 0.0) + (1 - self.mix) * p, p))
+        return np.log10(np.where(c_v > 0, np.where(seen, self.mix * ratio, 0.0) + (1 - self.mix) * p_w, p_w))
+
 
+def _scored(shared, model: Model, bits: int):
+    """Scores with the whole filter at hand."""
 
-def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        filter_, start, size = shared.value
         for batch in batches:
             for first, end, data, offsets in c.text_blocks(batch, "text", BLOCK):
                 h, at = _tokens(data, offsets)
-                score = np.add.reduceat(model.log10(h, at), at[:-1])
+                p = _pairs(h, at)
+                keys = _keys(h, p)
+                score = np.add.reduceat(model.log10(h, p, at, keys, _levels(filter_, start, size, keys, bits)), at[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(first, end - first) for i in range(4)] + [pa.array(score)], ["k1", "k2", "doc_id", "held_out", "score"])
 
     return run
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, dealt into blocks that have a name, with their places in them."""
+    from pyspark import TaskContext
+
+    task, serial = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for first, end, _, _ in c.text_blocks(batch, "text", BLOCK):
+            part = batch.slice(first, end - first)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{serial}"] * part.num_rows), *part.columns, pa.array(np.arange(part.num_rows, dtype=np.int32))], ["block", *batch.schema.names, "at"])
+            serial += 1
+
+
+def _one_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, pairs, first index of each document) of a block's rows."""
+    batch = table.select(["text"]).combine_chunks().to_batches()[0]
+    ((_, _, data, offsets),) = c.text_blocks(batch, "text", 1 << 62)
+    h, at = _tokens(data, offsets)
+    return h, _pairs(h, at), at
+
+
+def _asked(bits: int):
+    """Each block's distinct n-grams, packed by hash range. A block that two tasks read is two parts, named by their first places."""
+
+    def ask(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        keys = _keys(*_one_block(pa.Table.from_batches(rows))[:2])
+        cut = np.searchsorted(keys >> _U(48 - bits), np.arange((1 << bits) + 1).astype(_U))
+        full = np.flatnonzero(np.diff(cut))
+        c.trim()
+        block, part = rows[0].column(0)[0].as_py(), rows[0].column(1)[0].as_py()
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(full)), pa.array([part] * len(full), pa.int32()), pa.array(full.astype(np.int32)), pa.array([_pack(keys[cut[b] : cut[b + 1]]) for b in full], pa.binary())], ["block", "part", "bucket", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            heads = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), batch.num_rows]
+            for s, e in zip(heads[:-1], heads[1:], strict=True):
+                if held and held[0].column(0)[0].as_py() != names[s]:
+                    yield ask(held)
+                    held = []
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield ask(held)
+
+    return run
+
+
+def _told(asked: pa.Table, segment: pa.Table) -> pa.Table:
+    """Of one hash range: the levels of the n-grams that blocks ask for."""
+    keys = [_unpack(x.as_py()) for x in asked["keys"]]
+    cut = np.cumsum([0, *map(len, keys)])
+    distinct, back = np.unique(np.concatenate([np.zeros(0, _U), *keys]), return_inverse=True)
+    levels = np.zeros(len(distinct), np.uint8)
+    if segment.num_rows:
+        data, size = np.frombuffer(segment["bits"][0].as_py(), np.uint8), np.array([segment["size"][0].as_py()], _U)
+        levels = _levels(data, np.zeros(1, np.int64), size, distinct, 0)
+    levels = levels[back]
+    return pa.table({"block": asked["block"], "part": asked["part"], "bucket": asked["bucket"], "levels": pa.array([levels[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+
+
+def _scored_block(model: Model):
+    """Scores of one block from the levels that its ranges have told."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        rows, told = rows.sort_by("at"), told.sort_by("bucket")
+        place, part = rows["at"].to_numpy(), told["part"].to_numpy()
+        levels, score = told["levels"].to_pylist(), []
+        first = np.unique(part)
+        for lead, s, e in zip(first, np.searchsorted(place, first), np.append(np.searchsorted(place, first[1:]), len(place)), strict=True):
+            h, p, at = _one_block(rows.slice(s, e - s))
+            have = np.frombuffer(b"".join(levels[i] for i in np.flatnonzero(part == lead)), np.uint8)
+            score.append(np.add.reduceat(model.log10(h, p, at, _keys(h, p), have), at[:-1]))
+        return rows.select(["k1", "k2", "doc_id", "held_out"]).append_column("score", pa.array(np.concatenate(score)))
+
+    return run
+
+
 def score_documents(docs: DataFrame, mix: float = 0.3, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of ``docs(doc_id, text, held_out)``."""
     spark = docs.sparkSession
@@ -306,31 +376,37 @@ def score_documents(docs: DataFrame, mix: float = 0.3, filter_bits: int = FILTER
     words = slim.mapInArrow(_word_requests(bits), "block string, bucket int, words binary, often binary, whom binary, docs binary").groupBy("bucket").applyInPandas(_word_answers, _PART)
     words = c.materialize(words, "words")
     base = c.materialize(words.select("block", "bucket", "whom", "logs", "known", "docs").groupBy("block").applyInPandas(_gathered, _BASE), "base")
-    pairs = slim.mapInArrow(_pair_requests(bits), "bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(_pair_answers, "words binary, levels binary")
+    pairs = slim.mapInArrow(_pair_requests(bits), "bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(_pair_answers, "bucket int, words binary, levels binary")
     pairs = c.materialize(pairs, "pairs")
 
     sizes = base.agg(F.coalesce(F.sum(F.when(F.col("train"), F.col("n_tokens"))), F.lit(0)).alias("n")).first()
     tokens = int(sizes["n"])
     distinct = int(words.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()["v"])
-    # How many items each level and all above would insert; the lowest level that fits half of the filter's capacity.
-    room = filter_bits / PROBES * np.log(2) / 2
-
-    def lowest(table: DataFrame, least: int) -> int:
-        rows = table.select("levels").mapInArrow(_hist, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
-        n = np.zeros(256)
-        for r in rows:
-            n[r["level"]] = r["n"]
-        items = np.cumsum((n * np.arange(256))[::-1])[::-1]
-        return next((q for q in range(least, 256) if items[q] <= room), 255)
-
-    low_w, low_p = lowest(words, 1), lowest(pairs, 1)
-    inserts = words.select("words", "levels").mapInArrow(_inserts(low_w, filter_bits), "segment int, bits binary").unionAll(pairs.select("words", "levels").mapInArrow(_inserts(low_p, filter_bits), "segment int, bits binary"))
-    data = np.zeros(filter_bits // 8, np.uint8)
-    for r in inserts.groupBy("segment").applyInPandas(_segment, "segment int, bits binary").collect():  # filter_bits / 8 bytes in all
-        data[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(LogBloom(data, filter_bits, tokens, distinct, mix))
+    model = Model(tokens, distinct, mix)
+    grams = words.where("words is not null").select("bucket", "words", "levels").unionAll(pairs)
+    segments = c.materialize(grams.groupBy("bucket").applyInPandas(_segment, _SEGMENTS), "segments")
+    c.discard(words, pairs)
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = keyed.select("k1", "k2", "doc_id", "held_out", "text").mapInArrow(_scored(shared), f"k1 long, k2 long, doc_id {kind}, held_out boolean, score double")
+    out = f"k1 long, k2 long, doc_id {kind}, held_out boolean, score double"
+    keyed = keyed.select("k1", "k2", "doc_id", "held_out", "text")
+    total = int(segments.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"])
+    if total <= filter_bits:
+        start, size, parts, at = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, _U), [], 0
+        for r in segments.collect():  # filter_bits / 8 bytes at most
+            start[r["bucket"]], size[r["bucket"]] = at, r["size"]
+            parts.append(np.frombuffer(r["bits"], np.uint8))
+            at += r["size"]
+        shared = spark.sparkContext.broadcast((np.concatenate([np.zeros(0, np.uint8), *parts]), start, size))
+        scored = keyed.mapInArrow(_scored(shared, model, bits), out)
+    else:
+        blocks = c.materialize(keyed.mapInArrow(_blocks, f"block string, k1 long, k2 long, doc_id {kind}, held_out boolean, text string, at int"), "blocks")
+        # In one expression, so that nothing holds its shuffle when it is written.
+        told = c.materialize(blocks.select("block", "at", "text").mapInArrow(_asked(bits), "block string, part int, bucket int, keys binary").groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(_told, "block string, part int, bucket int, levels binary"), "told")
+        c.discard(segments)
+        c.release(spark)
+        scored = c.materialize(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored_block(model), out), "scored")
+        c.discard(blocks, told)
     unit = F.log10(F.lit(float(tokens + distinct + 1)))
     known = base.dropDuplicates(["k1", "k2"])
     return scored.join(known, ["k1", "k2"]).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * unit).alias("base_score"), "score")

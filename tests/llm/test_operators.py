@@ -221,7 +221,7 @@ def test_lm_scoring(docs, empty, rows):
 
 
 def test_lm_score_has_every_count(docs, rows):
-    """``score`` of exact counts on the log scale."""
+    """``score`` of exact counts on the log scale, also where the filter is too large to broadcast."""
     ready = docs.select("doc_id", "text", lm_scoring.held_out(docs["doc_id"]).alias("held_out"))
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
     word, pair = Counter(), Counter()
@@ -243,11 +243,13 @@ def test_lm_score_has_every_count(docs, rows):
         return math.log10(0.3 * min(count(pair[a, b]) / count(word[a]), 1) + 0.7 * p)
 
     near = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(ready).collect()}
-    assert near.keys() == out.keys()
+    far = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(ready, filter_bits=0).collect()}
+    assert near.keys() == far.keys() == out.keys()
     for i, text, _, _ in rows:
         w = [*split(text), "\n"]
         want = sum(map(logp, ["\n", *w[:-1]], w))
         assert abs(near[i] - want) < 0.02 * abs(want) + 0.7, i  # what wrong probes may change
+        assert abs(near[i] - far[i]) < 1e-9 * abs(want) + 1e-9
 
 
 def test_log_counts():
