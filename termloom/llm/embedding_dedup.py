@@ -3,12 +3,15 @@
 Equal vectors are one class. The neighbour graph starts from windows in the
 order of random-hyperplane signatures (range-sorted, so no bucket can be hot)
 and is refined by joining neighbours of neighbours: every vector is compared with
-those that share a neighbour with it, until few lists change. Lists of vectors
-whose neighbours all reach the threshold are saturated and are enlarged; in the
-end links are counted exactly, in blocks, within each component that the
-threshold edges make, so a list's length never limits a count. A fixed sample of
-vectors is compared with all others to audit recall; if it is low, refinement
-goes on with longer lists.
+those that share a neighbour with it, for a few rounds. A list is saturated when it
+holds k neighbours that are near the threshold or above: only then may a link
+have been cut from it. Vectors with saturated lists are compared exactly, in
+blocks, with all vectors outside their component, and components that a link
+joins are merged. In the end links are counted exactly, in blocks, within each
+component, so a list's length never limits a count. A fixed sample of vectors is
+compared with all others to audit the recall of each; if it is low for one,
+the search is done again with longer lists, and after the last attempt all
+vectors are compared in blocks.
 
 Similarities of candidates are computed on 8-bit vectors, those of edges in
 double precision.
@@ -203,6 +206,41 @@ def _block_counts(threshold: float):
     return run
 
 
+def _across(threshold: float):
+    """Components that a link joins, between two blocks of vectors."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+        x, y = _matrix(left["vec"].tolist()), _matrix(right["vec"].tolist())
+        n = max(x.shape[1], y.shape[1])
+        x, y = (np.pad(m, ((0, 0), (0, n - m.shape[1]))) for m in (x, y))
+        la, lb = left["label"].to_numpy(), right["label"].to_numpy()
+        i, j = np.nonzero((x @ y.T >= threshold) & (la[:, None] != lb[None, :]))
+        return pd.DataFrame({"a": np.minimum(la[i], lb[j]), "b": np.maximum(la[i], lb[j])}).drop_duplicates()
+
+    return run
+
+
+def _merged(vec: DataFrame, labels: DataFrame, some: DataFrame | None, threshold: float) -> DataFrame:
+    """``labels`` after the vectors of ``some(id)`` (None: all) were compared with all outside their component."""
+    every = c.materialize(vec.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", "vec", F.coalesce("label", "id").alias("label")), "labelled")
+    asked = every if some is None else c.materialize(every.join(some, "id", "left_semi"), "saturated")
+    wide, high = (max(1, -(-t.count() // BLOCK)) for t in (asked, every))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(block(wide).alias("i"), numbers(high).alias("j"), F.lit(0).alias("side"), "label", "vec")
+    right = every.select(numbers(wide).alias("i"), block(high).alias("j"), F.lit(1).alias("side"), "label", "vec")
+    joined = c.materialize(left.unionAll(right).groupBy("i", "j").applyInPandas(_across(threshold), "a long, b long").distinct(), "across")
+    if joined.isEmpty():
+        return labels
+    moved = c.connected(joined, "merged").select(F.col("node").alias("old"), F.col("label").alias("new"))
+    # A label is the least id of its component, so it stands for it among the links, and the least label for the merged one.
+    both = every.select(F.col("id").alias("node"), F.col("label").alias("old")).join(moved, "old", "left")
+    return c.materialize(both.select("node", F.coalesce("new", "old").alias("label")), "labels")
+
+
 def _audited(sample: list[tuple[int, bytes]], threshold: float):
     ids = np.array([i for i, _ in sample])
     x = _matrix([v for _, v in sample])
@@ -235,15 +273,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, goa
         both = maybe.join(vec.select(F.col("id").alias("a"), F.col("vec").alias("x")), "a").join(vec.select(F.col("id").alias("b"), F.col("vec").alias("y")), "b")
         edges = c.materialize(both.select("a", "b", "x", "y").mapInArrow(_exact_edges(threshold), "a long, b long"), "edges")
         labels = c.connected(edges, "vectors")
-        # Audit: a fixed number of vectors against all others.
+        # A list with k neighbours near the threshold may have lost links.
+        full = graph.where(F.col("sim") >= threshold - 0.02).groupBy(F.col("a").alias("id")).count().where(F.col("count") >= k * 2**attempt).select("id")
+        if not full.isEmpty():
+            labels = _merged(vec, labels, full, threshold)
+        # Audit: a fixed number of vectors against all others, the recall of each.
         sample = [(r["id"], bytes(r["vec"])) for r in vec.orderBy(F.xxhash64("id", F.lit(attempt))).limit(AUDIT).collect()]
         if not sample:
             break
         true = vec.mapInArrow(_audited(sample, threshold), "a long, b long").where("a <> b")
         la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        got = true.join(la, "a", "left").join(lb, "b", "left").agg(F.count("*").alias("n"), F.count(F.when(F.col("la") == F.col("lb"), 1)).alias("hit")).first()
-        if got["hit"] >= goal * got["n"]:
+        got = true.join(la, "a", "left").join(lb, "b", "left").groupBy("a").agg((F.count(F.when(F.col("la") == F.col("lb"), 1)) / F.count("*")).alias("recall")).agg(F.min("recall").alias("least")).first()
+        if got["least"] is None or got["least"] >= goal:
             break
+    else:
+        labels = _merged(vec, labels, None, threshold)
     # Links are counted exactly within components, block against block.
     member = labels.select(F.col("node").alias("id"), "label").join(vec, "id").join(unique.select("id", "copies"), "id")
     size = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

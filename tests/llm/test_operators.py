@@ -325,3 +325,20 @@ def test_embedding_dedup(spark, width):
     for i, _ in bad:
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("goal", [0.97, 1.01])
+def test_embedding_dedup_links_between_tight_groups(spark, goal):
+    """Two groups larger than any list, linked with each other; a goal above 1 takes the exact way for all."""
+    rnd = np.random.default_rng(4)
+    q = np.linalg.qr(rnd.standard_normal((16, 16)))[0]
+    centre = [q[0], 0.91 * q[0] + math.sqrt(1 - 0.91**2) * q[1]]
+    x = np.concatenate([np.repeat(centre, 100, axis=0) + 0.004 * rnd.standard_normal((200, 16)), rnd.standard_normal((60, 16))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert link[:100, 100:200].mean() > 0.9 and not link[:200, 200:].any()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, goal=goal).collect()}
+    for i in range(200):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (link[i].sum(), 0, i == 0)
