@@ -1,6 +1,6 @@
 """Operator 6: license scans by an exact set-similarity join, in DataFrame functions only.
 
-Text blocks are lines, templates are license sentences; both are sets of words.
+Text blocks are lines and runs of words, templates are license sentences; both are sets of words.
 A block matches a template when it contains at least ``threshold`` of the
 template's words. Words are put into one global order, rarest in the corpus
 first. A block that matches must hold one of the first ``n - need + 1`` words of
@@ -13,6 +13,10 @@ intersection per line), the frequencies are a partial count of at most one row
 per template word, and the template side is a constant, so the only shuffle is
 of matching blocks.
 
+A sentence may wrap over lines, so besides lines the runs of as many words as the
+template has are blocks, at every place of the text and across line ends. Only
+documents that hold enough of a template's words at all are searched for them.
+
 Besides, base phrases are found as consecutive words at their places.
 
 Defined results: null or empty text has 0 words, no labels and score 0; repeated
@@ -64,6 +68,25 @@ def block_words(line: Column) -> Column:
     return F.split(F.lower(line), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 
 
+def _runs(docs: DataFrame, sets: list[list[str]], lengths: list[int], need: list[int], labels: list[str]) -> DataFrame:
+    """Matches of runs of a template's length, wherever they lie: (key, label, template, containment, block), block being null."""
+    vocabulary = sorted(set().union(*map(set, sets)))
+    held = F.array_intersect(F.lit(vocabulary), block_words(F.col("text")))
+    spark = docs.sparkSession
+    rows = [(i, label, s, len(s), n, m) for i, (s, n, m, label) in enumerate(zip(sets, need, lengths, labels, strict=True))]
+    wanted = spark.createDataFrame(rows, "template int, label string, words array<string>, size int, need int, length int")
+    some = docs.select("key", "text", held.alias("held")).where(F.size("held") >= min(need))
+    able = some.join(F.broadcast(wanted), F.size(F.array_intersect("words", "held")) >= F.col("need"))
+    text = F.filter(block_words(F.col("text")), lambda x: x != "")
+
+    def most(words: Column) -> Column:
+        return F.array_max(F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.when(F.array_contains("words", F.element_at(words, k)), F.size(F.array_intersect(F.slice(words, k, F.col("length")), F.col("words"))))))
+
+    # Bound by a lambda, so that the text is split once and not for each place.
+    best = able.withColumn("same", F.transform(F.array(text), most)[0]).where(F.col("same") >= F.col("need"))
+    return best.select("key", "label", "template", (F.col("same") / F.col("size")).alias("containment"), F.lit(None).cast("int").alias("block"))
+
+
 def scan_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Every match: (key, label, template, containment, block), key being ``docs.key``.
 
@@ -93,7 +116,8 @@ def scan_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) ->
     )
     same = F.size(F.array_intersect("words", "held"))
     hits = met.withColumn("same", same).where(F.col("same") >= F.col("need"))
-    return hits.select("key", "label", "template", (F.col("same") / F.col("size")).alias("containment"), "block")
+    lines = hits.select("key", "label", "template", (F.col("same") / F.col("size")).alias("containment"), "block")
+    return lines.unionAll(_runs(docs, sets, [len(words.split()) for words, _ in templates], need, [label for _, label in templates]))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, threshold: float = 0.8) -> DataFrame:

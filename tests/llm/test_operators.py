@@ -180,6 +180,20 @@ def test_license_scan(docs, empty, rows):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_sentences_may_wrap(spark):
+    rows, scattered = [], []
+    for words, label in license_scan.TEMPLATES:
+        w = words.split()
+        for k in range(1, len(w)):
+            rows.append((len(rows), "Header 2026\n * " + " ".join(w[:k]) + "\n * " + " ".join(w[k:]) + "\nmore", label))
+        scattered.append((1000 + len(scattered), " filler\nother text here ".join(w), ""))
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")"
+    rows += [(len(rows), mit, "mit"), *scattered]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
+    for i, _, label in rows:
+        assert (label in got[i]["labels"].split(",") and got[i]["score"] == 1.0) if label else got[i]["labels"] == "", i
+
+
 # 7
 def test_substring_dedup(spark, docs, empty, rows, tmp_path):
     length, raws = 400, [(i, (t or "").encode()) for i, t, _, _ in rows]
