@@ -1,32 +1,34 @@
-"""Operator 7: suffix-array dedup of long repeated byte strings, by a distributed difference cover.
-
-Suffixes are compared on their first ``length`` (400) bytes only, so a position
-is *repeated* when its 400-byte prefix also starts anywhere else. The classical
-difference cover samples positions modulo 3 and sorts every suffix by (bytes up
-to a sampled position, rank of the sampled suffix); sorting each byte position
-several times over does not fit the disk limit (README, op7). Here the cover is
-taken from the content, which keeps the property that makes it work - two equal
-400-byte strings hold a sampled position at the same offset - at one sample per
-150 bytes:
-
-1. *Sample*: the leftmost minimum of the hashed k-tuples in each 400-byte string
-   is its anchor. Sampled k-tuples are named by hash and grouped; an anchor whose
-   name is unique ends all strings that hang on it.
-2. *Recurse on names*: what is left is named again, first by all bytes of the
-   windows that hang on an anchor (copies are settled here), then by the bytes that 32
-   neighbouring suffixes of an anchor share (core) and the 31 + 31 bytes around
-   it (context); equal (core, context) settle 32 suffixes at once, a core with
-   one context settles them too.
-3. *Merge the remaining suffixes*: the others are ordered by (anchor name, core,
-   offset, context bytes) - bytes to the sampled position, then its name.
-4. *Compare adjacent prefixes*: equal neighbours are the repeated prefixes; the
-   union of their 400 bytes is removed.
+"""Operator 7: dedup of long repeated byte strings.
+
+Suffixes are compared on their first ``length`` bytes only, so a position is
+*repeated* when its ``length``-byte prefix also starts anywhere else. The dealt
+method, a distributed difference cover, sorts every byte position several times
+and does not fit the disk limit (README, op7). This is another method, by
+content-chosen anchors and grouping by hash; it keeps the property on which the
+difference cover rests - two equal strings hold a sampled position at the same
+offset - at one sample in about 3/8 of ``length``:
+
+1. *Anchors*: the leftmost minimum of the hashed k-tuples in each string of
+   ``length`` bytes is its anchor, named by its k-tuple. An anchor whose name is
+   unique ends all strings that hang on it, and goes no further.
+2. *Whole windows*: the others are grouped by all bytes of the windows that hang
+   on an anchor; copies are settled here.
+3. *Cores*: what is left is grouped by the bytes that 32 neighbouring suffixes of
+   an anchor share (core) and the 31 + 31 bytes around them (context); equal (core,
+   context) settle 32 suffixes at once, a core with one context settles them too.
+4. *Single suffixes*: the others are grouped by (core, offset, context bytes).
+   The union of the bytes of the repeated strings is what is removed.
+
+Longer strings are searched only within what a shorter length has found: each
+string of 400 bytes that repeats lies, at both places, within a run of bytes that
+repeated strings of 200 bytes cover.
 
 Grouping is by content hash with partial counts, so copies of one passage, be
 they a third of all rows, are pre-aggregated and never meet in one task.
 
-Defined results: null text is empty; texts shorter than 400 bytes keep all;
-repeated rows count as repetitions of each other; copies are all removed.
+Defined results: null text is empty; texts shorter than ``length`` keep all;
+repeated rows count as repetitions of each other; copies are all removed. Where
+texts are returned, a removed run keeps the characters that its ends would split.
 """
 
 from __future__ import annotations
@@ -44,6 +46,11 @@ from . import _common as c
 _U = np.uint64
 #: Suffixes that one core stands for.
 SPAN = 32
+#: Bytes of a repeated string; of a repeated passage, which sees passages from about 50 words on.
+LENGTH, PASSAGE = 400, 200
+#: A text is named by two hashes and, if it is a part of one, by its place in it.
+KEYS = ("k1", "k2", "k3")
+_KEYS = "k1 long, k2 long, k3 int"
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -98,7 +105,7 @@ _PLACES = c.mix(np.arange(1, 2 * SPAN - 1, dtype=_U)) | _U(1)
 def _names(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2 = (np.asarray(batch.column(i)) for i in (0, 1))
+            keys = [np.asarray(batch.column(i)) for i in range(3)]
             for first, _, data, offsets in c.text_blocks(batch, "text"):
                 q, begin, last, doc, name, roll = anchors_of(data, offsets, length, k)
                 if len(q):
@@ -110,12 +117,12 @@ def _names(length: int, k: int):
                     d = doc[head]
                     back = (q - begin)[head].astype(np.int16)
                     more = (last - begin)[head].astype(np.int16)
-                    yield pa.RecordBatch.from_arrays([pa.array(name[head].view(np.int64)), pa.array(whole[head].view(np.int64)), pa.array(k1[first + d]), pa.array(k2[first + d]), _lists((q - offsets[doc]).astype(np.int32), head), pa.array(back), pa.array(more)], ["name", "whole", "k1", "k2", "at", "back", "more"])
+                    yield pa.RecordBatch.from_arrays([pa.array(name[head].view(np.int64)), pa.array(whole[head].view(np.int64)), *[pa.array(x[first + d]) for x in keys], _lists((q - offsets[doc]).astype(np.int32), head), pa.array(back), pa.array(more)], ["name", "whole", *KEYS, "at", "back", "more"])
 
     return run
 
 
-_CORES = "k1 long, k2 long, starts array<int>, name long, core long, way long, low int, high int, context binary"
+_CORES = f"{_KEYS}, starts array<int>, name long, core long, way long, low int, high int, context binary"
 
 
 def _cores(length: int, k: int):
@@ -123,7 +130,7 @@ def _cores(length: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2 = (np.asarray(batch.column(i)) for i in (0, 1))
+            keys = [np.asarray(batch.column(i)) for i in range(3)]
             shared = batch.column(batch.schema.get_field_index("anchors"))
             for first_row, end_row, data, offsets in c.text_blocks(batch, "text"):
                 q, first, last, doc, name, roll = anchors_of(data, offsets, length, k)
@@ -158,7 +165,7 @@ def _cores(length: int, k: int):
                 around = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer((np.arange(len(one) + 1) * wide).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(context[one]))])
                 starts = _lists((start - offsets[d])[order].astype(np.int32), head)
                 cols = [name[a].view(np.int64), core.view(np.int64), way.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(k1[first_row + d[one]]), pa.array(k2[first_row + d[one]]), starts, *[pa.array(x[one]) for x in cols], around], [x.split()[0] for x in _CORES.split(", ")])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[first_row + d[one]]) for x in keys], starts, *[pa.array(x[one]) for x in cols], around], [x.split()[0] for x in _CORES.split(", ")])
 
     return run
 
@@ -172,14 +179,15 @@ def covered(n: int, starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), np.minimum(starts[np.append(cut, len(starts) - 1)] + length, n).tolist(), strict=True))
 
 
-def _spans(length: int, with_text: bool):
+def _spans(length: int):
+    """The maximal runs that the repeated strings of each text cover."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.arange(SPAN)
         for batch in batches:
             texts, found, wholes = (batch.column(batch.schema.get_field_index(x)) for x in ("text", "marks", "wholes"))
-            rows = []
+            spans = []
             for i in range(batch.num_rows):
-                raw = (texts[i].as_py() or "").encode()
                 marks = found.slice(i, 1).flatten()
                 start = np.asarray(marks.field("starts").flatten()).astype(np.int64)
                 mask = np.repeat(np.asarray(marks.field("mask")).astype(np.int64), np.asarray(marks.field("starts").value_lengths()))
@@ -190,42 +198,38 @@ def _spans(length: int, with_text: bool):
                 begin = at - np.repeat(np.asarray(ranges.field("back")).astype(np.int64), n_at)
                 size = np.repeat(np.asarray(ranges.field("more")).astype(np.int64), n_at) + 1
                 in_range = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-                runs = covered(len(raw), np.concatenate([start[r] - b, in_range]), length)
-                at, kept = 0, []
-                for s, e in runs:
-                    kept.append(raw[at:s])
-                    at = e
-                kept = b"".join([*kept, raw[at:]])
-                rows.append((sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"])
+                spans.append([{"start": s, "end": e} for s, e in covered(len(texts[i].as_buffer()), np.concatenate([start[r] - b, in_range]), length)])
+            kept = [i for i, x in enumerate(spans) if x]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(kept, pa.int64())) for k in range(3)], texts.take(pa.array(kept, pa.int64())), pa.array([spans[i] for i in kept], _SPANS)], [*KEYS, "text", "spans"])
 
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"k1": F.xxhash64("doc_id", text), "k2": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))})
-
-
-def repeated_runs(docs: DataFrame, length: int = 400, k: int = 100, with_text: bool = False) -> DataFrame:
-    """(k1, k2, n_removed, n_spans, kept_sha256, kept) of each document that loses bytes; keys as in ``_keyed``."""
-    c.small_batches(docs.sparkSession)
-    slim = _keyed(docs).select("k1", "k2", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    names = slim.mapInArrow(_names(length, k), "name long, whole long, k1 long, k2 long, at array<int>, back short, more short")
-    names = c.materialize(names, "names")
-    # Per (name, all bytes around): how often; per name: in how many ways. One way and one place: nothing is repeated.
-    counts = names.groupBy("name", "whole").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct("k1", "k2")).alias("lead"))
-    several = counts.groupBy("name").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("total > 1")
-    state = c.materialize(counts.join(several, "name").select("name", "whole", "n", "m", "lead"), "state")
-    placed = names.join(state, ["name", "whole"])
-    is_open = (F.col("m") > 1) & ((F.col("n") == 1) | (F.col("lead") == F.struct("k1", "k2")))
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_FOUND = f"{_KEYS}, text binary, spans array<struct<start:int,end:int>>"
+
+
+def repeated_spans(texts: DataFrame, length: int, k: int = 0) -> DataFrame:
+    """The rows of ``texts(k1, k2, k3, text)`` (bytes) that hold repeated strings, with the ``spans`` that these cover: a table. Repeated rows are in it as often."""
+    k = k or length // 4
+    c.small_batches(texts.sparkSession)
+    keys = list(KEYS)
+    long = texts.select(*keys, "text").where(F.octet_length("text") >= length)
+    names = c.materialize(long.mapInArrow(_names(length, k), f"name long, whole long, {_KEYS}, at array<int>, back short, more short"), "names")
+    several = names.groupBy("name").agg(F.sum(F.size("at")).alias("total")).where("total > 1").select("name")
+    shared = c.materialize(names.join(several, "name"), "shared")
+    c.discard(names)
+    # Per (name, all bytes around): how often; per name: in how many ways.
+    counts = c.materialize(shared.groupBy("name", "whole").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct(*keys)).alias("lead")), "counts")
+    state = counts.join(counts.groupBy("name").agg(F.count("*").alias("m")), "name").select("name", "whole", "n", "m", "lead")
+    placed = shared.join(state, ["name", "whole"])
+    is_open = (F.col("m") > 1) & ((F.col("n") == 1) | (F.col("lead") == F.struct(*keys)))
     ranges = F.when(F.col("n") > 1, F.struct("at", "back", "more"))
-    placed = placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.when(is_open, F.col("at")))).alias("anchors"), F.collect_list(ranges).alias("wholes"))
+    placed = placed.groupBy(*keys).agg(F.flatten(F.collect_list(F.when(is_open, F.col("at")))).alias("anchors"), F.collect_list(ranges).alias("wholes"))
     placed = placed.where((F.size("anchors") > 0) | (F.size("wholes") > 0))
-    texts = c.materialize(slim.join(placed, ["k1", "k2"]), "suspects")
-    c.discard(names, state)
-    unsettled = texts.where(F.size("anchors") > 0)
+    suspects = c.materialize(long.join(placed, keys), "suspects")
+    c.discard(shared, counts)
+    unsettled = suspects.where(F.size("anchors") > 0)
     cores = c.materialize(unsettled.mapInArrow(_cores(length, k), _CORES), "cores")
 
     ways = cores.groupBy("name", "core", "way", "low", "high", "context").agg(F.sum(F.size("starts")).alias("n"))
@@ -239,27 +243,87 @@ def repeated_runs(docs: DataFrame, length: int = 400, k: int = 100, with_text: b
     alike = single.groupBy("name", "core", "suffix").agg(F.sum("n").alias("s")).where("s > 1").select("name", "core", "suffix")
     part = single.where("n = 1").join(alike, ["name", "core", "suffix"]).groupBy("name", "core", "way").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
     masks = whole.unionAll(part)
-    marks = cores.select("k1", "k2", "starts", "name", "core", "way").join(masks, ["name", "core", "way"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
+    marks = cores.select(*keys, "starts", "name", "core", "way").join(masks, ["name", "core", "way"]).groupBy(*keys).agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
     none = F.array().cast("array<struct<starts:array<int>,mask:bigint>>")
-    settled = texts.where(F.size("anchors") == 0).select("k1", "k2", "text", "wholes", none.alias("marks"))
-    ended = unsettled.select("k1", "k2", "text", "wholes").join(marks, ["k1", "k2"], "left").select("k1", "k2", "text", "wholes", F.coalesce("marks", none).alias("marks"))
-    return settled.unionAll(ended).mapInArrow(_spans(length, with_text), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string").dropDuplicates(["k1", "k2"])
+    settled = suspects.where(F.size("anchors") == 0).select(*keys, "text", "wholes", none.alias("marks"))
+    ended = unsettled.select(*keys, "text", "wholes").join(marks, keys, "left").select(*keys, "text", "wholes", F.coalesce("marks", none).alias("marks"))
+    found = c.materialize(settled.unionAll(ended).mapInArrow(_spans(length), _FOUND), "spans")
+    c.discard(suspects, cores, ways)
+    return found
+
+
+def longer_spans(found: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, spans) of the longer strings that repeat, from what a shorter length has found."""
+    run = F.col("span.end") - F.col("span.start")
+    runs = found.select("k1", "k2", "text", F.explode("spans").alias("span")).where(run >= length)
+    runs = runs.select("k1", "k2", F.col("span.start").alias("k3"), F.substring(F.col("text"), F.col("span.start") + 1, run).alias("text"))
+    again = repeated_spans(runs, length)
+    moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("k3")).alias("start"), (x["end"] + F.col("k3")).alias("end")))
+    return again.select("k1", "k2", "k3", moved.alias("spans")).groupBy("k1", "k2").agg(F.flatten(F.array_sort(F.collect_set(F.struct("k3", "spans")))["spans"]).alias("spans"))
+
+
+def _kept(with_text: bool):
+    """What is left of each text without its spans; whole characters where the text itself is returned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = (batch.column(batch.schema.get_field_index(x)) for x in ("text", "spans"))
+            rows = []
+            for i in range(batch.num_rows):
+                raw, at, kept, removed, n = texts[i].as_py(), 0, [], 0, 0
+                mine = spans.slice(i, 1).flatten()
+                for s, e in zip(mine.field("start").to_pylist(), mine.field("end").to_pylist(), strict=True):
+                    if with_text:
+                        while s < len(raw) and raw[s] & 0xC0 == 0x80:
+                            s += 1
+                        while s < e < len(raw) and raw[e] & 0xC0 == 0x80:
+                            e -= 1
+                    if s < e:
+                        kept.append(raw[at:s])
+                        at, removed, n = e, removed + e - s, n + 1
+                kept = b"".join([*kept, raw[at:]])
+                rows.append((removed, n, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return run
+
+
+def kept_texts(found: DataFrame, with_text: bool = False) -> DataFrame:
+    """(k1, k2, n_removed, n_spans, kept_sha256, kept) of ``found(k1, k2, text, spans)``."""
+    return found.select("k1", "k2", "text", "spans").mapInArrow(_kept(with_text), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"k1": F.xxhash64("doc_id", text), "k2": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "k3": F.lit(0)})
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return _keyed(docs).select(*KEYS, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Besides the strings of 400 bytes, the bytes and runs that repeated passages (200 bytes) cover."""
     docs = c.table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = repeated_runs(docs).drop("kept")
+    passages = repeated_spans(_texts(docs), PASSAGE)
+    strings = longer_spans(passages, LENGTH)
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    about = passages.select("k1", "k2", length.alias("passage_bytes"), F.size("spans").cast("long").alias("n_passages")).dropDuplicates(["k1", "k2"])
+    found = kept_texts(passages.select("k1", "k2", "text").join(strings, ["k1", "k2"])).drop("kept").dropDuplicates(["k1", "k2"])
     every = _keyed(docs).select("doc_id", "k1", "k2", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
     zero = F.lit(0).cast("long")
-    return every.join(found, ["k1", "k2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    joined = every.join(about.join(found, ["k1", "k2"], "left"), ["k1", "k2"], "left")
+    counts = [F.coalesce(x, zero).alias(x) for x in ("n_removed", "n_spans")]
+    return joined.select("doc_id", "n_bytes", *counts, F.coalesce("kept_sha256", "whole").alias("kept_sha256"), *[F.coalesce(x, zero).alias(x) for x in ("passage_bytes", "n_passages")])
 
 
-def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``docs`` with the repeated bytes cut from the texts; a document that loses its whole text goes."""
-    found = c.materialize(repeated_runs(docs, length, with_text=True).select("k1", "k2", "kept"), "kept")
-    rows = _keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text")).select("row", "k1", "k2").join(found, ["k1", "k2"], "left")
+def without_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
+    """``docs`` with the repeated passages cut from the texts; a document that loses its whole text goes."""
+    kept = kept_texts(repeated_spans(_texts(docs), length), with_text=True).where("n_removed > 0").select("k1", "k2", "kept").dropDuplicates(["k1", "k2"])
+    rows = _keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text")).select("row", "k1", "k2").join(kept, ["k1", "k2"], "left")
     rows = rows.where(F.col("kept").isNull() | (F.length("kept") > 0))
     text = F.coalesce("kept", F.col("row.text"))
-    made = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    made = {"text": text} | ({"n_chars": F.coalesce(F.length("kept").cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
     return rows.select(*[made.get(n, F.col("row").getField(n)).alias(n) for n in docs.columns])

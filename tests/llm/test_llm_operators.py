@@ -195,28 +195,71 @@ def test_license_sentences_may_wrap(spark):
 
 
 # 7
-def test_substring_dedup(spark, docs, empty, rows, tmp_path):
-    length, raws = 400, [(i, (t or "").encode()) for i, t, _, _ in rows]
-    seen = Counter(b[p : p + length] for _, b in raws for p in range(len(b) - length + 1))
-    want = defaultdict(list)
-    for i, b in raws:
+def repeated(raws, length):
+    """Per text: which bytes are covered by a string of this length that starts anywhere else too."""
+    seen = Counter(b[p : p + length] for b in raws for p in range(len(b) - length + 1))
+    out = []
+    for b in raws:
         cover = np.zeros(len(b) + 1, int)
         for p in range(len(b) - length + 1):
             if seen[b[p : p + length]] > 1:
                 cover[p] += 1
                 cover[p + length] -= 1
-        on = np.cumsum(cover)[:-1] > 0
-        want[i].append((len(b), int(on.sum()), int((np.diff(np.r_[0, on.astype(int)]) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~on].tobytes()).hexdigest()))
+        out.append(np.cumsum(cover)[:-1] > 0)
+    return out
+
+
+def runs(on):
+    return int((np.diff(np.r_[0, on.astype(int)]) == 1).sum())
+
+
+def test_substring_dedup(spark, docs, empty, rows, tmp_path):
+    raws = [(t or "").encode() for _, t, _, _ in rows]
+    want = defaultdict(list)
+    for (i, *_), b, on, short in zip(rows, raws, repeated(raws, 400), repeated(raws, 200), strict=True):
+        want[i].append((len(b), int(on.sum()), runs(on), hashlib.sha256(np.frombuffer(b, np.uint8)[~on].tobytes()).hexdigest(), int(short.sum()), runs(short)))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = defaultdict(list)
     for r in substring_dedup.op7_substring_dedup(spark, str(tmp_path)).collect():
-        got[r["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
+        got[r["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["passage_bytes"], r["n_passages"]))
     assert got == want
-    out = substring_dedup.without_repeats(docs)
-    assert out.columns == docs.columns and out.where("text is not null and length(text) <> n_chars").count() == 0
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [200, 400])
+def test_texts_without_repeats(docs, rows, length):
+    raws = [(t or "").encode() for _, t, _, _ in rows]
+    want = Counter()
+    for (i, text, *_), b, on in zip(rows, raws, repeated(raws, length), strict=True):
+        if not on.any():
+            want[i, text] += 1
+            continue
+        on = np.r_[False, on, False]
+        at, kept = 0, ""
+        for s, e in zip(np.flatnonzero(~on[:-1] & on[1:]).tolist(), np.flatnonzero(on[:-1] & ~on[1:]).tolist(), strict=True):
+            while s < len(b) and b[s] & 0xC0 == 0x80:
+                s += 1
+            while s < e < len(b) and b[e] & 0xC0 == 0x80:
+                e -= 1
+            kept, at = kept + b[at:s].decode(), e
+        kept += b[at:].decode()
+        if kept:
+            want[i, kept] += 1
+    out = substring_dedup.without_repeats(docs, length)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == want
+    assert all(r["n_chars"] == len(r["text"] or "") for r in got)
+
+
+def test_repeats_that_split_characters(spark):
+    """Runs of two-byte characters that differ in their first or last byte only."""
+    common = "ab" * 30 + "".join(chr(0x100 + k % 64) for k in range(150))
+    texts = ["é" + common + "é", "ã" + common + "ĩ", "x" + common + "ę"]
+    out = substring_dedup.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["text"] for r in out.collect()) == sorted(["éé", "ãĩ", "xę"])
+
+
 # 8
 def test_lm_scoring(docs, empty, rows):
     ready = docs.select("doc_id", "text", lm_scoring.held_out(docs["doc_id"]).alias("held_out"))
