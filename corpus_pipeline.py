@@ -34,7 +34,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that also start elsewhere; emptied documents go."""
+    """Texts without the 200-byte strings that also start elsewhere (passages of about 50 words and more); emptied documents go."""
     return without_repeats(docs)
 
 
