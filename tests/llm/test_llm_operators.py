@@ -401,3 +401,43 @@ def test_embedding_dedup_links_between_tight_groups(spark, goal):
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, goal=goal).collect()}
     for i in range(200):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (link[i].sum(), 0, i == 0)
+
+
+def linked(x, ids):
+    """(links, component) of each row by brute force."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    label = np.array(ids)
+    while True:
+        new = np.array([min(label[i], label[link[i]].min(initial=label[i])) for i in range(len(x))])
+        if (new == label).all():
+            return Counter(zip(ids, link.sum(axis=1).tolist(), label.tolist(), strict=True))
+        label = new
+
+
+def outcome(spark, x, ids):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    return Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect())
+
+
+def test_embedding_dedup_of_a_few(spark):
+    x = np.array([[1, 0, 0], [1, 0.01, 0], [0, 1, 0]])
+    assert outcome(spark, x, [1, 2, 3]) == linked(x, [1, 2, 3])
+    x = np.array([[1, 0, 0], [0, 1, 0], [0, 1, 0.01], [1, 0.01, 0], [1, 0.01, 0]])
+    assert outcome(spark, x, [5, 5, 7, 8, 8]) == linked(x, [5, 5, 7, 8, 8])
+    rnd = np.random.default_rng(5)
+    x = np.repeat(rnd.standard_normal((3, 5000)), 2, axis=0) + 0.01 * rnd.standard_normal((6, 5000))
+    assert outcome(spark, x, list(range(6))) == linked(x, list(range(6)))
+
+
+def test_embedding_dedup_of_large_groups(spark, monkeypatch):
+    """Groups of several blocks, tight ones and a chain, beside vectors without links."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    rnd = np.random.default_rng(6)
+    tight = rnd.standard_normal((1, 24)) + 0.02 * rnd.standard_normal((300, 24))
+    turn = np.arange(0, 1.5, 0.01)[:, None]
+    chain = np.cos(turn) * np.eye(24)[0] + np.sin(turn) * np.eye(24)[1]
+    x = np.concatenate([rnd.standard_normal((150, 24)), tight, chain])
+    ids = rnd.permutation(len(x)).tolist()
+    assert outcome(spark, x, ids) == linked(x, ids)
