@@ -15,13 +15,16 @@ How it runs at scale:
 3. Grouped prefix join: classes with the same prefix and size form one group;
    groups meet on prefix shingles. First every group meets only the pivot of
    each posting list (linear in the list), and the links found are closed into
-   components. Then only pairs of different components are left, and only
-   those that neither the size bounds nor the sets' parity sketches can refuse. No list is ever paired with itself
-   as a whole, and no pair is skipped that could still join two components.
+   components. Then the groups, divided by component, meet again: only pairs of
+   different components are left, and only those that the size bounds cannot
+   refuse. Their members are expanded, and those that the sets' parity sketches
+   cannot refuse either are verified. No list is ever paired with itself as a
+   whole, and no pair is skipped that could still join two components.
 
 Defined results: null or blank text has an empty set (n_shingles 0) and is
-linked with nothing; repeated rows and copies share a class; rows that carry
-the same doc_id count as one document; a null doc_id gets its class's label.
+linked with nothing; repeated rows and copies share a class; rows with one
+doc_id and different texts are different documents; a null doc_id takes part, but
+no component is named by it (of nulls alone: null).
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     rolled = np.zeros(len(h), _U)
     for i in range(width):
         part = np.zeros(len(h), _U)
-        part[: len(h) - i] = h[i:]
+        part[: max(0, len(h) - i)] = h[i:]
         rolled += c.mix(part ^ _U((0x9E3779B97F4A7C15 * (i + 1)) & (2**64 - 1)))
     rolled = c.mix(rolled)
     first = np.concatenate([[0], np.cumsum(count)])
@@ -197,12 +200,12 @@ def document_sets(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id); links are ``den * |A & B| >= num * |A | B|``."""
-    sets = c.materialize(document_sets(docs, width, num, den), "sets")
-    # Equal sets are one class, named by its smallest id.
-    classes = c.materialize(sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    able = sets.where((F.size("shared") > 0) & F.col("doc_id").isNotNull()).join(classes.select(F.col("rep").alias("doc_id"), "digest", "n"), ["doc_id", "digest", "n"], "left_semi")
+    sets = c.materialize(document_sets(docs, width, num, den).withColumn("row", F.monotonically_increasing_id()), "sets")
+    # Equal sets are one class, numbered by one of its rows.
+    classes = c.materialize(sets.where("n > 0").groupBy("digest", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first")), "classes")
+    able = sets.where(F.size("shared") > 0).join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     need = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
-    able = able.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "shared", "sketch", (F.col("n") - F.size("shared")).alias("own"))
+    able = able.select(F.col("row").alias("rep"), "n", "shared", "sketch", (F.col("n") - F.size("shared")).alias("own"))
     # Own shingles come first in the order; what is left of the prefix are shared ones.
     able = able.withColumn("prefix", F.slice("shared", 1, F.greatest(F.lit(0), F.col("n") - need + 1 - F.col("own")).cast("int")))
     able = c.materialize(able.withColumn("grp", F.xxhash64("prefix", "n")), "able")
@@ -220,7 +223,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     # Second round: only groups and postings that still hold different components, and only possible partners in them.
     placed = able.select("grp", "rep", "n", "own", "prefix").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    spread = placed.select(F.explode("prefix").alias("shingle"), "rep", "n", "own", "label")
+    placed = c.materialize(placed, "placed")
+    within = placed.groupBy("grp", "n", "label").agg(F.min("own").alias("own"), F.first("prefix").alias("prefix"))
+    spread = within.select(F.explode("prefix").alias("shingle"), "grp", "n", "own", "label")
     best = spread.groupBy("shingle", "label").agg(F.min("own").alias("low"), F.count("*").alias("members"))
     per = best.groupBy("shingle").agg(F.count("*").alias("many"), F.min(F.struct("low", "label")).alias("first"), F.max(F.struct("members", "label")).alias("big")).where("many > 1")
     others = best.join(per.select("shingle", F.col("first.label").alias("l1"), F.col("first.low").alias("low1"), F.col("big.label").alias("big")), "shingle")
@@ -229,18 +234,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     open_ = spread.join(second, "shingle").withColumn("least", F.when(F.col("label") == F.col("l1"), F.col("low2")).otherwise(F.col("low1")))
     open_ = open_.where(F.lit(den) * (F.col("n") - F.col("own")) >= F.lit(num) * (F.col("n") + F.col("least")))
     # Of two components one is not the shingle's largest, so one side of the join leaves that out.
-    open_ = open_.select("shingle", "rep", "n", "own", "label", (F.col("label") == F.col("big")).alias("big"))
-    rows = c.materialize(open_.join(able.select("rep", "sketch"), "rep"), "open")
+    rows = c.materialize(open_.select("shingle", "grp", "n", "own", "label", (F.col("label") == F.col("big")).alias("big")), "open")
     x, y = rows.where("not big").alias("x"), rows.alias("y")
-    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("y.big") | ((F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")))) & _possible("x.n", "x.own", "y.n", "y.own", num, den) & _near(num, den))
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("y.big") | (F.col("x.label") < F.col("y.label"))) & _possible("x.n", "x.own", "y.n", "y.own", num, den)
+    pairs = x.join(y, met).select(*[F.col(f"{t}.{v}").alias(f"{t}_{v}") for t in "xy" for v in ("grp", "label")]).distinct()
+    # Expand the groups to their members, then refuse by sizes and sketches.
+    member = placed.select("grp", "label", "rep", "n", "own").join(able.select("rep", "sketch"), "rep")
+    member = c.materialize(member.join(rows.select("grp", "label").distinct(), ["grp", "label"], "left_semi"), "members")
+    x, y = (member.select(F.struct("rep", "n", "own", "sketch").alias(t), F.col("grp").alias(f"{t}_grp"), F.col("label").alias(f"{t}_label")) for t in "xy")
+    both = pairs.join(x, ["x_grp", "x_label"]).join(y, ["y_grp", "y_label"]).where(_possible("x.n", "x.own", "y.n", "y.own", num, den) & _near(num, den))
     rest = both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = c.materialize(_verified(rest, able, num, den), "links-2")
     if not more.isEmpty():
         labels = c.connected(links.unionAll(more), "near-2")
 
     # A table, so that the last join's hot classes (many copies) can be split.
-    of_class = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", "n", F.coalesce("label", "rep").alias("component_id"))
-    of_class = c.materialize(of_class, "of-class")
+    of_class = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", "n", "first", F.coalesce("label", "rep").alias("label"))
+    named = of_class.groupBy("label").agg(F.min("first").alias("component_id"))
+    of_class = c.materialize(of_class.join(named, "label").select("digest", "n", "component_id"), "of-class")
     return sets.select("doc_id", "n", "digest").join(of_class, ["digest", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -347,6 +348,28 @@ def test_jaccard_components(docs, empty, rows):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_of_one_id_with_different_texts(spark):
+    u, t = ([f"{x}{i}" for i in range(60)] for x in "ut")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(u)), (5, " ".join(t)), (5, near(u)), (7, near(t)), (None, " ".join(t)), (None, "alone"), (9, "alone too")]
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 56, 1), (5, 56, 5), (5, 56, 1), (7, 56, 5), (-1, 56, 5), (-1, 1, -1), (9, 1, 9)])
+
+
+def test_jaccard_groups_that_only_members_join(spark):
+    """Many texts of one template, some linked and some not, against brute force."""
+    rnd = random.Random(8)
+    base = [[f"{x}{i}" for i in range(80)] for x in "abc"]
+    rows = []
+    for i in range(120):
+        w = list(base[i % 3])
+        for _ in range(rnd.choice([0, 1, 2, 3, 4, 6])):
+            w[rnd.randrange(80)] = f"n{rnd.randrange(40)}"
+        rows.append((i, " ".join(w), None, None))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == components(rows)
+
+
 def test_jaccard_chains_and_thresholds(spark):
     base = [f"w{i}" for i in range(104)]
     texts = [" ".join(base)]
