@@ -39,9 +39,19 @@ BLOCK = 1 << 20
 LONG = 64
 
 
-#: Characters that the regex module and the library's engine may class differently
-#: (newer Unicode data); texts with one are split by the library.
-_UNSURE = regex.compile("[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c89\u208f\u209d-\u209f\ua7cb-\ua7dd\ua7e2\ua7f1\uab6c\uab6d\U00010000-\U0001f2ff\U0001fc00-\U0010ffff]")
+def _unsure() -> str:
+    """Characters that Python and the library may class, compose or lower-case differently, as their Unicode data differ.
+
+    These are marks that are reordered (but the common ones), what is not assigned
+    here, newer letters, and planes beyond the first but for the ideographs.
+    """
+    found = [i for i in range(0x80, 0x10000) if not 0x300 <= i < 0x370 and (unicodedata.combining(chr(i)) or unicodedata.category(chr(i)) == "Cn")]
+    newer = "\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c89\u208f\u209d-\u209f\ua7cb-\ua7dd\ua7e2\ua7f1\uab6c\uab6d\U00010000-\U0001f2ff\U0001fc00-\U0010ffff"
+    return "[" + newer + "".join(map(chr, found)) + "]"
+
+
+#: Texts with such a character are normalised and split by the library.
+_UNSURE = regex.compile(_unsure())
 
 
 def byte_alphabet() -> list[str]:

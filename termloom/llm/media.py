@@ -2,13 +2,15 @@
 
 An HTML document is parsed into an ordered sequence of structs: text, and
 references to media (digest or address, caption). Payloads live in a table of
-their own, one row per digest; a digest join resolves the references, and
-positions and captions stay aligned because they travel in the reference's row.
-Payloads are lossless 8-bit grey images (PNG, 64 samples a row).
+their own, stored as lossless 8-bit grey images (PNG, 64 samples a row) by digest;
+a digest join resolves the references, and positions and captions stay aligned
+because they travel in the reference's row.
 
-At scale: parsing and encoding are maps; only digests and small feature rows are
-shuffled, never payloads. The features of equal payloads are pre-aggregated by
-digest before the shuffle, and the join may be split where a digest is hot.
+At scale: parsing and encoding are maps. The media table is written where it is
+made and read back from there; only digests and small feature rows are shuffled,
+never payloads. The features of equal payloads are pre-aggregated by digest before
+the shuffle, and the join may be split where a digest is hot. Batches are cut by
+bytes, so a very long text is alone in its batch.
 
 Defined results: null text is empty and its payload is 64 zero bytes; null or
 empty html gives no segments; a reference without a payload keeps its row with
@@ -18,6 +20,7 @@ null features; repeated rows each get theirs; extra columns are left alone.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +28,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -77,19 +80,23 @@ def from_media(media: bytes) -> bytes:
 
 
 def feature_of(payload: bytes) -> str:
-    """Shape, mean, spread and a 64-bit difference hash of an 8 x 9 thumbnail."""
-    x = np.frombuffer(payload, np.uint8).reshape(-1, ROW).astype(np.float64)
-    edges_r = np.linspace(0, len(x), 9).astype(int)
-    edges_c = np.linspace(0, ROW, 10).astype(int)
-    sums = np.zeros((len(x) + 1, ROW + 1))
-    sums[1:, 1:] = x.cumsum(0).cumsum(1)
-    lo, hi = edges_r[:-1], np.maximum(edges_r[1:], edges_r[:-1] + 1)
-    lo, hi = np.minimum(lo, len(x) - 1), np.minimum(hi, len(x))
-    left, right = edges_c[:-1], edges_c[1:]
-    box = sums[hi][:, right] - sums[lo][:, right] - sums[hi][:, left] + sums[lo][:, left]
-    mean = box / ((hi - lo)[:, None] * (right - left)[None, :])
+    """Shape, mean, spread and a 64-bit difference hash of an 8 x 9 thumbnail, in exact sums."""
+    x = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
+    lines = np.linspace(0, len(x), 9).astype(int)
+    columns = np.linspace(0, ROW, 10).astype(int)
+    lo = np.minimum(lines[:-1], len(x) - 1)
+    hi = np.minimum(np.maximum(lines[1:], lines[:-1] + 1), len(x))
+    bands = np.stack([x[a:b].sum(axis=0, dtype=np.int64) for a, b in zip(lo, hi, strict=True)])
+    box = np.add.reduceat(bands, columns[:-1], axis=1)
+    mean = box / ((hi - lo)[:, None] * np.diff(columns)[None, :])
     bits = np.packbits((mean[:, 1:] > mean[:, :-1]).ravel()).tobytes().hex()
-    return f"{ROW}x{len(x)}:{x.mean():.4f}:{x.std():.4f}:{bits}"
+    n, total, squares = x.size, 0, 0
+    for first in range(0, len(x), 1 << 14):
+        part = x[first : first + (1 << 14)].astype(np.int64)
+        total += int(part.sum())
+        squares += int((part * part).sum())
+    spread = math.sqrt((n * squares - total * total) / (n * n))
+    return f"{ROW}x{len(x)}:{total / n:.4f}:{spread:.4f}:{bits}"
 
 
 class _Sequence(HTMLParser):
@@ -181,38 +188,51 @@ def interleave(pages: DataFrame) -> DataFrame:
     return pages.select("key", "html").mapInArrow(_parsed, f"key {key}, position int, kind string, content string, ref string, caption string")
 
 
+_MEDIA_TABLE = "digest string, media binary"
 _FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _stored(with_media: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, seen = [], set()
-            for raw in batch.column(0):
-                raw = raw.as_py() or b""
-                digest = hashlib.sha256(raw).hexdigest()
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                media = to_media(payload_of(raw))
-                back = from_media(media)
-                rows.append((digest, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(back), media if with_media else None))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            names = [x.split()[0] for x in _FEATURES.split(", ")] + ["media"]
-            n = 8 if with_media else 7
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols[:n], kinds[:n], strict=True)], names[:n])
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests, media, size, seen = [], [], 0, set()
+        for raw in batch.column(0):
+            raw = raw.as_py() or b""
+            digest = hashlib.sha256(raw).hexdigest()
+            if digest in seen:
+                continue
+            seen.add(digest)
+            digests.append(digest)
+            media.append(to_media(payload_of(raw)))
+            size += len(media[-1])
+            if size > c.BLOCK_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(media, pa.binary())], ["digest", "media"])
+                digests, media, size = [], [], 0
+        if digests:
+            yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(media, pa.binary())], ["digest", "media"])
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for digest, media in zip(batch.column(0), batch.column(1), strict=True):
+            media = media.as_py()
+            back = from_media(media)
+            rows.append((digest.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(back)))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in _FEATURES.split(", ")])
 
-    return run
 
+def store_payloads(blobs: DataFrame) -> DataFrame:
+    """The media table of ``blobs(raw)``: (digest, media), written and read back; a digest may be in it more than once, with equal media."""
+    c.small_batches(blobs.sparkSession, 64)
+    return c.materialize(blobs.select("raw").mapInArrow(_stored, _MEDIA_TABLE), "media")
 
-def store_payloads(blobs: DataFrame, with_media: bool = False) -> DataFrame:
-    """The payload table of ``blobs(raw)``: each payload encoded, read back and described, by digest.
 
-    With ``with_media`` the stored form itself is a column (a table to write, not to shuffle).
-    """
-    c.small_batches(blobs.sparkSession)
-    return blobs.select("raw").mapInArrow(_stored(with_media), _FEATURES + ", media binary" * with_media)
+def described(media: DataFrame) -> DataFrame:
+    """One row of features per digest, from the stored bytes of ``media(digest, media)``."""
+    c.small_batches(media.sparkSession, 64)
+    return media.select("digest", "media").mapInArrow(_read_back, _FEATURES).dropDuplicates(["digest"])
 
 
 def resolve(sequence: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -221,12 +241,25 @@ def resolve(sequence: DataFrame, payloads: DataFrame) -> DataFrame:
     return sequence.withColumn("digest", digest).join(payloads, "digest", "left")
 
 
+def page_of(text: Column) -> Column:
+    """A document as a page: its text as a paragraph, then a figure with its bytes as payload and their number as caption."""
+    raw = text.cast("binary")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return F.concat(F.lit("<p>"), text, F.lit('</p><figure><img src="sha256:'), F.sha2(raw, 256), F.lit('"><figcaption>'), F.octet_length(raw).cast("string"), F.lit("</figcaption></figure>"))
+
+
 def op3_media_columns(spark, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents")
-    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    # Each document is a page with one figure, its text as payload and its size in the caption.
-    html = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(raw, 256), F.lit('"><figcaption>'), F.octet_length(raw).cast("string"), F.lit("</figcaption></figure>"))
-    sequence = interleave(docs.select(F.col("doc_id").alias("key"), html.alias("html")))
-    payloads = c.materialize(store_payloads(docs.select(raw.alias("raw"))).dropDuplicates(["digest"]), "payloads")
-    found = resolve(sequence.where("kind = 'media'"), payloads)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sequence = interleave(docs.select(F.col("doc_id").alias("key"), page_of(text).alias("html")))
+    # A table of its own, so that a hot digest can be split in the join.
+    features = c.materialize(described(store_payloads(docs.select(text.cast("binary").alias("raw")))), "features")
+    found = resolve(sequence.where("kind = 'media'"), features)
     return found.select(F.col("key").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), *[x.split()[0] for x in _FEATURES.split(", ")[1:]], "position")
+
+
+def page_sequences(spark, sf_dir: str) -> DataFrame:
+    """The sequences of the raw web pages: (page_id, position, kind, content, ref, caption)."""
+    pages = c.table(spark, sf_dir, "pages")
+    return interleave(pages.select(F.col("page_id").alias("key"), "html")).withColumnRenamed("key", "page_id")

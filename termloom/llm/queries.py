@@ -16,6 +16,7 @@ _WHERE = {
     "op8_lm_scoring": "lm_scoring",
     "op9_jaccard": "jaccard_join",
     "op10_embedding_dedup": "embedding_dedup",
+    "page_sequences": "media",
 }
 
 #: modules with a ``SQL`` string for their query

@@ -4,9 +4,10 @@ The encoding of a prefix ends in exactly one token that can stand beside the
 last token of the shorter prefix before it, so its count is that one's plus one
 (``bpe_core.prefix_counts``). A text is a sequence of words that no token
 crosses: runs of the space mark, then characters up to the next space mark. The
-program runs once for each distinct word of a batch; counts at any place of a
-text are the words' sums plus one prefix of one word, so truncation and budget
-questions need no second encoding.
+program runs once for each distinct word of a batch and its counts at every prefix
+are kept; counts at any place of a text are the words' sums plus one prefix of one
+word, so truncation and budget questions need no second encoding
+(``longest_prefix``, column ``fitting_chars``).
 
 Words are cached per worker up to a fixed number; the map has no shuffle.
 
@@ -31,8 +32,8 @@ from .bpe_core import Merges, Trie, flat, prefix_counts
 
 #: Distinct words that a worker remembers.
 CACHE_WORDS = 250_000
-#: Longer words (text without spaces) are merged one by one when only their total is asked for.
-LONG = 512
+#: Longer words (text without spaces) are merged one by one; their prefixes are counted when a budget ends in them.
+LONG = 4096
 SPACE = "▁"
 _PARTS = regex.compile(f"{SPACE}?[^{SPACE}\n]+|{SPACE}+(?={SPACE}[^{SPACE}\n])|{SPACE}+|\n")
 
@@ -87,7 +88,8 @@ class PieceBpe:
         self._space = pieces[SPACE]
         self._run_pieces = {len(p) for p in runs} | {1}
         self._run_count: dict[int, int] = {}
-        self._known: dict[str, tuple[int, bool]] = {}
+        #: of each word: its tokens, whether the first is a lone space mark, the count at each prefix
+        self._known: dict[str, tuple[int, bool, np.ndarray | None]] = {}
 
     def _last_merge(self, piece: str, pieces: dict[str, int]) -> tuple[int, int]:
         """Parts of the last merge when the piece's characters are merged alone."""
@@ -172,13 +174,14 @@ class PieceBpe:
         for w in words:
             if len(w) > LONG:
                 ids = self.merges.exact(self.trie.token[self.trie.first(self.symbols([w])[0])].tolist())
-                self._known[w] = int(self.weight[ids].sum()), ids[0] == self._space
+                self._known[w] = int(self.weight[ids].sum()), ids[0] == self._space, None
         words = [w for w in words if len(w) <= LONG]
         for first in range(0, len(words), 50_000):
             part = words[first : first + 50_000]
             count, at, alone = self.prefixes(part)
             totals = count[at[1:] - 1].tolist()
-            self._known.update(zip(part, zip(totals, alone.tolist(), strict=True), strict=True))
+            kept, ends = count.astype(np.int16), at.tolist()  # a word of LONG symbols has no more tokens than this holds
+            self._known.update(zip(part, zip(totals, alone.tolist(), (kept[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)), strict=True), strict=True))
 
     def count_split(self, words: list[str]) -> int:
         """Tokens of a text that is split into words."""
@@ -190,7 +193,7 @@ class PieceBpe:
                     total += self.run_count(run)
                 run = len(w)
                 continue
-            n, alone = got
+            n, alone, _ = got
             if run:
                 total += self.run_count(run + 1) - 1 if alone else self.run_count(run)
                 run = 0
@@ -242,10 +245,34 @@ class PieceBpe:
                 out[p] = last[p] == self._space if prev < at[i] else out[prev]
         return out
 
+    def longest_prefix(self, words: list[str], budget: int) -> int:
+        """Characters of the longest prefix with at most ``budget`` tokens, of a text that is split into words."""
+        best, at, base, run = 0, 0, 0, 0
+        for w in words:
+            got = self._known.get(w)
+            if got is None:  # a run of space marks
+                fits = [i for i in range(1, len(w) + 1) if base + self.run_count(i) <= budget]
+                best = at + fits[-1] if fits else best
+                at, run = at + len(w), len(w)
+                continue
+            n, alone, counts = got
+            counts = self.prefixes([w])[0] if counts is None else counts.astype(np.int64)
+            if run:
+                lone = self._prefix_alone([w], counts, np.array([0, len(w)]))
+                counts = counts + np.where(lone, self.run_count(run + 1) - 1, self.run_count(run))
+                n += self.run_count(run + 1) - 1 if alone else self.run_count(run)
+            fits = np.flatnonzero(base + counts <= budget)
+            best = at + int(fits[-1]) + 1 if len(fits) else best
+            at, base, run = at + len(w), base + n, 0
+            if base >= budget:
+                break
+        return max(0, best - 1)  # the mark in front is no character of the text
+
     def truncate(self, text: str, budget: int) -> str:
         """The longest prefix of the text with at most ``budget`` tokens."""
-        fits = np.flatnonzero(self.every_prefix(text) <= budget)
-        return text[: int(fits[-1])]
+        words = self.split(text)
+        self.learn(list(dict.fromkeys(words)))
+        return text[: self.longest_prefix(words, budget)]
 
 
 _loaded: dict[str, PieceBpe] = {}
@@ -266,9 +293,11 @@ def _counted(raw, limit: int):
             ids, n, first = batch.column(batch.schema.get_field_index("doc_id")), batch.num_rows, 0
             while first < n:
                 split, end, size, nbytes = [], first, 0, []
+                chars = []
                 while end < n and (size < BLOCK or end == first):
                     text = col[end].as_py() or ""
                     nbytes.append(len(text.encode()))
+                    chars.append(len(text))
                     split.append(model.split(text))
                     size += len(text)
                     end += 1
@@ -277,21 +306,22 @@ def _counted(raw, limit: int):
                     model._known.clear()
                 model.learn(list(words))
                 counts = np.array([model.count_split(s) for s in split], np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(nbytes, pa.int64()), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                fitting = [model.longest_prefix(s, limit) if k > limit else m for s, k, m in zip(split, counts.tolist(), chars, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(nbytes, pa.int64()), pa.array(counts), pa.array(counts > limit), pa.array(fitting, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
                 first = end
 
     return run
 
 
 def count_documents(docs: DataFrame, path: str | None = None, limit: int = 4096) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every document."""
+    """(doc_id, n_bytes, n_tokens, over_limit, fitting_chars) of every document; fitting_chars is the length of its longest prefix of at most ``limit`` tokens."""
     spark = docs.sparkSession
     c.small_batches(spark, 1000)
     with open(path or default_path("piece_bpe_32k.model"), "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_counted(raw, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(_counted(raw, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long")
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:

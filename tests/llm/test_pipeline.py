@@ -33,5 +33,5 @@ def test_run_on_an_empty_table(spark, docs, tmp_path):
 
 
 def test_ten_queries():
-    names = sorted(queries.queries(), key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
+    names = sorted((n for n in queries.queries() if n.startswith("op")), key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
