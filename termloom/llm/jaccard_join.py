@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -150,6 +150,8 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[x.split()[0] for x in _ANSWER.split(", ")])
 
 
+#: Members of one part of a group.
+GROUP = 64
 #: Bits of the parity sketch of a set.
 SKETCH = 1024
 _SETS = "doc_id long, n long, digest long, shared array<long>, sketch array<long>"
@@ -216,16 +218,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     # First round: within a group, and on each posting list, all meet the one with the fewest own shingles.
     inside = members.join(groups.select("grp", "lead"), "grp").select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("ok"))
     pivots = postings.groupBy("shingle").agg(F.min(F.struct("own", "lead", "n")).alias("p"), F.count("*").alias("many")).where("many > 1").select("shingle", F.col("p.lead").alias("a"), F.col("p.own").alias("a_own"), F.col("p.n").alias("a_n"))
-    met = postings.join(pivots, "shingle").where("lead <> a").where(_possible("a_n", "a_own", "n", "own", num, den)).select("a", "grp").distinct()
+    met = postings.join(pivots, "shingle").where("lead <> a").where(_possible(F.struct(F.col("a_n").alias("n"), F.col("a_own").alias("own")), F.struct("n", "own"), num, den)).select("a", "grp").distinct()
     across = met.join(members, "grp").select("a", F.col("rep").alias("b"))
     links = c.materialize(_verified(inside.select("a", "b").unionAll(across).where("a <> b").distinct(), able, num, den), "links-1")
     labels = c.connected(links, "near-1")
 
     # Second round: only groups and postings that still hold different components, and only possible partners in them.
     placed = able.select("grp", "rep", "n", "own", "prefix").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    placed = c.materialize(placed, "placed")
-    within = placed.groupBy("grp", "n", "label").agg(F.min("own").alias("own"), F.first("prefix").alias("prefix"))
-    spread = within.select(F.explode("prefix").alias("shingle"), "grp", "n", "own", "label")
+    # A group's members go with it, in parts of bounded size.
+    parts = placed.groupBy("grp", "n", "label").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    placed = placed.join(able.select("rep", "sketch"), "rep").join(parts, ["grp", "n", "label"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    within = placed.groupBy("grp", "n", "label", "part").agg(F.min("own").alias("own"), F.first("prefix").alias("prefix"), F.collect_list(F.struct("rep", "n", "own", "sketch")).alias("members"))
+    within = c.materialize(within.withColumn("gid", F.monotonically_increasing_id()), "groups")
+    spread = within.select(F.explode("prefix").alias("shingle"), "gid", "n", "own", "label")
     best = spread.groupBy("shingle", "label").agg(F.min("own").alias("low"), F.count("*").alias("members"))
     per = best.groupBy("shingle").agg(F.count("*").alias("many"), F.min(F.struct("low", "label")).alias("first"), F.max(F.struct("members", "label")).alias("big")).where("many > 1")
     others = best.join(per.select("shingle", F.col("first.label").alias("l1"), F.col("first.low").alias("low1"), F.col("big.label").alias("big")), "shingle")
@@ -234,16 +239,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     open_ = spread.join(second, "shingle").withColumn("least", F.when(F.col("label") == F.col("l1"), F.col("low2")).otherwise(F.col("low1")))
     open_ = open_.where(F.lit(den) * (F.col("n") - F.col("own")) >= F.lit(num) * (F.col("n") + F.col("least")))
     # Of two components one is not the shingle's largest, so one side of the join leaves that out.
-    rows = c.materialize(open_.select("shingle", "grp", "n", "own", "label", (F.col("label") == F.col("big")).alias("big")), "open")
+    open_ = open_.select("shingle", "gid", "n", "own", "label", (F.col("label") == F.col("big")).alias("big"))
+    rows = c.materialize(open_.join(within.select("gid", "members"), "gid"), "open")
     x, y = rows.where("not big").alias("x"), rows.alias("y")
-    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("y.big") | (F.col("x.label") < F.col("y.label"))) & _possible("x.n", "x.own", "y.n", "y.own", num, den)
-    pairs = x.join(y, met).select(*[F.col(f"{t}.{v}").alias(f"{t}_{v}") for t in "xy" for v in ("grp", "label")]).distinct()
-    # Expand the groups to their members, then refuse by sizes and sketches.
-    member = placed.select("grp", "label", "rep", "n", "own").join(able.select("rep", "sketch"), "rep")
-    member = c.materialize(member.join(rows.select("grp", "label").distinct(), ["grp", "label"], "left_semi"), "members")
-    x, y = (member.select(F.struct("rep", "n", "own", "sketch").alias(t), F.col("grp").alias(f"{t}_grp"), F.col("label").alias(f"{t}_label")) for t in "xy")
-    both = pairs.join(x, ["x_grp", "x_label"]).join(y, ["y_grp", "y_label"]).where(_possible("x.n", "x.own", "y.n", "y.own", num, den) & _near(num, den))
-    rest = both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    sizes = [F.struct(F.col(f"{t}.n").alias("n"), F.col(f"{t}.own").alias("own")) for t in "xy"]
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("y.big") | (F.col("x.label") < F.col("y.label"))) & _possible(*sizes, num, den)
+    # Groups are expanded where they meet: pairs of members that sizes and sketches cannot refuse.
+    able_to = lambda a, b: _possible(a, b, num, den) & _near(a, b, num, den)
+    met = met & F.exists("x.members", lambda a: F.exists("y.members", lambda b: able_to(a, b)))
+    near = F.flatten(F.transform("x.members", lambda a: F.transform(F.filter("y.members", lambda b: able_to(a, b)), lambda b: F.struct(a["rep"].alias("a"), b["rep"].alias("b")))))
+    rest = x.join(y, met).select(F.explode(near).alias("pair")).select("pair.a", "pair.b").distinct()
     more = c.materialize(_verified(rest, able, num, den), "links-2")
     if not more.isEmpty():
         labels = c.connected(links.unionAll(more), "near-2")
@@ -255,17 +260,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     return sets.select("doc_id", "n", "digest").join(of_class, ["digest", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _possible(n: str, own: str, m: str, other: str, num: int, den: int):
+def _possible(x: Column, y: Column, num: int, den: int) -> Column:
     """Own shingles are not in the other set: overlap <= min(n - own, m - other), union >= max(n + other, m + own)."""
-    n, own, m, other = (F.col(x) for x in (n, own, m, other))
+    n, own, m, other = x["n"], x["own"], y["n"], y["own"]
     return F.lit(den) * F.least(n - own, m - other) >= F.lit(num) * F.greatest(n + other, m + own)
 
 
-def _near(num: int, den: int):
+def _near(x: Column, y: Column, num: int, den: int) -> Column:
     """The sets x and y differ in their own shingles and at least in the bits in which their sketches differ."""
-    bits = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-    apart = F.col("x.own") + F.col("y.own") + bits
-    return apart * F.lit(den + num) <= F.lit(den - num) * (F.col("x.n") + F.col("y.n"))
+    bits = F.aggregate(F.zip_with(x["sketch"], y["sketch"], lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    return (x["own"] + y["own"] + bits) * F.lit(den + num) <= F.lit(den - num) * (x["n"] + y["n"])
 
 
 def _verified(pairs: DataFrame, able: DataFrame, num: int, den: int) -> DataFrame:
