@@ -109,6 +109,11 @@ def markdown_plain(c: Column) -> Column:
     return F.replace(out, F.lit("|"), F.lit(" "))
 
 
+def marker_clean(c: Column) -> Column:
+    """The text without the lines that are layout noise."""
+    return F.array_join(F.filter(F.split(c, "\n"), lambda x: ~is_layout_noise(x)), "\n")
+
+
 def html_strip(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]+>", " ")
 
@@ -235,24 +240,38 @@ def skip_sections(lines: Column, keywords: Sequence[str] = SECTION_KEYWORDS) ->
     """Lines outside sections whose header holds a keyword.
 
     A skipped section ends at a header of the same or a higher level; a header of
-    unknown level always ends it.
+    unknown level always ends it. Only the headers are gone through in order; the
+    lines between them are cut out whole.
     """
-    start = F.struct(F.lit(False).alias("skip"), F.lit(None).cast("int").alias("level"), F.array().cast("array<string>").alias("out"))
+    begin = F.struct(F.lit(1).alias("at"), F.lit(False).alias("named"), F.lit(None).cast("int").alias("level"))
+    start = F.struct(F.lit(False).alias("skip"), F.lit(None).cast("int").alias("level"), F.array().cast("array<struct<at:int,skip:boolean>>").alias("out"))
+
+    def marked(line: Column, i: Column) -> Column:
+        def of(h: Column) -> Column:
+            named = F.lit(False)
+            for k in keywords:
+                named = named | F.lower(h["title"]).contains(k.lower())
+            return F.when(h["is_header"], F.struct((i + 1).alias("at"), named.alias("named"), h["level"].alias("level")))
 
-    def step(acc: Column, line: Column) -> Column:
-        h = header_of(line)
-        ends = h["is_header"] & (h["level"].isNull() | acc["level"].isNull() | (h["level"] <= acc["level"]))
+        return F.transform(F.array(header_of(line)), of)[0]
+
+    def step(acc: Column, h: Column) -> Column:
+        ends = h["level"].isNull() | acc["level"].isNull() | (h["level"] <= acc["level"])
         skipping = acc["skip"] & ~ends
-        title = F.lower(h["title"])
-        named = F.lit(False)
-        for k in keywords:
-            named = named | title.contains(k.lower())
-        begins = ~skipping & h["is_header"] & named
+        begins = ~skipping & h["named"]
         skip = skipping | begins
-        level = F.when(begins, h["level"]).when(skipping, acc["level"])
-        return F.struct(skip.alias("skip"), level.alias("level"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.array(line))).alias("out"))
+        return F.struct(skip.alias("skip"), F.when(begins, h["level"]).when(skipping, acc["level"]).alias("level"), F.concat(acc["out"], F.array(F.struct(h["at"].alias("at"), skip.alias("skip")))).alias("out"))
+
+    def kept(parts: Column) -> Column:
+        def part(p: Column, i: Column) -> Column:
+            end = F.coalesce(F.try_element_at(parts, i + 2)["at"], F.size(lines) + 1)
+            return F.when(p["skip"] | (end <= p["at"]), F.array().cast("array<string>")).otherwise(F.slice(lines, p["at"], end - p["at"]))
+
+        return F.flatten(F.transform(parts, part))
 
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+    headers = F.array_compact(F.transform(lines, marked))
+    parts = F.aggregate(F.concat(F.array(begin), headers), start, step, lambda acc: acc["out"])
+    return F.transform(F.array(parts), kept)[0]
 
 
 def is_layout_noise(line: Column) -> Column:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..session import ship
 from ..sources.tables import checkpointed
 
 
@@ -65,27 +70,50 @@ def shingles(norm: Column, n: int = 5) -> Column:
     return S.bound(S.tokens(norm), grams)
 
 
-def signature(shingle_array: Column, hashes: int) -> Column:
-    """MinHash: for each seed the least md5(seed:shingle), as fixed-width hex."""
+#: Modulus of the hash family (a prime), and bits of a shingle's own hash: products stay below 2^63.
+PRIME, BITS = (1 << 31) - 1, 28
+
+
+def family(hashes: int) -> list[tuple[int, int]]:
+    """(a, b) of each hash function x -> (a x + b) mod PRIME."""
+    return [((48271 * (i + 1)) ** 3 % (PRIME - 1) + 1, (69621 * (i + 1)) ** 3 % PRIME) for i in range(hashes)]
+
+
+def signature(norm: Column, hashes: int, n: int = 5) -> Column:
+    """MinHash of a text's shingles: each shingle is hashed once (md5), the seeds are arithmetic; null without shingles.
+
+    An Arrow UDF: the minima are one matrix step for a text, against ``hashes`` interpreted lambdas.
+    """
 
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform(shingle_array, lambda s: F.md5(F.concat(F.lit(f"{seed}:"), s).cast("binary"))))
+    def least(texts: pd.Series) -> pd.Series:
+        a, b = (np.array(x, np.int64)[:, None] for x in zip(*family(hashes), strict=True))
+        out = []
+        for text in texts:
+            w = (text or "").split()
+            grams = {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else set(w)
+            x = np.fromiter((int(hashlib.md5(g.encode()).hexdigest()[: BITS // 4], 16) for g in grams), np.int64, len(grams))
+            low = np.full((hashes, 1), PRIME, np.int64)
+            for first in range(0, len(x), 1 << 14):
+                low = np.minimum(low, ((a * x[first : first + (1 << 14)] + b) % PRIME).min(axis=1, keepdims=True))
+            out.append(low[:, 0].tolist() if len(x) else None)
+        return pd.Series(out)
 
-    return F.array(*map(least, range(hashes)))
+    return F.pandas_udf(least, "array<bigint>")(norm)
 
 
-def _bands(shingle_array: Column, hashes: int, rows: int) -> Column:
-    def keys(sig: Column) -> Column:
-        return F.array(*[F.struct(F.lit(b).alias("band"), F.md5(F.concat_ws("|", F.slice(sig, b * rows + 1, rows)).cast("binary")).alias("key")) for b in range(hashes // rows)])
+def _bands(sig: Column, hashes: int, rows: int) -> Column:
+    def keys(s: Column) -> Column:
+        return F.array(*[F.struct(F.lit(b).alias("band"), F.md5(F.concat_ws("|", F.slice(s, b * rows + 1, rows).cast("array<string>")).cast("binary")).alias("key")) for b in range(hashes // rows)])
 
-    return S.bound(signature(shingle_array, hashes), keys)
+    return S.bound(sig, keys)
 
 
 def lsh_bands(parts: DataFrame, hashes: int = 64, rows: int = 4) -> DataFrame:
     """(norm, band, key): band keys of each distinct chunk; signatures are computed once per distinct text."""
     distinct = _widened(parts.select("norm").where("norm <> ''").distinct(), "norm")
-    bands = S.bound(shingles(F.col("norm")), lambda x: _bands(x, hashes, rows))
-    return distinct.select("norm", F.explode(bands).alias("b")).select("norm", "b.*")
+    ship(parts.sparkSession)
+    signed = distinct.withColumn("sig", signature(F.col("norm"), hashes)).where("sig is not null")
+    return signed.select("norm", F.explode(_bands(F.col("sig"), hashes, rows)).alias("b")).select("norm", "b.*")
 
 
 def hot_chunks(parts: DataFrame, threshold: int, hashes: int = 64, rows: int = 4) -> DataFrame:

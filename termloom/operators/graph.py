@@ -13,7 +13,10 @@ from .pairs import first_by
 
 
 def descendants(edges: DataFrame, roots: DataFrame, inclusive: bool = True, most: int = 64) -> DataFrame:
-    """(root, node) below each root of edges(child, parent): semi-naive, one join of the new nodes a round."""
+    """(root, node) below each root of edges(child, parent): semi-naive, one join of the new nodes a round.
+
+    A hierarchy of more than ``most`` levels is an error.
+    """
     down = edges.select(F.col("parent").alias("p"), F.col("child").alias("c")).distinct()
     seen = checkpointed(roots.select(F.col("node").alias("root"), F.col("node").alias("node")).distinct(), "closure")
     frontier = seen
@@ -23,6 +26,8 @@ def descendants(edges: DataFrame, roots: DataFrame, inclusive: bool = True, most
         if new.isEmpty():
             break
         seen, frontier = checkpointed(seen.unionAll(new), "closure"), new
+    else:
+        raise RuntimeError(f"the hierarchy is deeper than {most} levels")
     return seen if inclusive else seen.where("root <> node")
 
 
@@ -38,6 +43,8 @@ def ancestor_closure(edges: DataFrame, most: int = 64) -> DataFrame:
         if now == n:
             break
         n = now
+    else:
+        raise RuntimeError("the closure did not settle")
     return known
 
 
@@ -98,34 +105,81 @@ def tag_mismatch(matches: DataFrame, source_tags: DataFrame) -> DataFrame:
     return both.withColumn("mismatch", bad.cast("int"))
 
 
-_TERM = re.compile(r"\s*(<<|<|\^)?\s*(\d+|\w+)\s*(?:\|[^|]*\|)?\s*")
+_TOKEN = re.compile(r"\s*(<<|<|\(|\)|=|\*|:|,|\|[^|]*\||\w+)")
 
 
-def scope(expression: str, edges: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
-    """(node) of a scope expression: ``<<id`` (with descendants), ``<id``, ``id``, joined by OR, AND or MINUS,
-    and a refinement ``: attribute = *`` (the node has that attribute in attributes(src, dst, type_id))."""
-    body, _, refinement = expression.partition(":")
-    parts = re.split(r"\s+(OR|AND|MINUS)\s+", body.strip())
-    out = _scope_term(parts[0], edges)
-    for op, term in zip(parts[1::2], parts[2::2], strict=True):
-        other = _scope_term(term, edges)
-        out = {"OR": lambda a, b: a.union(b).distinct(), "AND": lambda a, b: a.intersect(b), "MINUS": lambda a, b: a.subtract(b)}[op](out, other)
-    if refinement.strip():
-        m = re.fullmatch(r"\s*(\d+|\w+)\s*(?:\|[^|]*\|)?\s*=\s*\*\s*", refinement)
-        if not m or attributes is None:
-            raise ValueError(f"scope refinement not supported: {refinement.strip()}")
-        out = out.join(attributes.where(F.col("type_id") == m[1]).select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+def _scope_tokens(expression: str) -> list[str]:
+    out, at = [], 0
+    text = expression.strip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"not a scope expression: {expression}")
+        if not m[1].startswith("|"):  # names between bars are for readers
+            out.append(m[1])
+        at = m.end()
     return out
 
 
-def _scope_term(term: str, edges: DataFrame) -> DataFrame:
-    m = _TERM.fullmatch(term.strip().strip("()"))
-    if not m:
-        raise ValueError(f"not a scope expression: {term}")
-    root = edges.sparkSession.createDataFrame([(m[2],)], "node string")
-    if m[1] is None:
-        return root
-    return descendants(edges, root, inclusive=m[1] == "<<").select("node")
+def scope(expression: str, edges: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
+    """(node) of a scope expression.
+
+    ``<<id`` (with descendants), ``<id``, ``id`` and parentheses, joined by OR, AND or
+    MINUS from left to right; a refinement ``: attribute = value, ...`` keeps the nodes that
+    have each attribute in attributes(src, dst, type_id) with ``*`` or with a value that is
+    an expression itself.
+    """
+    tokens = _scope_tokens(expression)
+
+    def take(wanted: str | None = None) -> str:
+        if not tokens or (wanted is not None and tokens[0] != wanted):
+            raise ValueError(f"not a scope expression: {expression}")
+        return tokens.pop(0)
+
+    def term() -> DataFrame:
+        if tokens and tokens[0] == "(":
+            take()
+            inside = refined()
+            take(")")
+            return inside
+        kind = take() if tokens and tokens[0] in ("<<", "<") else None
+        name = take()
+        if not re.fullmatch(r"\w+", name):
+            raise ValueError(f"not a scope expression: {expression}")
+        root = edges.sparkSession.createDataFrame([(name,)], "node string")
+        return root if kind is None else descendants(edges, root, inclusive=kind == "<<").select("node")
+
+    def joined() -> DataFrame:
+        out = term()
+        while tokens and tokens[0] in ("OR", "AND", "MINUS"):
+            op, other = take(), term()
+            out = out.union(other).distinct() if op == "OR" else out.intersect(other) if op == "AND" else out.subtract(other)
+        return out
+
+    def refined() -> DataFrame:
+        out = joined()
+        if tokens and tokens[0] == ":":
+            if attributes is None:
+                raise ValueError("a refinement needs attributes")
+            take()
+            while True:
+                kind = take()
+                take("=")
+                have = attributes.where(F.col("type_id") == kind)
+                if tokens and tokens[0] == "*":
+                    take()
+                else:
+                    have = have.join(term().select(F.col("node").alias("dst")), "dst", "left_semi")
+                out = out.join(have.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+                if not tokens or tokens[0] != ",":
+                    break
+                take()
+        return out
+
+    out = refined()
+    if tokens:
+        raise ValueError(f"not a scope expression: {expression}")
+    return out
 
 
 def neighbour_sets(rows: DataFrame, concept: str, attribute: str) -> DataFrame:
@@ -134,6 +188,17 @@ def neighbour_sets(rows: DataFrame, concept: str, attribute: str) -> DataFrame:
     return a.alias("x").join(a.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.concept") != F.col("y.concept"))).select(F.col("x.concept").alias("concept"), F.col("y.concept").alias("neighbour")).distinct()
 
 
+def neighbour_counts(rows: DataFrame, concept: str, attribute: str) -> DataFrame:
+    """(concept, n): how many others share an attribute value; groups are only counted where concepts have one value each."""
+    a = rows.select(F.col(concept).alias("concept"), F.col(attribute).alias("v")).where("v is not null").distinct()
+    values = a.groupBy("concept").agg(F.count("*").alias("values"))
+    sizes = a.groupBy("v").agg(F.count("*").alias("size"))
+    one = a.join(values.where("values = 1").select("concept"), "concept").join(sizes, "v").select("concept", (F.col("size") - 1).alias("n"))
+    several = a.join(values.where("values > 1").select("concept"), "concept")
+    others = several.join(a.withColumnRenamed("concept", "neighbour"), "v").where("concept <> neighbour").select("concept", "neighbour").distinct()
+    return one.where("n > 0").unionByName(others.groupBy("concept").agg(F.count("*").alias("n")))
+
+
 def first_attribute(columns: Sequence[str]) -> Column:
     """The first non-blank of several columns."""
     return F.coalesce(*[F.when(F.trim(F.col(c)) != "", F.trim(F.col(c))) for c in columns])

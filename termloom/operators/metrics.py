@@ -93,6 +93,24 @@ def calibration(rows: DataFrame, level: str, value: str, exact: str) -> DataFram
     return per.select("level", "n", F.round(F.col("v") / F.col("n"), 6).alias("mean_value"), F.round(F.col("e") / F.col("n"), 6).alias("exact_share"), F.round(F.sum("n").over(up) / F.sum("n").over(all_), 6).alias("kept_share"), F.round(F.sum("v").over(up) / F.sum("n").over(up), 6).alias("kept_mean"))
 
 
+def calibration_correlation(rows: DataFrame, level: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Pearson correlation of confidence and value, overall or by group; null where one of them does not vary."""
+    known = rows.where(F.col(level).isNotNull() & F.col(value).isNotNull())
+    r = F.when((F.stddev_pop(level) > 0) & (F.stddev_pop(value) > 0), F.corr(F.col(level).cast("double"), F.col(value).cast("double")))
+    return known.groupBy(*by).agg(F.count("*").alias("n"), F.round(r, 6).alias("pearson"))
+
+
+def confidence_routing(rows: DataFrame, level: str, value: str, exact: str, levels: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
+    """For each cutoff what is kept (confidence at least the cutoff) and what is routed to people: counts, mean values, share of exact."""
+    cut = F.explode(F.array(*map(F.lit, levels))).alias("cutoff")
+    per = rows.groupBy(F.col(level).alias("_l")).agg(F.count("*").alias("_n"), F.sum(value).alias("_v"), F.sum(F.col(exact).cast("long")).alias("_e"))
+    each = per.select("*", cut)
+    keep, route = F.col("_l") >= F.col("cutoff"), F.coalesce(F.col("_l") < F.col("cutoff"), F.lit(True))
+    total = lambda c, x: F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0))
+    mean = lambda c, x: F.round(F.try_divide(F.sum(F.when(c, F.col(x))).cast("double"), F.sum(F.when(c, F.col("_n")))), 6)
+    return each.groupBy("cutoff").agg(total(keep, "_n").alias("n_kept"), mean(keep, "_v").alias("kept_mean"), mean(keep, "_e").alias("kept_exact"), total(route, "_n").alias("n_routed"), mean(route, "_v").alias("routed_mean"))
+
+
 def similarity_crosstab(rows: DataFrame, similarity: str, label: str, labels: Sequence[str], edges: Sequence[float] = (0.0, 0.25, 0.5, 0.75)) -> DataFrame:
     """Counts of labels by similarity bucket, with totals; buckets are named by their lower edge."""
     bucket = F.lit(None).cast("double")
@@ -104,8 +122,13 @@ def similarity_crosstab(rows: DataFrame, similarity: str, label: str, labels: Se
 
 def label_spread(rows: DataFrame, label: str, value: str) -> DataFrame:
     """Per label: n, mean, upper median, least and greatest value."""
-    upper = F.element_at(F.array_sort(F.collect_list(value)), (F.floor(F.count(value) / 2) + 1).cast("int"))
-    return rows.where(F.col(value).isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), upper.alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    # Equal values are counted first: the window sees distinct values only.
+    per = rows.where(F.col(value).isNotNull()).groupBy(label, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    up = Window.partitionBy(label).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.withColumn("_end", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy(label)))
+    upper = F.min(F.when(F.col("_end") > F.floor(F.col("_all") / 2), F.col("_v")))
+    mean = F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")
+    return per.groupBy(label).agg(F.sum("_n").alias("n"), F.round(mean, 6).alias("mean"), upper.alias("median"), F.min("_v").alias("least"), F.max("_v").alias("greatest"))
 
 
 def percentiles(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -219,26 +219,23 @@ def regression_set(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- text
-@query("norm_exact_multi_ref", "SELECT doc_id, list_contains([replace(lang, ' ', ''), replace(source, ' ', '')], trim(replace(split_part(text, ' ', 1), ' ', ''))) AS exact FROM documents")
+@query("norm_exact_multi_ref", "SELECT p_partkey, list_contains([trim(replace(p_type || ' x', ' ', '')), trim(replace(p_name, ' ', ''))], trim(replace(CASE WHEN p_size % 3 = 0 THEN ' ' || p_type || 'x ' WHEN p_size % 3 = 1 THEN p_name ELSE p_brand END, ' ', ''))) AS exact FROM part")
 def norm_exact_multi_ref(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents")
-    return d.select("doc_id", S.exact_match(F.split_part("text", F.lit(" "), F.lit(1)), F.array("lang", "source")).alias("exact"))
-
-
-_A, _B = "left(text, 40)", "substring(text, 41, 40)"
+    said = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" "), "p_type", F.lit("x "))).when(F.col("p_size") % 3 == 1, F.col("p_name")).otherwise(F.col("p_brand"))
+    return A.table(spark, sf_dir, "part").select("p_partkey", S.exact_match(said, F.array(F.concat("p_type", F.lit(" x")), "p_name")).alias("exact"))
 
 
-@query("char_sim", "SELECT doc_id, round(1 - levenshtein(regexp_replace(left(text, 40), '\\s+', '', 'g'), regexp_replace(substring(text, 41, 40), '\\s+', '', 'g'))::DOUBLE / greatest(length(regexp_replace(left(text, 40), '\\s+', '', 'g')), length(regexp_replace(substring(text, 41, 40), '\\s+', '', 'g')), 1), 6) AS char_sim FROM (SELECT doc_id, text FROM documents) WHERE regexp_matches(left(text, 80), '^[ -~\\n]*$')")
+@query("char_sim", "WITH s AS (SELECT p_partkey, regexp_replace(p_name || ' ' || p_type, '\\s+', '', 'g') AS a, regexp_replace(p_brand || ' ' || p_name, '\\s+', '', 'g') AS b FROM part) SELECT p_partkey, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b), 1), 6) AS char_sim FROM s")
 def char_sim(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents").where(F.substring("text", 1, 80).rlike(r"^[ -~\n]*$"))
-    return d.select("doc_id", F.round(S.char_similarity(F.substring("text", 1, 40), F.substring("text", 41, 40)), 6).alias("char_sim"))
+    return A.table(spark, sf_dir, "part").select("p_partkey", F.round(S.char_similarity(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_brand", "p_name")), 6).alias("char_sim"))
 
 
-@query("token_jaccard", "WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS a FROM documents), b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS b FROM benchmark) SELECT doc_id, item_id, round(CASE WHEN len(list_distinct(a || b)) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)) ELSE 0 END, 6) AS jaccard FROM t JOIN b ON doc_id % 40 = item_id % 40")
+@query("token_jaccard", "WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS a FROM conversations), b AS (SELECT x.conv_id, x.turn, x.a, y.a AS b FROM t x JOIN t y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1) SELECT conv_id, turn, round(CASE WHEN len(list_distinct(a || b)) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)) ELSE 0 END, 6) AS jaccard FROM b")
 def token_jaccard(spark, sf_dir):
-    d, b = A.table(spark, sf_dir, "documents"), A.table(spark, sf_dir, "benchmark").withColumnRenamed("text", "other")
-    both = d.join(b, F.col("doc_id") % 40 == F.col("item_id") % 40)
-    return both.select("doc_id", "item_id", F.round(S.token_jaccard(F.col("text"), F.col("other")), 6).alias("jaccard"))
+    """Each turn against the next one of its conversation."""
+    c = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(S.token_jaccard(F.col("text"), F.col("other")), 6).alias("jaccard"))
 
 
 @query("char_jaccard", "WITH s AS (SELECT p_partkey, list_distinct(string_split(lower(replace(p_name, ' ', '')), '')) AS a, list_distinct(string_split(lower(replace(p_brand, ' ', '')), '')) AS b FROM part) SELECT p_partkey, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)), 6) AS jaccard FROM s")
@@ -285,12 +282,12 @@ def semantic_tag(spark, sf_dir):
     return p.select("p_partkey", T.semantic_tag(F.col("fsn")).alias("tag"), T.parse_fsn(F.col("fsn"))[0].alias("term"))
 
 
-@query("role_projection", "SELECT p_partkey AS pos, p_name AS en, p_brand AS target FROM part ORDER BY p_partkey LIMIT 100")
+@query("role_projection", "SELECT p_partkey AS pos, p_name AS en, p_brand AS target FROM part")
 def role_projection(spark, sf_dir):
     from .plans.roles import resolve_roles
 
     p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("english"), F.col("p_brand").alias("KO"))
-    return SRC.role_rows(p, {k: v for k, v in resolve_roles(p.columns).items() if k in ("en", "target")}, limit=100)
+    return SRC.role_rows(p, {k: v for k, v in resolve_roles(p.columns).items() if k in ("en", "target")})
 
 
 @query("reply_parse_best", "SELECT p_partkey, CASE WHEN p_size % 7 BETWEEN 1 AND 4 THEN CAST(p_size % 7 AS INT) END AS best, p_brand AS reason FROM part")
@@ -551,20 +548,20 @@ def edge_block_df(spark, sf_dir):
 
 @query("minhash_bands", "WITH b AS (SELECT item_id, " + _NORM.format("text") + " AS norm FROM benchmark), w AS (SELECT item_id, list_filter(string_split(norm, ' '), lambda x: x <> '') AS w FROM b), s AS (SELECT item_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE w END) AS s FROM w) SELECT item_id, list_min(list_transform(s, lambda x: md5('0:' || x))) AS h0, list_min(list_transform(s, lambda x: md5('1:' || x))) AS h1, list_min(list_transform(s, lambda x: md5('2:' || x))) AS h2, list_min(list_transform(s, lambda x: md5('3:' || x))) AS h3 FROM s")
 def minhash_bands(spark, sf_dir):
-    b = A.table(spark, sf_dir, "benchmark").withColumn("sig", corpus.signature(corpus.shingles(T.corpus_normalize(F.col("text"))), 4))
+    b = A.table(spark, sf_dir, "benchmark").withColumn("sig", corpus.signature(T.corpus_normalize(F.col("text")), 4))
     return b.select("item_id", *[F.col("sig")[i].alias(f"h{i}") for i in range(4)])
 
 
 @query("minhash_lsh_boilerplate")
 def minhash_lsh_boilerplate(spark, sf_dir):
     parts = corpus.chunks(_lines(spark, sf_dir))
-    hot = corpus.hot_chunks(parts, corpus.document_threshold(A.table(spark, sf_dir, "documents").count()), hashes=16, rows=4)
+    hot = corpus.hot_chunks(parts, corpus.document_threshold(A.table(spark, sf_dir, "documents").count()), hashes=64, rows=4)
     return hot.select(F.md5(F.col("norm").cast("binary")).alias("norm_md5"))
 
 
 @query("clean_corpus_stats")
 def clean_corpus_stats(spark, sf_dir):
-    return corpus.clean_corpus(A.table(spark, sf_dir, "documents").select("doc_id", "text"), hashes=16, rows=4)[1]
+    return corpus.clean_corpus(A.table(spark, sf_dir, "documents").select("doc_id", "text"))[1]
 
 
 # ---------------------------------------------------------------- graph
@@ -613,7 +610,7 @@ def tag_mismatch(spark, sf_dir):
 
 @query("neighbour_counts", "SELECT x.s_suppkey AS concept, count(*) AS n FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey <> y.s_suppkey GROUP BY 1")
 def neighbour_counts(spark, sf_dir):
-    return graph.neighbour_sets(A.table(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey").groupBy("concept").agg(F.count("*").alias("n"))
+    return graph.neighbour_counts(A.table(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey")
 
 
 # ---------------------------------------------------------------- consistency and sampling
@@ -706,9 +703,9 @@ def axis_modality_variants(spark, sf_dir):
     return axes.modality_variants(A.table(spark, sf_dir, "part"), "p_type", "p_name", _FORMS, "p_partkey")
 
 
-@query("axis_terminal_suffix", "WITH x AS (SELECT p_type, CASE WHEN regexp_extract(p_name, '(eel|ed|en|in|er)$', 1) = '' THEN '_other' ELSE regexp_extract(p_name, '(eel|ed|en|in|er)$', 1) END AS suffix FROM part), p AS (SELECT p_type, suffix, count(*) AS n FROM x GROUP BY 1, 2) SELECT * FROM p WHERE p_type IN (SELECT p_type FROM p GROUP BY p_type HAVING count(*) >= 2)")
+@query("axis_terminal_suffix", "WITH x AS (SELECT p_type, CASE WHEN regexp_extract(p_name, '(olt|ate|et|ar|ing)$', 1) = '' THEN '_other' ELSE regexp_extract(p_name, '(olt|ate|et|ar|ing)$', 1) END AS suffix FROM part), p AS (SELECT p_type, suffix, count(*) AS n FROM x GROUP BY 1, 2) SELECT * FROM p WHERE p_type IN (SELECT p_type FROM p GROUP BY p_type HAVING count(*) >= 2)")
 def axis_terminal_suffix(spark, sf_dir):
-    return axes.terminal_suffixes(A.table(spark, sf_dir, "part"), "p_type", "p_name", ["eel", "ed", "en", "in", "er"])
+    return axes.terminal_suffixes(A.table(spark, sf_dir, "part"), "p_type", "p_name", ["et", "ate", "ar", "olt", "ing"])
 
 
 @query("axis_contrast_order", "SELECT CASE WHEN regexp_matches(p_brand, '[13]$') THEN 'contrast_first' ELSE 'site_first' END AS ordering, count(*) AS n FROM part WHERE regexp_matches(p_name, 'red|green|blue|small|large') GROUP BY 1")
