@@ -207,6 +207,17 @@ def bidirectional_rows(pairs: DataFrame) -> DataFrame:
     return ok.select(both.alias("r")).select("r.*")
 
 
+def dictionary_rows(entries: DataFrame, languages: tuple[str, str] = ("et", "en")) -> DataFrame:
+    """(id, lang, text, translation, definition): entries(pos, term, en, desc) as index rows of both languages.
+
+    The crawler's ``desc`` is the index's ``definition``; entries without a term or a
+    translation are skipped after numbering.
+    """
+    ok = entries.where((T.text_or_empty(F.col("term")) != "") & (T.text_or_empty(F.col("en")) != ""))
+    row = lambda i, lang, a, b: F.struct((2 * F.col("pos") - i).alias("id"), F.lit(lang).alias("lang"), F.col(a).alias("text"), F.col(b).alias("translation"), F.coalesce("desc", F.lit("")).alias("definition"))
+    return ok.select(F.explode(F.array(row(1, languages[0], "term", "en"), row(0, languages[1], "en", "term"))).alias("r")).select("r.*")
+
+
 def keywords(text: Column, most: int = 10) -> Column:
     """The text itself and up to ``most`` of its distinct words, in order; the text is prepended only if absent."""
     words = F.slice(F.array_distinct(F.filter(S.word_tokens(text), lambda w: F.length(w) > 3)), 1, most)

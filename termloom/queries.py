@@ -749,9 +749,19 @@ def windowed_event_counts(spark, sf_dir):
     return windowed_counts(A.table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def _all() -> None:
+    """The other modules register their queries when they are imported."""
+    from importlib import import_module
+
+    for name in ("source_queries",):
+        import_module(f"{__package__}.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

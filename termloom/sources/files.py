@@ -216,8 +216,9 @@ def crawl(pages: DataFrame, starts: DataFrame, most: int = 32) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
-    """Rows as CSV with a header; a resumed run appends."""
-    df.write.mode("append" if append else "errorifexists").option("header", True).option("escape", '"').csv(path)
+    """Rows as CSV with a header, white space kept; a resumed run appends."""
+    out = df.write.mode("append" if append else "errorifexists").option("header", True).option("escape", '"')
+    out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def word_total(text: Column) -> Column:
