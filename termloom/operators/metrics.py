@@ -93,6 +93,12 @@ def calibration(rows: DataFrame, level: str, value: str, exact: str) -> DataFram
     return per.select("level", "n", F.round(F.col("v") / F.col("n"), 6).alias("mean_value"), F.round(F.col("e") / F.col("n"), 6).alias("exact_share"), F.round(F.sum("n").over(up) / F.sum("n").over(all_), 6).alias("kept_share"), F.round(F.sum("v").over(up) / F.sum("n").over(up), 6).alias("kept_mean"))
 
 
+def with_hierarchy(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """rows with the hierarchy of labels(key, hierarchy): '(unmapped)' where the key is missing, '(no tag)' where the name is blank."""
+    named = labels.select(key, F.when(T.text_or_empty(F.col("hierarchy")) == "", "(no tag)").otherwise(F.col("hierarchy")).alias("hierarchy"))
+    return rows.join(named, key, "left").withColumn("hierarchy", F.coalesce("hierarchy", F.lit("(unmapped)")))
+
+
 def calibration_correlation(rows: DataFrame, level: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of confidence and value, overall or by group; null where one of them does not vary."""
     known = rows.where(F.col(level).isNotNull() & F.col(value).isNotNull())

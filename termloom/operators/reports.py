@@ -46,6 +46,14 @@ def groups_with_rest(rows: DataFrame, group: str, least: int, value: str) -> Dat
     return joined.groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"))
 
 
+def split_means(rows: DataFrame, group: str, least: int, values: Sequence[str], split: str) -> DataFrame:
+    """Means of several values by group and split; groups of fewer than ``least`` rows together as '(other)', blank names as '(no tag)'."""
+    named = rows.withColumn("_g", F.when(T.text_or_empty(F.col(group)) == "", "(no tag)").otherwise(F.col(group)))
+    big = named.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_g", F.lit(1).alias("_big"))
+    joined = named.join(big, "_g", "left").withColumn("name", F.when(F.col("_big") == 1, F.col("_g")).otherwise("(other)"))
+    return joined.groupBy("name", split).agg(F.count("*").alias("n"), *[F.round(F.avg(v), 6).alias(f"mean_{v}") for v in values])
+
+
 def eval_set(edges: DataFrame, roots: DataFrame, terms: DataFrame, preferred: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, coverage): descendants of the roots with a term and a preferred target; ids ordered as numbers.
 

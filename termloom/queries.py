@@ -321,12 +321,6 @@ def script_checks(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", T.has_hangul(t).alias("hangul"), T.has_latin(t).alias("latin"), T.has_estonian_marks(t).alias("marks"))
 
 
-@query("glossary_hits")
-def glossary_hits(spark, sf_dir):
-    keys = F.array(*[F.lit(x) for x in ("green", "green steel", "steel", "large brushed", "brushed", "small tin")])
-    return A.table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.glossary_hits(F.col("p_name"), keys), "|").alias("hits"))
-
-
 @query("html_terms", "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1)) AS body FROM pages) WHERE trim(regexp_replace(regexp_replace(regexp_extract(body, '(?s)^(.*)$', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') <> '' GROUP BY page_id")
 def html_terms(spark, sf_dir):
     t = SRC.html_terms(A.table(spark, sf_dir, "pages"), r"(?s)<p[^>]*>(.*?)</p>", r"(?s)^(.*)$", r"(?s)^(.*)$")
@@ -498,15 +492,9 @@ def dictionary_lookup(spark, sf_dir):
     return graph.dictionary_lookup(rows, ["direct", "indirect"], n.select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value")))
 
 
-@query("sentence_chunks")
-def sentence_chunks(spark, sf_dir):
-    d = A.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.sentence_chunks(F.col("text"), 200, 60)).alias("pos", "chunk"))
-    return d.select("item_id", "pos", F.length("chunk").alias("chars"))
-
-
 # ---------------------------------------------------------------- corpus cleaning
 def _lines(spark, sf_dir):
-    return corpus.clean_lines(A.table(spark, sf_dir, "documents"))
+    return corpus.clean_lines(A.corpus_docs(spark, sf_dir))
 
 
 _NOISE = r"regexp_matches(trim(l, ' '), '(?i)^\s*(page|lk\.?|lehek(ülg|g))?\s*[0-9]+\s*((/|of)\s*[0-9]+)?\s*$') OR regexp_matches(trim(l, ' '), '(?i)https?://\S+|www\.\S+') OR regexp_matches(trim(l, ' '), '(?i)[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+') OR regexp_matches(trim(l, ' '), '^[-_=]{4,}$') OR (regexp_matches(trim(l, ' '), '\+?[0-9][0-9\s().-]{6,}[0-9]') AND regexp_matches(trim(l, ' '), '(?i)\b(tel|telefon|phone|kontakt)\b')) OR (regexp_matches(trim(l, ' '), '(?i)\b(koostaja|author|authors|contact|kontakt|version|versioon)\b') AND length(trim(l, ' ')) <= 200) OR (regexp_matches(trim(l, ' '), '(?i)\b(tn\.?|tänav|street|st\.?|road|rd\.?|ave\.?|avenue|puiestee)\b') AND regexp_matches(trim(l, ' '), '[0-9]') AND length(trim(l, ' ')) <= 200)"
@@ -518,13 +506,56 @@ def noise_lines(spark, sf_dir):
     return d.groupBy("doc_id").agg(F.sum(T.is_layout_noise(F.col("l")).cast("long")).alias("noise"), F.count("*").alias("lines"))
 
 
-@query("section_skip")
+# The same steps in DuckDB: a fold over all lines carries whether they are skipped.
+_STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`([^`]*)`', '\1', 'g'), '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g')"
+_NAMED = " OR ".join(f"contains(lower(title), '{k}')" for k in T.SECTION_KEYWORDS)
+_SKIPPED = rf"""{A.CORPUS_SQL},
+li AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(regexp_replace({_STRIPPED}, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM cd)),
+lh AS (SELECT *, regexp_extract(l, '^(#{{1,6}})\s+(.*)$', 1) AS hs, regexp_replace(trim(l, ' '), '[^A-Za-z\s-]', '', 'g') AS letters FROM li),
+lt AS (SELECT *, hs <> '' AS md, hs = '' AND trim(l, ' ') <> '' AND length(trim(l, ' ')) <= 120 AND letters <> '' AND letters = upper(letters) AND len(list_filter(regexp_split_to_array(letters, '\s+'), lambda x: x <> '')) <= 10 AS caps FROM lh),
+ln AS (SELECT *, md OR caps AS h, CASE WHEN md THEN length(hs) END AS hl, CASE WHEN md THEN trim(regexp_extract(l, '^(#{{1,6}})\s+(.*)$', 2), ' ') WHEN caps THEN trim(l, ' ') ELSE '' END AS title FROM lt),
+lf AS (SELECT doc_id, i, l, h, hl, h AND ({_NAMED}) AS named FROM ln),
+lr AS (SELECT doc_id, list({{'skip': false, 'level': NULL::BIGINT, 'h': h, 'hl': hl::BIGINT, 'named': named}} ORDER BY i) AS ls, list(l ORDER BY i) AS texts FROM lf GROUP BY doc_id),
+hd AS (SELECT doc_id, list_filter(list_transform(ls, lambda x, i: {{'i': i, 'hl': x.hl, 'named': x.named, 'h': x.h, 'skip': false, 'level': NULL::BIGINT, 'out': []::STRUCT(i BIGINT, skip BOOLEAN)[]}}), lambda x: x.h) AS hs, texts FROM lr),
+fo AS (SELECT doc_id, texts, list_reduce(list_prepend({{'i': 0::BIGINT, 'hl': NULL::BIGINT, 'named': false, 'h': false, 'skip': false, 'level': NULL::BIGINT, 'out': []::STRUCT(i BIGINT, skip BOOLEAN)[]}}, hs), lambda a, x: {{'i': x.i, 'hl': x.hl, 'named': x.named, 'h': x.h,
+  'skip': (a.skip AND NOT (x.hl IS NULL OR a.level IS NULL OR x.hl <= a.level)) OR x.named,
+  'level': CASE WHEN NOT (a.skip AND NOT (x.hl IS NULL OR a.level IS NULL OR x.hl <= a.level)) AND x.named THEN x.hl WHEN a.skip AND NOT (x.hl IS NULL OR a.level IS NULL OR x.hl <= a.level) THEN a.level END,
+  'out': list_append(a.out, {{'i': x.i, 'skip': (a.skip AND NOT (x.hl IS NULL OR a.level IS NULL OR x.hl <= a.level)) OR x.named}})}}).out AS marks FROM hd),
+ex AS (SELECT doc_id, generate_subscripts(texts, 1) AS i, unnest(texts) AS l FROM fo),
+mk AS (SELECT doc_id, m.i AS i, m.skip AS skip FROM (SELECT doc_id, unnest(marks) AS m FROM fo)),
+sk AS (SELECT ex.doc_id, ex.i, ex.l, coalesce(mk.skip, false) AS skip FROM ex ASOF LEFT JOIN mk ON ex.doc_id = mk.doc_id AND ex.i >= mk.i),
+cl AS (SELECT doc_id, i, l FROM sk WHERE NOT skip AND NOT (trim(l, ' ') <> '' AND ({_NOISE}))),
+ct AS (SELECT cd.doc_id, coalesce(c.text, '') AS text, coalesce(c.n, 0) AS n FROM cd LEFT JOIN (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS text, count(*) AS n FROM cl GROUP BY doc_id) c USING (doc_id))"""
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_CHUNKED = rf"""{_SKIPPED},
+ca AS (SELECT doc_id, list_filter(flatten(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda p: {_STRIP.format('p')}), lambda p: p <> ''), lambda p: CASE WHEN length(p) <= 800 THEN [p] ELSE list_transform(string_split(p, chr(10)), lambda q: {_STRIP.format('q')}) END)), lambda p: length(p) >= 40) AS ps FROM ct),
+cu AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS ordinal, unnest(ps) AS raw FROM ca),
+ch AS (SELECT doc_id, ordinal, raw, {_NORM.format('raw')} AS norm FROM cu)"""
+_THRESHOLD = "th AS (SELECT CASE WHEN count(*) <= 1 THEN 1 ELSE least(count(*), greatest(2, CAST(ceil(count(*) * 0.02::DOUBLE - 1e-9) AS BIGINT))) END AS t FROM documents)"
+_EDGED = rf"""ed AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS ls FROM ct WHERE n > 0),
+eb AS (SELECT doc_id, edge, {_NORM.format('block')} AS norm FROM (SELECT doc_id, 'start' AS edge, array_to_string(ls[1:3], chr(10)) AS block FROM ed WHERE len(ls) > 0 UNION ALL SELECT doc_id, 'end', array_to_string(ls[-3:], chr(10)) FROM ed WHERE len(ls) > 0)),
+fe AS (SELECT norm, sum(n) AS n FROM (SELECT edge, norm, count(DISTINCT doc_id) AS n FROM eb WHERE norm <> '' GROUP BY 1, 2) GROUP BY norm HAVING sum(n) >= (SELECT t FROM th))"""
+
+
+def _lsh_sql(source: str) -> str:
+    """(norm) of the near-duplicate chunks of ``source(doc_id, norm)``, with all 64 hash functions in 16 bands."""
+    functions = ", ".join(f"{{'a': {a}, 'b': {b}}}" for a, b in corpus.family(64))
+    return f"""sw AS (SELECT norm, list_filter(string_split(norm, ' '), lambda x: x <> '') AS w FROM (SELECT DISTINCT norm FROM {source} WHERE norm <> '')),
+sx AS (SELECT norm, list_transform(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE w END), lambda x: CAST('0x' || left(md5(x), 7) AS BIGINT)) AS xs FROM sw),
+sg AS (SELECT norm, list_transform([{functions}], lambda f: list_min(list_transform(xs, lambda x: (f.a * x + f.b) % {corpus.PRIME}))) AS sig FROM sx WHERE len(xs) > 0),
+sb AS (SELECT norm, unnest(range(16)) AS band, sig FROM sg),
+sk2 AS (SELECT norm, band, array_to_string(sig[band * 4 + 1:band * 4 + 4], '|') AS key FROM sb),
+sh AS (SELECT band, key FROM sk2 JOIN (SELECT DISTINCT norm, doc_id FROM {source}) d USING (norm) GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= (SELECT t FROM th)),
+hot AS (SELECT DISTINCT norm FROM sk2 SEMI JOIN sh USING (band, key))"""
+
+
+@query("section_skip", f"WITH {_SKIPPED} SELECT doc_id, CAST(n AS INT) AS n_lines, md5(text) AS digest FROM ct")
 def section_skip(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     return lines.select("doc_id", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "\n").cast("binary")).alias("digest"))
 
 
-@query("chunk_paragraphs")
+@query("chunk_paragraphs", f"WITH {_CHUNKED} SELECT doc_id, CAST(ordinal AS INT) AS ordinal, CAST(length(raw) AS INT) AS chars, md5(norm) AS norm_md5 FROM ch")
 def chunk_paragraphs(spark, sf_dir):
     return corpus.chunks(_lines(spark, sf_dir)).select("doc_id", "ordinal", F.length("raw").alias("chars"), F.md5(F.col("norm").cast("binary")).alias("norm_md5"))
 
@@ -540,28 +571,45 @@ def chunk_df_boilerplate(spark, sf_dir):
     return corpus.frequent_chunks(parts, corpus.document_threshold(d.count()))
 
 
-@query("edge_block_df")
+@query("edge_block_df", f"WITH {_SKIPPED}, {_THRESHOLD}, {_EDGED} SELECT md5(norm) AS norm_md5, CAST(n AS BIGINT) AS n FROM fe")
 def edge_block_df(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     return corpus.frequent_edges(corpus.edge_blocks(lines), corpus.document_threshold(A.table(spark, sf_dir, "documents").count())).select(F.md5(F.col("norm").cast("binary")).alias("norm_md5"), "n")
 
 
-@query("minhash_bands", "WITH b AS (SELECT item_id, " + _NORM.format("text") + " AS norm FROM benchmark), w AS (SELECT item_id, list_filter(string_split(norm, ' '), lambda x: x <> '') AS w FROM b), s AS (SELECT item_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE w END) AS s FROM w) SELECT item_id, list_min(list_transform(s, lambda x: md5('0:' || x))) AS h0, list_min(list_transform(s, lambda x: md5('1:' || x))) AS h1, list_min(list_transform(s, lambda x: md5('2:' || x))) AS h2, list_min(list_transform(s, lambda x: md5('3:' || x))) AS h3 FROM s")
+_FEW = ", ".join(f"list_min(list_transform(x, lambda v: ({a} * v + {b}) % {corpus.PRIME})) AS h{i}" for i, (a, b) in enumerate(corpus.family(4)))
+
+
+@query("minhash_bands", "WITH b AS (SELECT item_id, " + _NORM.format("text") + f" AS norm FROM benchmark), w AS (SELECT item_id, list_filter(string_split(norm, ' '), lambda x: x <> '') AS w FROM b), s AS (SELECT item_id, list_transform(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE w END), lambda x: CAST('0x' || left(md5(x), 7) AS BIGINT)) AS x FROM w) SELECT item_id, {_FEW} FROM s")
 def minhash_bands(spark, sf_dir):
     b = A.table(spark, sf_dir, "benchmark").withColumn("sig", corpus.signature(T.corpus_normalize(F.col("text")), 4))
     return b.select("item_id", *[F.col("sig")[i].alias(f"h{i}") for i in range(4)])
 
 
-@query("minhash_lsh_boilerplate")
+@query("minhash_lsh_boilerplate", f"WITH {_CHUNKED}, {_THRESHOLD}, {_lsh_sql('ch')} SELECT md5(norm) AS norm_md5 FROM hot")
 def minhash_lsh_boilerplate(spark, sf_dir):
     parts = corpus.chunks(_lines(spark, sf_dir))
-    hot = corpus.hot_chunks(parts, corpus.document_threshold(A.table(spark, sf_dir, "documents").count()), hashes=64, rows=4)
+    hot = corpus.hot_chunks(parts, corpus.document_threshold(A.table(spark, sf_dir, "documents").count()))
     return hot.select(F.md5(F.col("norm").cast("binary")).alias("norm_md5"))
 
 
-@query("clean_corpus_stats")
+_CLEANED = f"""WITH {_CHUNKED}, {_THRESHOLD}, {_EDGED},
+fc AS (SELECT norm FROM ch GROUP BY norm HAVING count(DISTINCT doc_id) >= (SELECT t FROM th)),
+m1 AS (SELECT ch.*, norm IN (SELECT norm FROM fe) AS e, norm IN (SELECT norm FROM fc) AS c FROM ch),
+re AS (SELECT doc_id, norm FROM m1 WHERE NOT e AND NOT c),
+{_lsh_sql('re')},
+m2 AS (SELECT *, norm IN (SELECT norm FROM hot) AS h FROM m1)"""
+
+
+@query("clean_corpus_stats", f"{_CLEANED} SELECT count(*) AS chunks, count(*) FILTER (WHERE e) AS dropped_edge, count(*) FILTER (WHERE NOT e AND c) AS dropped_frequent, count(*) FILTER (WHERE NOT e AND NOT c AND h) AS dropped_near, count(*) FILTER (WHERE NOT e AND NOT c AND NOT h) AS kept, CAST((SELECT count(*) FROM documents) AS INT) AS documents, CAST((SELECT t FROM th) AS INT) AS threshold FROM m2")
 def clean_corpus_stats(spark, sf_dir):
-    return corpus.clean_corpus(A.table(spark, sf_dir, "documents").select("doc_id", "text"))[1]
+    return corpus.clean_corpus(A.corpus_docs(spark, sf_dir))[1]
+
+
+@query("clean_corpus_texts", f"{_CLEANED}, tx AS (SELECT doc_id, string_agg(raw, chr(10) || chr(10) ORDER BY ordinal) AS body FROM m2 WHERE NOT e AND NOT c AND NOT h GROUP BY doc_id) SELECT doc_id, md5(coalesce(regexp_replace(regexp_replace(regexp_replace(body, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), '')) AS digest FROM cd LEFT JOIN tx USING (doc_id)")
+def clean_corpus_texts(spark, sf_dir):
+    """The cleaned texts themselves."""
+    return corpus.clean_corpus(A.corpus_docs(spark, sf_dir))[0].select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 # ---------------------------------------------------------------- graph
@@ -627,13 +675,6 @@ def majority_vote(spark, sf_dir):
     return pairs.majority_vote(A.samples(spark, sf_dir), "user_id", "text")
 
 
-@query("consistency_calibration")
-def consistency_calibration(spark, sf_dir):
-    got = pairs.group_candidates(A.samples(spark, sf_dir), "user_id", "text")
-    refs = A.samples(spark, sf_dir).groupBy("user_id").agg(F.array(F.min("text")).alias("refs"))
-    return metrics.consistency_summary(metrics.consistency_scores(got, refs, "user_id"))
-
-
 @query("tier_quota_sample", "SELECT doc_id, lang, CAST(draw AS INT) AS draw FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS draw FROM documents) WHERE draw <= CASE lang WHEN 'de' THEN 26 WHEN 'en' THEN 26 ELSE 25 END")
 def tier_quota_sample(spark, sf_dir):
     return sampling.stratified(A.table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", sampling.quotas(102, ["de", "en", "es", "fr"]), "42")
@@ -681,11 +722,6 @@ def extremes(spark, sf_dir):
     return sampling.extremes(A.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
 
 
-@query("diverse_by_bucket")
-def diverse_by_bucket(spark, sf_dir):
-    return sampling.diverse_by_bucket(A.table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 5, 40)
-
-
 @query("longest_notes", "WITH c AS (SELECT conv_id * 1000 + turn AS id, role, text FROM conversations WHERE length(text) > 40) SELECT id, role, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY CASE WHEN contains(text, 'a') THEN 1 ELSE 0 END, length(text) DESC, id) AS place FROM c) WHERE place <= 6")
 def longest_notes(spark, sf_dir):
     c = A.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
@@ -753,7 +789,7 @@ def _all() -> None:
     """The other modules register their queries when they are imported."""
     from importlib import import_module
 
-    for name in ("source_queries",):
+    for name in ("source_queries", "text_queries"):
         import_module(f"{__package__}.{name}")
 
 
