@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import similarity as S
 from ..functions import text as T
@@ -21,6 +22,10 @@ from ..session import ship
 
 #: Queries that one pass over the corpus answers.
 QUERY_BLOCK = 8192
+#: Queries that are compared with a batch at once.
+QUERY_STEP = 512
+#: Queries of a sparse pass (each has up to SPARSE_KEPT weights).
+SPARSE_BLOCK = 2048
 #: Sparse weights kept of a text.
 SPARSE_KEPT = 512
 
@@ -40,59 +45,84 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def _searched(ids: list, queries: np.ndarray, k: int, digits: int, self_match: bool):
-    wanted = _units(queries)
-    qid = np.array(ids)
+def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores; of equal ones the smallest ids; only finite ones."""
+    if len(scores) > k:
+        kept = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+    else:
+        kept = np.arange(len(scores))
+    kept = kept[np.isfinite(scores[kept])]
+    return kept[np.lexsort((ids[kept], -scores[kept]))[:k]] if len(kept) > k else kept
 
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return _units(x) @ _units(y).T
+
+
+def _hyperbolic(curvature: float):
+    """Minus the distance in the Poincare ball of curvature -``curvature``."""
+
+    def score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        xx, yy = (x * x).sum(axis=1)[:, None], (y * y).sum(axis=1)[None, :]
+        apart = ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+        inner = (1 - curvature * xx) * (1 - curvature * yy) + 1e-7
+        return -np.arccosh(np.maximum(1 + 2 * curvature * apart / inner, 1.0)) / np.sqrt(curvature)
+
+    return score
+
+
+def _searched(shared, k: int, digits: int, self_match: bool, score, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries, groups = shared.value
         for batch in batches:
             cid = np.asarray(batch.column(0))
-            sims = np.round(wanted @ _units(_matrix(batch.column(1), wanted.shape[1])).T, digits)
-            if not self_match:
-                sims[qid[:, None] == cid[None, :]] = -np.inf
-            rows, cols = [], []
-            for i in range(len(qid)):
-                s = sims[i]
-                if len(s) > k:  # all that tie with the k-th stay, so that ids can break ties later
-                    kept = np.flatnonzero(s >= np.partition(s, -k)[-k])
-                else:
-                    kept = np.arange(len(s))
-                kept = kept[np.isfinite(s[kept])]
-                if len(kept) > 4 * k:  # many ties: the smallest ids come first
-                    kept = kept[np.lexsort((cid[kept], -s[kept]))[:k]]
-                rows.append(np.full(len(kept), i))
-                cols.append(kept)
-            r, c = np.concatenate(rows), np.concatenate(cols)
-            yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(cid[c]), pa.array(sims[r, c])], ["query_id", "point_id", "score"])
+            x = _matrix(batch.column(1), queries.shape[1])
+            own = batch.column(2).to_numpy(zero_copy_only=False) if groups is not None else None
+            for first in range(0, len(ids), step):
+                part = slice(first, first + step)
+                sims = np.round(score(queries[part], x), digits)
+                if not self_match:
+                    sims[ids[part][:, None] == cid[None, :]] = -np.inf
+                if own is not None:
+                    sims[groups[part][:, None] != own[None, :]] = -np.inf
+                best = [_best_of(cid, row, k) for row in sims]
+                r, c = np.repeat(np.arange(len(best)), list(map(len, best))), np.concatenate(best)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part][r]), pa.array(cid[c]), pa.array(sims[r, c])], ["query_id", "point_id", "score"])
 
     return run
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, digits: int = 6, self_match: bool = False) -> DataFrame:
-    """(query_id, point_id, score, rank) of the k nearest by cosine.
-
-    ``corpus(point_id, vector)``, ``queries(query_id, vector)``; scores are rounded
-    to ``digits`` and ties broken by the smaller id.
-    """
-    ship(corpus.sparkSession)
+def _nearest(corpus: DataFrame, queries: DataFrame, k: int, digits: int, self_match: bool, score, step: int, within: tuple[str, str] | None = None) -> DataFrame:
+    """(query_id, point_id, score): a superset of the k best of each query, a few from each batch of the corpus."""
+    spark = corpus.sparkSession
+    ship(spark)
     n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
     found = None
-    for first in range(max(1, -(-n // QUERY_BLOCK))):
-        blocks = -(-n // QUERY_BLOCK)
-        part = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == first)
-        rows = part.select("query_id", "vector").orderBy("query_id").collect()  # at most about QUERY_BLOCK rows
+    for i in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        rows = part.select("query_id", "vector", *([F.col(within[1]).alias("g")] if within else [])).orderBy("query_id").collect()  # at most about QUERY_BLOCK rows
         if not rows:
             continue
         width = max((len(r["vector"]) for r in rows if r["vector"] is not None), default=0)
         x = np.zeros((len(rows), width))
-        for i, r in enumerate(rows):
+        for at, r in enumerate(rows):
             if r["vector"] is not None and len(r["vector"]) == width:
-                x[i] = r["vector"]
-        hits = corpus.select("point_id", "vector").mapInArrow(_searched([r["query_id"] for r in rows], x, k, digits, self_match), "query_id long, point_id long, score double")
+                x[at] = r["vector"]
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), x, np.array([r["g"] for r in rows], object) if within else None))
+        hits = corpus.select("point_id", "vector", *([within[0]] if within else [])).mapInArrow(_searched(shared, k, digits, self_match, score, step), "query_id long, point_id long, score double")
         found = hits if found is None else found.unionAll(hits)
-    if found is None:
-        return corpus.sparkSession.createDataFrame([], "query_id long, point_id long, score double, rank int")
-    return ranked(found, k)
+    return found if found is not None else spark.createDataFrame([], "query_id long, point_id long, score double")
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, digits: int = 6, self_match: bool = False, within: tuple[str, str] | None = None) -> DataFrame:
+    """(query_id, point_id, score, rank) of the k nearest by cosine.
+
+    ``corpus(point_id, vector)``, ``queries(query_id, vector)``; scores are rounded
+    to ``digits`` and ties broken by the smaller id. ``within`` names a corpus and a
+    query column that must be equal: a payload filter, applied before ranking.
+    """
+    return ranked(_nearest(corpus, queries, k, digits, self_match, _cosines, QUERY_STEP, within), k)
 
 
 def ranked(scored: DataFrame, k: int | None = None, keys: tuple[str, ...] = ("query_id",), tie: str = "point_id") -> DataFrame:
@@ -116,12 +146,78 @@ def lexical_weights(docs: DataFrame, id_col: str, text_col: str, most: int = SPA
     return counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
 
 
+def _weighed(shared, k: int):
+    """Sparse dot products of each batch of points with the query block, token by token; the best k of each query go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, table = shared.value
+        for batch in batches:
+            pid = np.asarray(batch.column(0))
+            tokens, weights = batch.column(1), batch.column(2)
+            at = np.asarray(tokens.offsets) - tokens.offsets[0].as_py()
+            words, w = tokens.flatten().to_pylist(), np.asarray(weights.flatten()).astype(np.float64)
+            owner = np.repeat(np.arange(len(pid)), np.diff(at))
+            places: dict[str, list[int]] = {}
+            for i, t in enumerate(words):
+                if t in table:
+                    places.setdefault(t, []).append(i)
+            for first in range(0, n, QUERY_STEP):
+                last = min(n, first + QUERY_STEP)
+                scores = np.zeros((last - first, len(pid)))
+                for t, where in places.items():
+                    qs, qw = table[t]
+                    a, b = np.searchsorted(qs, [first, last])
+                    if b > a:
+                        scores[np.ix_(qs[a:b] - first, owner[where])] += qw[a:b, None] * w[where][None, :]
+                scores[scores == 0] = -np.inf
+                best = [_best_of(pid, row, k) for row in scores]
+                r, c = np.repeat(np.arange(len(best)), list(map(len, best))), np.concatenate(best)
+                yield pa.RecordBatch.from_arrays([pa.array(r + first, pa.int32()), pa.array(pid[c]), pa.array(scores[r, c])], ["at", "point_id", "score"])
+
+    return run
+
+
+def _sparse_nearest(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(id, point_id, score): a superset of the k best points of each query id, by sparse dot product of (id, token, weight) tables."""
+    spark = postings.sparkSession
+    ship(spark)
+    points = postings.groupBy(F.col("id").cast("long").alias("point_id")).agg(F.collect_list("token").alias("tokens"), F.collect_list("weight").alias("weights"))
+    whole = queries.groupBy("id").agg(F.collect_list(F.struct("token", "weight")).alias("e"))
+    n = whole.count()
+    blocks = max(1, -(-n // SPARSE_BLOCK))
+    kind = _numbered(queries, "id")
+    found = None
+    for i in range(blocks):
+        part = whole if blocks == 1 else whole.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
+        rows = part.collect()  # at most about SPARSE_BLOCK rows
+        if not rows:
+            continue
+        table: dict[str, tuple[list, list]] = {}
+        for at, r in enumerate(rows):
+            for e in r["e"]:
+                qs, qw = table.setdefault(e["token"], ([], []))
+                qs.append(at)
+                qw.append(float(e["weight"]))
+        shared = spark.sparkContext.broadcast((len(rows), {t: (np.array(qs), np.array(qw)) for t, (qs, qw) in table.items()}))
+        hits = points.mapInArrow(_weighed(shared, k), "at int, point_id long, score double")
+        names = spark.createDataFrame([(at, r["id"]) for at, r in enumerate(rows)], kind)
+        hits = hits.join(F.broadcast(names), "at").select("id", "point_id", "score")
+        found = hits if found is None else found.unionAll(hits)
+    return found if found is not None else queries.select("id", F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("score")).limit(0)
+
+
+def _numbered(df: DataFrame, column: str) -> StructType:
+    """(at, id) with the type of a column."""
+    return StructType([StructField("at", IntegerType()), StructField("id", df.schema[column].dataType)])
+
+
 def sparse_topk(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, point_id, score, rank) by sparse dot product of two (id, token, weight) tables."""
-    q = queries.select(F.col("id").alias("query_id"), "token", F.col("weight").alias("qw"))
-    p = postings.select(F.col("id").alias("point_id"), "token", F.col("weight").alias("pw"))
-    scored = q.join(p, "token").groupBy("query_id", "point_id").agg(F.sum(F.col("qw") * F.col("pw")).cast("double").alias("score"))
-    return ranked(scored, k)
+    """(query_id, point_id, score, rank) by sparse dot product of two (id, token, weight) tables.
+
+    The query set is taken in blocks, as in dense search: a common token makes no row
+    for each pair that shares it, only the best of each batch are shuffled.
+    """
+    return ranked(_sparse_nearest(postings, queries, k).withColumnRenamed("id", "query_id"), k)
 
 
 def rrf(rankings: list[DataFrame], k: float = 2.0, rank_base: int = 0, limit: int | None = None) -> DataFrame:
@@ -229,9 +325,8 @@ def exemplar_lookup(queries: DataFrame, postings: DataFrame, top_n: int = 5) ->
     """Best exemplars of each query(query_id, text): searched by keyword, the best score of an exemplar counts."""
     asked = queries.select("query_id", F.posexplode(keywords(F.col("text"))).alias("key", "word"))
     tokens = asked.select(F.struct("query_id", "key").alias("id"), F.explode(S.word_tokens(F.col("word"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("weight"))
-    p = postings.select(F.col("id").alias("point_id"), "token", F.col("weight").alias("pw"))
-    scored = tokens.join(p, "token").groupBy("id", "point_id").agg(F.sum(F.col("weight") * F.col("pw")).cast("double").alias("score"))
-    per_key = ranked(scored.withColumnRenamed("id", "query_key"), max(3 * top_n, top_n), keys=("query_key",))
+    most = max(3 * top_n, top_n)
+    per_key = ranked(_sparse_nearest(postings, tokens, most).withColumnRenamed("id", "query_key"), most, keys=("query_key",))
     best = per_key.groupBy(F.col("query_key.query_id").alias("query_id"), "point_id").agg(F.max("score").alias("score"))
     return ranked(best, top_n)
 
@@ -256,13 +351,6 @@ def threshold_passages(hits: DataFrame, cut: float | None, most: int, chars: int
 
 
 def poincare_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, curvature: float = 1.0) -> DataFrame:
-    """(query_id, point_id, distance, rank) of the nearest by hyperbolic distance; the query set is sent if it is small."""
-    few = queries.select("query_id", F.col("vector").alias("qv"))
-    n = few.count()
-    parts = [F.broadcast(few)] if n <= QUERY_BLOCK else [F.broadcast(few.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == i)) for i in range(-(-n // QUERY_BLOCK))]
-    found = None
-    for p in parts:
-        d = corpus.join(p, F.col("query_id") != F.col("point_id")).select("query_id", "point_id", F.round(S.poincare_distance(F.col("qv"), F.col("vector"), curvature), 6).alias("distance"))
-        found = d if found is None else found.unionAll(d)
-    w = Window.partitionBy("query_id").orderBy("distance", "point_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """(query_id, point_id, distance, rank) of the nearest by hyperbolic distance; each batch of the corpus sends its best k."""
+    near = ranked(_nearest(corpus, queries, k, 6, False, _hyperbolic(curvature), 16), k)
+    return near.select("query_id", "point_id", (-F.col("score")).alias("distance"), "rank")

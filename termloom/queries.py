@@ -76,16 +76,15 @@ def sparse_topk(spark, sf_dir):
     return retrieval.sparse_topk(p, q, 10)
 
 
-@query("hybrid_rrf", f"WITH {_UNIT}, a AS (SELECT query_id, point_id, rank FROM rk WHERE rank <= 40), b AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, point_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS point_id, round(list_dot_product(q.e, c.e), 6) AS s FROM vec q JOIN vec c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)), f AS (SELECT query_id, point_id, round(sum(1.0::DOUBLE / (2 + rank - 1)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE rank <= 40) GROUP BY 1, 2), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM f) SELECT query_id, point_id, score, CAST(rank AS INT) AS rank FROM fr WHERE rank <= 10")
+@query("hybrid_rrf", f"WITH {_UNIT}, a AS (SELECT query_id, point_id, rank FROM rk WHERE rank <= 40), b AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, point_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS point_id, round(list_cosine_similarity(q.e, c.e), 6) AS s FROM vec q JOIN vec c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)), f AS (SELECT query_id, point_id, round(sum(1.0::DOUBLE / (2 + rank - 1)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE rank <= 40) GROUP BY 1, 2), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM f) SELECT query_id, point_id, score, CAST(rank AS INT) AS rank FROM fr WHERE rank <= 10")
 def hybrid_rrf(spark, sf_dir):
     c, q = A.dense_corpus(spark, sf_dir), A.dense_queries(spark, sf_dir)
     dense = retrieval.dense_topk(c, q, 40)
-    both = q.join(c, (F.col("gold") == F.col("label")) & (F.col("query_id") != F.col("point_id")))
-    filtered = both.select("query_id", "point_id", F.round(S.dot(q["vector"], c["vector"]), 6).alias("score"))
-    return retrieval.rrf([dense, retrieval.ranked(filtered, 40)], limit=10)
+    filtered = retrieval.dense_topk(c, q, 40, within=("label", "gold"))
+    return retrieval.rrf([dense, filtered], limit=10)
 
 
-@query("rerank_signal")
+@query("rerank_signal", f"WITH {_TOK}, h AS (SELECT query_id, point_id, rank FROM srk WHERE rank <= 10), t AS (SELECT query_id, point_id, rank, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '\\s+'), lambda x: x <> '')) AS b FROM h JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = point_id), s AS (SELECT query_id, point_id, rank, CASE WHEN len(list_distinct(a || b)) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)) ELSE 0 END AS s FROM t), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS k FROM s) SELECT b.item_id AS query_id, point_id AS concept, s AS rerank_score, CAST(rank AS INT) AS old_rank, CAST(coalesce(k, 0) AS INT) AS new_rank FROM benchmark b LEFT JOIN n ON n.query_id = b.item_id")
 def rerank_signal(spark, sf_dir):
     docs, bench = A.table(spark, sf_dir, "documents"), A.table(spark, sf_dir, "benchmark")
     q = bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -94,7 +93,11 @@ def rerank_signal(spark, sf_dir):
     return retrieval.rerank(q, named, retrieval.overlap_scorer)
 
 
-@query("exemplar_lookup")
+_WORDS = r"regexp_extract_all(lower({0}), '([\p{{L}}\p{{N}}_]+)', 1)"
+
+
+@query("exemplar_lookup", f"""WITH q AS (SELECT p_partkey AS query_id, p_name AS text, list_filter({_WORDS.format('p_name')}, lambda w: length(w) > 3) AS w FROM part WHERE p_partkey % 20 = 0), k AS (SELECT query_id, CASE WHEN list_contains(w, lower(trim(text))) THEN w ELSE list_prepend(lower(trim(text)), w) END AS ks FROM q), e AS (SELECT query_id, generate_subscripts(ks, 1) AS key, unnest(ks) AS word FROM k), et AS (SELECT query_id, key, token, count(*) AS weight FROM (SELECT query_id, key, unnest({_WORDS.format('word')}) AS token FROM e) GROUP BY 1, 2, 3),
+pt AS (SELECT id, token, count(*) AS weight FROM (SELECT p_partkey AS id, unnest({_WORDS.format('p_name')}) AS token FROM part) GROUP BY 1, 2), s AS (SELECT query_id, key, pt.id AS point_id, CAST(sum(et.weight * pt.weight) AS DOUBLE) AS score FROM et JOIN pt USING (token) GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, point_id) AS k FROM s), b AS (SELECT query_id, point_id, max(score) AS score FROM r WHERE k <= 15 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM b) SELECT query_id, point_id, score, CAST(rank AS INT) AS rank FROM o WHERE rank <= 5""")
 def exemplar_lookup(spark, sf_dir):
     p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name").withColumn("text", F.col("p_name"))
     b = A.table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
