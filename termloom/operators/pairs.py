@@ -119,3 +119,11 @@ def majority_vote(rows: DataFrame, key: str, text: str, pos: str = "pos") -> Dat
     spell = ok.groupBy(key, "_norm", F.col(text).alias("_text")).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
     form = spell.groupBy(key, "_norm").agg(F.sum("n").alias("total"), F.min("first").alias("form_first"), F.max_by("_text", F.struct("n", -F.col("first"))).alias(text))
     return first_by(form, [key], [F.desc("total"), "form_first"]).select(key, text, F.col("total").alias("votes"))
+
+
+def info_counts(rows: DataFrame, info: DataFrame, key: str, target: str) -> DataFrame:
+    """One row: how many rows there are, how many have no target, and of the others how many ``info`` knows or lacks."""
+    known = rows.join(info.select(key).distinct().withColumn("_known", F.lit(1)), key, "left")
+    filled, have = T.text_or_empty(F.col(target)) != "", F.col("_known").isNotNull()
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return known.agg(F.count("*").alias("n"), n(~filled).alias("blank"), n(filled & ~have).alias("missing"), n(filled & have).alias("joined"))

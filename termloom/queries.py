@@ -792,7 +792,7 @@ def _all() -> None:
     """The other modules register their queries when they are imported."""
     from importlib import import_module
 
-    for name in ("source_queries", "text_queries"):
+    for name in ("source_queries", "text_queries", "model_queries"):
         import_module(f"{__package__}.{name}")
 
 
