@@ -6,7 +6,7 @@ method, a distributed difference cover, sorts every byte position several times
 and does not fit the disk limit (README, op7). This is another method, by
 content-chosen anchors and grouping by hash; it keeps the property on which the
 difference cover rests - two equal strings hold a sampled position at the same
-offset - at one sample in about 3/8 of ``length``:
+offset - at one sample in about two fifths of ``length``:
 
 1. *Anchors*: the leftmost minimum of the hashed k-tuples in each string of
    ``length`` bytes is its anchor, named by its k-tuple. An anchor whose name is
@@ -21,7 +21,7 @@ offset - at one sample in about 3/8 of ``length``:
 
 Longer strings are searched only within what a shorter length has found: each
 string of 400 bytes that repeats lies, at both places, within a run of bytes that
-repeated strings of 200 bytes cover.
+repeated strings of 240 bytes cover.
 
 Grouping is by content hash with partial counts, so copies of one passage, be
 they a third of all rows, are pre-aggregated and never meet in one task.
@@ -47,7 +47,7 @@ _U = np.uint64
 #: Suffixes that one core stands for.
 SPAN = 32
 #: Bytes of a repeated string; of a repeated passage, which sees passages from about 50 words on.
-LENGTH, PASSAGE = 400, 200
+LENGTH, PASSAGE = 400, 240
 #: A text is named by two hashes and, if it is a part of one, by its place in it.
 KEYS = ("k1", "k2", "k3")
 _KEYS = "k1 long, k2 long, k3 int"
@@ -211,7 +211,7 @@ _FOUND = f"{_KEYS}, text binary, spans array<struct<start:int,end:int>>"
 
 def repeated_spans(texts: DataFrame, length: int, k: int = 0) -> DataFrame:
     """The rows of ``texts(k1, k2, k3, text)`` (bytes) that hold repeated strings, with the ``spans`` that these cover: a table. Repeated rows are in it as often."""
-    k = k or length // 4
+    k = k or length // 5
     c.small_batches(texts.sparkSession)
     keys = list(KEYS)
     long = texts.select(*keys, "text").where(F.octet_length("text") >= length)
@@ -304,7 +304,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Besides the strings of 400 bytes, the bytes and runs that repeated passages (200 bytes) cover."""
+    """Besides the strings of 400 bytes, the bytes and runs that repeated passages (240 bytes) cover."""
     docs = c.table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     passages = repeated_spans(_texts(docs), PASSAGE)

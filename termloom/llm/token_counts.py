@@ -90,6 +90,9 @@ class PieceBpe:
         self._run_count: dict[int, int] = {}
         #: of each word: its tokens, whether the first is a lone space mark, the count at each prefix
         self._known: dict[str, tuple[int, bool, np.ndarray | None]] = {}
+        #: tokens of words with a space before them, and of those at the beginning of a line
+        self._after_space: dict[str, int] = {}
+        self._in_front: dict[str, int] = {}
 
     def _last_merge(self, piece: str, pieces: dict[str, int]) -> tuple[int, int]:
         """Parts of the last merge when the piece's characters are merged alone."""
@@ -183,6 +186,36 @@ class PieceBpe:
             kept, ends = count.astype(np.int16), at.tolist()  # a word of LONG symbols has no more tokens than this holds
             self._known.update(zip(part, zip(totals, alone.tolist(), (kept[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)), strict=True), strict=True))
 
+    def lines(self, text: str) -> tuple[list[str], list[str], int] | None:
+        """(words after a space, words that begin a line, line ends) of a text without runs of spaces; None for others."""
+        if not text or SPACE in text:
+            return None
+        first, *rest = text.split("\n")
+        after = first.split(" ")
+        front = []
+        for line in rest:
+            words = line.split(" ")
+            if words[0]:
+                front.append(words[0])
+            after += words[1:]
+        return None if "" in after else (after, front, len(rest))
+
+    def learn_lines(self, after: set[str], front: set[str]) -> None:
+        for words, table, mark in ((after, self._after_space, SPACE), (front, self._in_front, "")):
+            new = [w for w in words if w not in table]
+            self.learn([mark + w for w in new])
+            table.update((w, self._known[mark + w][0]) for w in new)
+        self.learn(["\n"])
+
+    def count_lines(self, after: list[str], front: list[str], ends: int) -> int:
+        """Tokens of a text in lines, whose words are known."""
+        return sum(map(self._after_space.__getitem__, after)) + sum(map(self._in_front.__getitem__, front)) + ends * self._known["\n"][0]
+
+    def forget(self) -> None:
+        self._known.clear()
+        self._after_space.clear()
+        self._in_front.clear()
+
     def count_split(self, words: list[str]) -> int:
         """Tokens of a text that is split into words."""
         total, run, known = 0, 0, self._known
@@ -251,18 +284,22 @@ class PieceBpe:
         for w in words:
             got = self._known.get(w)
             if got is None:  # a run of space marks
-                fits = [i for i in range(1, len(w) + 1) if base + self.run_count(i) <= budget]
-                best = at + fits[-1] if fits else best
+                fits = next((i for i in range(len(w), 0, -1) if base + self.run_count(i) <= budget), 0)
+                best = at + fits if fits else best
                 at, run = at + len(w), len(w)
                 continue
             n, alone, counts = got
-            counts = self.prefixes([w])[0] if counts is None else counts.astype(np.int64)
             if run:
-                lone = self._prefix_alone([w], counts, np.array([0, len(w)]))
-                counts = counts + np.where(lone, self.run_count(run + 1) - 1, self.run_count(run))
                 n += self.run_count(run + 1) - 1 if alone else self.run_count(run)
-            fits = np.flatnonzero(base + counts <= budget)
-            best = at + int(fits[-1]) + 1 if len(fits) else best
+            if base + n <= budget:  # the whole word fits
+                best = at + len(w)
+            else:
+                counts = self.prefixes([w])[0] if counts is None else counts.astype(np.int64)
+                if run:
+                    lone = self._prefix_alone([w], counts, np.array([0, len(w)]))
+                    counts = counts + np.where(lone, self.run_count(run + 1) - 1, self.run_count(run))
+                fits = np.flatnonzero(base + counts <= budget)
+                best = at + int(fits[-1]) + 1 if len(fits) else best
             at, base, run = at + len(w), base + n, 0
             if base >= budget:
                 break
@@ -292,21 +329,23 @@ def _counted(raw, limit: int):
             col = batch.column(batch.schema.get_field_index("text"))
             ids, n, first = batch.column(batch.schema.get_field_index("doc_id")), batch.num_rows, 0
             while first < n:
-                split, end, size, nbytes = [], first, 0, []
-                chars = []
+                texts, end, size = [], first, 0
                 while end < n and (size < BLOCK or end == first):
-                    text = col[end].as_py() or ""
-                    nbytes.append(len(text.encode()))
-                    chars.append(len(text))
-                    split.append(model.split(text))
-                    size += len(text)
+                    texts.append(col[end].as_py() or "")
+                    size += len(texts[-1])
                     end += 1
-                words = dict.fromkeys(w for s in split for w in s)
-                if len(model._known) + len(words) > CACHE_WORDS:
-                    model._known.clear()
+                # Texts without runs of spaces are counted by their lines, others word by word.
+                lined = [model.lines(t) for t in texts]
+                split = [None if x else model.split(t) for x, t in zip(lined, texts, strict=True)]
+                after, front = (set().union(*[x[k] for x in lined if x]) for k in (0, 1))
+                words = {w for s in split if s for w in s}
+                if len(model._known) + len(words) + len(after) + len(front) > CACHE_WORDS:
+                    model.forget()
+                model.learn_lines(after, front)
                 model.learn(list(words))
-                counts = np.array([model.count_split(s) for s in split], np.int64)
-                fitting = [model.longest_prefix(s, limit) if k > limit else m for s, k, m in zip(split, counts.tolist(), chars, strict=True)]
+                counts = np.array([model.count_lines(*x) if x else model.count_split(s) for x, s in zip(lined, split, strict=True)], np.int64)
+                nbytes = [len(t.encode()) for t in texts]
+                fitting = [model.longest_prefix(model.split(t), limit) if k > limit else len(t) for t, k in zip(texts, counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(nbytes, pa.int64()), pa.array(counts), pa.array(counts > limit), pa.array(fitting, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
                 first = end
 

@@ -286,7 +286,7 @@ def runs(on):
 def test_substring_dedup(spark, docs, empty, rows, tmp_path):
     raws = [(t or "").encode() for _, t, _, _ in rows]
     want = defaultdict(list)
-    for (i, *_), b, on, short in zip(rows, raws, repeated(raws, 400), repeated(raws, 200), strict=True):
+    for (i, *_), b, on, short in zip(rows, raws, repeated(raws, 400), repeated(raws, 240), strict=True):
         want[i].append((len(b), int(on.sum()), runs(on), hashlib.sha256(np.frombuffer(b, np.uint8)[~on].tobytes()).hexdigest(), int(short.sum()), runs(short)))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = defaultdict(list)
@@ -296,7 +296,7 @@ def test_substring_dedup(spark, docs, empty, rows, tmp_path):
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("length", [200, 400])
+@pytest.mark.parametrize("length", [240, 400])
 def test_texts_without_repeats(docs, rows, length):
     raws = [(t or "").encode() for _, t, _, _ in rows]
     want = Counter()
