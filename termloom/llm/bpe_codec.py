@@ -39,19 +39,26 @@ BLOCK = 1 << 20
 LONG = 64
 
 
-def _unsure() -> str:
+def _unsure() -> np.ndarray:
     """Characters that Python and the library may class, compose or lower-case differently, as their Unicode data differ.
 
     These are marks that are reordered (but the common ones), what is not assigned
-    here, newer letters, and planes beyond the first but for the ideographs.
+    here, newer letters, and planes beyond the first but for the ideographs. Texts
+    with one are normalised and split by the library.
     """
-    found = [i for i in range(0x80, 0x10000) if not 0x300 <= i < 0x370 and (unicodedata.combining(chr(i)) or unicodedata.category(chr(i)) == "Cn")]
-    newer = "\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c89\u208f\u209d-\u209f\ua7cb-\ua7dd\ua7e2\ua7f1\uab6c\uab6d\U00010000-\U0001f2ff\U0001fc00-\U0010ffff"
-    return "[" + newer + "".join(map(chr, found)) + "]"
+    out = np.zeros(0x110000, bool)
+    for i in range(0x80, 0x10000):
+        out[i] = not 0x300 <= i < 0x370 and (unicodedata.combining(chr(i)) > 0 or unicodedata.category(chr(i)) == "Cn")
+    for a, b in ((0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x1C89, 0x1C89), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CB, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x10000, 0x1F2FF), (0x1FC00, 0x10FFFF)):
+        out[a : b + 1] = True
+    return out
 
 
-#: Texts with such a character are normalised and split by the library.
-_UNSURE = regex.compile(_unsure())
+_UNSURE = _unsure()
+
+
+def _is_unsure(text: str) -> bool:
+    return bool(_UNSURE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
 
 
 def byte_alphabet() -> list[str]:
@@ -113,7 +120,7 @@ class WordBpe:
         return self._plain_words(text)
 
     def _plain_words(self, text: str) -> list[str]:
-        if not text.isascii() and _UNSURE.search(text):
+        if not text.isascii() and _is_unsure(text):
             if self._library is None:
                 from tokenizers import Tokenizer
 
