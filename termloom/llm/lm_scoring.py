@@ -1,10 +1,10 @@
 """Operator 8: language-model scoring with a log-frequency Bloom filter.
 
-Counting. One pass packs each block's words by hash range, with how often each
-document has them; a reducer per range sums the training counts of its words and
-answers with each document's partial sums of log10(count + 1), so exact counts
-never have to be sent back word by word. A second pass counts bigrams in the
-same way.
+Counting. One pass sends each block's distinct words by hash range, with how often
+its training documents have them; a reducer per range sums them up and answers with
+the count of each word of each block. Which document has which word stays with the
+block, so a word that all documents have is sent once a block and not once a
+document. A second pass counts bigrams in the same way.
 
 Model. Word and bigram counts are quantised on a logarithmic scale (two levels
 per doubling) and written into a Bloom filter: an n-gram of level q inserts
@@ -18,7 +18,11 @@ levels back. Both ways read the same segments, so scores do not depend on which
 was taken. Probability of a word w after v, with probes for all counts:
 ``mix * c(vw) / c(v) + (1 - mix) * (c(w) + 1) / (N + V + 1)``; where the pair was
 never seen in training its first term is 0, and where v was never seen it is
-``(c(w) + 1) / (N + V + 1)`` alone.
+``(c(w) + 1) / (N + V + 1)`` alone. ``mix`` is fitted by leaving one out: the share of
+training bigrams that another occurrence backs, 1 - (bigrams seen once) / N.
+
+Tokens are 64-bit hashes: among a thousand million distinct words no two are
+expected to share one (0.03 pairs).
 
 Defined results: null text is empty and has the end token only; without any
 training document all counts are 0; repeated rows each get their row; a null
@@ -27,6 +31,7 @@ doc_id is not held out and not trained on; extra columns are left alone.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +43,7 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 _U = np.uint64
-_KEEP = _U((1 << 48) - 1)
-#: Hash of the end token, which no word has by construction of the words' hash.
+#: Hash of the end token (a word's hash equals it with a chance of 2^-64).
 END = c.mix(np.array([0x5EED], _U))[0]
 #: Bits of the largest filter that is broadcast, probes per item, and quantisation levels per doubling.
 FILTER_BITS, PROBES, STEPS = 1 << 27, 4, 2
@@ -52,29 +56,35 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(48-bit token hashes in order, first index of each document); each document ends with END."""
+    """(token hashes in order, first index of each document); each document ends with END."""
     h, owner, _, _ = c.words_of(data, offsets)
     n_docs = len(offsets) - 1
     count = np.bincount(owner, minlength=n_docs)
     at = np.concatenate([[0], np.cumsum(count + 1)])
     out = np.full(at[-1], END, _U)
     out[np.arange(len(h)) + owner] = h
-    return out & _KEEP, at
+    return out, at
 
 
 def _pack(h: np.ndarray) -> bytes:
-    return (h >> _U(32)).astype("<u2").tobytes() + h.astype("<u4").tobytes()
+    return h.astype("<u8").tobytes()
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    n = len(b) // 6
-    return (np.frombuffer(b, "<u2", n).astype(_U) << _U(32)) | np.frombuffer(b, "<u4", n, 2 * n).astype(_U)
+    return np.frombuffer(b, "<u8").astype(_U)
+
 
+def _cuts(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where the ranges begin in sorted hashes: 2^bits + 1 places."""
+    return np.searchsorted(h >> _U(64 - bits), np.arange((1 << bits) + 1).astype(_U))
 
-_WORDS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("often", pa.binary()), ("whom", pa.binary()), ("docs", pa.binary())])
+
+_WORDS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("often", pa.binary()), ("docs", pa.binary()), ("lists", pa.binary())])
 
 
 def _word_requests(bits: int):
+    """Of each block: its distinct words by hash range, and (under a number below 0) which document has which of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -83,29 +93,18 @@ def _word_requests(bits: int):
             k1, k2, train = (np.asarray(batch.column(i)) for i in range(3))
             for first, end, data, offsets in c.text_blocks(batch, "text", BLOCK):
                 h, at = _tokens(data, offsets)
-                words, often, size = [], [], []
-                for d in range(end - first):
-                    w, n = np.unique(h[at[d] : at[d + 1]], return_counts=True)
-                    words.append(w)
-                    often.append(n)
-                    size.append(len(w))
-                w, n = np.concatenate(words), np.concatenate(often)
-                owner = np.repeat(np.arange(end - first), size)
-                bucket = (w >> _U(48 - bits)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-                w, n, owner = w[order], n[order], owner[order]
+                words, place = np.unique(h, return_inverse=True)
+                n_docs = end - first
+                # (document, word) and how often: documents in order, their words in the order of the block's.
+                key, n = np.unique(np.repeat(np.arange(n_docs), np.diff(at)) * len(words) + place, return_counts=True)
+                owner, which = key // len(words), key % len(words)
                 tr = train[first:end].astype("<i8")
-                docs = np.concatenate([k1[first:end], k2[first:end], tr, np.diff(at)]).astype("<i8").tobytes()
-                rows = []
-                for b in range(1 << bits):
-                    s, e = cut[b], cut[b + 1]
-                    if e > s or b == 0:
-                        new = np.flatnonzero(np.diff(owner[s:e], prepend=-1))
-                        who, many = owner[s:e][new], np.diff(np.append(new, e - s))
-                        # the training flag rides on the lowest bit of the ordinal
-                        whom = np.concatenate([who * 2 + tr[who], many]).astype("<u4").tobytes()
-                        rows.append((f"{task}-{serial}", b, _pack(w[s:e]), n[s:e].astype("<u4").tobytes(), whom, docs if b == 0 else None))
+                often = np.bincount(which, n * tr[owner], len(words)).astype("<u4")
+                docs = np.concatenate([k1[first:end], k2[first:end], tr, np.diff(at), np.bincount(owner, minlength=n_docs)]).astype("<i8").tobytes()
+                name = f"{task}-{serial}"
+                rows = [(name, -1 - zlib.crc32(name.encode()) % (1 << bits), None, None, docs, which.astype("<u4").tobytes() + n.astype("<u4").tobytes())]
+                cut = _cuts(words, bits)
+                rows += [(name, b, _pack(words[s:e]), often[s:e].tobytes(), None, None) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > s]
                 serial += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _WORDS, strict=True)], schema=_WORDS)
 
@@ -124,58 +123,62 @@ def value_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.sqrt(low * high), 0.0)
 
 
-_PART = "block string, bucket int, whom binary, logs binary, known binary, docs binary, words binary, levels binary, distinct long"
+_PART = "block string, bucket int, counts binary, docs binary, lists binary, words binary, levels binary, distinct long"
 
 
 def _word_answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: training counts of its words, as partial sums of each block's documents."""
+    """Of one hash range: the training count of each word that a block asks for. Rows of a block itself are handed on."""
+    columns = [x.split()[0] for x in _PART.split(", ")]
+    if pdf["bucket"].iloc[0] < 0:
+        return pdf[["block", "bucket", "docs", "lists"]].assign(counts=None, words=None, levels=None, distinct=0)[columns]
     words = [_unpack(x) for x in pdf["words"]]
-    often = [np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["often"]]
-    whom = [np.frombuffer(x, "<u4").astype(np.int64).reshape(2, -1) for x in pdf["whom"]]
-    w, n = np.concatenate(words), np.concatenate(often)
-    flag = np.concatenate([np.repeat(x[0] & 1, x[1]) for x in whom])
+    w = np.concatenate(words)
+    n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["often"]]).astype(np.int64)
     order = np.argsort(w)
     x = w[order]
-    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    total = np.add.reduceat((n * flag)[order], starts) if len(x) else np.zeros(0, np.int64)
-    count = np.zeros(len(w), np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    total = np.add.reduceat(n[order], starts)
+    count = np.empty(len(w), "<u8")
     count[order] = np.repeat(total, np.diff(np.append(starts, len(x))))
-    logs = n * np.log10(count + 1.0)
-    known = n * (count > 0)
+    cut = np.cumsum([0, *map(len, words)])
     seen = total > 0
-    out, at = [], 0
-    for i, (block, bucket, who, docs) in enumerate(zip(pdf["block"], pdf["bucket"], whom, pdf["docs"], strict=True)):
-        size = int(who[1].sum())
-        slot = np.repeat(np.arange(who.shape[1]), who[1])
-        a = np.bincount(slot, logs[at : at + size], who.shape[1])
-        b = np.bincount(slot, known[at : at + size], who.shape[1])
-        at += size
-        lead = i == 0
-        out.append((block, bucket, (who[0] >> 1).astype("<u2" if (who[0] >> 1).max(initial=0) < 65536 else "<u4").tobytes(), a.astype("<f8").tobytes(), b.astype("<u4").tobytes(), docs, _pack(x[starts[seen]]) if lead else None, level_of(total[seen]).tobytes() if lead else None, int(seen.sum()) if lead else 0))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in _PART.split(", ")])
+    rest = len(pdf) - 1
+    return pd.DataFrame(
+        {
+            "block": pdf["block"],
+            "bucket": pdf["bucket"],
+            "counts": [count[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)],
+            "docs": None,
+            "lists": None,
+            "words": [_pack(x[starts[seen]])] + [None] * rest,
+            "levels": [level_of(total[seen]).tobytes()] + [None] * rest,
+            "distinct": [int(seen.sum())] + [0] * rest,
+        }
+    )[columns]
 
 
 _BASE = "k1 long, k2 long, train boolean, n_tokens long, n_known long, logs double"
 
 
 def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per block: the sums of its documents over all ranges."""
-    k1, k2, train, n = np.frombuffer(pdf.loc[pdf["bucket"] == 0, "docs"].iloc[0], "<i8").reshape(4, -1)
-    logs, known = np.zeros(len(n)), np.zeros(len(n), np.int64)
-    for who, a, b in pdf.sort_values("bucket")[["whom", "logs", "known"]].itertuples(index=False):
-        a, b = np.frombuffer(a, "<f8"), np.frombuffer(b, "<u4")
-        i = np.frombuffer(who, "<u2" if len(who) == 2 * len(a) else "<u4").astype(np.int64)
-        logs[i] += a
-        known[i] += b
-    return pd.DataFrame({"k1": k1, "k2": k2, "train": train.astype(bool), "n_tokens": n, "n_known": known, "logs": logs})
+    """Per block: the sums of its documents, from the counts of its words."""
+    own = pdf[pdf["bucket"] < 0].iloc[0]
+    k1, k2, train, n_tokens, n_words = np.frombuffer(own["docs"], "<i8").reshape(5, -1)
+    which, n = np.frombuffer(own["lists"], "<u4").astype(np.int64).reshape(2, -1)
+    told = pdf[pdf["bucket"] >= 0].sort_values("bucket")["counts"]
+    count = np.frombuffer(b"".join(told), "<u8")[which]
+    owner = np.repeat(np.arange(len(k1)), n_words)
+    logs = np.bincount(owner, n * np.log10(count + 1.0), len(k1))
+    known = np.bincount(owner, n * (count > 0), len(k1)).astype(np.int64)
+    return pd.DataFrame({"k1": k1, "k2": k2, "train": train.astype(bool), "n_tokens": n_tokens, "n_known": known, "logs": logs})
 
 
 def _pairs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Bigram hash of each token with the one before it; END stands before a document."""
     before = np.empty_like(h)
     before[1:] = h[:-1]
-    before[at[:-1]] = END & _KEEP
-    return c.mix(before * _U(0x9E3779B97F4A7C15) + h) & _KEEP
+    before[at[:-1]] = END
+    return c.mix(before * _U(0x9E3779B97F4A7C15) + h)
 
 
 def _pair_requests(bits: int):
@@ -186,7 +189,7 @@ def _pair_requests(bits: int):
                 h, at = _tokens(data, offsets)
                 p = _pairs(h, at)[np.repeat(train[first:end], np.diff(at))]
                 p, n = np.unique(p, return_counts=True)
-                cut = np.searchsorted(p >> _U(48 - bits), np.arange((1 << bits) + 1).astype(_U))
+                cut = _cuts(p, bits)
                 rows = [(b, _pack(p[s:e]), n[s:e].astype("<u4").tobytes()) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > s]
                 if rows:
                     bucket, keys, counts = zip(*rows, strict=True)
@@ -202,7 +205,7 @@ def _pair_answers(pdf: pd.DataFrame) -> pd.DataFrame:
     k, n = k[order], n[order]
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     total = np.add.reduceat(n, starts)
-    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "words": [_pack(k[starts])], "levels": [level_of(total).tobytes()]})
+    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "words": [_pack(k[starts])], "levels": [level_of(total).tobytes()], "singles": [int((total == 1).sum())]})
 
 
 def _slots(key: np.ndarray, level, probe: int, size: np.ndarray) -> np.ndarray:
@@ -232,7 +235,7 @@ def _levels(data: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndar
     Segments begin at bit ``start[bucket]`` of ``data`` and have ``size[bucket]`` bits.
     """
     out = np.zeros(len(keys), np.uint8)
-    bucket = (keys >> _U(48 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    bucket = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     live = np.flatnonzero(size[bucket] > 0)
     level = 1
     while len(live) and level <= 128:
@@ -310,7 +313,7 @@ def _asked(bits: int):
 
     def ask(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         keys = _keys(*_one_block(pa.Table.from_batches(rows))[:2])
-        cut = np.searchsorted(keys >> _U(48 - bits), np.arange((1 << bits) + 1).astype(_U))
+        cut = _cuts(keys, bits)
         full = np.flatnonzero(np.diff(cut))
         c.trim()
         block, part = rows[0].column(0)[0].as_py(), rows[0].column(1)[0].as_py()
@@ -364,7 +367,7 @@ def _scored_block(model: Model):
     return run
 
 
-def score_documents(docs: DataFrame, mix: float = 0.3, filter_bits: int = FILTER_BITS) -> DataFrame:
+def score_documents(docs: DataFrame, mix: float | None = None, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of ``docs(doc_id, text, held_out)``."""
     spark = docs.sparkSession
     c.small_batches(spark, 1000)
@@ -373,17 +376,20 @@ def score_documents(docs: DataFrame, mix: float = 0.3, filter_bits: int = FILTER
     keyed = docs.select(F.xxhash64("doc_id", text).alias("k1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("k2"), train.alias("train"), text.alias("text"), "doc_id", "held_out")
     slim = keyed.select("k1", "k2", "train", "text")
     bits = max(5, (c.shuffle_partitions(spark) - 1).bit_length())
-    words = slim.mapInArrow(_word_requests(bits), "block string, bucket int, words binary, often binary, whom binary, docs binary").groupBy("bucket").applyInPandas(_word_answers, _PART)
+    words = slim.mapInArrow(_word_requests(bits), "block string, bucket int, words binary, often binary, docs binary, lists binary").groupBy("bucket").applyInPandas(_word_answers, _PART)
     words = c.materialize(words, "words")
-    base = c.materialize(words.select("block", "bucket", "whom", "logs", "known", "docs").groupBy("block").applyInPandas(_gathered, _BASE), "base")
-    pairs = slim.mapInArrow(_pair_requests(bits), "bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(_pair_answers, "bucket int, words binary, levels binary")
+    base = c.materialize(words.select("block", "bucket", "counts", "docs", "lists").groupBy("block").applyInPandas(_gathered, _BASE), "base")
+    pairs = slim.mapInArrow(_pair_requests(bits), "bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(_pair_answers, "bucket int, words binary, levels binary, singles long")
     pairs = c.materialize(pairs, "pairs")
 
     sizes = base.agg(F.coalesce(F.sum(F.when(F.col("train"), F.col("n_tokens"))), F.lit(0)).alias("n")).first()
     tokens = int(sizes["n"])
     distinct = int(words.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()["v"])
+    if mix is None:
+        singles = int(pairs.agg(F.coalesce(F.sum("singles"), F.lit(0)).alias("n")).first()["n"])
+        mix = min(0.95, max(0.05, 1 - singles / tokens)) if tokens else 0.5
     model = Model(tokens, distinct, mix)
-    grams = words.where("words is not null").select("bucket", "words", "levels").unionAll(pairs)
+    grams = words.where("words is not null").select("bucket", "words", "levels").unionAll(pairs.select("bucket", "words", "levels"))
     segments = c.materialize(grams.groupBy("bucket").applyInPandas(_segment, _SEGMENTS), "segments")
     c.discard(words, pairs)
 

@@ -358,7 +358,8 @@ def test_lm_score_has_every_count(docs, rows):
             word.update(w)
             pair.update(zip(["\n", *w[:-1]], w, strict=True))
     n, v = sum(word.values()), len(word)
-    assert sum(x == 1 for x in pair.values()) > len(pair) / 2
+    mix = 1 - sum(x == 1 for x in pair.values()) / n
+    assert 0.05 < mix < 0.95 and sum(x == 1 for x in pair.values()) > len(pair) / 2
 
     def count(x):
         return float(lm_scoring.value_of(lm_scoring.level_of(np.array([x])))[0]) if x else 0.0
@@ -367,7 +368,7 @@ def test_lm_score_has_every_count(docs, rows):
         p = (count(word[b]) + 1) / (n + v + 1)
         if not word[a]:
             return math.log10(p)
-        return math.log10(0.3 * min(count(pair[a, b]) / count(word[a]), 1) + 0.7 * p)
+        return math.log10(mix * min(count(pair[a, b]) / count(word[a]), 1) + (1 - mix) * p)
 
     near = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(ready).collect()}
     far = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(ready, filter_bits=0).collect()}
