@@ -11,6 +11,10 @@ labelled rows of each language, chosen by a hash of doc_id, so what is collected
 and broadcast is bounded too, however large the input. Prediction is one map
 without a shuffle.
 
+At most ``most_langs`` languages are learned, those of the most rows: values of a dirty
+column that are rare give no model. N-grams are packed in 64 bits, 16 for a letter;
+letters beyond the first plane share 4096 codes.
+
 Defined results: null text and text without letters give ``und`` and score 0;
 without any labelled training row all texts give ``und``; repeated rows each get
 their row; extra columns are left alone.
@@ -203,18 +207,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine)), pa.array(list(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], ["lang", "key", "n"])
 
 
-def fit(labelled: DataFrame, train_docs: int = 1500) -> Identifier:
+def fit(labelled: DataFrame, train_docs: int = 1500, most_langs: int = 512) -> Identifier:
     """Models from ``labelled(doc_id, lang, text)``; about ``train_docs`` rows of each language."""
     spark = labelled.sparkSession
     c.small_batches(spark)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64(F.lit(17), "doc_id").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
     if not sizes:
         return Identifier({})
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, train_docs / n)).otherwise(share)
-    rows = rows.where((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < share).select("lang", "text")
+    shares = spark.createDataFrame([(r["lang"], min(1.0, train_docs / r["count"])) for r in sizes], "lang string, share double")
+    rows = rows.join(F.broadcast(shares), "lang")  # at most most_langs rows
+    rows = rows.where((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < F.col("share")).select("lang", "text")
     table = rows.mapInArrow(_counted, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(table["lang"].to_pylist(), object)
     keys, counts = np.asarray(table["key"]).view(_U), np.asarray(table["n"])

@@ -10,8 +10,9 @@ budget is used up, so no source is off its target by more than one document.
 At scale no task sees a whole source: the shuffled order is the order of
 md5(doc_id), so its first three hex digits split each source, the hot one too,
 into 4096 ranges whose sums give every range its offset; only ranges are sorted.
-The global cut is found in the same way, by sums over ranges of virtual time,
-and only the range that holds the cut is ordered by row.
+The global cut is found in the same way, by sums over ranges of virtual time and over
+ranges within the range that holds the cut; only the rows of the last one, one of 33
+million, are ordered. Offsets are joined by the ranges that the sums are dealt by anyway.
 
 Defined results: null text has size 0; a null source is a source, last in order;
 sources without words have target 0 and nothing of them is taken; ties in the
@@ -70,7 +71,8 @@ def _rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 def _queued(rows: DataFrame, offsets: DataFrame) -> DataFrame:
     within = Window.partitionBy("key", "part").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(offsets, ["key", "part"]).withColumn("upto", F.col("offset") + F.sum("size").over(within))
+    # Dealt by (key, part) as the window needs it; offsets grow with the sources, so they are not broadcast.
+    return rows.join(offsets.hint("merge"), ["key", "part"]).withColumn("upto", F.col("offset") + F.sum("size").over(within))
 
 
 def _finish(i: int) -> Column:
@@ -83,6 +85,19 @@ def _slot(finish: Column) -> Column:
     return F.least(F.floor(finish * F.lit(SLOTS // 2)), F.lit(SLOTS)).cast("int")
 
 
+def _within(finish: Column, slot: int) -> Column:
+    """Range within a slot."""
+    return F.least(F.floor((finish * F.lit(SLOTS // 2) - F.lit(slot)) * F.lit(SLOTS)), F.lit(SLOTS)).cast("int")
+
+
+def _first_over(entries: DataFrame, slot: Column, before: int):
+    """(slot, start) of the first range in which the budget runs out, ``before`` being taken already; None if it does not."""
+    sums = entries.groupBy(slot.alias("slot")).agg(F.sum("size").alias("words"), F.max("budget").alias("budget"))
+    along = Window.partitionBy(F.lit(0)).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("end", F.lit(before) + F.sum("words").over(along)).withColumn("start", F.col("end") - F.col("words"))
+    return sums.where(F.col("end") > F.col("budget")).orderBy("slot").select("slot", "start").first()
+
+
 def _place(finish: Column) -> Column:
     """Where an entry stands in the queue; repeated rows share a place."""
     return F.struct(finish.alias("a"), F.col("key").alias("b"), F.col("ord").alias("c"), F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("size").alias("e"))
@@ -99,27 +114,26 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: i
     queued = c.materialize(_queued(rows, offsets), "queued")
 
     entries = queued.where("target > 0").withColumn("finish", F.explode(F.array(*map(_finish, range(passes))))).where("finish is not null").select("key", "ord", "doc_id", "size", "budget", "finish")
-    slots = entries.groupBy(_slot(F.col("finish")).alias("slot")).agg(F.sum("size").alias("words"), F.max("budget").alias("budget"))
-    along = Window.partitionBy(F.lit(0)).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    slots = slots.withColumn("end", F.sum("words").over(along)).withColumn("start", F.col("end") - F.col("words"))
-    # The range of virtual time in which the budget runs out (none: all is taken), then the last entry within it.
-    cut = slots.where(F.col("end") > F.col("budget")).orderBy("slot").select("slot", "start").first()
-    last = None
+    cut = _first_over(entries, _slot(F.col("finish")), 0)
+    last = inner = None
     if cut is not None:
+        inside = entries.where(_slot(F.col("finish")) == cut["slot"])
+        inner = _first_over(inside, _within(F.col("finish"), cut["slot"]), cut["start"])
         line = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-        inside = entries.where(_slot(F.col("finish")) == cut["slot"]).withColumn("place", _place(F.col("finish")))
-        within = inside.withColumn("total", F.lit(cut["start"]) + F.sum("size").over(line)).where(F.col("total") <= F.col("budget"))
+        inside = inside.where(_within(F.col("finish"), cut["slot"]) == inner["slot"]).withColumn("place", _place(F.col("finish")))
+        within = inside.withColumn("total", F.lit(inner["start"]) + F.sum("size").over(line)).where(F.col("total") <= F.col("budget"))
         last = within.orderBy(F.col("place").desc()).select("place").first()
 
     def taken(finish: Column) -> Column:
         if cut is None:
             return finish.isNotNull()
-        ahead = _slot(finish) < cut["slot"]
+        here = _slot(finish) == cut["slot"]
+        ahead = (_slot(finish) < cut["slot"]) | (here & (_within(finish, cut["slot"]) < inner["slot"]))
         if last is None:
             return ahead
         p = last["place"]
         end = F.struct(F.lit(p["a"]).alias("a"), F.lit(p["b"]).alias("b"), F.lit(p["c"]).alias("c"), F.lit(p["d"]).cast("long").alias("d"), F.lit(p["e"]).cast("long").alias("e"))
-        return ahead | ((_slot(finish) == cut["slot"]) & (_place(finish) <= end))
+        return ahead | (here & (_within(finish, cut["slot"]) == inner["slot"]) & (_place(finish) <= end))
 
     flags = [F.when(taken(_finish(i)), 1).otherwise(0) for i in range(passes)]
     out = (_queued(_rows(docs, keep), offsets) if keep else queued).withColumn("copies", sum(flags[1:], flags[0]))

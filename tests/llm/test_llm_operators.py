@@ -35,6 +35,43 @@ def test_language_id(docs, empty, rows):
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.fit(empty)).collect()} == {"und"}
 
 
+def test_kneser_ney_by_the_book():
+    """Every probability against dictionaries: interpolated, with continuation counts below the highest order."""
+    texts = ["abracadabra abba cab", "dab a cab abra", "caba"]
+    key, _, _ = language_id.grams(texts)
+    keys, n = np.unique(key, return_counts=True)
+    symbols = len(np.unique(key & np.uint64(0xFFFF)))
+    model = language_id.CharModel(keys, n, symbols)
+    gram = lambda k: tuple(int(k) >> (16 * i) & 0xFFFF for i in (3, 2, 1, 0))
+    count = {4: Counter({gram(k): int(c) for k, c in zip(keys, n, strict=True)})}
+    for o in (3, 2, 1):
+        count[o] = Counter(g[1:] for g in count[o + 1])
+
+    def p(g):
+        if not g:
+            return 1 / (symbols + 1)
+        c = count[len(g)]
+        n1, n2 = (sum(v == x for v in c.values()) for x in (1, 2))
+        d = min(n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, 0.95)
+        same = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
+        total = sum(same.values())
+        return max(c[g] - d, 0) / total + d * len(same) / total * p(g[1:]) if total else p(g[1:])
+
+    rnd = random.Random(1)
+    letters = sorted({x for g in count[4] for x in g}) + [0x4E00]
+    asked = [*count[4], *[tuple(rnd.choice(letters) for _ in range(4)) for _ in range(300)]]
+    packed = np.array([g[0] << 48 | g[1] << 32 | g[2] << 16 | g[3] for g in asked], np.uint64)
+    assert np.allclose(np.exp(model.log_probability(packed)), [p(g) for g in asked], rtol=1e-9)
+
+
+def test_language_id_of_a_dirty_column(spark, docs):
+    """Only the most frequent languages are learned."""
+    from pyspark.sql import functions as F
+
+    dirty = docs.withColumn("lang", F.when(F.col("doc_id") >= 60, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
+    assert language_id.fit(dirty, most_langs=2).langs == ["en", "fr"]
+
+
 def test_kneser_ney_sums_to_one():
     key, _, _ = language_id.grams(["abracadabra abba", "cab dab"])
     keys, n = np.unique(key, return_counts=True)
