@@ -8,7 +8,9 @@ How it runs at scale:
 1. One pass over the texts packs each block's shingles by hash range. A
    reducer per range finds, for each shingle, in how many *different* sets it
    is (1, 2-3, 4-7, ...) and answers with the shared shingles of each block.
-   Shingles that only one set holds never travel further.
+   Shingles that only one set holds never travel further. A shingle that several
+   documents of a block hold is asked for once a block; who holds it stays with
+   the block, so a shingle of all documents puts a few bytes a block into one range.
 2. Equal sets collapse to one class. With the rarest shingles first, a class
    whose own (unshared) shingles fill the prefix can link with nothing and is
    settled without a candidate.
@@ -29,6 +31,7 @@ no component is named by it (of nulls alone: null).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,11 +85,12 @@ def _unpack(b: bytes) -> np.ndarray:
     return (np.frombuffer(b, "<u2", n).astype(_U) << _U(32)) | np.frombuffer(b, "<u4", n, 2 * n).astype(_U)
 
 
-_REQUEST = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("shingles", pa.binary()), ("counts", pa.binary()), ("sets", pa.binary()), ("ids", pa.binary())])
+_REQUEST = pa.schema([("block", pa.string()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in ("shingles", "counts", "sets", "dups", "dup_counts", "dup_sets", "docs", "lists")]])
+_REQUEST_DDL = "block string, bucket int, shingles binary, counts binary, sets binary, dups binary, dup_counts binary, dup_sets binary, docs binary, lists binary"
 
 
 def _requests(bits: int, width: int):
-    """Of each block: its shingles by hash range; in range 0 also ids and set digests of its documents."""
+    """Of each block: its shingles by hash range; under a number below 0 its documents, and who holds what several hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -100,54 +104,75 @@ def _requests(bits: int, width: int):
                 np.add.at(digest, owner, c.mix(h + _U(0x1234567)))
                 ids = batch.column(0).slice(first, end - first)
                 known = np.asarray(ids.is_valid()).astype("<i8")
-                about = np.concatenate([np.asarray(ids.fill_null(0)).astype("<i8"), known, digest.view(np.int64)]).tobytes()
+                docs = np.concatenate([np.asarray(ids.fill_null(0)).astype("<i8"), known, digest.view(np.int64)]).tobytes()
+                # What several documents hold: once, with how many they are and the least and the greatest of their sets.
+                order = np.argsort(h, kind="stable")
+                x, y = h[order], owner[order]
+                starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+                runs = np.diff(np.append(starts, len(x)))
+                many = np.repeat(runs > 1, runs)
+                dup = x[starts[runs > 1]]
+                dup_n, dup_owner = runs[runs > 1], y[many]
+                heads = np.concatenate([[0], np.cumsum(dup_n)])[:-1].astype(np.int64)
+                lo, hi = (f.reduceat(digest[dup_owner], heads) if len(dup) else np.zeros(0, _U) for f in (np.minimum, np.maximum))
+                lists = np.concatenate([np.array([len(dup)]), dup_n, dup_owner]).astype("<u4").tobytes()
+                # The others: by range and document.
+                alone = np.ones(len(h), bool)
+                alone[order[many]] = False
+                h, owner = h[alone], owner[alone]
                 bucket = (h >> _U(48 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
                 order = np.argsort(bucket, kind="stable")
                 h, owner = h[order], owner[order]
                 cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-                rows = []
+                dup_cut = np.searchsorted(dup >> _U(48 - bits), np.arange((1 << bits) + 1).astype(_U))
+                name = f"{task}-{serial}"
+                rows = [(name, -1 - zlib.crc32(name.encode()) % (1 << bits), None, None, None, _pack(dup), None, None, docs, lists)]
                 for b in range(1 << bits):
-                    s, e = cut[b], cut[b + 1]
-                    if e > s or b == 0:
+                    s, e, u, v = cut[b], cut[b + 1], dup_cut[b], dup_cut[b + 1]
+                    if e > s or v > u:
                         mine = owner[s:e]  # ascending: the sort is stable
                         new = np.flatnonzero(np.diff(mine, prepend=-1))
                         who, n = mine[new], np.diff(np.append(new, len(mine)))
-                        rows.append((f"{task}-{serial}", b, _pack(h[s:e]), np.concatenate([who, n]).astype("<u4").tobytes(), digest[who].tobytes(), about if b == 0 else None))
+                        rows.append((name, b, _pack(h[s:e]), np.concatenate([who, n]).astype("<u4").tobytes(), digest[who].tobytes(), _pack(dup[u:v]), dup_n[u:v].astype("<u4").tobytes(), np.concatenate([lo[u:v], hi[u:v]]).tobytes(), None, None))
                 serial += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _REQUEST, strict=True)], schema=_REQUEST)
 
     return run
 
 
-_ANSWER = "block string, bucket int, counts binary, shared binary, shared_counts binary, levels binary, ids binary"
+_ANSWER = "block string, bucket int, counts binary, shared binary, shared_counts binary, levels binary, dups binary, dup_levels binary, docs binary, lists binary"
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: which shingles at least two different sets hold, and about how many do."""
-    tokens = [_unpack(x) for x in pdf["shingles"]]
+    """Of one hash range: which shingles at least two different sets hold, and about how many do. Rows of a block itself are handed on."""
+    columns = [x.split()[0] for x in _ANSWER.split(", ")]
+    if pdf["bucket"].iloc[0] < 0:
+        return pdf[["block", "bucket", "dups", "docs", "lists"]].assign(counts=None, shared=None, shared_counts=None, levels=None, dup_levels=None)[columns]
+    tokens, dups = ([_unpack(x) for x in pdf[k]] for k in ("shingles", "dups"))
     whom = [np.frombuffer(x, "<u4").astype(np.int64).reshape(2, -1) for x in pdf["counts"]]
-    sets = [np.frombuffer(x, _U) for x in pdf["sets"]]
-    h = np.concatenate(tokens)
-    held = np.concatenate([np.repeat(s, w[1]) for s, w in zip(sets, whom, strict=True)])
+    held = np.concatenate([np.repeat(np.frombuffer(x, _U), w[1]) for x, w in zip(pdf["sets"], whom, strict=True)])
+    least, most = (np.concatenate([held, *[np.frombuffer(x, _U).reshape(2, -1)[k] for x in pdf["dup_sets"]]]) for k in (0, 1))
+    times = np.concatenate([np.ones(len(held), np.int64), *[np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["dup_counts"]]])
+    h = np.concatenate([*tokens, *dups])
     level = np.zeros(len(h), np.uint8)
     if len(h):
         order = np.argsort(h)
-        x, y = h[order], held[order]
+        x = h[order]
         starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        runs = np.diff(np.append(starts, len(x)))
-        several = np.minimum.reduceat(y, starts) != np.maximum.reduceat(y, starts)  # not in copies of one set alone
-        lg = np.where(several, np.floor(np.log2(np.maximum(runs, 2))), 0).astype(np.uint8)
-        level[order] = np.repeat(lg, runs)
-    out, at = [], 0
-    for t, w, block, bucket, counts, ids in zip(tokens, whom, pdf["block"], pdf["bucket"], pdf["counts"], pdf["ids"], strict=True):
-        lv = level[at : at + len(t)]
-        at += len(t)
+        several = np.minimum.reduceat(least[order], starts) != np.maximum.reduceat(most[order], starts)  # not in copies of one set alone
+        total = np.add.reduceat(times[order], starts)
+        lg = np.where(several, np.floor(np.log2(np.maximum(total, 2))), 0).astype(np.uint8)
+        level[order] = np.repeat(lg, np.diff(np.append(starts, len(x))))
+    out, at, dup_at = [], 0, len(held)
+    for t, d, w, block, bucket, counts in zip(tokens, dups, whom, pdf["block"], pdf["bucket"], pdf["counts"], strict=True):
+        lv, dup_lv = level[at : at + len(t)], level[dup_at : dup_at + len(d)]
+        at, dup_at = at + len(t), dup_at + len(d)
         share = lv > 0
         n_share = np.bincount(np.repeat(np.arange(w.shape[1]), w[1])[share], minlength=w.shape[1])
-        out.append((block, bucket, counts, _pack(t[share]), n_share.astype("<u4").tobytes(), lv[share].tobytes(), ids))
-    del tokens, whom, sets, h, held, level
+        out.append((block, bucket, counts, _pack(t[share]), n_share.astype("<u4").tobytes(), lv[share].tobytes(), None, dup_lv.tobytes(), None, None))
+    del tokens, dups, whom, held, least, most, h, level
     c.trim()
-    return pd.DataFrame(out, columns=[x.split()[0] for x in _ANSWER.split(", ")])
+    return pd.DataFrame(out, columns=columns)
 
 
 #: Members of one part of a group.
@@ -167,16 +192,26 @@ def _gathered(num: int, den: int):
     """Per block: size, set digest, and shared shingles (rarest first) of every document that could link."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, known, digest = np.frombuffer(pdf.loc[pdf["bucket"] == 0, "ids"].iloc[0], "<i8").reshape(3, -1)
+        mine = pdf[pdf["bucket"] < 0].iloc[0]
+        told = pdf[pdf["bucket"] >= 0].sort_values("bucket")
+        ids, known, digest = np.frombuffer(mine["docs"], "<i8").reshape(3, -1)
         n_docs = len(ids)
         n = np.zeros(n_docs, np.int64)
-        own, tok, lev = [], [], []
-        for counts, shared, shared_counts, levels in zip(pdf["counts"], pdf["shared"], pdf["shared_counts"], pdf["levels"], strict=True):
+        own, tok, lev = [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, np.uint8)]
+        for counts, shared, shared_counts, levels in zip(told["counts"], told["shared"], told["shared_counts"], told["levels"], strict=True):
             who, many = np.frombuffer(counts, "<u4").astype(np.int64).reshape(2, -1)
             n[who] += many
             own.append(np.repeat(who, np.frombuffer(shared_counts, "<u4")))
             tok.append(_unpack(shared))
             lev.append(np.frombuffer(levels, np.uint8))
+        lists = np.frombuffer(mine["lists"], "<u4").astype(np.int64)
+        holders, owner = lists[1 : 1 + lists[0]], lists[1 + lists[0] :]
+        n += np.bincount(owner, minlength=n_docs)
+        dup_level = np.repeat(np.frombuffer(b"".join(told["dup_levels"]), np.uint8), holders)
+        share = dup_level > 0
+        own.append(owner[share])
+        tok.append(np.repeat(_unpack(mine["dups"]), holders)[share])
+        lev.append(dup_level[share])
         own, tok, lev = np.concatenate(own), np.concatenate(tok), np.concatenate(lev)
         n_shared = np.bincount(own, minlength=n_docs)
         # A set with u own shingles overlaps in at most n - u of a union of at least n.
@@ -196,7 +231,7 @@ def document_sets(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     spark = docs.sparkSession
     c.small_batches(spark)
     bits = max(6, (2 * c.shuffle_partitions(spark) - 1).bit_length())
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_requests(bits, width), "block string, bucket int, shingles binary, counts binary, sets binary, ids binary")
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_requests(bits, width), _REQUEST_DDL)
     return asked.groupBy("bucket").applyInPandas(_answer, _ANSWER).groupBy("block").applyInPandas(_gathered(num, den), _SETS)
 
 
