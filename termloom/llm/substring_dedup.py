@@ -216,18 +216,19 @@ def repeated_spans(texts: DataFrame, length: int, k: int = 0) -> DataFrame:
     keys = list(KEYS)
     long = texts.select(*keys, "text").where(F.octet_length("text") >= length)
     names = c.materialize(long.mapInArrow(_names(length, k), f"name long, whole long, {_KEYS}, at array<int>, back short, more short"), "names")
+    # The small side of each join has one row a key, so it is hashed rather than both sides sorted.
     several = names.groupBy("name").agg(F.sum(F.size("at")).alias("total")).where("total > 1").select("name")
-    shared = c.materialize(names.join(several, "name"), "shared")
+    shared = c.materialize(names.join(several.hint("shuffle_hash"), "name"), "shared")
     c.discard(names)
     # Per (name, all bytes around): how often; per name: in how many ways.
     counts = c.materialize(shared.groupBy("name", "whole").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct(*keys)).alias("lead")), "counts")
     state = counts.join(counts.groupBy("name").agg(F.count("*").alias("m")), "name").select("name", "whole", "n", "m", "lead")
-    placed = shared.join(state, ["name", "whole"])
+    placed = shared.join(state.hint("shuffle_hash"), ["name", "whole"])
     is_open = (F.col("m") > 1) & ((F.col("n") == 1) | (F.col("lead") == F.struct(*keys)))
     ranges = F.when(F.col("n") > 1, F.struct("at", "back", "more"))
     placed = placed.groupBy(*keys).agg(F.flatten(F.collect_list(F.when(is_open, F.col("at")))).alias("anchors"), F.collect_list(ranges).alias("wholes"))
     placed = placed.where((F.size("anchors") > 0) | (F.size("wholes") > 0))
-    suspects = c.materialize(long.join(placed, keys), "suspects")
+    suspects = c.materialize(long.join(placed.hint("shuffle_hash"), keys), "suspects")
     c.discard(shared, counts)
     unsettled = suspects.where(F.size("anchors") > 0)
     cores = c.materialize(unsettled.mapInArrow(_cores(length, k), _CORES), "cores")
@@ -243,10 +244,10 @@ def repeated_spans(texts: DataFrame, length: int, k: int = 0) -> DataFrame:
     alike = single.groupBy("name", "core", "suffix").agg(F.sum("n").alias("s")).where("s > 1").select("name", "core", "suffix")
     part = single.where("n = 1").join(alike, ["name", "core", "suffix"]).groupBy("name", "core", "way").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
     masks = whole.unionAll(part)
-    marks = cores.select(*keys, "starts", "name", "core", "way").join(masks, ["name", "core", "way"]).groupBy(*keys).agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
+    marks = cores.select(*keys, "starts", "name", "core", "way").join(masks.hint("shuffle_hash"), ["name", "core", "way"]).groupBy(*keys).agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
     none = F.array().cast("array<struct<starts:array<int>,mask:bigint>>")
     settled = suspects.where(F.size("anchors") == 0).select(*keys, "text", "wholes", none.alias("marks"))
-    ended = unsettled.select(*keys, "text", "wholes").join(marks, keys, "left").select(*keys, "text", "wholes", F.coalesce("marks", none).alias("marks"))
+    ended = unsettled.select(*keys, "text", "wholes").join(marks.hint("shuffle_hash"), keys, "left").select(*keys, "text", "wholes", F.coalesce("marks", none).alias("marks"))
     found = c.materialize(settled.unionAll(ended).mapInArrow(_spans(length), _FOUND), "spans")
     c.discard(suspects, cores, ways)
     return found
@@ -257,7 +258,13 @@ def longer_spans(found: DataFrame, length: int) -> DataFrame:
     run = F.col("span.end") - F.col("span.start")
     runs = found.select("k1", "k2", "text", F.explode("spans").alias("span")).where(run >= length)
     runs = runs.select("k1", "k2", F.col("span.start").alias("k3"), F.substring(F.col("text"), F.col("span.start") + 1, run).alias("text"))
-    again = repeated_spans(runs, length)
+    # Equal runs repeat as a whole: one of each is searched for what it shares with others.
+    runs = runs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text", F.octet_length("text"))})
+    same = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "k3")).alias("lead"))
+    runs = c.materialize(runs.join(same.hint("shuffle_hash"), ["h1", "h2"]).select("k1", "k2", "k3", "n", (F.col("lead") == F.struct("k1", "k2", "k3")).alias("leads"), F.octet_length("text").alias("size"), F.when(F.col("lead") == F.struct("k1", "k2", "k3"), F.col("text")).alias("text")), "runs")
+    whole = runs.where("n > 1").select("k1", "k2", "k3", F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).alias("spans"))
+    again = repeated_spans(runs.where("leads").dropDuplicates(["k1", "k2", "k3"]).select("k1", "k2", "k3", "text"), length)
+    again = whole.unionByName(again.select("k1", "k2", "k3", "spans").join(whole.select("k1", "k2", "k3").distinct(), ["k1", "k2", "k3"], "left_anti"))
     moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("k3")).alias("start"), (x["end"] + F.col("k3")).alias("end")))
     return again.select("k1", "k2", "k3", moved.alias("spans")).groupBy("k1", "k2").agg(F.flatten(F.array_sort(F.collect_set(F.struct("k3", "spans")))["spans"]).alias("spans"))
 
