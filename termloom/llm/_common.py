@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.session import ship
+from termloom.sources.tables import shared_dir
 
 #: Odd multiplier of the polynomial hash and its inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
@@ -22,15 +23,8 @@ _U = np.uint64
 #: Bytes of text that one vectorised step handles at most (one longer document
 #: is a step of its own).
 BLOCK_BYTES = 1 << 18
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+#: Bytes of an Arrow batch at most.
+BATCH_BYTES = 2 << 20
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -71,10 +65,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Bound the rows that one Arrow batch carries to a Python worker; the workers get this package."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes that one Arrow batch carries to a Python worker (a longer row is a batch of its own); the workers get this package.
+
+    The bound is a setting of the session; it limits memory and changes no result.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def trim() -> None:

@@ -225,13 +225,13 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_payloads(blobs: DataFrame) -> DataFrame:
     """The media table of ``blobs(raw)``: (digest, media), written and read back; a digest may be in it more than once, with equal media."""
-    c.small_batches(blobs.sparkSession, 64)
+    c.small_batches(blobs.sparkSession)
     return c.materialize(blobs.select("raw").mapInArrow(_stored, _MEDIA_TABLE), "media")
 
 
 def described(media: DataFrame) -> DataFrame:
     """One row of features per digest, from the stored bytes of ``media(digest, media)``."""
-    c.small_batches(media.sparkSession, 64)
+    c.small_batches(media.sparkSession)
     return media.select("digest", "media").mapInArrow(_read_back, _FEATURES).dropDuplicates(["digest"])
 
 
