@@ -26,11 +26,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group; rows without an id stay."""
-    groups = jaccard_components(docs).where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(groups, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where(F.col("_row") == 1)
-    return kept.select(*docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+    """One document of each near-duplicate group: that of the smallest doc_id (null comes last).
+
+    Rows with one doc_id and different texts are different documents; rows that are
+    alike in both are one, of which one row stays.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    ids = keyed.select("_key", "doc_id").distinct()
+    found = jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    member = found.select(F.col("doc_id").alias("_key"), "component_id").join(ids, "_key")
+    member = c.materialize(member, "members")
+    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_key").alias("c"))).alias("first"))
+    gone = member.join(first, "component_id").where(F.col("_key") != F.col("first.c")).select("_key").distinct()
+    alike = Window.partitionBy("_key", "doc_id", "text").orderBy(F.lit(0))
+    kept = keyed.join(gone, "_key", "left_anti").withColumn("_row", F.row_number().over(alike)).where(F.col("_row") == 1)
+    return kept.select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
