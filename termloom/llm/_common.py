@@ -192,16 +192,19 @@ def connected(links: DataFrame, name: str) -> DataFrame:
     edges = links.where("a <> b")
     edges = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = materialize(edges, f"{name}-edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), f"{name}-0")
+    table_ = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), f"{name}-0")
     for i in range(1, 64):
+        labels = table_.select("node", "label")
         pulled = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
         hooked = labels.join(pulled, "node").select("node", "label", F.least("label", "seen").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         moved = hooked.join(jump, "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("changed"))
         moved = materialize(moved, f"{name}-{i}")
-        labels = moved.select("node", "label")
+        discard(table_)
+        table_ = moved
         if moved.where("changed").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
-    return labels
+    discard(edges)
+    return table_.select("node", "label")

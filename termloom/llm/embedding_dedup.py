@@ -189,7 +189,9 @@ def neighbour_graph(vectors: DataFrame, k: int = 10, trees: int = 6, rounds: int
         found = around.groupBy("a", "slice").applyInPandas(_local_join(k, floor), _EDGES)
         every = graph.select("a", "b", "sim", F.lit(False).alias("new")).unionAll(found.withColumn("new", F.lit(True))).groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
         wide = every.join(full.withColumn("wide", F.lit(2 * k)), "a", "left")
-        graph = c.materialize(_best(wide, F.coalesce("wide", F.lit(k))), f"graph-{i}")
+        better = c.materialize(_best(wide, F.coalesce("wide", F.lit(k))), f"graph-{i}")
+        c.discard(graph)
+        graph = better
     return graph
 
 

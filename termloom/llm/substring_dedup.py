@@ -227,9 +227,11 @@ def repeated_spans(texts: DataFrame, length: int, k: int = 0) -> DataFrame:
     is_open = (F.col("m") > 1) & ((F.col("n") == 1) | (F.col("lead") == F.struct(*keys)))
     ranges = F.when(F.col("n") > 1, F.struct("at", "back", "more"))
     placed = placed.groupBy(*keys).agg(F.flatten(F.collect_list(F.when(is_open, F.col("at")))).alias("anchors"), F.collect_list(ranges).alias("wholes"))
-    placed = placed.where((F.size("anchors") > 0) | (F.size("wholes") > 0))
-    suspects = c.materialize(long.join(placed.hint("shuffle_hash"), keys), "suspects")
+    # Tables of their own, so that what they are made of can go before texts are moved.
+    placed = c.materialize(placed.where((F.size("anchors") > 0) | (F.size("wholes") > 0)), "placed")
     c.discard(shared, counts)
+    suspects = c.materialize(long.join(placed.hint("shuffle_hash"), keys), "suspects")
+    c.discard(placed)
     unsettled = suspects.where(F.size("anchors") > 0)
     cores = c.materialize(unsettled.mapInArrow(_cores(length, k), _CORES), "cores")
 
@@ -245,11 +247,13 @@ def repeated_spans(texts: DataFrame, length: int, k: int = 0) -> DataFrame:
     part = single.where("n = 1").join(alike, ["name", "core", "suffix"]).groupBy("name", "core", "way").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
     masks = whole.unionAll(part)
     marks = cores.select(*keys, "starts", "name", "core", "way").join(masks.hint("shuffle_hash"), ["name", "core", "way"]).groupBy(*keys).agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
+    marks = c.materialize(marks, "marks")
+    c.discard(cores, ways)
     none = F.array().cast("array<struct<starts:array<int>,mask:bigint>>")
     settled = suspects.where(F.size("anchors") == 0).select(*keys, "text", "wholes", none.alias("marks"))
     ended = unsettled.select(*keys, "text", "wholes").join(marks.hint("shuffle_hash"), keys, "left").select(*keys, "text", "wholes", F.coalesce("marks", none).alias("marks"))
     found = c.materialize(settled.unionAll(ended).mapInArrow(_spans(length), _FOUND), "spans")
-    c.discard(suspects, cores, ways)
+    c.discard(suspects, marks)
     return found
 
 
