@@ -1,28 +1,32 @@
 """Operator 8: language-model scoring with a log-frequency Bloom filter.
 
-Counting. One pass sends each block's distinct words by hash range, with how often
-its training documents have them; a reducer per range sums them up and answers with
-the count of each word of each block. Which document has which word stays with the
-block, so a word that all documents have is sent once a block and not once a
-document. A second pass counts bigrams in the same way.
+Texts are split once: a table of blocks (about 1 MB of text each) holds the distinct
+words of each block and its tokens as places among them.
+
+Counting. Each block sends its distinct words and bigrams by hash range, with how
+often its training documents have them; a reducer per range sums them up. What all
+documents have is sent once a block and not once a document.
 
 Model. Word and bigram counts are quantised on a logarithmic scale (two levels
 per doubling) and written into a Bloom filter: an n-gram of level q inserts
 (n-gram, 1), ..., (n-gram, q), so its level is read back by probing 1, 2, ...
 until a probe fails, and errors are one-sided and rare. Every n-gram of the
 training documents is in it, whatever its count: the filter has one segment for
-each hash range, and a segment is as large as the items of its range need. A
-filter of at most ``filter_bits`` is broadcast. A larger one stays where it is:
-each block of documents sends its distinct n-grams to their ranges and gets the
-levels back. Both ways read the same segments, so scores do not depend on which
-was taken. Probability of a word w after v, with probes for all counts:
+each hash range, and a segment is as large as the items of its range need.
+
+Scoring. Each block asks the ranges for the exact counts of its words (``base_score``).
+A filter of at most ``filter_bits`` is broadcast and probed where the blocks are. A
+larger one stays where it is, and blocks ask for the levels of their n-grams too. Both
+ways read the same segments, so scores do not depend on which was taken. Probability
+of a word w after v, with probes for all counts:
 ``mix * c(vw) / c(v) + (1 - mix) * (c(w) + 1) / (N + V + 1)``; where the pair was
 never seen in training its first term is 0, and where v was never seen it is
 ``(c(w) + 1) / (N + V + 1)`` alone. ``mix`` is fitted by leaving one out: the share of
 training bigrams that another occurrence backs, 1 - (bigrams seen once) / N.
 
 Tokens are 64-bit hashes: among a thousand million distinct words no two are
-expected to share one (0.03 pairs).
+expected to share one (0.03 pairs). Bigrams have 48 bits, whose collisions are far
+rarer than the filter's own errors.
 
 Defined results: null text is empty and has the end token only; without any
 training document all counts are 0; repeated rows each get their row; a null
@@ -31,7 +35,6 @@ doc_id is not held out and not trained on; extra columns are left alone.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,41 +77,19 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u8").astype(_U)
 
 
-def _cuts(h: np.ndarray, bits: int) -> np.ndarray:
-    """Where the ranges begin in sorted hashes: 2^bits + 1 places."""
-    return np.searchsorted(h >> _U(64 - bits), np.arange((1 << bits) + 1).astype(_U))
-
+def _pack6(h: np.ndarray) -> bytes:
+    """48 bits each: the high 16 bits of all, then the low 32 bits of all."""
+    return (h >> _U(32)).astype("<u2").tobytes() + h.astype("<u4").tobytes()
 
-_WORDS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("often", pa.binary()), ("docs", pa.binary()), ("lists", pa.binary())])
 
+def _unpack6(b: bytes) -> np.ndarray:
+    n = len(b) // 6
+    return (np.frombuffer(b, "<u2", n).astype(_U) << _U(32)) | np.frombuffer(b, "<u4", n, 2 * n).astype(_U)
 
-def _word_requests(bits: int):
-    """Of each block: its distinct words by hash range, and (under a number below 0) which document has which of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, serial = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            k1, k2, train = (np.asarray(batch.column(i)) for i in range(3))
-            for first, end, data, offsets in c.text_blocks(batch, "text", BLOCK):
-                h, at = _tokens(data, offsets)
-                words, place = np.unique(h, return_inverse=True)
-                n_docs = end - first
-                # (document, word) and how often: documents in order, their words in the order of the block's.
-                key, n = np.unique(np.repeat(np.arange(n_docs), np.diff(at)) * len(words) + place, return_counts=True)
-                owner, which = key // len(words), key % len(words)
-                tr = train[first:end].astype("<i8")
-                often = np.bincount(which, n * tr[owner], len(words)).astype("<u4")
-                docs = np.concatenate([k1[first:end], k2[first:end], tr, np.diff(at), np.bincount(owner, minlength=n_docs)]).astype("<i8").tobytes()
-                name = f"{task}-{serial}"
-                rows = [(name, -1 - zlib.crc32(name.encode()) % (1 << bits), None, None, docs, which.astype("<u4").tobytes() + n.astype("<u4").tobytes())]
-                cut = _cuts(words, bits)
-                rows += [(name, b, _pack(words[s:e]), often[s:e].tobytes(), None, None) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > s]
-                serial += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _WORDS, strict=True)], schema=_WORDS)
 
-    return run
+def _cuts(h: np.ndarray, bits: int, width: int = 64) -> np.ndarray:
+    """Where the ranges begin in sorted hashes: 2^bits + 1 places."""
+    return np.searchsorted(h >> _U(width - bits), np.arange((1 << bits) + 1).astype(_U))
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -123,119 +104,107 @@ def value_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.sqrt(low * high), 0.0)
 
 
-_PART = "block string, bucket int, counts binary, docs binary, lists binary, words binary, levels binary, distinct long"
-
-
-def _word_answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: the training count of each word that a block asks for. Rows of a block itself are handed on."""
-    columns = [x.split()[0] for x in _PART.split(", ")]
-    if pdf["bucket"].iloc[0] < 0:
-        return pdf[["block", "bucket", "docs", "lists"]].assign(counts=None, words=None, levels=None, distinct=0)[columns]
-    words = [_unpack(x) for x in pdf["words"]]
-    w = np.concatenate(words)
-    n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["often"]]).astype(np.int64)
-    order = np.argsort(w)
-    x = w[order]
-    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    total = np.add.reduceat(n[order], starts)
-    count = np.empty(len(w), "<u8")
-    count[order] = np.repeat(total, np.diff(np.append(starts, len(x))))
-    cut = np.cumsum([0, *map(len, words)])
-    seen = total > 0
-    rest = len(pdf) - 1
-    return pd.DataFrame(
-        {
-            "block": pdf["block"],
-            "bucket": pdf["bucket"],
-            "counts": [count[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)],
-            "docs": None,
-            "lists": None,
-            "words": [_pack(x[starts[seen]])] + [None] * rest,
-            "levels": [level_of(total[seen]).tobytes()] + [None] * rest,
-            "distinct": [int(seen.sum())] + [0] * rest,
-        }
-    )[columns]
-
-
-_BASE = "k1 long, k2 long, train boolean, n_tokens long, n_known long, logs double"
-
-
-def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per block: the sums of its documents, from the counts of its words."""
-    own = pdf[pdf["bucket"] < 0].iloc[0]
-    k1, k2, train, n_tokens, n_words = np.frombuffer(own["docs"], "<i8").reshape(5, -1)
-    which, n = np.frombuffer(own["lists"], "<u4").astype(np.int64).reshape(2, -1)
-    told = pdf[pdf["bucket"] >= 0].sort_values("bucket")["counts"]
-    count = np.frombuffer(b"".join(told), "<u8")[which]
-    owner = np.repeat(np.arange(len(k1)), n_words)
-    logs = np.bincount(owner, n * np.log10(count + 1.0), len(k1))
-    known = np.bincount(owner, n * (count > 0), len(k1)).astype(np.int64)
-    return pd.DataFrame({"k1": k1, "k2": k2, "train": train.astype(bool), "n_tokens": n_tokens, "n_known": known, "logs": logs})
-
-
-def _pairs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Bigram hash of each token with the one before it; END stands before a document."""
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[at[:-1]] = END
-    return c.mix(before * _U(0x9E3779B97F4A7C15) + h)
-
-
-def _pair_requests(bits: int):
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block: ids, (training flag, tokens) of its documents, distinct words, and the tokens' places among them."""
+    from pyspark import TaskContext
+
+    task, serial = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        train = np.asarray(batch.column(2)).astype("<i8")
+        for first, end, data, offsets in c.text_blocks(batch, "text", BLOCK):
+            h, at = _tokens(data, offsets)
+            words, place = np.unique(h, return_inverse=True)
+            docs = np.concatenate([train[first:end], np.diff(at)]).astype("<i8").tobytes()
+            lists = [pa.ListArray.from_arrays(pa.array([0, end - first], pa.int32()), batch.column(i).slice(first, end - first)) for i in (0, 1)]
+            tokens = place.astype("<u2" if len(words) <= 65536 else "<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{serial}"]), *lists, *[pa.array([x], pa.binary()) for x in (docs, _pack(words), tokens)]], ["block", "doc_id", "held_out", "docs", "words", "tokens"])
+            serial += 1
+
+
+class _Block:
+    """A row of the block table."""
+
+    def __init__(self, docs: bytes, words: bytes, tokens: bytes) -> None:
+        self.train, n = np.frombuffer(docs, "<i8").reshape(2, -1)
+        self.at = np.concatenate([[0], np.cumsum(n)])
+        self.words = _unpack(words)
+        self.place = np.frombuffer(tokens, "<u2" if len(tokens) == 2 * self.at[-1] else "<u4")
+
+    def pairs(self) -> np.ndarray:
+        """Bigram hash of each token with the one before it; END stands before a document."""
+        h = self.words[self.place]
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        before[self.at[:-1]] = END
+        return c.mix(before * _U(0x9E3779B97F4A7C15) + h) >> _U(16)
+
+
+def _rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*[(x.as_py() for x in batch.column(batch.schema.get_field_index(n))) for n in names], strict=True)
+
+
+_COUNTED = "bucket int, words binary, often binary, pairs binary, pair_often binary"
+
+
+def _counted(bits: int):
+    """Of each block: its distinct words and bigrams by hash range, with how often training documents have them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            train = np.asarray(batch.column(2)).astype(bool)
-            for first, end, data, offsets in c.text_blocks(batch, "text", BLOCK):
-                h, at = _tokens(data, offsets)
-                p = _pairs(h, at)[np.repeat(train[first:end], np.diff(at))]
-                p, n = np.unique(p, return_counts=True)
-                cut = _cuts(p, bits)
-                rows = [(b, _pack(p[s:e]), n[s:e].astype("<u4").tobytes()) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > s]
+            for docs, words, tokens in _rows_of(batch, "docs", "words", "tokens"):
+                b = _Block(docs, words, tokens)
+                train = np.repeat(b.train.astype(bool), np.diff(b.at))
+                often = np.bincount(b.place[train], minlength=len(b.words))
+                w, often = b.words[often > 0], often[often > 0].astype("<u4")
+                p, n = np.unique(b.pairs()[train], return_counts=True)
+                cut, pair_cut, n = _cuts(w, bits), _cuts(p, bits, 48), n.astype("<u4")
+                rows = [(k, _pack(w[s:e]), often[s:e].tobytes(), _pack6(p[u:v]), n[u:v].tobytes()) for k, (s, e, u, v) in enumerate(zip(cut[:-1], cut[1:], pair_cut[:-1], pair_cut[1:], strict=True)) if e > s or v > u]
                 if rows:
-                    bucket, keys, counts = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "keys", "counts"])
+                    bucket, *rest = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *[pa.array(x, pa.binary()) for x in rest]], ["bucket", "words", "often", "pairs", "pair_often"])
+                c.trim()
 
     return run
 
 
-def _pair_answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    k = np.concatenate([_unpack(x) for x in pdf["keys"]])
-    n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]]).astype(np.int64)
+def _totals(keys: list[np.ndarray], often: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the sums of their counts."""
+    k = np.concatenate(keys)
+    n = np.concatenate([np.frombuffer(x, "<u4") for x in often]).astype(np.int64)
     order = np.argsort(k)
     k, n = k[order], n[order]
-    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    total = np.add.reduceat(n, starts)
-    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "words": [_pack(k[starts])], "levels": [level_of(total).tobytes()], "singles": [int((total == 1).sum())]})
-
-
-def _slots(key: np.ndarray, level, probe: int, size: np.ndarray) -> np.ndarray:
-    """Bit of one probe for the item (key, level), in a segment of ``size`` bits."""
-    return (c.mix(key * _U(0xA0761D6478BD642F) + np.asarray(level).astype(_U) * _U(0x9E3779B97F4A7C15) + _U(probe * 0x632BE59BD9B4E019 & (2**64 - 1))) % size).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(len(k), 1), bool), k[1:] != k[:-1]]))
+    return k[starts], np.add.reduceat(n, starts) if len(k) else n
 
 
-_SEGMENTS = "bucket int, size long, bits binary"
+_SUMMED = "bucket int, words binary, counts binary, size long, bits binary, tokens long, singles long"
 
 
-def _segment(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: the filter of all its n-grams, at half of the capacity that the probes are best for."""
-    k = np.concatenate([_unpack(x) for x in pdf["words"]])
-    q = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["levels"]]).astype(np.int64)
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one hash range: the exact counts of its words, and the filter of all its n-grams, at half of the capacity that the probes are best for."""
+    words, counts = _totals([_unpack(x) for x in pdf["words"]], list(pdf["often"]))
+    pairs, many = _totals([_unpack6(x) for x in pdf["pairs"]], list(pdf["pair_often"]))
+    k, q = np.concatenate([words, pairs]), level_of(np.concatenate([counts, many])).astype(np.int64)
     size = 64 * int(np.ceil((q.sum() + 1) * PROBES * 2 / np.log(2) / 64))
     on = np.zeros(size, bool)
     for level in range(1, int(q.max(initial=0)) + 1):
         item = k[q >= level]
         for i in range(PROBES):
             on[_slots(item, level, i, _U(size))] = True
-    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "size": [size], "bits": [np.packbits(on).tobytes()]})
+    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "words": [_pack(words)], "counts": [counts.astype("<u8").tobytes()], "size": [size], "bits": [np.packbits(on).tobytes()], "tokens": [int(counts.sum())], "singles": [int((many == 1).sum())]})
+
+
+def _slots(key: np.ndarray, level, probe: int, size: np.ndarray) -> np.ndarray:
+    """Bit of one probe for the item (key, level), in a segment of ``size`` bits."""
+    return (c.mix(key * _U(0xA0761D6478BD642F) + np.asarray(level).astype(_U) * _U(0x9E3779B97F4A7C15) + _U(probe * 0x632BE59BD9B4E019 & (2**64 - 1))) % size).astype(np.int64)
 
 
-def _levels(data: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    """Level of each key: probes of 1, 2, ... in the key's segment until one fails.
+def _levels(data: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Level of each key: probes of 1, 2, ... in its bucket's segment until one fails.
 
     Segments begin at bit ``start[bucket]`` of ``data`` and have ``size[bucket]`` bits.
     """
     out = np.zeros(len(keys), np.uint8)
-    bucket = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     live = np.flatnonzero(size[bucket] > 0)
     level = 1
     while len(live) and level <= 128:
@@ -248,22 +217,17 @@ def _levels(data: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndar
     return out
 
 
-def _keys(h: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The distinct n-grams of a block, which are in the order of their ranges."""
-    return np.unique(np.concatenate([h, p]))
-
-
 class Model:
     """Probabilities from levels, with the corpus sizes that smoothing needs."""
 
     def __init__(self, tokens: int, distinct: int, mix: float) -> None:
         self.tokens, self.distinct, self.mix = tokens, distinct, mix
 
-    def log10(self, h: np.ndarray, p: np.ndarray, at: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, from the levels of the block's n-grams."""
-        count = value_of(np.arange(256))[levels]
-        c_w, c_p = count[np.searchsorted(keys, h)], count[np.searchsorted(keys, p)]
-        c_v = np.empty(len(h))
+    def log10(self, word_level: np.ndarray, pair_level: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probability of each token, from the levels of the token and of its bigram."""
+        value = value_of(np.arange(256))
+        c_w, c_p = value[word_level], value[pair_level]
+        c_v = np.empty(len(c_w))
         c_v[1:] = c_w[:-1]
         c_v[at[:-1]] = c_w[-1]  # the last token is an END
         p_w = (c_w + 1) / (self.tokens + self.distinct + 1)
@@ -272,97 +236,71 @@ class Model:
         return np.log10(np.where(c_v > 0, np.where(seen, self.mix * ratio, 0.0) + (1 - self.mix) * p_w, p_w))
 
 
-def _scored(shared, model: Model, bits: int):
-    """Scores with the whole filter at hand."""
+_ASKED = "block string, bucket int, words binary, pairs binary"
+
+
+def _asked(bits: int, with_pairs: bool):
+    """Each block's distinct words, and bigrams if their levels are asked for, by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, start, size = shared.value
         for batch in batches:
-            for first, end, data, offsets in c.text_blocks(batch, "text", BLOCK):
-                h, at = _tokens(data, offsets)
-                p = _pairs(h, at)
-                keys = _keys(h, p)
-                score = np.add.reduceat(model.log10(h, p, at, keys, _levels(filter_, start, size, keys, bits)), at[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(first, end - first) for i in range(4)] + [pa.array(score)], ["k1", "k2", "doc_id", "held_out", "score"])
+            for name, docs, words, tokens in _rows_of(batch, "block", "docs", "words", "tokens"):
+                b = _Block(docs, words, tokens)
+                p = np.unique(b.pairs()) if with_pairs else np.zeros(0, _U)
+                cut, pair_cut = _cuts(b.words, bits), _cuts(p, bits, 48)
+                full = np.flatnonzero((np.diff(cut) > 0) | (np.diff(pair_cut) > 0))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(full)), pa.array(full.astype(np.int32)), pa.array([_pack(b.words[cut[k] : cut[k + 1]]) for k in full], pa.binary()), pa.array([_pack6(p[pair_cut[k] : pair_cut[k + 1]]) for k in full], pa.binary())], ["block", "bucket", "words", "pairs"])
+                c.trim()
 
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows, dealt into blocks that have a name, with their places in them."""
-    from pyspark import TaskContext
-
-    task, serial = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for first, end, _, _ in c.text_blocks(batch, "text", BLOCK):
-            part = batch.slice(first, end - first)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{serial}"] * part.num_rows), *part.columns, pa.array(np.arange(part.num_rows, dtype=np.int32))], ["block", *batch.schema.names, "at"])
-            serial += 1
+_TOLD = "block string, bucket int, counts binary, word_levels binary, pair_levels binary"
 
 
-def _one_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, pairs, first index of each document) of a block's rows."""
-    batch = table.select(["text"]).combine_chunks().to_batches()[0]
-    ((_, _, data, offsets),) = c.text_blocks(batch, "text", 1 << 62)
-    h, at = _tokens(data, offsets)
-    return h, _pairs(h, at), at
+def _told(with_levels: bool):
+    """Of one hash range: the counts of the words that blocks ask for, and the levels of their n-grams."""
 
+    def cut(values: np.ndarray, parts: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, parts)])
+        return pa.array([values[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
 
-def _asked(bits: int):
-    """Each block's distinct n-grams, packed by hash range. A block that two tasks read is two parts, named by their first places."""
-
-    def ask(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        keys = _keys(*_one_block(pa.Table.from_batches(rows))[:2])
-        cut = _cuts(keys, bits)
-        full = np.flatnonzero(np.diff(cut))
-        c.trim()
-        block, part = rows[0].column(0)[0].as_py(), rows[0].column(1)[0].as_py()
-        return pa.RecordBatch.from_arrays([pa.array([block] * len(full)), pa.array([part] * len(full), pa.int32()), pa.array(full.astype(np.int32)), pa.array([_pack(keys[cut[b] : cut[b + 1]]) for b in full], pa.binary())], ["block", "part", "bucket", "keys"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            heads = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), batch.num_rows]
-            for s, e in zip(heads[:-1], heads[1:], strict=True):
-                if held and held[0].column(0)[0].as_py() != names[s]:
-                    yield ask(held)
-                    held = []
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield ask(held)
+    def run(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        words, pairs = [_unpack(x.as_py()) for x in asked["words"]], [_unpack6(x.as_py()) for x in asked["pairs"]]
+        w, p = (np.concatenate([np.zeros(0, _U), *x]) for x in (words, pairs))
+        counts, w_level, p_level = np.zeros(len(w), "<u8"), np.zeros(len(w), np.uint8), np.zeros(len(p), np.uint8)
+        if segment.num_rows:
+            known, many = _unpack(segment["words"][0].as_py()), np.frombuffer(segment["counts"][0].as_py(), "<u8")
+            if len(known):
+                at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+                counts = np.where(known[at] == w, many[at], 0).astype("<u8")
+            if with_levels:
+                data, size = np.frombuffer(segment["bits"][0].as_py(), np.uint8), np.array([segment["size"][0].as_py()], _U)
+                for keys, level in ((w, w_level), (p, p_level)):
+                    distinct, back = np.unique(keys, return_inverse=True)
+                    level[:] = _levels(data, np.zeros(1, np.int64), size, distinct, np.zeros(len(distinct), np.int64))[back]
+        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "counts": cut(counts, words), "word_levels": cut(w_level, words), "pair_levels": cut(p_level, pairs)})
 
     return run
 
 
-def _told(asked: pa.Table, segment: pa.Table) -> pa.Table:
-    """Of one hash range: the levels of the n-grams that blocks ask for."""
-    keys = [_unpack(x.as_py()) for x in asked["keys"]]
-    cut = np.cumsum([0, *map(len, keys)])
-    distinct, back = np.unique(np.concatenate([np.zeros(0, _U), *keys]), return_inverse=True)
-    levels = np.zeros(len(distinct), np.uint8)
-    if segment.num_rows:
-        data, size = np.frombuffer(segment["bits"][0].as_py(), np.uint8), np.array([segment["size"][0].as_py()], _U)
-        levels = _levels(data, np.zeros(1, np.int64), size, distinct, 0)
-    levels = levels[back]
-    return pa.table({"block": asked["block"], "part": asked["part"], "bucket": asked["bucket"], "levels": pa.array([levels[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
-
-
-def _scored_block(model: Model):
-    """Scores of one block from the levels that its ranges have told."""
+def _scored_block(model: Model, shared, bits: int):
+    """Of one block: sums and scores of its documents, from what the ranges have told or the filter at hand."""
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        rows, told = rows.sort_by("at"), told.sort_by("bucket")
-        place, part = rows["at"].to_numpy(), told["part"].to_numpy()
-        levels, score = told["levels"].to_pylist(), []
-        first = np.unique(part)
-        for lead, s, e in zip(first, np.searchsorted(place, first), np.append(np.searchsorted(place, first[1:]), len(place)), strict=True):
-            h, p, at = _one_block(rows.slice(s, e - s))
-            have = np.frombuffer(b"".join(levels[i] for i in np.flatnonzero(part == lead)), np.uint8)
-            score.append(np.add.reduceat(model.log10(h, p, at, _keys(h, p), have), at[:-1]))
-        return rows.select(["k1", "k2", "doc_id", "held_out"]).append_column("score", pa.array(np.concatenate(score)))
+        b = _Block(*(rows[n][0].as_py() for n in ("docs", "words", "tokens")))
+        told = told.sort_by("bucket")
+        count = np.frombuffer(b"".join(told["counts"].to_pylist()), "<u8")[b.place]
+        pairs, which = np.unique(b.pairs(), return_inverse=True)
+        if shared is None:
+            w_level, p_level = (np.frombuffer(b"".join(told[n].to_pylist()), np.uint8) for n in ("word_levels", "pair_levels"))
+        else:
+            data, start, size = shared.value
+            w_level, p_level = (_levels(data, start, size, k, (k >> _U(width - bits)).astype(np.int64)) for k, width in ((b.words, 64), (pairs, 48)))
+        each = lambda x: np.add.reduceat(x, b.at[:-1])
+        logp = model.log10(w_level[b.place], p_level[which], b.at)
+        flat = [rows[n].combine_chunks().flatten() for n in ("doc_id", "held_out")]
+        return pa.table({"doc_id": flat[0], "held_out": flat[1], "n_tokens": pa.array(np.diff(b.at), pa.int64()), "n_known": pa.array(each((count > 0).astype(np.int64))), "logs": pa.array(each(np.log10(count + 1.0))), "score": pa.array(each(logp))})
 
     return run
 
@@ -371,51 +309,34 @@ def score_documents(docs: DataFrame, mix: float | None = None, filter_bits: int
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of ``docs(doc_id, text, held_out)``."""
     spark = docs.sparkSession
     c.small_batches(spark)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     train = (F.col("doc_id").isNotNull() & ~F.col("held_out")).cast("int")
-    keyed = docs.select(F.xxhash64("doc_id", text).alias("k1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("k2"), train.alias("train"), text.alias("text"), "doc_id", "held_out")
-    slim = keyed.select("k1", "k2", "train", "text")
+    slim = docs.select("doc_id", "held_out", train.alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bits = max(5, (c.shuffle_partitions(spark) - 1).bit_length())
-    words = slim.mapInArrow(_word_requests(bits), "block string, bucket int, words binary, often binary, docs binary, lists binary").groupBy("bucket").applyInPandas(_word_answers, _PART)
-    words = c.materialize(words, "words")
-    base = c.materialize(words.select("block", "bucket", "counts", "docs", "lists").groupBy("block").applyInPandas(_gathered, _BASE), "base")
-    pairs = slim.mapInArrow(_pair_requests(bits), "bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(_pair_answers, "bucket int, words binary, levels binary, singles long")
-    pairs = c.materialize(pairs, "pairs")
-
-    sizes = base.agg(F.coalesce(F.sum(F.when(F.col("train"), F.col("n_tokens"))), F.lit(0)).alias("n")).first()
-    tokens = int(sizes["n"])
-    distinct = int(words.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()["v"])
+    blocks = c.materialize(slim.mapInArrow(_split, f"block string, doc_id array<{kind}>, held_out array<boolean>, docs binary, words binary, tokens binary"), "blocks")
+    summed = c.materialize(blocks.select("docs", "words", "tokens").mapInArrow(_counted(bits), _COUNTED).groupBy("bucket").applyInPandas(_summed, _SUMMED), "summed")
+    sizes = summed.select("tokens", "singles", "size", (F.octet_length("words") / 8).cast("long").alias("distinct"))
+    n = sizes.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sizes.columns]).first()
     if mix is None:
-        singles = int(pairs.agg(F.coalesce(F.sum("singles"), F.lit(0)).alias("n")).first()["n"])
-        mix = min(0.95, max(0.05, 1 - singles / tokens)) if tokens else 0.5
-    model = Model(tokens, distinct, mix)
-    grams = words.where("words is not null").select("bucket", "words", "levels").unionAll(pairs.select("bucket", "words", "levels"))
-    segments = c.materialize(grams.groupBy("bucket").applyInPandas(_segment, _SEGMENTS), "segments")
-    c.discard(words, pairs)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"k1 long, k2 long, doc_id {kind}, held_out boolean, score double"
-    keyed = keyed.select("k1", "k2", "doc_id", "held_out", "text")
-    total = int(segments.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"])
-    if total <= filter_bits:
+        mix = min(0.95, max(0.05, 1 - n["singles"] / n["tokens"])) if n["tokens"] else 0.5
+    model, shared = Model(n["tokens"], n["distinct"], mix), None
+    if n["size"] <= filter_bits:
         start, size, parts, at = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, _U), [], 0
-        for r in segments.collect():  # filter_bits / 8 bytes at most
+        for r in summed.select("bucket", "size", "bits").collect():  # filter_bits / 8 bytes at most
             start[r["bucket"]], size[r["bucket"]] = at, r["size"]
             parts.append(np.frombuffer(r["bits"], np.uint8))
             at += r["size"]
         shared = spark.sparkContext.broadcast((np.concatenate([np.zeros(0, np.uint8), *parts]), start, size))
-        scored = keyed.mapInArrow(_scored(shared, model, bits), out)
-    else:
-        blocks = c.materialize(keyed.mapInArrow(_blocks, f"block string, k1 long, k2 long, doc_id {kind}, held_out boolean, text string, at int"), "blocks")
-        # In one expression, so that nothing holds its shuffle when it is written.
-        told = c.materialize(blocks.select("block", "at", "text").mapInArrow(_asked(bits), "block string, part int, bucket int, keys binary").groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(_told, "block string, part int, bucket int, levels binary"), "told")
-        c.discard(segments)
-        c.release(spark)
-        scored = c.materialize(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored_block(model), out), "scored")
-        c.discard(blocks, told)
-    unit = F.log10(F.lit(float(tokens + distinct + 1)))
-    known = base.dropDuplicates(["k1", "k2"])
-    return scored.join(known, ["k1", "k2"]).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * unit).alias("base_score"), "score")
+    asked = blocks.select("block", "docs", "words", "tokens").mapInArrow(_asked(bits, shared is None), _ASKED)
+    # In one expression, so that nothing holds its shuffle when it is written.
+    told = c.materialize(asked.groupBy("bucket").cogroup(summed.groupBy("bucket")).applyInArrow(_told(shared is None), _TOLD), "told")
+    del asked
+    c.discard(summed)
+    c.release(spark)
+    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double"
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored_block(model, shared, bits), out)
+    unit = F.log10(F.lit(float(n["tokens"] + n["distinct"] + 1)))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n["tokens"]).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * unit).alias("base_score"), "score")
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:
