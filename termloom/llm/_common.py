@@ -23,8 +23,8 @@ _U = np.uint64
 #: Bytes of text that one vectorised step handles at most (one longer document
 #: is a step of its own).
 BLOCK_BYTES = 1 << 18
-#: Bytes of an Arrow batch at most.
-BATCH_BYTES = 2 << 20
+#: Bytes of an Arrow batch at most, below a power of two as buffers are rounded up to one.
+BATCH_BYTES = 900_000
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -27,18 +27,21 @@ Grouping is by content hash with partial counts, so copies of one passage, be
 they a third of all rows, are pre-aggregated and never meet in one task.
 
 Defined results: null text is empty; texts shorter than ``length`` keep all;
-repeated rows count as repetitions of each other; copies are all removed. Where
+repeated rows count as repetitions of each other; copies are all removed. Passages
+(``without_repeats``, ``passage_bytes``) are runs of 240-byte strings that hold more
+than 50 words. Where
 texts are returned, a removed run keeps the characters that its ends would split.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -46,8 +49,8 @@ from . import _common as c
 _U = np.uint64
 #: Suffixes that one core stands for.
 SPAN = 32
-#: Bytes of a repeated string; of a repeated passage, which sees passages from about 50 words on.
-LENGTH, PASSAGE = 400, 240
+#: Bytes of a repeated string; bytes that a repeated passage has at least, and words that it has more than.
+LENGTH, PASSAGE, PASSAGE_WORDS = 400, 240, 50
 #: A text is named by two hashes and, if it is a part of one, by its place in it.
 KEYS = ("k1", "k2", "k3")
 _KEYS = "k1 long, k2 long, k3 int"
@@ -198,15 +201,17 @@ def _spans(length: int):
                 begin = at - np.repeat(np.asarray(ranges.field("back")).astype(np.int64), n_at)
                 size = np.repeat(np.asarray(ranges.field("more")).astype(np.int64), n_at) + 1
                 in_range = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-                spans.append([{"start": s, "end": e} for s, e in covered(len(texts[i].as_buffer()), np.concatenate([start[r] - b, in_range]), length)])
+                raw = memoryview(texts[i].as_buffer())
+                spans.append([{"start": s, "end": e, "words": len(_WORD.findall(raw[s:e]))} for s, e in covered(len(raw), np.concatenate([start[r] - b, in_range]), length)])
             kept = [i for i, x in enumerate(spans) if x]
             yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(kept, pa.int64())) for k in range(3)], texts.take(pa.array(kept, pa.int64())), pa.array([spans[i] for i in kept], _SPANS)], [*KEYS, "text", "spans"])
 
     return run
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_FOUND = f"{_KEYS}, text binary, spans array<struct<start:int,end:int>>"
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
+_FOUND = f"{_KEYS}, text binary, spans array<struct<start:int,end:int,words:int>>"
 
 
 def repeated_spans(texts: DataFrame, length: int, k: int = 0) -> DataFrame:
@@ -216,21 +221,21 @@ def repeated_spans(texts: DataFrame, length: int, k: int = 0) -> DataFrame:
     keys = list(KEYS)
     long = texts.select(*keys, "text").where(F.octet_length("text") >= length)
     names = c.materialize(long.mapInArrow(_names(length, k), f"name long, whole long, {_KEYS}, at array<int>, back short, more short"), "names")
-    # The small side of each join has one row a key, so it is hashed rather than both sides sorted.
+    # The small side has one short row a name, so it is hashed rather than both sides sorted.
     several = names.groupBy("name").agg(F.sum(F.size("at")).alias("total")).where("total > 1").select("name")
     shared = c.materialize(names.join(several.hint("shuffle_hash"), "name"), "shared")
     c.discard(names)
     # Per (name, all bytes around): how often; per name: in how many ways.
     counts = c.materialize(shared.groupBy("name", "whole").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct(*keys)).alias("lead")), "counts")
     state = counts.join(counts.groupBy("name").agg(F.count("*").alias("m")), "name").select("name", "whole", "n", "m", "lead")
-    placed = shared.join(state.hint("shuffle_hash"), ["name", "whole"])
+    placed = shared.join(state, ["name", "whole"])
     is_open = (F.col("m") > 1) & ((F.col("n") == 1) | (F.col("lead") == F.struct(*keys)))
     ranges = F.when(F.col("n") > 1, F.struct("at", "back", "more"))
     placed = placed.groupBy(*keys).agg(F.flatten(F.collect_list(F.when(is_open, F.col("at")))).alias("anchors"), F.collect_list(ranges).alias("wholes"))
     # Tables of their own, so that what they are made of can go before texts are moved.
     placed = c.materialize(placed.where((F.size("anchors") > 0) | (F.size("wholes") > 0)), "placed")
     c.discard(shared, counts)
-    suspects = c.materialize(long.join(placed.hint("shuffle_hash"), keys), "suspects")
+    suspects = c.materialize(long.join(placed, keys), "suspects")
     c.discard(placed)
     unsettled = suspects.where(F.size("anchors") > 0)
     cores = c.materialize(unsettled.mapInArrow(_cores(length, k), _CORES), "cores")
@@ -246,12 +251,12 @@ def repeated_spans(texts: DataFrame, length: int, k: int = 0) -> DataFrame:
     alike = single.groupBy("name", "core", "suffix").agg(F.sum("n").alias("s")).where("s > 1").select("name", "core", "suffix")
     part = single.where("n = 1").join(alike, ["name", "core", "suffix"]).groupBy("name", "core", "way").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
     masks = whole.unionAll(part)
-    marks = cores.select(*keys, "starts", "name", "core", "way").join(masks.hint("shuffle_hash"), ["name", "core", "way"]).groupBy(*keys).agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
+    marks = cores.select(*keys, "starts", "name", "core", "way").join(masks, ["name", "core", "way"]).groupBy(*keys).agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
     marks = c.materialize(marks, "marks")
     c.discard(cores, ways)
     none = F.array().cast("array<struct<starts:array<int>,mask:bigint>>")
     settled = suspects.where(F.size("anchors") == 0).select(*keys, "text", "wholes", none.alias("marks"))
-    ended = unsettled.select(*keys, "text", "wholes").join(marks.hint("shuffle_hash"), keys, "left").select(*keys, "text", "wholes", F.coalesce("marks", none).alias("marks"))
+    ended = unsettled.select(*keys, "text", "wholes").join(marks, keys, "left").select(*keys, "text", "wholes", F.coalesce("marks", none).alias("marks"))
     found = c.materialize(settled.unionAll(ended).mapInArrow(_spans(length), _FOUND), "spans")
     c.discard(suspects, marks)
     return found
@@ -265,8 +270,8 @@ def longer_spans(found: DataFrame, length: int) -> DataFrame:
     # Equal runs repeat as a whole: one of each is searched for what it shares with others.
     runs = runs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text", F.octet_length("text"))})
     same = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "k3")).alias("lead"))
-    runs = c.materialize(runs.join(same.hint("shuffle_hash"), ["h1", "h2"]).select("k1", "k2", "k3", "n", (F.col("lead") == F.struct("k1", "k2", "k3")).alias("leads"), F.octet_length("text").alias("size"), F.when(F.col("lead") == F.struct("k1", "k2", "k3"), F.col("text")).alias("text")), "runs")
-    whole = runs.where("n > 1").select("k1", "k2", "k3", F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).alias("spans"))
+    runs = c.materialize(runs.join(same, ["h1", "h2"]).select("k1", "k2", "k3", "n", (F.col("lead") == F.struct("k1", "k2", "k3")).alias("leads"), F.octet_length("text").alias("size"), F.when(F.col("lead") == F.struct("k1", "k2", "k3"), F.col("text")).alias("text")), "runs")
+    whole = runs.where("n > 1").select("k1", "k2", "k3", F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"), F.lit(0).alias("words"))).alias("spans"))
     again = repeated_spans(runs.where("leads").dropDuplicates(["k1", "k2", "k3"]).select("k1", "k2", "k3", "text"), length)
     again = whole.unionByName(again.select("k1", "k2", "k3", "spans").join(whole.select("k1", "k2", "k3").distinct(), ["k1", "k2", "k3"], "left_anti"))
     moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("k3")).alias("start"), (x["end"] + F.col("k3")).alias("end")))
@@ -314,12 +319,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return _keyed(docs).select(*KEYS, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
+def passage_spans(words: int = PASSAGE_WORDS) -> Column:
+    """The spans of more than so many words."""
+    return F.filter("spans", lambda x: x["words"] > words)
+
+
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Besides the strings of 400 bytes, the bytes and runs that repeated passages (240 bytes) cover."""
+    """Besides the strings of 400 bytes, the bytes and runs of repeated passages of over 50 words."""
     docs = c.table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    passages = repeated_spans(_texts(docs), PASSAGE)
-    strings = longer_spans(passages, LENGTH)
+    found = repeated_spans(_texts(docs), PASSAGE)
+    strings = longer_spans(found, LENGTH)
+    passages = found.withColumn("spans", passage_spans())
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     about = passages.select("k1", "k2", length.alias("passage_bytes"), F.size("spans").cast("long").alias("n_passages")).dropDuplicates(["k1", "k2"])
     found = kept_texts(passages.select("k1", "k2", "text").join(strings, ["k1", "k2"])).drop("kept").dropDuplicates(["k1", "k2"])
@@ -330,9 +341,10 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_bytes", *counts, F.coalesce("kept_sha256", "whole").alias("kept_sha256"), *[F.coalesce(x, zero).alias(x) for x in ("passage_bytes", "n_passages")])
 
 
-def without_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
-    """``docs`` with the repeated passages cut from the texts; a document that loses its whole text goes."""
-    kept = kept_texts(repeated_spans(_texts(docs), length), with_text=True).where("n_removed > 0").select("k1", "k2", "kept").dropDuplicates(["k1", "k2"])
+def without_repeats(docs: DataFrame, length: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
+    """``docs`` with the repeated passages of more than ``words`` words cut from the texts; a document that loses its whole text goes."""
+    found = repeated_spans(_texts(docs), length).withColumn("spans", passage_spans(words)).where(F.size("spans") > 0)
+    kept = kept_texts(found, with_text=True).where("n_removed > 0").select("k1", "k2", "kept").dropDuplicates(["k1", "k2"])
     rows = _keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text")).select("row", "k1", "k2").join(kept, ["k1", "k2"], "left")
     rows = rows.where(F.col("kept").isNull() | (F.length("kept") > 0))
     text = F.coalesce("kept", F.col("row.text"))

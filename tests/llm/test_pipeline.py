@@ -10,7 +10,7 @@ from termloom.llm import bpe_codec, queries, substring_dedup
 
 sys.path.insert(0, os.path.dirname(__file__))
 
-from test_llm_operators import components, mixed, repeated  # noqa: E402
+from test_llm_operators import components, mixed, passages, repeated  # noqa: E402
 
 
 def test_stages(spark, docs, tmp_path):
@@ -35,10 +35,10 @@ def test_stages(spark, docs, tmp_path):
     raws = [t.encode() for _, t in rows]
     left = {}
     for (i, _), b, on in zip(rows, raws, repeated(raws, substring_dedup.PASSAGE), strict=True):
-        rest = bytes(x for x, gone in zip(b, on, strict=True) if not gone)  # the fixture repeats plain letters only
+        rest = bytes(x for x, gone in zip(b, passages(b, on), strict=True) if not gone)  # the fixture repeats plain letters only
         if rest or not b:
             left[i] = rest.decode()
-    assert {r["doc_id"]: r["text"] for r in kept[2]} == left and any(on.any() for on in repeated(raws, substring_dedup.PASSAGE))
+    assert {r["doc_id"]: r["text"] for r in kept[2]} == left and any(passages(b, on).any() for b, on in zip(raws, repeated(raws, substring_dedup.PASSAGE), strict=True))
     # 4: each source's words near its target, documents as often as the mix takes them.
     size, total, target = mixed([(r["doc_id"], r["text"], None, r["source"]) for r in kept[2]])
     source = {r["doc_id"]: r["source"] for r in kept[2]}
