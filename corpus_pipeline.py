@@ -44,7 +44,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 240-byte strings that also start elsewhere (passages of about 50 words and more); emptied documents go."""
+    """Texts without the passages of over 50 words that also stand elsewhere; emptied documents go."""
     return without_repeats(docs)
 
 
