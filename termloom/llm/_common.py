@@ -27,17 +27,32 @@ BLOCK_BYTES = 1 << 18
 BATCH_BYTES = 900_000
 
 
+#: Bytes of tables after which shuffle files are looked after; what smaller tables left behind can wait.
+RELEASE_BYTES = 4 << 20
+_written = 0
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors.
     """
+    global _written
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/termloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    release(spark)
+    system, at = _file_system(spark, path)
+    _written += system.getContentSummary(at).getLength()
+    if _written >= RELEASE_BYTES:
+        _written = 0
+        release(spark)
     table_ = spark.read.schema(schema).parquet(path)
     table_._written_to = path
     return table_
@@ -46,9 +61,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that no later plan reads."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._written_to)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system, at = _file_system(t.sparkSession, t._written_to)
+        system.delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
