@@ -12,13 +12,12 @@ per doubling) and written into a Bloom filter: an n-gram of level q inserts
 (n-gram, 1), ..., (n-gram, q), so its level is read back by probing 1, 2, ...
 until a probe fails, and errors are one-sided and rare. Every n-gram of the
 training documents is in it, whatever its count: the filter has one segment for
-each hash range, and a segment is as large as the items of its range need.
+each hash range, and a segment is as large as the items of its range need. It grows
+with the corpus, so it is not broadcast: a segment is probed in its range, for all
+n-grams that the blocks have sent, and each block is told the levels of its n-grams
+and the exact counts of its words (``base_score``).
 
-Scoring. Each block asks the ranges for the exact counts of its words (``base_score``).
-A filter of at most ``filter_bits`` is broadcast and probed where the blocks are. A
-larger one stays where it is, and blocks ask for the levels of their n-grams too. Both
-ways read the same segments, so scores do not depend on which was taken. Probability
-of a word w after v, with probes for all counts:
+Scoring. Probability of a word w after v, with probes for all counts:
 ``mix * c(vw) / c(v) + (1 - mix) * (c(w) + 1) / (N + V + 1)``; where the pair was
 never seen in training its first term is 0, and where v was never seen it is
 ``(c(w) + 1) / (N + V + 1)`` alone. ``mix`` is fitted by leaving one out: the share of
@@ -48,8 +47,8 @@ from . import _common as c
 _U = np.uint64
 #: Hash of the end token (a word's hash equals it with a chance of 2^-64).
 END = c.mix(np.array([0x5EED], _U))[0]
-#: Bits of the largest filter that is broadcast, probes per item, and quantisation levels per doubling.
-FILTER_BITS, PROBES, STEPS = 1 << 27, 4, 2
+#: Probes per item, and quantisation levels per doubling.
+PROBES, STEPS = 4, 2
 #: Bytes of text in a block: words that many of its documents share are handled once a block.
 BLOCK = 1 << 20
 
@@ -143,74 +142,87 @@ def _rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*[(x.as_py() for x in batch.column(batch.schema.get_field_index(n))) for n in names], strict=True)
 
 
-_COUNTED = "bucket int, words binary, often binary, pairs binary, pair_often binary"
+_ASKED = "block string, bucket int, words binary, often binary, pairs binary, pair_often binary"
 
 
-def _counted(bits: int):
+def _asked(bits: int):
     """Of each block: its distinct words and bigrams by hash range, with how often training documents have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _ASKED.split(", ")]
         for batch in batches:
-            for docs, words, tokens in _rows_of(batch, "docs", "words", "tokens"):
+            for name, docs, words, tokens in _rows_of(batch, "block", "docs", "words", "tokens"):
                 b = _Block(docs, words, tokens)
                 train = np.repeat(b.train.astype(bool), np.diff(b.at))
-                often = np.bincount(b.place[train], minlength=len(b.words))
-                w, often = b.words[often > 0], often[often > 0].astype("<u4")
-                p, n = np.unique(b.pairs()[train], return_counts=True)
-                cut, pair_cut, n = _cuts(w, bits), _cuts(p, bits, 48), n.astype("<u4")
-                rows = [(k, _pack(w[s:e]), often[s:e].tobytes(), _pack6(p[u:v]), n[u:v].tobytes()) for k, (s, e, u, v) in enumerate(zip(cut[:-1], cut[1:], pair_cut[:-1], pair_cut[1:], strict=True)) if e > s or v > u]
-                if rows:
-                    bucket, *rest = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *[pa.array(x, pa.binary()) for x in rest]], ["bucket", "words", "often", "pairs", "pair_often"])
+                often = np.bincount(b.place[train], minlength=len(b.words)).astype("<u4")
+                # A bigram's low bit says whether it is one of a training document: sorted, it stands behind the others.
+                both, n = np.unique(b.pairs() << _U(1) | train.astype(_U), return_counts=True)
+                p = both >> _U(1)
+                last = np.flatnonzero(np.concatenate([p[1:] != p[:-1], np.ones(min(len(p), 1), bool)]))
+                pair_often = np.where(both[last] & _U(1) == 1, n[last], 0).astype("<u4")
+                p = p[last]
+                cut, pair_cut = _cuts(b.words, bits), _cuts(p, bits, 48)
+                rows = [(name, k, _pack(b.words[s:e]), often[s:e].tobytes(), _pack6(p[u:v]), pair_often[u:v].tobytes()) for k, (s, e, u, v) in enumerate(zip(cut[:-1], cut[1:], pair_cut[:-1], pair_cut[1:], strict=True)) if e > s or v > u]
+                block, bucket, *rest = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(bucket, pa.int32()), *[pa.array(x, pa.binary()) for x in rest]], names)
                 c.trim()
 
     return run
 
 
-def _totals(keys: list[np.ndarray], often: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and the sums of their counts."""
-    k = np.concatenate(keys)
-    n = np.concatenate([np.frombuffer(x, "<u4") for x in often]).astype(np.int64)
-    order = np.argsort(k)
-    k, n = k[order], n[order]
-    starts = np.flatnonzero(np.concatenate([np.ones(min(len(k), 1), bool), k[1:] != k[:-1]]))
-    return k[starts], np.add.reduceat(n, starts) if len(k) else n
-
+def _totals(keys: list[np.ndarray], often: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sums of their counts, and where each given key stands among them."""
+    distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.concatenate([np.frombuffer(x, "<u4") for x in often])
+    return distinct, np.bincount(back, n, len(distinct)).astype(np.int64), back
 
-_SUMMED = "bucket int, words binary, counts binary, size long, bits binary, tokens long, singles long"
 
-
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: the exact counts of its words, and the filter of all its n-grams, at half of the capacity that the probes are best for."""
-    words, counts = _totals([_unpack(x) for x in pdf["words"]], list(pdf["often"]))
-    pairs, many = _totals([_unpack6(x) for x in pdf["pairs"]], list(pdf["pair_often"]))
-    k, q = np.concatenate([words, pairs]), level_of(np.concatenate([counts, many])).astype(np.int64)
-    size = 64 * int(np.ceil((q.sum() + 1) * PROBES * 2 / np.log(2) / 64))
+def _segment(keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
+    """The filter of a range's n-grams, at half of the capacity that the probes are best for: (packed bits, size)."""
+    size = 64 * int(np.ceil((levels.sum(dtype=np.int64) + 1) * PROBES * 2 / np.log(2) / 64))
     on = np.zeros(size, bool)
-    for level in range(1, int(q.max(initial=0)) + 1):
-        item = k[q >= level]
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        item = keys[levels >= level]
         for i in range(PROBES):
-            on[_slots(item, level, i, _U(size))] = True
-    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "words": [_pack(words)], "counts": [counts.astype("<u8").tobytes()], "size": [size], "bits": [np.packbits(on).tobytes()], "tokens": [int(counts.sum())], "singles": [int((many == 1).sum())]})
+            on[_slots(item, level, i, size)] = True
+    return np.packbits(on), size
 
 
-def _slots(key: np.ndarray, level, probe: int, size: np.ndarray) -> np.ndarray:
-    """Bit of one probe for the item (key, level), in a segment of ``size`` bits."""
-    return (c.mix(key * _U(0xA0761D6478BD642F) + np.asarray(level).astype(_U) * _U(0x9E3779B97F4A7C15) + _U(probe * 0x632BE59BD9B4E019 & (2**64 - 1))) % size).astype(np.int64)
+_TOLD = "block string, bucket int, counts binary, word_levels binary, pair_levels binary, tokens long, distinct long, singles long"
 
 
-def _levels(data: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """Level of each key: probes of 1, 2, ... in its bucket's segment until one fails.
+def _told(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one hash range: exact counts and the filter's levels for what each block has sent, and the range's sums (in the first row)."""
+    words, pairs = [_unpack(x) for x in pdf["words"]], [_unpack6(x) for x in pdf["pairs"]]
+    w, count, w_back = _totals(words, list(pdf["often"]))
+    p, many, p_back = _totals(pairs, list(pdf["pair_often"]))
+    grams, seen = np.concatenate([w, p]), np.concatenate([count, many])
+    data, size = _segment(grams[seen > 0], level_of(seen[seen > 0]))
+    level = _levels(data, size, grams)
+
+    def cut(values: np.ndarray, parts: list[np.ndarray]) -> list[bytes]:
+        ends = np.cumsum([0, *map(len, parts)])
+        return [values[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)]
+
+    first = np.arange(len(pdf)) == 0
+    out = pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "counts": cut(count[w_back].astype("<u8"), words), "word_levels": cut(level[: len(w)][w_back], words), "pair_levels": cut(level[len(w) :][p_back], pairs), "tokens": first * int(count.sum()), "distinct": first * int((count > 0).sum()), "singles": first * int((many == 1).sum())})
+    del words, pairs, w_back, p_back
+    c.trim()
+    return out
 
-    Segments begin at bit ``start[bucket]`` of ``data`` and have ``size[bucket]`` bits.
-    """
+
+def _slots(key: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
+    """Bit of one probe for the item (key, level), in a segment of ``size`` bits."""
+    return (c.mix(key * _U(0xA0761D6478BD642F) + _U(level) * _U(0x9E3779B97F4A7C15) + _U(probe * 0x632BE59BD9B4E019 & (2**64 - 1))) % _U(size)).astype(np.int64)
+
+
+def _levels(data: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
+    """Level of each key: probes of 1, 2, ... in the segment until one fails."""
     out = np.zeros(len(keys), np.uint8)
-    live = np.flatnonzero(size[bucket] > 0)
-    level = 1
+    live, level = np.arange(len(keys)), 1
     while len(live) and level <= 128:
         for i in range(PROBES):
-            b = bucket[live]
-            at = _slots(keys[live], level, i, size[b]) + start[b]
+            at = _slots(keys[live], level, i, size)
             live = live[(data[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
         out[live] = level
         level += 1
@@ -236,67 +248,15 @@ class Model:
         return np.log10(np.where(c_v > 0, np.where(seen, self.mix * ratio, 0.0) + (1 - self.mix) * p_w, p_w))
 
 
-_ASKED = "block string, bucket int, words binary, pairs binary"
-
-
-def _asked(bits: int, with_pairs: bool):
-    """Each block's distinct words, and bigrams if their levels are asked for, by hash range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, docs, words, tokens in _rows_of(batch, "block", "docs", "words", "tokens"):
-                b = _Block(docs, words, tokens)
-                p = np.unique(b.pairs()) if with_pairs else np.zeros(0, _U)
-                cut, pair_cut = _cuts(b.words, bits), _cuts(p, bits, 48)
-                full = np.flatnonzero((np.diff(cut) > 0) | (np.diff(pair_cut) > 0))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(full)), pa.array(full.astype(np.int32)), pa.array([_pack(b.words[cut[k] : cut[k + 1]]) for k in full], pa.binary()), pa.array([_pack6(p[pair_cut[k] : pair_cut[k + 1]]) for k in full], pa.binary())], ["block", "bucket", "words", "pairs"])
-                c.trim()
-
-    return run
-
-
-_TOLD = "block string, bucket int, counts binary, word_levels binary, pair_levels binary"
-
-
-def _told(with_levels: bool):
-    """Of one hash range: the counts of the words that blocks ask for, and the levels of their n-grams."""
-
-    def cut(values: np.ndarray, parts: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0, *map(len, parts)])
-        return pa.array([values[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-
-    def run(asked: pa.Table, segment: pa.Table) -> pa.Table:
-        words, pairs = [_unpack(x.as_py()) for x in asked["words"]], [_unpack6(x.as_py()) for x in asked["pairs"]]
-        w, p = (np.concatenate([np.zeros(0, _U), *x]) for x in (words, pairs))
-        counts, w_level, p_level = np.zeros(len(w), "<u8"), np.zeros(len(w), np.uint8), np.zeros(len(p), np.uint8)
-        if segment.num_rows:
-            known, many = _unpack(segment["words"][0].as_py()), np.frombuffer(segment["counts"][0].as_py(), "<u8")
-            if len(known):
-                at = np.minimum(np.searchsorted(known, w), len(known) - 1)
-                counts = np.where(known[at] == w, many[at], 0).astype("<u8")
-            if with_levels:
-                data, size = np.frombuffer(segment["bits"][0].as_py(), np.uint8), np.array([segment["size"][0].as_py()], _U)
-                for keys, level in ((w, w_level), (p, p_level)):
-                    distinct, back = np.unique(keys, return_inverse=True)
-                    level[:] = _levels(data, np.zeros(1, np.int64), size, distinct, np.zeros(len(distinct), np.int64))[back]
-        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "counts": cut(counts, words), "word_levels": cut(w_level, words), "pair_levels": cut(p_level, pairs)})
-
-    return run
-
-
-def _scored_block(model: Model, shared, bits: int):
-    """Of one block: sums and scores of its documents, from what the ranges have told or the filter at hand."""
+def _scored_block(model: Model):
+    """Of one block: sums and scores of its documents, from what the ranges have told."""
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         b = _Block(*(rows[n][0].as_py() for n in ("docs", "words", "tokens")))
         told = told.sort_by("bucket")
-        count = np.frombuffer(b"".join(told["counts"].to_pylist()), "<u8")[b.place]
-        pairs, which = np.unique(b.pairs(), return_inverse=True)
-        if shared is None:
-            w_level, p_level = (np.frombuffer(b"".join(told[n].to_pylist()), np.uint8) for n in ("word_levels", "pair_levels"))
-        else:
-            data, start, size = shared.value
-            w_level, p_level = (_levels(data, start, size, k, (k >> _U(width - bits)).astype(np.int64)) for k, width in ((b.words, 64), (pairs, 48)))
+        join = lambda n, kind: np.frombuffer(b"".join(told[n].to_pylist()), kind)
+        count, w_level, p_level = join("counts", "<u8")[b.place], join("word_levels", np.uint8), join("pair_levels", np.uint8)
+        _, which = np.unique(b.pairs(), return_inverse=True)
         each = lambda x: np.add.reduceat(x, b.at[:-1])
         logp = model.log10(w_level[b.place], p_level[which], b.at)
         flat = [rows[n].combine_chunks().flatten() for n in ("doc_id", "held_out")]
@@ -305,7 +265,7 @@ def _scored_block(model: Model, shared, bits: int):
     return run
 
 
-def score_documents(docs: DataFrame, mix: float | None = None, filter_bits: int = FILTER_BITS) -> DataFrame:
+def score_documents(docs: DataFrame, mix: float | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of ``docs(doc_id, text, held_out)``."""
     spark = docs.sparkSession
     c.small_batches(spark)
@@ -314,27 +274,14 @@ def score_documents(docs: DataFrame, mix: float | None = None, filter_bits: int
     slim = docs.select("doc_id", "held_out", train.alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bits = max(5, (c.shuffle_partitions(spark) - 1).bit_length())
     blocks = c.materialize(slim.mapInArrow(_split, f"block string, doc_id array<{kind}>, held_out array<boolean>, docs binary, words binary, tokens binary"), "blocks")
-    summed = c.materialize(blocks.select("docs", "words", "tokens").mapInArrow(_counted(bits), _COUNTED).groupBy("bucket").applyInPandas(_summed, _SUMMED), "summed")
-    sizes = summed.select("tokens", "singles", "size", (F.octet_length("words") / 8).cast("long").alias("distinct"))
-    n = sizes.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sizes.columns]).first()
+    told = c.materialize(blocks.select("block", "docs", "words", "tokens").mapInArrow(_asked(bits), _ASKED).groupBy("bucket").applyInPandas(_told, _TOLD), "told")
+    n = told.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "distinct", "singles")]).first()
     if mix is None:
         mix = min(0.95, max(0.05, 1 - n["singles"] / n["tokens"])) if n["tokens"] else 0.5
-    model, shared = Model(n["tokens"], n["distinct"], mix), None
-    if n["size"] <= filter_bits:
-        start, size, parts, at = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, _U), [], 0
-        for r in summed.select("bucket", "size", "bits").collect():  # filter_bits / 8 bytes at most
-            start[r["bucket"]], size[r["bucket"]] = at, r["size"]
-            parts.append(np.frombuffer(r["bits"], np.uint8))
-            at += r["size"]
-        shared = spark.sparkContext.broadcast((np.concatenate([np.zeros(0, np.uint8), *parts]), start, size))
-    asked = blocks.select("block", "docs", "words", "tokens").mapInArrow(_asked(bits, shared is None), _ASKED)
-    # In one expression, so that nothing holds its shuffle when it is written.
-    told = c.materialize(asked.groupBy("bucket").cogroup(summed.groupBy("bucket")).applyInArrow(_told(shared is None), _TOLD), "told")
-    del asked
-    c.discard(summed)
-    c.release(spark)
+    model = Model(n["tokens"], n["distinct"], mix)
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double"
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored_block(model, shared, bits), out)
+    answers = told.select("block", "bucket", "counts", "word_levels", "pair_levels")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored_block(model), out)
     unit = F.log10(F.lit(float(n["tokens"] + n["distinct"] + 1)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n["tokens"]).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * unit).alias("base_score"), "score")
 

@@ -381,7 +381,7 @@ def test_repeats_that_split_characters(spark):
 # 8
 def test_lm_scoring(docs, empty, rows):
     ready = docs.select("doc_id", "text", lm_scoring.held_out(docs["doc_id"]).alias("held_out"))
-    got = {r["doc_id"]: r for r in lm_scoring.score_documents(ready, filter_bits=1 << 20).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(ready).collect()}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
     count = Counter(w for i, t, _, _ in rows if not out[i] for w in [*split(t), "\n"])
     n, v = sum(count.values()), len(count)
@@ -392,11 +392,11 @@ def test_lm_scoring(docs, empty, rows):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(w), sum(count[x] > 0 for x in w), n)
         assert r["score"] < 0
     assert sum(got[i]["score"] for i in got) > sum(got[i]["base_score"] for i in got)
-    assert lm_scoring.score_documents(ready.limit(0), filter_bits=1 << 20).count() == 0
+    assert lm_scoring.score_documents(ready.limit(0)).count() == 0
 
 
 def test_lm_score_has_every_count(docs, rows):
-    """``score`` of exact counts on the log scale, also where the filter is too large to broadcast."""
+    """``score`` of exact counts on the log scale, whatever the number of ranges."""
     ready = docs.select("doc_id", "text", lm_scoring.held_out(docs["doc_id"]).alias("held_out"))
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
     word, pair = Counter(), Counter()
@@ -419,7 +419,7 @@ def test_lm_score_has_every_count(docs, rows):
         return math.log10(mix * min(count(pair[a, b]) / count(word[a]), 1) + (1 - mix) * p)
 
     near = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(ready).collect()}
-    far = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(ready, filter_bits=0).collect()}
+    far = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(ready.repartition(7)).collect()}
     assert near.keys() == far.keys() == out.keys()
     for i, text, _, _ in rows:
         w = [*split(text), "\n"]
