@@ -77,15 +77,15 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     roll = c.Rolling(data)
     h = roll.every(k)
     at = _least(h, length - k + 1)
-    inside = np.zeros(len(at) + 1, np.int64)  # a window starts here and ends in the same document
-    big = np.flatnonzero(size >= length)
-    np.add.at(inside, offsets[big], 1)
-    np.add.at(inside, offsets[big + 1] - length + 1, -1)
-    p = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-    new = np.ones(len(p), bool)
-    new[1:] = (at[p[1:]] != at[p[:-1]]) | (p[1:] != p[:-1] + 1)
-    s = np.flatnonzero(new)
-    first, last = p[s], p[np.append(s[1:], len(p)) - 1]
+    valid = np.zeros(len(at), bool)  # a window starts here and ends in the same document
+    for d in np.flatnonzero(size >= length):
+        valid[offsets[d] : offsets[d + 1] - length + 1] = True
+    starts = np.ones(len(at), bool)
+    starts[1:] = (at[1:] != at[:-1]) | ~valid[:-1]
+    starts &= valid
+    ends = valid.copy()
+    ends[:-1] &= starts[1:] | ~valid[1:]
+    first, last = np.flatnonzero(starts), np.flatnonzero(ends)
     q = at[first]
     return q, first, last, np.searchsorted(offsets, first, "right") - 1, h[q], roll
 
