@@ -16,11 +16,14 @@ _WHERE = {
     "op8_lm_scoring": "lm_scoring",
     "op9_jaccard": "jaccard_join",
     "op10_embedding_dedup": "embedding_dedup",
+    "op11_packing": "packing",
+    "op12_merkle_manifest": "merkle",
+    "op13_token_alignment": "token_alignment",
     "page_sequences": "media",
 }
 
 #: modules with a ``SQL`` string for their query
-_SQL_IN = ("op5_mix_sources", "op6_license_scan", "op9_jaccard")
+_SQL_IN = ("op5_mix_sources", "op6_license_scan", "op9_jaccard", "op12_merkle_manifest")
 
 
 def queries() -> dict:
