@@ -52,14 +52,14 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): each document in ASCII, between a title, a section of references, a contact header and a common end."""
+    """(doc_id, text): each document between a title, a section of references, a contact header and a common end."""
     d = table(spark, sf_dir, "documents")
-    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^ -~\n]", "x")
+    body = F.coalesce("text", F.lit(""))
     ends = "\n## References\nsee the list\nCONTACT US\nask the office\n\n# End\ncommon line at the end of all documents\nclosing line number "
     return d.select("doc_id", F.concat(F.lit("# "), F.coalesce("source", F.lit("none")), F.lit("\n"), body, F.lit(ends), F.col("doc_id").cast("string")).alias("text"))
 
 
-CORPUS_SQL = r"cd AS (SELECT doc_id, '# ' || coalesce(source, 'none') || chr(10) || regexp_replace(coalesce(text, ''), '[^ -~\n]', 'x', 'g') || replace('|## References|see the list|CONTACT US|ask the office||# End|common line at the end of all documents|closing line number ', '|', chr(10)) || doc_id AS text FROM documents)"
+CORPUS_SQL = r"cd AS (SELECT doc_id, '# ' || coalesce(source, 'none') || chr(10) || coalesce(text, '') || replace('|## References|see the list|CONTACT US|ask the office||# End|common line at the end of all documents|closing line number ', '|', chr(10)) || doc_id AS text FROM documents)"
 
 RELEASE = "XX1000124_20240131"
 

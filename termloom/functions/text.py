@@ -11,9 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WS = r"[\s\u0085   -     　\u001c-\u001f]"
+_SPACES = r"\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WS = f"[{_SPACES}]"
+#: What a split into lines cuts at.
+_BREAK = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 #: A word character of a Unicode-aware regular expression.
-_W = r"\p{L}\p{M}\p{N}_"
+_W = r"\p{L}\p{N}_"
+# Addresses: fixed values. A word character at both ends stands for the word boundaries.
+_URL = rf"(?i)https?://[^{_SPACES}]+|www\.[^{_SPACES}]+"
+_MAIL = rf"[{_W}][{_W}.+-]*@[{_W}-]+\.[{_W}.-]*[{_W}]"
 
 
 def strip(c: Column) -> Column:
@@ -21,6 +27,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
 
 
+def split_lines(c: Column) -> Column:
+    """Lines of a text by any line break; a break at the end makes no further line, an empty text has none."""
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, rf"(?:{_BREAK})\z", ""), _BREAK))
+
+
 def text_or_empty(c: Column) -> Column:
     """Missing and empty are one value: stripped text, or ''."""
     return F.coalesce(strip(c.cast("string")), F.lit(""))
@@ -79,12 +90,10 @@ def normalize_key(c: Column) -> Column:
 
 def corpus_normalize(c: Column) -> Column:
     """For document frequencies: no addresses, digits, punctuation or case."""
-    out = F.regexp_replace(c, r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"(?i)https?://\S+|www\.\S+", " ")
-    out = F.regexp_replace(out, r"(?i)[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+", " ")
-    out = F.lower(F.regexp_replace(out, r"[0-9]+", " "))
-    out = F.regexp_replace(out, rf"[^{_W}\s]", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), _URL, " "), _MAIL, " ")
+    out = F.lower(F.regexp_replace(out, r"\p{Nd}+", " "))
+    out = F.regexp_replace(out, f"[^{_W}{_SPACES}]", " ")
+    return F.trim(F.regexp_replace(out, f"{_WS}+", " "))
 
 
 def light_normalize(c: Column) -> Column:
@@ -111,7 +120,7 @@ def markdown_plain(c: Column) -> Column:
 
 def marker_clean(c: Column) -> Column:
     """The text without the lines that are layout noise."""
-    return F.array_join(F.filter(F.split(c, "\n"), lambda x: ~is_layout_noise(x)), "\n")
+    return F.array_join(F.filter(split_lines(c), lambda x: ~is_layout_noise(x)), "\n")
 
 
 def html_strip(c: Column) -> Column:
@@ -213,24 +222,28 @@ def without_thinking(c: Column) -> Column:
 
 # Header words and signs of layout noise: fixed values.
 SECTION_KEYWORDS = ("references", "reference", "additional information", "additional info", "lisainfo", "viited", "allikad", "kasutatud kirjandus", "kirjandus", "used literature", "bibliography", "version", "koostaja", "author", "authors", "contact", "kontakt")
-_PAGE = r"(?i)^\s*(page|lk\.?|lehek(ülg|g))?\s*[0-9]+\s*((/|of)\s*[0-9]+)?\s*$"
-_URL = r"(?i)https?://\S+|www\.\S+"
-_MAIL = r"(?i)[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+"
-_PHONE = r"\+?[0-9][0-9\s().-]{6,}[0-9]"
-_PHONE_WORD = r"(?i)\b(tel|telefon|phone|kontakt)\b"
-_AUTHOR = r"(?i)\b(koostaja|author|authors|contact|kontakt|version|versioon)\b"
-_ADDRESS = r"(?i)\b(tn\.?|tänav|street|st\.?|road|rd\.?|ave\.?|avenue|puiestee)\b"
+_PAGE = rf"(?iu)^(page|lk\.?|lehek(ülg|g))?{_WS}*\p{{Nd}}+{_WS}*((/|of){_WS}*\p{{Nd}}+)?$"
+_PHONE = rf"\+?\p{{Nd}}[\p{{Nd}}{_SPACES}().-]{{6,}}\p{{Nd}}"
+_PHONE_WORDS = "tel|telefon|phone|kontakt"
+_AUTHOR_WORDS = "koostaja|author|authors|contact|kontakt|version|versioon"
+_ADDRESS_WORDS = "tn|tänav|street|st|road|rd|ave|avenue|puiestee"
+
+
+def _has_word(c: Column, words: str) -> Column:
+    """One of the words stands there, not inside a longer one."""
+    return c.rlike(rf"(?iu)(?<![{_W}])({words})(?![{_W}])")
 
 
 def header_of(line: Column) -> Column:
     """Struct (is_header, level, title) of a line; the level is known for markdown headers only."""
-    hashes = F.regexp_extract(line, r"^(#{1,6})\s+(.*)$", 1)
-    bare = F.trim(line)
-    letters = F.regexp_replace(bare, r"[^A-Za-zÀ-ÖØ-öø-ÿÕÄÖÜŠŽ\s-]", "")
-    words = F.size(F.filter(F.split(letters, r"\s+"), lambda w: w != ""))
+    heading = rf"(?s)^(#{{1,6}}){_WS}+(.*)\z"
+    hashes = F.regexp_extract(line, heading, 1)
+    bare = strip(line)
+    letters = F.regexp_replace(bare, rf"[^A-Za-zÀ-ÖØ-öø-ÿÕÄÖÜŠŽ{_SPACES}-]", "")
+    words = F.size(F.filter(F.split(letters, f"{_WS}+"), lambda w: w != ""))
     caps = (bare != "") & (F.length(bare) <= 120) & (letters != "") & (letters == F.upper(letters)) & (words <= 10)
     return (
-        F.when(hashes != "", F.struct(F.lit(True).alias("is_header"), F.length(hashes).alias("level"), F.trim(F.regexp_extract(line, r"^(#{1,6})\s+(.*)$", 2)).alias("title")))
+        F.when(hashes != "", F.struct(F.lit(True).alias("is_header"), F.length(hashes).alias("level"), strip(F.regexp_extract(line, heading, 2)).alias("title")))
         .when(caps, F.struct(F.lit(True).alias("is_header"), F.lit(None).cast("int").alias("level"), bare.alias("title")))
         .otherwise(F.struct(F.lit(False).alias("is_header"), F.lit(None).cast("int").alias("level"), F.lit("").alias("title")))
     )
@@ -276,23 +289,23 @@ def skip_sections(lines: Column, keywords: Sequence[str] = SECTION_KEYWORDS) ->
 
 def is_layout_noise(line: Column) -> Column:
     """Page numbers, addresses, contact and author lines, rules."""
-    bare = F.trim(line)
+    bare = strip(line)
     short = F.length(bare) <= 200
     return (bare != "") & (
         bare.rlike(_PAGE)
         | bare.rlike(_URL)
         | bare.rlike(_MAIL)
-        | (bare.rlike(_PHONE) & bare.rlike(_PHONE_WORD))
-        | (bare.rlike(_AUTHOR) & short)
-        | (bare.rlike(_ADDRESS) & bare.rlike("[0-9]") & short)
+        | (bare.rlike(_PHONE) & _has_word(bare, _PHONE_WORDS))
+        | (_has_word(bare, _AUTHOR_WORDS) & short)
+        | (_has_word(bare, _ADDRESS_WORDS) & bare.rlike(r"\p{Nd}") & short)
         | bare.rlike("^[-_=]{4,}$")
     )
 
 
 def paragraphs(c: Column, least: int = 40, most: int = 800) -> Column:
     """Paragraphs of ``least`` to ``most`` characters; longer ones by lines; shorter ones are dropped."""
-    paras = F.filter(F.transform(F.split(c, r"\n\s*\n"), strip), lambda p: p != "")
-    split = F.transform(paras, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.transform(F.split(p, r"\n"), strip)))
+    paras = F.filter(F.transform(F.split(c, rf"\n{_WS}*\n"), strip), lambda p: p != "")
+    split = F.transform(paras, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.transform(split_lines(p), strip)))
     return F.filter(F.flatten(split), lambda p: F.length(p) >= least)
 
 

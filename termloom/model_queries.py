@@ -175,12 +175,11 @@ def paired_lookup_by_direction(spark, sf_dir):
     return retrieval.sparse_topk(retrieval.lexical_weights(rows, "id", "text"), retrieval.lexical_weights(p, "id", "text"), 5)
 
 
-@query("corpus_lookup", """WITH c AS (SELECT doc_id, regexp_replace(text, '[^ -~]', 'x', 'g') AS text FROM documents WHERE lang = 'en'), t AS (SELECT doc_id, token, count(*) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1)) AS token FROM c) GROUP BY 1, 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, token) AS r FROM t) WHERE r <= 512), q AS (SELECT item_id, token, count(*) AS w FROM (SELECT item_id, unnest(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', 'x', 'g')), '([\\p{L}\\p{N}_]+)', 1)) AS token FROM benchmark) GROUP BY 1, 2), s AS (SELECT item_id, k.doc_id, CAST(sum(q.w * k.w) AS DOUBLE) AS score FROM q JOIN k USING (token) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, s.doc_id) AS rank FROM s), f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS n FROM r WHERE rank <= 8 AND score >= 30) SELECT item_id AS query_id, f.doc_id AS point_id, score, CAST(rank AS INT) AS rank, CASE WHEN length(c.text) > 120 THEN left(c.text, 120) || '…' ELSE c.text END AS text FROM f JOIN c ON c.doc_id = f.doc_id WHERE n <= 3""")
+@query("corpus_lookup", """WITH c AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), t AS (SELECT doc_id, token, count(*) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1)) AS token FROM c) GROUP BY 1, 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, token) AS r FROM t) WHERE r <= 512), q AS (SELECT item_id, token, count(*) AS w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1)) AS token FROM benchmark) GROUP BY 1, 2), s AS (SELECT item_id, k.doc_id, CAST(sum(q.w * k.w) AS DOUBLE) AS score FROM q JOIN k USING (token) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, s.doc_id) AS rank FROM s), f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS n FROM r WHERE rank <= 8 AND score >= 30) SELECT item_id AS query_id, f.doc_id AS point_id, score, CAST(rank AS INT) AS rank, CASE WHEN length(c.text) > 120 THEN left(c.text, 120) || '…' ELSE c.text END AS text FROM f JOIN c ON c.doc_id = f.doc_id WHERE n <= 3""")
 def corpus_lookup(spark, sf_dir):
     """Passages of one language above a score, cut to a length."""
-    bare = F.regexp_replace("text", "[^ -~]", "x").alias("text")
-    d = A.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", bare)
-    q = A.table(spark, sf_dir, "benchmark").select("item_id", bare)
+    d = A.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    q = A.table(spark, sf_dir, "benchmark").select("item_id", "text")
     hits = retrieval.sparse_topk(retrieval.lexical_weights(d, "doc_id", "text"), retrieval.lexical_weights(q, "item_id", "text"), 8)
     named = hits.join(d.withColumnRenamed("doc_id", "point_id"), "point_id")
     return retrieval.threshold_passages(named, 30, 3, 120).select("query_id", "point_id", "score", "rank", "text")

@@ -24,14 +24,14 @@ def _widened(df: DataFrame, *keys: str) -> DataFrame:
 
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, lines): markdown stripped, named sections and layout noise out."""
-    lines = F.split(F.regexp_replace(T.markdown_strip(F.coalesce(F.col(text), F.lit(""))), r"\r\n?", "\n"), "\n")
+    lines = T.split_lines(T.markdown_strip(F.coalesce(F.col(text), F.lit(""))))
     docs = _widened(docs)
     return docs.select("doc_id", F.filter(T.skip_sections(lines), lambda x: ~T.is_layout_noise(x)).alias("lines"))
 
 
 def edge_blocks(lines: DataFrame, n: int = 3) -> DataFrame:
     """(doc_id, edge, norm): the normalised first and last n non-blank lines of each document."""
-    full = lines.select("doc_id", F.filter("lines", lambda x: F.trim(x) != "").alias("l"))
+    full = lines.select("doc_id", F.filter("lines", lambda x: T.strip(x) != "").alias("l"))
     block = lambda part: T.corpus_normalize(F.array_join(part, "\n"))
     both = F.array(F.struct(F.lit("start").alias("edge"), block(F.slice("l", 1, n)).alias("norm")), F.struct(F.lit("end").alias("edge"), block(F.reverse(F.slice(F.reverse("l"), 1, n))).alias("norm")))
     return full.where(F.size("l") > 0).select("doc_id", F.explode(both).alias("b")).select("doc_id", "b.*").where("norm <> ''")

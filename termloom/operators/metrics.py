@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from .order import quantiles, running
 from .pairs import last_wins
 
 
@@ -50,12 +51,11 @@ def recall_metrics(rows: DataFrame, by: Sequence[str] = (), ranks: Sequence[int]
 def auc(rows: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by rank sums with average ranks of ties; null if a class is empty.
 
-    Scores are aggregated first, so ranks come from a running sum over distinct scores.
+    Scores are aggregated first, so ranks come from running sums over distinct scores, by ranges of scores.
     """
     known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     per = known.groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    w = Window.partitionBy(*by, *([] if by else [F.lit(0)])).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    per = running(per, ["_s"], "n", by, "below")
     rank_sum = F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2))
     p, q = F.sum("pos").cast("double"), F.sum(F.col("n") - F.col("pos")).cast("double")
     return per.groupBy(*by).agg(F.round(F.try_divide(rank_sum - p * (p + 1) / 2, p * q), 6).alias("auc"), F.sum("pos").alias("n_pos"), F.sum(F.col("n") - F.col("pos")).alias("n_neg"))
@@ -137,8 +137,14 @@ def label_spread(rows: DataFrame, label: str, value: str) -> DataFrame:
     return per.groupBy(label).agg(F.sum("_n").alias("n"), F.round(mean, 6).alias("mean"), upper.alias("median"), F.min("_v").alias("least"), F.max("_v").alias("greatest"))
 
 
-def percentiles(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    return rows.groupBy(*by).agg(*[F.round(F.percentile(value, q / 100), 6).alias(f"p{q}") for q in (10, 50, 90)])
+def percentiles(rows: DataFrame, value: str, by: Sequence[str] = (), points: Sequence[int] = (10, 50, 90)) -> DataFrame:
+    """Exact percentiles by counts of distinct values, so no task holds all values of a group."""
+    found = quantiles(rows, value, [q / 100 for q in points], by)
+    named = found.select(*by, *[F.round(F.col(f"q{i}"), 6).alias(f"p{q}") for i, q in enumerate(points)])
+    if not by:
+        return named
+    every = rows.select(*by).distinct()  # groups without a value have null percentiles
+    return every.join(named, [every[k].eqNullSafe(named[k]) for k in by], "left").select(*[every[k] for k in by], *[f"p{q}" for q in points])
 
 
 def pairwise_summary(verdicts: DataFrame) -> DataFrame:
@@ -172,11 +178,10 @@ def consistency_summary(scored: DataFrame) -> DataFrame:
 
 def top_coverage_precision(rows: DataFrame, signal: str, label: str, share: float) -> DataFrame:
     """Precision among the top share of rows, ordered by (signal, label) downwards."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("s"), F.desc("l"))
-    # Rows are aggregated by (signal, label) first: the window sees distinct pairs only.
+    # Rows are aggregated by (signal, label) first: only distinct pairs are ordered, by ranges.
     per = rows.groupBy(F.col(signal).alias("s"), F.col(label).alias("l")).agg(F.count("*").alias("n"))
-    per = per.withColumn("end", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("keep", F.floor(F.sum("n").over(Window.partitionBy(F.lit(0))) * share))
-    took = F.greatest(F.lit(0), F.least(F.col("n"), F.col("keep") - (F.col("end") - F.col("n"))))
+    per = running(per, [F.desc("s"), F.desc("l")], "n", into="before").withColumn("keep", F.floor(F.col("before_all") * share))
+    took = F.greatest(F.lit(0), F.least(F.col("n"), F.col("keep") - F.col("before")))
     return per.agg(F.sum(took).alias("kept"), F.round(F.coalesce(F.try_divide(F.sum(took * F.col("l")), F.sum(took)), F.lit(0.0)), 6).alias("precision"))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from ..functions import replies as R
 from ..functions import rules, text as T
 from ..session import ship
+from ..sources.positions import POSITION
 from ..sources.tables import cached_lookup, checkpointed, resume_by_key
 from . import metrics as M
 from .pairs import group_candidates, hashed
@@ -46,7 +47,11 @@ def complete(prompts: DataFrame, model: Model, threads: int = 8) -> DataFrame:
 
 
 def translate(terms: DataFrame, exemplars: DataFrame | None, guide: str, model: Model, done: DataFrame | None = None, threads: int = 8) -> DataFrame:
-    """terms(sctid, en) with exemplars(sctid, en, target, rank): (sctid, en, target, ok); ids in ``done`` are skipped."""
+    """terms(sctid, en) with exemplars(sctid, en, target, rank): (sctid, en, target, ok); ids in ``done`` are skipped.
+
+    The place of the terms in their file is kept, if they have one.
+    """
+    place = [POSITION] if POSITION in terms.columns else []
     todo = resume_by_key(terms, done, "sctid") if done is not None else terms
     if exemplars is not None:
         listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "en", "target"))), lambda x: F.struct(x["en"], x["target"]))
@@ -55,8 +60,8 @@ def translate(terms: DataFrame, exemplars: DataFrame | None, guide: str, model:
         todo = todo.withColumn("pairs", F.array().cast("array<struct<en:string,target:string>>"))
     table = T.pair_table(F.coalesce("pairs", F.array().cast("array<struct<en:string,target:string>>")))
     user = T.context_sections([("Examples:", table), ("Term:", F.col("en"))])
-    out = complete(todo.select("sctid", "en", F.lit(guide).alias("system"), user.alias("user")), model, threads)
-    return checkpointed(out.select("sctid", "en", F.when(F.col("ok"), R.first_line_bare(F.col("reply"))).otherwise(F.col("reply")).alias("target"), "ok"), "translations")
+    out = complete(todo.select("sctid", "en", *place, F.lit(guide).alias("system"), user.alias("user")), model, threads)
+    return checkpointed(out.select("sctid", "en", *place, F.when(F.col("ok"), R.first_line_bare(F.col("reply"))).otherwise(F.col("reply")).alias("target"), "ok"), "translations")
 
 
 def translate_samples(terms: DataFrame, guide: str, model: Model, samples: int = 5, threads: int = 8) -> DataFrame:
@@ -64,7 +69,7 @@ def translate_samples(terms: DataFrame, guide: str, model: Model, samples: int =
     asked = terms.select("sctid", "en", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("pos"))
     prompt = asked.select("sctid", "en", "pos", F.lit(guide).alias("system"), F.concat("en", F.lit("\n#"), F.col("pos").cast("string")).alias("user"))
     got = checkpointed(complete(prompt, model, threads).select("sctid", "pos", R.first_line_bare(F.col("reply")).alias("target")), "samples")
-    return terms.select("sctid", "en").join(group_candidates(got, "sctid", "target"), "sctid")
+    return terms.select("sctid", "en", *([POSITION] if POSITION in terms.columns else [])).join(group_candidates(got, "sctid", "target"), "sctid")
 
 
 def back_translate(rows: DataFrame, id_col: str, source_col: str, model: Model, system: str = "", prompt_format: str = "chat", languages: tuple[str, str] = ("Korean", "English"), threads: int = 8) -> DataFrame:

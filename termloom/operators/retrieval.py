@@ -30,13 +30,22 @@ SPARSE_BLOCK = 2048
 SPARSE_KEPT = 512
 
 
-def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
-    rows = column.to_pylist()
-    width = width or max((len(r) for r in rows if r is not None), default=0)
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        if r is not None and len(r) == width and all(v is not None for v in r):
-            out[i] = r
+def _whole(column: pa.Array, width: int) -> np.ndarray:
+    """Which rows are vectors of this width without nulls."""
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    good = lengths == width
+    if good.any() and column.flatten().null_count:
+        for i in np.flatnonzero(good).tolist():
+            good[i] = all(v is not None for v in column[i].as_py())
+    return good
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The vectors as rows; what is no vector of this width is a row of zeros."""
+    good = _whole(column, width)
+    out = np.zeros((len(column), width))
+    if width and good.any():
+        out[good] = np.asarray(column.filter(pa.array(good)).flatten()).reshape(-1, width)
     return out
 
 
@@ -64,7 +73,7 @@ def _hyperbolic(curvature: float):
 
     def score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         xx, yy = (x * x).sum(axis=1)[:, None], (y * y).sum(axis=1)[None, :]
-        apart = ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+        apart = np.maximum(xx + yy - 2 * (x @ y.T), 0.0)  # no array of queries x batch x width
         inner = (1 - curvature * xx) * (1 - curvature * yy) + 1e-7
         return -np.arccosh(np.maximum(1 + 2 * curvature * apart / inner, 1.0)) / np.sqrt(curvature)
 
@@ -75,6 +84,8 @@ def _searched(shared, k: int, digits: int, self_match: bool, score, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, groups = shared.value
         for batch in batches:
+            good = _whole(batch.column(1), queries.shape[1])
+            batch = batch if good.all() else batch.filter(pa.array(good))  # what is no vector is no hit
             cid = np.asarray(batch.column(0))
             x = _matrix(batch.column(1), queries.shape[1])
             own = batch.column(2).to_numpy(zero_copy_only=False) if groups is not None else None
@@ -86,7 +97,7 @@ def _searched(shared, k: int, digits: int, self_match: bool, score, step: int):
                 if own is not None:
                     sims[groups[part][:, None] != own[None, :]] = -np.inf
                 best = [_best_of(cid, row, k) for row in sims]
-                r, c = np.repeat(np.arange(len(best)), list(map(len, best))), np.concatenate(best)
+                r, c = np.repeat(np.arange(len(best)), list(map(len, best))), np.concatenate(best).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[part][r]), pa.array(cid[c]), pa.array(sims[r, c])], ["query_id", "point_id", "score"])
 
     return run

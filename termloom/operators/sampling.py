@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered, running
 from .pairs import first_by, hashed
 
 
@@ -20,7 +21,8 @@ def stratified(rows: DataFrame, stratum: str, key: str, quota: dict[str, int], s
     """Up to the quota of each stratum, in hashed order of the key."""
     take = F.coalesce(*[F.when(F.col(stratum) == s, n) for s, n in quota.items()], F.lit(0))
     w = Window.partitionBy(stratum).orderBy(hashed(F.col(key), seed), key)
-    return rows.withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= take)
+    most = max(quota.values(), default=0)  # a literal, so that groups are cut before they are shuffled
+    return rows.withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= most).where(F.col("draw") <= take)
 
 
 def split_holdout(rows: DataFrame, key: str, stratum: str, seed: str, cap: int = 300, share: float = 0.8, exclude: DataFrame | None = None) -> DataFrame:
@@ -39,9 +41,7 @@ def first_stratum(conditions: Sequence[tuple[str, Column]], rest: str | None = N
 
 def spread(rows: DataFrame, order: Sequence[str | Column], k: int, by: Sequence[str] = ()) -> DataFrame:
     """k rows evenly spread over the order: indices (i * step) mod n for i < k, step = max(1, n // k); all if n <= k."""
-    part = [F.col(b) for b in by] or [F.lit(0)]
-    w = Window.partitionBy(*part).orderBy(*order)
-    x = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*part)))
+    x = running(rows, order, F.lit(1), by, "_i").withColumnRenamed("_i_all", "_n")
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / k))
     keep = (F.col("_n") <= k) | ((F.col("_i") % step == 0) & (F.col("_i") / step < k))
     return x.where(keep).drop("_i", "_n")
@@ -74,8 +74,12 @@ def longest_notes(rows: DataFrame, stratum: str, note: str, last: Column, key: s
     return ok.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def by_length(rows: DataFrame, text: str, key: str, most: int = 80) -> DataFrame:
-    return rows.where((F.length(text) > 0) & (F.length(text) <= most)).orderBy(F.length(text), key)
+def by_length(rows: DataFrame, text: str, key: str, most: int = 80, n: int | None = None) -> DataFrame:
+    """Rows with a text of at most ``most`` characters, shorter ones first: ``place`` counts from 1; the first ``n`` if given."""
+    short = rows.where((F.length(text) > 0) & (F.length(text) <= most))
+    if n is not None:
+        short = short.orderBy(F.length(text), key).limit(n)
+    return numbered(short, [F.length(text), key])
 
 
 def blind_left(key: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files
+from ..sources.positions import POSITION, positioned
 from .flow import Context, FlowError, Node, load
 from .roles import Dataset
 
@@ -26,19 +27,19 @@ def read_source(spark: SparkSession, spec: dict[str, Any]) -> Dataset:
     if not path:
         return Dataset(None, dict(spec.get("roles", {})))
     if kind == "parquet":
-        df = spark.read.parquet(path)
+        df = positioned(spark.read.parquet(path), POSITION)
     elif kind == "json":
-        df = spark.read.json(path)
+        df = positioned(spark.read.json(path), POSITION)
     elif kind == "release_terms":
         c = files.read_tsv(spark, files.find_release_file(spark, path, "sct2_Concept_*.txt"), files.CONCEPT_COLUMNS)
         d = files.read_tsv(spark, files.find_release_file(spark, path, "sct2_Description_*.txt"), files.DESCRIPTION_COLUMNS)
-        df = files.concept_terms(c, d.withColumn("pos", F.col("id").cast("decimal(38,0)"))).select("sctid", F.col("fsn").alias("en"), "synonyms")
+        df = files.concept_terms(c, positioned(d)).select("sctid", F.col("fsn").alias("en"), "synonyms", F.col("first").alias(POSITION))
     else:
         columns = spec.get("columns")
         if not columns:  # the header line alone, so that all columns stay text
             first = spark.read.text(path).first()
             columns = [x.strip().strip('"') for x in (first["value"] if first else "").lstrip("﻿").split("\t" if kind == "tsv" else ",")]
-        df = (files.read_tsv if kind == "tsv" else files.read_csv)(spark, path, columns)
+        df = positioned((files.read_tsv if kind == "tsv" else files.read_csv)(spark, path, columns), POSITION)
     return Dataset(df, dict(spec.get("roles", {})))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import metrics as M
 from ..operators import models, retrieval
+from ..operators.pairs import last_wins
+from ..sources.positions import POSITION, with_position
 from .flow import Context, Function, Param, Port, metric_vector, register
 from .roles import Dataset
 
@@ -27,8 +29,15 @@ def _rows(value: Dataset | DataFrame) -> DataFrame:
     return value.select_roles() if isinstance(value, Dataset) else value
 
 
-def _limited(df: DataFrame, params: dict[str, Any], key: str = "sctid") -> DataFrame:
-    return df.orderBy(key).limit(int(params["limit"])) if params.get("limit") else df
+def _placed(value: Dataset | DataFrame) -> DataFrame:
+    """Rows with their place in the file."""
+    return value.select_positioned() if isinstance(value, Dataset) else with_position(value)
+
+
+def _limited(value: Dataset | DataFrame, params: dict[str, Any]) -> DataFrame:
+    """The first rows by their place, if there is a limit."""
+    rows = _placed(value)
+    return rows.orderBy(POSITION).limit(int(params["limit"])) if params.get("limit") else rows
 
 
 def _exemplars(terms: DataFrame, pairs: DataFrame, n: int = 5) -> DataFrame:
@@ -47,41 +56,51 @@ def style_guide(inputs, params, ctx):
 
 
 def translate(inputs, params, ctx):
-    terms = _limited(_rows(inputs["terms"]), params)
+    terms = _limited(inputs["terms"], params)
     out = models.translate(terms, _exemplars(terms, _rows(inputs["exemplars"])), inputs["style_guide"], _model(ctx, params), ctx.extras.get("done"))
     return {"translations": out}
 
 
 def translate_consistency(inputs, params, ctx):
-    terms = _limited(_rows(inputs["terms"]), params)
+    terms = _limited(inputs["terms"], params)
     return {"candidates": models.translate_samples(terms, inputs["style_guide"], _model(ctx, params), int(params["samples"]))}
 
 
 def _references(value: Dataset | DataFrame) -> DataFrame:
-    return _rows(value).select("sctid", F.lit(0).alias("pos"), M.split_references(F.col("target")).alias("refs"))
+    return _placed(value).select("sctid", F.col(POSITION).alias("pos"), M.split_references(F.col("target")).alias("refs"))
+
+
+def _first_keys(rows: DataFrame, references: DataFrame, params: dict[str, Any]) -> DataFrame:
+    """Rows of the first keys by their first place among the references, of those that have rows at all."""
+    if not params.get("limit"):
+        return rows
+    firsts = references.groupBy("sctid").agg(F.min("pos").alias("first")).join(rows.select("sctid").distinct(), "sctid", "left_semi")
+    return rows.join(firsts.orderBy("first").limit(int(params["limit"])), "sctid", "left_semi")
 
 
 def evaluate(inputs, params, ctx):
-    rows = _limited(_rows(inputs["translations"]), params).select("sctid", F.lit(0).alias("pos"), F.col("target").alias("candidate"))
-    scored = M.score_rows(rows, _references(inputs["reference"]))
+    refs = _references(inputs["reference"])
+    rows = _placed(inputs["translations"]).select("sctid", F.col(POSITION).alias("pos"), F.col("target").alias("candidate"))
+    scored = M.score_rows(_first_keys(rows, refs, params), refs)
     return {"rows": scored, "metrics": M.composite_metrics(scored)}
 
 
 def evaluate_consistency(inputs, params, ctx):
-    got = _limited(_rows(inputs["candidates"]), params)
+    got = _limited(inputs["candidates"], params)
     refs = _references(inputs["reference"])
+    got, last = last_wins(got, "sctid", POSITION), last_wins(refs, "sctid")  # one row a key from here on
     chosen = models.judge_candidates(got, _model(ctx, params)) if params.get("model_key") else got.select("sctid", F.col("candidates")[0]["text"].alias("target"), F.lit(0).alias("judged"))
-    scored = M.score_rows(chosen.select("sctid", F.lit(0).alias("pos"), F.col("target").alias("candidate")), refs)
-    summary = M.consistency_summary(M.consistency_scores(got, refs.select("sctid", "refs"), "sctid"))
+    scored = M.score_rows(chosen.select("sctid", F.lit(0).alias("pos"), F.col("target").alias("candidate")), last)
+    summary = M.consistency_summary(M.consistency_scores(got, last.select("sctid", "refs"), "sctid"))
     judged = chosen.agg(F.sum("judged").alias("n_judged"))
     metrics = M.composite_metrics(scored).crossJoin(F.broadcast(summary.drop("n", "mean_chrf"))).crossJoin(F.broadcast(judged))  # one row each
     return {"rows": scored.join(chosen.select("sctid", "judged"), "sctid"), "metrics": metrics}
 
 
 def optimize(inputs, params, ctx):
-    train = _limited(_rows(inputs["trainset"]), {"limit": params.get("train_limit")})
+    train = _limited(inputs["trainset"], {"limit": params.get("train_limit")})
     dev = inputs.get("devset")
-    held = _limited(_rows(dev), {"limit": params.get("dev_limit")}) if dev is not None else train
+    held = _limited(dev, {"limit": params.get("dev_limit")}) if dev is not None else train
     model, reflect = _model(ctx, params), _model(ctx, params, "reflection_model_key")
     hard = ctx.extras.get("hard_rules", [])
 

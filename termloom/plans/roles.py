@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.positions import POSITION, with_position
+
 # Header names that a role is known by, compared without case.
 ALIASES: dict[str, tuple[str, ...]] = {
     "sctid": ("sctid", "id", "concept_id", "conceptid", "sct_id", "code"),
@@ -60,3 +62,7 @@ class Dataset:
     def select_roles(self, *keep: str) -> DataFrame:
         """The table with role names for role columns, so plans use one set of names."""
         return self.df.select(*[F.col(c).alias(r) for r, c in self.roles.items()], *keep)
+
+    def select_positioned(self) -> DataFrame:
+        """Also with the place of each row in its file (or in the table, if it came from no file)."""
+        return Dataset(with_position(self.df), self.declared).select_roles(POSITION)

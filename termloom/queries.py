@@ -310,7 +310,20 @@ def normalize_key(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", T.normalize_key(F.col("text")).alias("key"))
 
 
-_NORM = r"trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '(?i)https?://\S+|www\.\S+', ' ', 'g'), '(?i)[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+', ' ', 'g'), '[0-9]+', ' ', 'g')), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
+#: Classes of white space, words and line breaks, as DuckDB's expressions spell them.
+_DSP = r"\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_DW = r"\p{L}\p{N}_"
+_DBREAK = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+_DURL = rf"(?i)https?://[^{_DSP}]+|www\.[^{_DSP}]+"
+_DMAIL = rf"[{_DW}][{_DW}.+-]*@[{_DW}-]+\.[{_DW}.-]*[{_DW}]"
+
+
+def _template(sql: str) -> str:
+    """SQL for ``format`` with its argument at @@."""
+    return sql.replace("{", "{{").replace("}", "}}").replace("@@", "{0}")
+
+
+_NORM = _template(rf"trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(@@, '\r\n?', chr(10), 'g'), '{_DURL}', ' ', 'g'), '{_DMAIL}', ' ', 'g'), '\p{{Nd}}+', ' ', 'g')), '[^{_DW}{_DSP}]', ' ', 'g'), '[{_DSP}]+', ' ', 'g'), ' ')")
 
 
 @query("corpus_normalize", f"SELECT doc_id, {_NORM.format('text')} AS norm FROM documents")
@@ -500,12 +513,28 @@ def _lines(spark, sf_dir):
     return corpus.clean_lines(A.corpus_docs(spark, sf_dir))
 
 
-_NOISE = r"regexp_matches(trim(l, ' '), '(?i)^\s*(page|lk\.?|lehek(ülg|g))?\s*[0-9]+\s*((/|of)\s*[0-9]+)?\s*$') OR regexp_matches(trim(l, ' '), '(?i)https?://\S+|www\.\S+') OR regexp_matches(trim(l, ' '), '(?i)[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+') OR regexp_matches(trim(l, ' '), '^[-_=]{4,}$') OR (regexp_matches(trim(l, ' '), '\+?[0-9][0-9\s().-]{6,}[0-9]') AND regexp_matches(trim(l, ' '), '(?i)\b(tel|telefon|phone|kontakt)\b')) OR (regexp_matches(trim(l, ' '), '(?i)\b(koostaja|author|authors|contact|kontakt|version|versioon)\b') AND length(trim(l, ' ')) <= 200) OR (regexp_matches(trim(l, ' '), '(?i)\b(tn\.?|tänav|street|st\.?|road|rd\.?|ave\.?|avenue|puiestee)\b') AND regexp_matches(trim(l, ' '), '[0-9]') AND length(trim(l, ' ')) <= 200)"
+_DSTRIP = _template(rf"regexp_replace(@@, '^[{_DSP}]+|[{_DSP}]+$', '', 'g')")
+_BARE = _DSTRIP.format("l")
+
+
+def _word(words: str) -> str:
+    return rf"regexp_matches({_BARE}, '(?i)(^|[^{_DW}])({words})($|[^{_DW}])')"
+
+
+_NOISE = " OR ".join([
+    rf"regexp_matches({_BARE}, '(?i)^(page|lk\.?|lehek(ülg|g))?[{_DSP}]*\p{{Nd}}+[{_DSP}]*((/|of)[{_DSP}]*\p{{Nd}}+)?$')",
+    f"regexp_matches({_BARE}, '{_DURL}')",
+    f"regexp_matches({_BARE}, '{_DMAIL}')",
+    f"regexp_matches({_BARE}, '^[-_=]{{4,}}$')",
+    rf"(regexp_matches({_BARE}, '\+?\p{{Nd}}[\p{{Nd}}{_DSP}().-]{{6,}}\p{{Nd}}') AND {_word('tel|telefon|phone|kontakt')})",
+    f"({_word('koostaja|author|authors|contact|kontakt|version|versioon')} AND length({_BARE}) <= 200)",
+    rf"({_word('tn|tänav|street|st|road|rd|ave|avenue|puiestee')} AND regexp_matches({_BARE}, '\p{{Nd}}') AND length({_BARE}) <= 200)",
+])
 
 
-@query("noise_lines", f"SELECT doc_id, CAST(sum(CASE WHEN trim(l, ' ') <> '' AND ({_NOISE}) THEN 1 ELSE 0 END) AS BIGINT) AS noise, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^ -~\\n]', 'x', 'g'), chr(10))) AS l FROM documents) GROUP BY doc_id")
+@query("noise_lines", f"SELECT doc_id, CAST(sum(CASE WHEN {_BARE} <> '' AND ({_NOISE}) THEN 1 ELSE 0 END) AS BIGINT) AS noise, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id")
 def noise_lines(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.regexp_replace("text", r"[^ -~\n]", "x"), "\n")).alias("l"))
+    d = A.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
     return d.groupBy("doc_id").agg(F.sum(T.is_layout_noise(F.col("l")).cast("long")).alias("noise"), F.count("*").alias("lines"))
 
 
@@ -513,10 +542,10 @@ def noise_lines(spark, sf_dir):
 _STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`([^`]*)`', '\1', 'g'), '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g')"
 _NAMED = " OR ".join(f"contains(lower(title), '{k}')" for k in T.SECTION_KEYWORDS)
 _SKIPPED = rf"""{A.CORPUS_SQL},
-li AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(regexp_replace({_STRIPPED}, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM cd)),
-lh AS (SELECT *, regexp_extract(l, '^(#{{1,6}})\s+(.*)$', 1) AS hs, regexp_replace(trim(l, ' '), '[^A-Za-z\s-]', '', 'g') AS letters FROM li),
-lt AS (SELECT *, hs <> '' AS md, hs = '' AND trim(l, ' ') <> '' AND length(trim(l, ' ')) <= 120 AND letters <> '' AND letters = upper(letters) AND len(list_filter(regexp_split_to_array(letters, '\s+'), lambda x: x <> '')) <= 10 AS caps FROM lh),
-ln AS (SELECT *, md OR caps AS h, CASE WHEN md THEN length(hs) END AS hl, CASE WHEN md THEN trim(regexp_extract(l, '^(#{{1,6}})\s+(.*)$', 2), ' ') WHEN caps THEN trim(l, ' ') ELSE '' END AS title FROM lt),
+li AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM (SELECT doc_id, regexp_split_to_array({_STRIPPED}, '{_DBREAK}') AS ls FROM cd)),
+lh AS (SELECT *, regexp_extract(l, '^(#{{1,6}})[{_DSP}]+((?s).*)$', 1) AS hs, {_BARE} AS bare, regexp_replace({_BARE}, '[^A-Za-zÀ-ÖØ-öø-ÿÕÄÖÜŠŽ{_DSP}-]', '', 'g') AS letters FROM li),
+lt AS (SELECT *, hs <> '' AS md, hs = '' AND bare <> '' AND length(bare) <= 120 AND letters <> '' AND letters = upper(letters) AND NOT contains(letters, 'ß') AND len(list_filter(regexp_split_to_array(letters, '[{_DSP}]+'), lambda x: x <> '')) <= 10 AS caps FROM lh),
+ln AS (SELECT *, md OR caps AS h, CASE WHEN md THEN length(hs) END AS hl, CASE WHEN md THEN {_DSTRIP.format("regexp_extract(l, '^(#{1,6})[" + _DSP + "]+((?s).*)$', 2)")} WHEN caps THEN bare ELSE '' END AS title FROM lt),
 lf AS (SELECT doc_id, i, l, h, hl, h AND ({_NAMED}) AS named FROM ln),
 lr AS (SELECT doc_id, list({{'skip': false, 'level': NULL::BIGINT, 'h': h, 'hl': hl::BIGINT, 'named': named}} ORDER BY i) AS ls, list(l ORDER BY i) AS texts FROM lf GROUP BY doc_id),
 hd AS (SELECT doc_id, list_filter(list_transform(ls, lambda x, i: {{'i': i, 'hl': x.hl, 'named': x.named, 'h': x.h, 'skip': false, 'level': NULL::BIGINT, 'out': []::STRUCT(i BIGINT, skip BOOLEAN)[]}}), lambda x: x.h) AS hs, texts FROM lr),
@@ -527,15 +556,15 @@ fo AS (SELECT doc_id, texts, list_reduce(list_prepend({{'i': 0::BIGINT, 'hl': NU
 ex AS (SELECT doc_id, generate_subscripts(texts, 1) AS i, unnest(texts) AS l FROM fo),
 mk AS (SELECT doc_id, m.i AS i, m.skip AS skip FROM (SELECT doc_id, unnest(marks) AS m FROM fo)),
 sk AS (SELECT ex.doc_id, ex.i, ex.l, coalesce(mk.skip, false) AS skip FROM ex ASOF LEFT JOIN mk ON ex.doc_id = mk.doc_id AND ex.i >= mk.i),
-cl AS (SELECT doc_id, i, l FROM sk WHERE NOT skip AND NOT (trim(l, ' ') <> '' AND ({_NOISE}))),
+cl AS (SELECT doc_id, i, l FROM sk WHERE NOT skip AND NOT ({_BARE} <> '' AND ({_NOISE}))),
 ct AS (SELECT cd.doc_id, coalesce(c.text, '') AS text, coalesce(c.n, 0) AS n FROM cd LEFT JOIN (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS text, count(*) AS n FROM cl GROUP BY doc_id) c USING (doc_id))"""
-_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_STRIP = _DSTRIP
 _CHUNKED = rf"""{_SKIPPED},
-ca AS (SELECT doc_id, list_filter(flatten(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda p: {_STRIP.format('p')}), lambda p: p <> ''), lambda p: CASE WHEN length(p) <= 800 THEN [p] ELSE list_transform(string_split(p, chr(10)), lambda q: {_STRIP.format('q')}) END)), lambda p: length(p) >= 40) AS ps FROM ct),
+ca AS (SELECT doc_id, list_filter(flatten(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\n[{_DSP}]*\n'), lambda p: {_STRIP.format('p')}), lambda p: p <> ''), lambda p: CASE WHEN length(p) <= 800 THEN [p] ELSE list_transform(string_split(p, chr(10)), lambda q: {_STRIP.format('q')}) END)), lambda p: length(p) >= 40) AS ps FROM ct),
 cu AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS ordinal, unnest(ps) AS raw FROM ca),
 ch AS (SELECT doc_id, ordinal, raw, {_NORM.format('raw')} AS norm FROM cu)"""
 _THRESHOLD = "th AS (SELECT CASE WHEN count(*) <= 1 THEN 1 ELSE least(count(*), greatest(2, CAST(ceil(count(*) * 0.02::DOUBLE - 1e-9) AS BIGINT))) END AS t FROM documents)"
-_EDGED = rf"""ed AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS ls FROM ct WHERE n > 0),
+_EDGED = rf"""ed AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {_DSTRIP.format('x')} <> '') AS ls FROM ct WHERE n > 0),
 eb AS (SELECT doc_id, edge, {_NORM.format('block')} AS norm FROM (SELECT doc_id, 'start' AS edge, array_to_string(ls[1:3], chr(10)) AS block FROM ed WHERE len(ls) > 0 UNION ALL SELECT doc_id, 'end', array_to_string(ls[-3:], chr(10)) FROM ed WHERE len(ls) > 0)),
 fe AS (SELECT norm, sum(n) AS n FROM (SELECT edge, norm, count(DISTINCT doc_id) AS n FROM eb WHERE norm <> '' GROUP BY 1, 2) GROUP BY norm HAVING sum(n) >= (SELECT t FROM th))"""
 
@@ -563,7 +592,7 @@ def chunk_paragraphs(spark, sf_dir):
     return corpus.chunks(_lines(spark, sf_dir)).select("doc_id", "ordinal", F.length("raw").alias("chars"), F.md5(F.col("norm").cast("binary")).alias("norm_md5"))
 
 
-_PARA = f"p AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 40)) AS raw FROM documents), c AS (SELECT doc_id, {_NORM.format('raw')} AS norm FROM p)"
+_PARA = f"p AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: length(x) >= 40)) AS raw FROM documents), c AS (SELECT doc_id, {_NORM.format('raw')} AS norm FROM p)"
 
 
 @query("chunk_df_boilerplate", f"WITH {_PARA}, t AS (SELECT CASE WHEN count(*) <= 1 THEN 1 ELSE least(count(*), greatest(2, CAST(ceil(count(*) * 0.02::DOUBLE - 1e-9) AS BIGINT))) END AS t FROM documents) SELECT norm, count(DISTINCT doc_id) AS n FROM c, t GROUP BY norm, t HAVING count(DISTINCT doc_id) >= t")
@@ -609,7 +638,7 @@ def clean_corpus_stats(spark, sf_dir):
     return corpus.clean_corpus(A.corpus_docs(spark, sf_dir))[1]
 
 
-@query("clean_corpus_texts", f"{_CLEANED}, tx AS (SELECT doc_id, string_agg(raw, chr(10) || chr(10) ORDER BY ordinal) AS body FROM m2 WHERE NOT e AND NOT c AND NOT h GROUP BY doc_id) SELECT doc_id, md5(coalesce(regexp_replace(regexp_replace(regexp_replace(body, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), '')) AS digest FROM cd LEFT JOIN tx USING (doc_id)")
+@query("clean_corpus_texts", f"{_CLEANED}, tx AS (SELECT doc_id, string_agg(raw, chr(10) || chr(10) ORDER BY ordinal) AS body FROM m2 WHERE NOT e AND NOT c AND NOT h GROUP BY doc_id) SELECT doc_id, md5(coalesce(regexp_replace(regexp_replace(regexp_replace(body, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[{_DSP}]+|[{_DSP}]+$', '', 'g'), '')) AS digest FROM cd LEFT JOIN tx USING (doc_id)")
 def clean_corpus_texts(spark, sf_dir):
     """The cleaned texts themselves."""
     return corpus.clean_corpus(A.corpus_docs(spark, sf_dir))[0].select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))

@@ -199,19 +199,20 @@ def page_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"#]+)"'), 1))).alias("link"))
 
 
-def crawl(pages: DataFrame, starts: DataFrame, most: int = 32) -> DataFrame:
-    """Urls reachable from starts(url) by links among pages(url, html); each is visited once."""
+def crawl(pages: DataFrame, starts: DataFrame) -> DataFrame:
+    """Urls reachable from starts(url) by links among pages(url, html); each is visited once.
+
+    Goes on until a round finds no new page: what has been seen grows with every round before, so it ends.
+    """
     from .tables import checkpointed
 
     links = checkpointed(pages.select("url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"#]+)"'), 1))).alias("to")), "links")
-    seen = checkpointed(starts.select("url").distinct(), "seen")
-    frontier = seen
-    for _ in range(most):
-        new = frontier.join(links, "url").select(F.col("to").alias("url")).distinct().join(seen, "url", "left_anti")
-        new = checkpointed(new.join(pages.select("url"), "url", "left_semi"), "frontier")
-        if new.isEmpty():
-            break
-        seen, frontier = checkpointed(seen.unionAll(new), "seen"), new
+    known = checkpointed(links.join(pages.select(F.col("url").alias("to")).distinct(), "to", "left_semi").distinct(), "known-links")
+    seen = frontier = checkpointed(starts.select("url").distinct(), "seen")
+    while not frontier.isEmpty():
+        new = frontier.join(known, "url").select(F.col("to").alias("url")).distinct().join(seen, "url", "left_anti")
+        frontier = checkpointed(new, "frontier")
+        seen = checkpointed(seen.unionAll(frontier), "seen")
     return seen
 
 

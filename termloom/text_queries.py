@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import adapters as A
@@ -10,8 +9,8 @@ from .functions import replies as R
 from .functions import rules as H
 from .functions import similarity as S
 from .functions import text as T
-from .operators import corpus, metrics, pairs, reports, sampling
-from .queries import _NOISE, _SAMPLES, query
+from .operators import corpus, dictionary, metrics, pairs, reports, sampling
+from .queries import _BARE, _DBREAK, _DSP, _NOISE, _SAMPLES, query
 
 
 def _part(spark, sf_dir):
@@ -26,9 +25,9 @@ def tag_variants(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", T.strip_tag_last(term).alias("last"), T.strip_tag_end(term).alias("ended"), T.strip_tag_listed(term, ["finding", "disorder"]).alias("listed"), T.strip_tag_anywhere(F.concat("p_name", F.lit(" (x) ("), "p_type", F.lit(")")), "x").alias("anywhere"))
 
 
-@query("light_normalize", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM (SELECT doc_id, '  ' || chr(13) || replace(regexp_replace(text, '[^ -~\n]', 'x', 'g'), chr(10), '  ' || chr(9) || chr(10) || chr(10) || chr(10)) AS t FROM documents)")
+@query("light_normalize", rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[{_DSP}]+|[{_DSP}]+$', '', 'g')) AS digest FROM (SELECT doc_id, '  ' || chr(13) || replace(text, chr(10), '  ' || chr(9) || chr(10) || chr(10) || chr(10)) AS t FROM documents)")
 def light_normalize(spark, sf_dir):
-    spread = F.concat(F.lit("  \r"), F.replace(F.regexp_replace("text", r"[^ -~\n]", "x"), F.lit("\n"), F.lit("  \t\n\n\n")))
+    spread = F.concat(F.lit("  \r"), F.replace("text", F.lit("\n"), F.lit("  \t\n\n\n")))
     return A.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.light_normalize(spread).cast("binary")).alias("digest"))
 
 
@@ -53,9 +52,9 @@ def header_lines(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", h["is_header"].alias("is_header"), h["level"].alias("level"), h["title"].alias("title"))
 
 
-@query("marker_clean", f"SELECT doc_id, md5(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT (trim(l, ' ') <> '' AND ({_NOISE}))), '')) AS digest FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(regexp_replace(text, '[^ -~\\n]', 'x', 'g') || chr(10) || 'page 7 of 9' || chr(10) || 'tel ' || doc_id || ' 555-1234' || chr(10) || '-----', chr(10)) AS ls FROM documents)) GROUP BY doc_id")
+@query("marker_clean", f"SELECT doc_id, md5(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT ({_BARE} <> '' AND ({_NOISE}))), '')) AS digest FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM (SELECT doc_id, regexp_split_to_array(text || chr(10) || 'page 7 of 9' || chr(10) || 'tel ' || doc_id || ' 555-1234' || chr(10) || '-----' || chr(9), '{_DBREAK}') AS ls FROM documents)) GROUP BY doc_id")
 def marker_clean(spark, sf_dir):
-    text = F.concat(F.regexp_replace("text", r"[^ -~\n]", "x"), F.lit("\npage 7 of 9\ntel "), F.col("doc_id").cast("string"), F.lit(" 555-1234\n-----"))
+    text = F.concat("text", F.lit("\npage 7 of 9\ntel "), F.col("doc_id").cast("string"), F.lit(" 555-1234\n-----\t"))
     return A.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(T.marker_clean(text), F.lit("")).cast("binary")).alias("digest"))
 
 
@@ -110,6 +109,36 @@ def glossary_hits(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", F.array_join(T.glossary_hits(F.concat_ws(" ", F.upper("p_name"), "p_type"), keys), "|").alias("hits"))
 
 
+_PHRASES = """WITH w AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark),
+k AS (SELECT DISTINCT g FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w UNION ALL SELECT unnest(w) FROM w UNION ALL SELECT p_name FROM part) WHERE length(g) >= 4),
+t AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) || ' ' AS t FROM documents)"""
+
+
+def _phrases(spark, sf_dir):
+    """Words, neighbouring words of the benchmark, and names of parts."""
+    w = A.table(spark, sf_dir, "benchmark").select(F.split(T.normalize_key(F.col("text")), " ").alias("w"))
+    pairs = F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.element_at("w", (i + 2).cast("int"))))
+    both = w.select(F.explode(F.concat("w", pairs)).alias("key"))
+    return both.unionAll(_part(spark, sf_dir).select("p_name")).distinct()
+
+
+@query("dictionary_phrases", f"""{_PHRASES}, h AS (SELECT doc_id, g FROM t JOIN k ON contains(t, ' ' || g || ' ')),
+m AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY length(g) DESC, g) AS r FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.doc_id = a.doc_id AND b.g <> a.g AND contains(b.g, a.g)))
+SELECT documents.doc_id, CAST(coalesce(n, 0) AS INT) AS n_hits, coalesce(hits, '') AS hits FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(g, '|' ORDER BY r) AS hits FROM m WHERE r <= 6 GROUP BY doc_id) USING (doc_id)""")
+def dictionary_phrases(spark, sf_dir):
+    """Phrases of a dictionary table in whole documents."""
+    texts = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return dictionary.glossary_matches(texts, _phrases(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_hits", F.array_join("hits", "|").alias("hits"))
+
+
+@query("dictionary_longest_form", "WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS g FROM benchmark), h AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY length(g) DESC, g) AS r FROM documents JOIN k ON contains(text, g)) SELECT documents.doc_id, g AS form FROM documents LEFT JOIN h ON h.doc_id = documents.doc_id AND r = 1")
+def dictionary_longest_form(spark, sf_dir):
+    """The longest word of the benchmark inside each document, wherever it stands."""
+    forms = A.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("form"))
+    texts = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return dictionary.longest_forms(texts, forms).withColumnRenamed("id", "doc_id")
+
+
 def chrf_sql(source: str, key: str = "id") -> str:
     """CTEs that end in ``chrf(key, chrf)`` of ``source(key, h, r)``, spaces removed already."""
     return f"""o AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS n),
@@ -199,8 +228,7 @@ def diverse_by_bucket(spark, sf_dir):
 @query("length_ordered", "SELECT conv_id, turn, length(text) AS n, row_number() OVER (ORDER BY length(text), conv_id * 1000 + turn) AS place FROM conversations WHERE length(text) BETWEEN 1 AND 80")
 def length_ordered(spark, sf_dir):
     c = A.table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    out = sampling.by_length(c, "text", "id")
-    return out.select("conv_id", "turn", F.length("text").cast("long").alias("n"), F.row_number().over(Window.orderBy(F.length("text"), "id")).cast("long").alias("place"))
+    return sampling.by_length(c, "text", "id").select("conv_id", "turn", F.length("text").cast("long").alias("n"), "place")
 
 
 @query("sentence_chunks", r"""WITH b AS (SELECT item_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM benchmark),
