@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 from .bpe_codec import default_path
-from .units import Ragged, Units, blocks
+from .units import ByteLevel, Ragged, Units, blocks
 
 #: Ids of a sequence.
 CAPACITY = 1024
@@ -39,15 +39,11 @@ SLACK = 8
 
 
 class ByteBpe:
-    """Ids of texts by the tokenizers library, each distinct unit encoded once."""
+    """Ids of texts as the tokenizers library gives them, each distinct unit encoded once."""
 
     def __init__(self, raw: bytes, special: bool = True) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(raw.decode())
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.library.encode_special_tokens = not special
+        self._bpe = ByteLevel(raw, special)
+        self.library = self._bpe.library
         self._units = Units(self._learn, "")
         self._forget()
 
@@ -57,8 +53,7 @@ class ByteBpe:
 
     def _learn(self, texts: list[str]) -> None:
         for first in range(0, len(texts), 20_000):
-            ids = [e.ids for e in self.library.encode_batch_fast(texts[first : first + 20_000], add_special_tokens=False)]
-            self._ids.add(np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+            self._ids.add(*self._bpe.encode(texts[first : first + 20_000]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text)."""

@@ -32,7 +32,7 @@ from pyspark.sql.types import StructType
 
 from . import _common as c
 from .bpe_codec import default_path
-from .units import Ragged, Units, blocks
+from .units import ByteLevel, Ragged, Units, blocks
 
 #: Label of a byte by (A ends there) + 2 x (B ends there).
 LABELS = np.frombuffer(b".abx", np.uint8)
@@ -41,30 +41,15 @@ _GROUP = re.compile(rb"[^x]*x")
 _AT_ONCE = 20_000
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Byte of each character of a byte-level vocabulary: printable Latin-1 stands for itself, the rest follow from U+0100 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Aligner:
     """Two tokenizers, A byte-level and B of sentence pieces, and the alignment of their tokens."""
 
     def __init__(self, a_raw: bytes, b_raw: bytes) -> None:
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a_raw.decode())
-        self.a.no_padding()
-        self.a.no_truncation()
-        self.a.encode_special_tokens = True
+        self._a = ByteLevel(a_raw, special=False)
+        self.a, self.a_bytes = self._a.library, self._a.bytes
         self.b = SentencePieceProcessor(model_proto=b_raw)
-        alphabet = byte_alphabet()
-        self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
-        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
-        for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = token.encode() if token in special else bytes(alphabet[x] for x in token)
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -101,7 +86,8 @@ class Aligner:
             self._learn_some(texts[first : first + _AT_ONCE])
 
     def _learn_some(self, texts: list[str]) -> None:
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        flat, sizes = self._a.encode(texts)
+        a = [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
         b = self.b.encode([t[1:] for t in texts], num_threads=1)  # the library puts the space there itself
         raw = [t.encode() for t in texts]
         whole = [b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(a, b, raw, strict=True)]
