@@ -101,7 +101,7 @@ def word_order(words: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def with_matches(rows: DataFrame, templates, order: list[str], threshold: float) -> DataFrame:
-    """``rows(w, held, ...)`` and ``matches``: (template, label, containment, at, length) of the best block of each template."""
+    """``rows(w, held, ...)`` and ``matches``: (template, label, containment, at, length) of every block that meets its template; of blocks of a template that overlap, the best (the first of equal ones)."""
     rank = {w: i for i, w in enumerate(order)}
     library, posted = [], {}
     for i, (sentence, label) in enumerate(templates):
@@ -126,18 +126,27 @@ def with_matches(rows: DataFrame, templates, order: list[str], threshold: float)
     rows = rows.withColumn("candidates", candidates)
     w, books = F.col("w"), F.array(*library)
 
-    def best(i: Column) -> Column:
+    def met_blocks(i: Column) -> Column:
         def of(t: Column) -> Column:
             places = F.filter(F.sequence(F.lit(1), F.size(w)), lambda p: F.array_contains(t["prefix"], F.element_at(w, p)))
             starts = F.array_sort(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(F.lit(1), p - t["length"] + 1), p)))))
-            blocks = F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(t["words"], F.slice(w, s, t["length"]))).alias("same"), (-s).alias("s")))
-            return F.transform(F.array(F.array_max(blocks)), lambda m: F.when(m["same"] >= t["need"], F.struct(i.alias("template"), t["label"].alias("label"), (m["same"] / F.size(t["words"])).alias("containment"), (-m["s"] - 1).alias("at"), F.least(t["length"], F.size(w) + m["s"] + 1).alias("length"))))
+            blocks = F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(t["words"], F.slice(w, s, t["length"]))).alias("same"), s.alias("s")))
+            enough = F.filter(blocks, lambda m: m["same"] >= t["need"])
+
+            def apart(kept: Column, m: Column) -> Column:
+                last = F.element_at(kept, -1)
+                beside = F.when(F.size(kept) == 0, False).otherwise(m["s"] < last["s"] + t["length"])
+                better = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(m))
+                return F.when(~beside, F.concat(kept, F.array(m))).when(m["same"] > last["same"], better).otherwise(kept)
+
+            best_ones = F.aggregate(enough, F.array().cast("array<struct<same:int,s:int>>"), apart)
+            return F.transform(best_ones, lambda m: F.struct(i.alias("template"), t["label"].alias("label"), (m["same"] / F.size(t["words"])).alias("containment"), (m["s"] - 1).alias("at"), F.least(t["length"], F.size(w) - m["s"] + 1).alias("length")))
 
         # Bound by a lambda, so that the template is looked up once.
-        return F.transform(F.array(F.element_at(books, i + 1)), of)[0][0]
+        return F.transform(F.array(F.element_at(books, i + 1)), of)[0]
 
     # Most texts have no candidate: their words are not looked at again.
-    found = F.array_compact(F.transform(F.filter("candidates", lambda i: F.size(F.array_intersect(F.element_at(books, i + 1)["words"], held)) >= F.element_at(books, i + 1)["need"]), best))
+    found = F.flatten(F.transform(F.filter("candidates", lambda i: F.size(F.array_intersect(F.element_at(books, i + 1)["words"], held)) >= F.element_at(books, i + 1)["need"]), met_blocks))
     return rows.withColumn("matches", F.when(F.size("candidates") > 0, found)).drop("candidates")
 
 
@@ -150,7 +159,7 @@ def _held(docs: DataFrame, templates, phrases=()) -> tuple[DataFrame, list[str]]
 
 
 def scan_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """The best block of each template in each text of ``docs(key, text)``: (key, template, label, containment, at, length, block)."""
+    """Every block that meets a template in each text of ``docs(key, text)``: (key, template, label, containment, at, length, block)."""
     rows, order = _held(docs.select("key", "text"), templates)
     found = with_matches(rows.select("key", "w", "held"), templates, order, threshold).select("key", "w", F.explode("matches").alias("m"))
     return found.select("key", "m.*", F.array_join(F.slice("w", F.col("m.at") + 1, F.col("m.length")), " ").alias("block"))

@@ -284,6 +284,31 @@ def test_license_scan(docs, empty, rows):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_blocks_are_all_found(spark):
+    """Every block that meets a template, by brute force: of overlapping ones the best, the first of equal ones."""
+    said = "Released under the MIT License"
+    far = " filler" * 40
+    texts = [said + far + " " + said, far, said + " " + said, said + " x " + said + far + said.lower(), "under the mit license" + far + said]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    got = sorted((r["key"], r["at"], r["containment"]) for r in license_scan.scan_blocks(df).collect() if r["template"] == 0)
+    want = []
+    words = set(license_scan.TEMPLATES[0][0].split())
+    length, need = license_scan.block_length(license_scan.TEMPLATES[0][0]), math.ceil(0.8 * len(words))
+    for key, text in enumerate(texts):
+        w, kept = text.lower().split(), []
+        for at in range(len(w)):
+            same = len(words & set(w[at : at + length]))
+            if same >= need:
+                if kept and at < kept[-1][1] + length:
+                    if same > kept[-1][2]:
+                        kept[-1] = (key, at, same)
+                else:
+                    kept.append((key, at, same))
+        want += [(k, at, same / len(words)) for k, at, same in kept]
+    assert [x[0] for x in got] == [x[0] for x in want] and [x[2] for x in got] == [x[2] for x in want]
+    assert len([x for x in got if x[0] == 0]) == 2 and not [x for x in got if x[0] == 1]
+
+
 def test_license_sentences_may_wrap(spark):
     rows, scattered = [], []
     for words, label in license_scan.TEMPLATES:
@@ -542,6 +567,13 @@ def test_embedding_dedup_links_between_tight_groups(spark, goal):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (link[i].sum(), 0, i == 0)
 
 
+def test_embedding_dedup_keeps_null_ids(spark):
+    rows = [(None, [1.0, 0.0]), (-1, [0.0, 1.0]), (3, [1.0, 0.01]), (None, [-1.0, 0.0]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == Counter([(None, 1, 3, False), (-1, 0, -1, True), (3, 1, 3, True), (None, 0, None, True), (None, 0, None, True)])
+
+
 def linked(x, ids):
     """(links, component) of each row by brute force."""
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
