@@ -28,8 +28,8 @@ double precision.
 Defined results: null, zero and non-finite vectors link with nothing and are
 their own component; shorter vectors are compared as if padded with zeros;
 rows with one vec_id and different vectors are different vectors; rows with equal
-vectors link with each other; a null vec_id takes part as -1; extra columns are
-left alone.
+vectors link with each other; a null vec_id stays null: it names a component only
+if nothing in it has an id (then its rows are kept); extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -368,7 +368,7 @@ def _audited(sample: list[tuple[int, bytes]], threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, goal: float = 0.97) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of ``vectors(vec_id, embedding)``."""
     c.small_batches(vectors.sparkSession)
-    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(-1).cast("long")).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     # Equal vectors are one class, with a number that the table fixes.
     classes = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     classes = c.materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -385,9 +385,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, goa
         full = graph.where(F.col("sim") >= threshold - 0.02).groupBy(F.col("a").alias("id")).count().where(F.col("count") >= k * 2**attempt).select("id")
         if not full.isEmpty():
             labels = _merged(prepared, labels, full, threshold)
-        # Audit: a fixed number of vectors against all others, the recall of each; half of them have links.
+        # Audit: a fixed number of vectors against all others, the recall of each: of all, of those that have links,
+        # and of those that have none although their lists hold a vector that is not far.
         linked = vec.join(labels.select(F.col("node").alias("id")), "id", "left_semi")
-        sample = {r["id"]: bytes(r["vec"]) for t in (vec, linked) for r in t.orderBy(F.xxhash64("id", F.lit(attempt))).limit(AUDIT // 2).collect()}
+        close = graph.where(F.col("sim") >= threshold - 0.1).select(F.col("a").alias("id")).distinct()
+        lost = vec.join(close, "id", "left_semi").join(labels.select(F.col("node").alias("id")), "id", "left_anti")
+        sample = {r["id"]: bytes(r["vec"]) for t in (vec, linked, lost) for r in t.orderBy(F.xxhash64("id", F.lit(attempt))).limit(AUDIT // 2).collect()}
         if not sample:
             break
         true = vec.mapInArrow(_audited(sorted(sample.items()), threshold), "a long, b long").where("a <> b")
@@ -406,7 +409,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, goa
     of_vector = c.materialize(classes.select("id", "embedding").join(usable, "id"), "results")
     out = rows.join(of_vector, "embedding", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
