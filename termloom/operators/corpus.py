@@ -29,6 +29,18 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.filter(T.skip_sections(lines), lambda x: ~T.is_layout_noise(x)).alias("lines"))
 
 
+def sections(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, place, title, body) of the first-level headings of each document, in order.
+
+    Text before the first heading goes; of a repeated title the last body stays, at the place of the first.
+    """
+    whole = F.concat(F.lit("\n"), F.array_join(T.split_lines(F.coalesce(F.col(text), F.lit(""))), "\n"))
+    parts = F.split(whole, "\n# ", -1)
+    each = docs.select("doc_id", F.posexplode(parts).alias("place", "part")).where("place > 0")
+    each = each.select("doc_id", "place", T.strip(F.substring_index("part", "\n", 1)).alias("title"), T.strip(F.regexp_replace("part", r"^[^\n]*", "")).alias("body"))
+    return each.groupBy("doc_id", "title").agg(F.min("place").alias("place"), F.max_by("body", "place").alias("body"))
+
+
 def edge_blocks(lines: DataFrame, n: int = 3) -> DataFrame:
     """(doc_id, edge, norm): the normalised first and last n non-blank lines of each document."""
     full = lines.select("doc_id", F.filter("lines", lambda x: T.strip(x) != "").alias("l"))

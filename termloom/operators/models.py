@@ -23,6 +23,7 @@ from ..sources.positions import POSITION
 from ..sources.tables import cached_lookup, checkpointed, resume_by_key
 from . import metrics as M
 from .pairs import group_candidates, hashed
+from .retrieval import SPARSE_KEPT, prune_sparse
 
 Model = Callable[[str, str], str]
 
@@ -230,6 +231,25 @@ def embed(rows: DataFrame, id_col: str, text_col: str, model: Callable[[list[str
     return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, vector array<float>")
 
 
+def embed_both(rows: DataFrame, id_col: str, text_col: str, model: Callable[[list[str]], list[tuple[list[float], dict[str, float]]]], most: int = SPARSE_KEPT) -> DataFrame:
+    """(id, vector, weights) by one call a batch: the dense vector and the ``most`` heaviest sparse weights, as (weight, token) from the heaviest on."""
+    ship(rows.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            got = model(pdf["text"].fillna("").tolist())
+            yield pd.DataFrame({"id": pdf["id"], "vector": [d for d, _ in got], "sparse": [dict(s) for _, s in got]})
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    out = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, vector array<float>, sparse map<string,double>")
+    return out.select("id", "vector", prune_sparse(F.col("sparse"), most).alias("weights"))
+
+
+def sparse_table(embedded: DataFrame) -> DataFrame:
+    """(id, token, weight) of ``embed_both``, as sparse search takes it."""
+    return embedded.select("id", F.explode("weights").alias("w")).select("id", "w.token", "w.weight")
+
+
 def hashing_embedder(texts: list[str], width: int = 32) -> list[list[float]]:
     """A deterministic stand-in for an embedding model: hashed character trigrams."""
     import zlib

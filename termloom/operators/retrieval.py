@@ -231,6 +231,37 @@ def sparse_topk(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(_sparse_nearest(postings, queries, k).withColumnRenamed("id", "query_id"), k)
 
 
+def within_payload(weights: DataFrame, payload: DataFrame) -> DataFrame:
+    """(id, token, weight) whose tokens carry the value of payload(id, value): equal tokens meet only where the payloads are equal.
+
+    A payload filter of sparse search that applies before ranking; rows without a payload have no tokens.
+    """
+    named = weights.join(payload.where("value is not null").select("id", F.col("value").cast("string").alias("value")), "id")
+    return named.select("id", F.concat_ws("\x00", "value", "token").alias("token"), "weight")
+
+
+def hybrid_topk(dense: tuple[DataFrame, DataFrame], sparse: tuple[DataFrame, DataFrame], k: int, prefetch: int | None = None, payload: tuple[DataFrame, DataFrame] | None = None, self_match: bool = False) -> DataFrame:
+    """(query_id, point_id, score, rank): a dense and a sparse list of each query, fused by reciprocal ranks.
+
+    ``dense`` is (corpus(point_id, vector), queries(query_id, vector)), ``sparse`` two (id, token, weight) tables of points and
+    queries; ``payload`` is (points(id, value), queries(id, value)) and filters each list before it is ranked.
+    """
+    depth = prefetch or 4 * k
+    (corpus, queries), (points, asked) = dense, sparse
+    within = None
+    if payload is not None:
+        has = [p.where("value is not null").select("id", F.col("value").cast("string").alias("_payload")) for p in payload]
+        corpus = corpus.join(has[0].withColumnRenamed("id", "point_id"), "point_id")
+        queries = queries.join(has[1].withColumnRenamed("id", "query_id"), "query_id")
+        within = ("_payload", "_payload")
+        points, asked = within_payload(points, payload[0]), within_payload(asked, payload[1])
+    first = dense_topk(corpus, queries, depth, self_match=self_match, within=within)
+    found = sparse_topk(points, asked, depth if self_match else depth + 1)
+    if not self_match:
+        found = ranked(found.where("query_id <> point_id").drop("rank"), depth)
+    return rrf([first, found], limit=k)
+
+
 def rrf(rankings: list[DataFrame], k: float = 2.0, rank_base: int = 0, limit: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of (query_id, point_id, rank) tables: sum of 1 / (k + rank).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +13,9 @@ from .functions import replies as R
 from .functions import rules as H
 from .functions import similarity as S
 from .functions import text as T
-from .operators import axes, corpus, graph, metrics, pairs, reports, retrieval, sampling
+from .operators import axes, corpus, graph, metrics, pairs, reports, retrieval, sampling, vector_index
 from .sources import files as SRC
+from .sources.tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -84,6 +86,42 @@ def hybrid_rrf(spark, sf_dir):
     return retrieval.rrf([dense, filtered], limit=10)
 
 
+@query("vector_index_topk", f"WITH {_UNIT} SELECT query_id, point_id, score, CAST(rank AS INT) AS rank FROM rk WHERE rank <= 10")
+def vector_index_topk(spark, sf_dir):
+    """The same ranking from an index that is written by cell, opened again and searched cell by cell."""
+    where = f"{shared_dir(spark)}/termloom/vector-index-{uuid.uuid4().hex}"
+    vector_index.build_index(A.dense_corpus(spark, sf_dir), where)
+    return vector_index.Index(spark, where).search(A.dense_queries(spark, sf_dir), 10)
+
+
+_HYBRID = rf"""docs AS (SELECT doc_id AS id, lang, text, embedding AS e FROM documents JOIN embeddings ON doc_id = vec_id),
+tk AS (SELECT id, token, count(*) AS w FROM (SELECT id, unnest(regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}_]+)', 1)) AS token FROM docs) GROUP BY 1, 2),
+kt AS (SELECT id, token, w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, token) AS r FROM tk) WHERE r <= 512),
+dl AS (SELECT q.id AS query_id, c.id AS point_id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.e, c.e), 6) DESC, c.id) AS rank FROM docs q JOIN docs c ON q.lang = c.lang AND q.id <> c.id WHERE q.id % 20 = 0),
+sl AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, point_id) AS rank FROM (SELECT a.id AS query_id, b.id AS point_id, CAST(sum(a.w * b.w) AS DOUBLE) AS s FROM kt a JOIN kt b USING (token) JOIN docs x ON x.id = a.id JOIN docs y ON y.id = b.id WHERE a.id % 20 = 0 AND x.lang = y.lang AND a.id <> b.id GROUP BY 1, 2)),
+fu AS (SELECT query_id, point_id, round(sum(1.0::DOUBLE / (2 + rank - 1)), 9) AS score FROM (SELECT * FROM dl WHERE rank <= 40 UNION ALL SELECT * FROM sl WHERE rank <= 40) GROUP BY 1, 2),
+fk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM fu)"""
+
+
+@query("hybrid_dense_sparse", f"WITH {_HYBRID} SELECT query_id, point_id, score, CAST(rank AS INT) AS rank FROM fk WHERE rank <= 10")
+def hybrid_dense_sparse(spark, sf_dir):
+    """A dense and a sparse list of documents with vectors, each among those of the query's language, in one fused ranking."""
+    v = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text").join(v, "id")
+    asked = docs.where("id % 20 = 0")
+    dense = (docs.select(F.col("id").alias("point_id"), "vector"), asked.select(F.col("id").alias("query_id"), "vector"))
+    sparse = (retrieval.lexical_weights(docs, "id", "text"), retrieval.lexical_weights(asked, "id", "text"))
+    return retrieval.hybrid_topk(dense, sparse, 10, payload=tuple(d.select("id", F.col("lang").alias("value")) for d in (docs, asked)))
+
+
+@query("neighbour_cosine", "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def neighbour_cosine(spark, sf_dir):
+    """Cosine of two columns of a row: each vector and that of the next id."""
+    e = A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return e.join(after, "vec_id").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("next")), 6).alias("cosine"))
+
+
 @query("rerank_signal", f"WITH {_TOK}, h AS (SELECT query_id, point_id, rank FROM srk WHERE rank <= 10), t AS (SELECT query_id, point_id, rank, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '\\s+'), lambda x: x <> '')) AS b FROM h JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = point_id), s AS (SELECT query_id, point_id, rank, CASE WHEN len(list_distinct(a || b)) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)) ELSE 0 END AS s FROM t), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS k FROM s) SELECT b.item_id AS query_id, point_id AS concept, s AS rerank_score, CAST(rank AS INT) AS old_rank, CAST(coalesce(k, 0) AS INT) AS new_rank FROM benchmark b LEFT JOIN n ON n.query_id = b.item_id")
 def rerank_signal(spark, sf_dir):
     docs, bench = A.table(spark, sf_dir, "documents"), A.table(spark, sf_dir, "benchmark")

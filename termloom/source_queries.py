@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from . import adapters as A
 from .functions import text as T
 from .operators import metrics, pairs, retrieval
+from .plans import config, flow
+from .plans import functions as _registered  # noqa: F401
 from .queries import query
 from .sources import files as S
 from .sources import tables as K
+from .sources.positions import positioned
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -24,7 +27,7 @@ def _read(spark: SparkSession, root: str, pattern: str, columns: tuple[str, ...]
 
 
 def _descriptions(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, root, "sct2_Description_*.txt", S.DESCRIPTION_COLUMNS).withColumn("pos", F.col("id").cast("long"))
+    return positioned(_read(spark, root, "sct2_Description_*.txt", S.DESCRIPTION_COLUMNS))
 
 
 _CONCEPTS = "c AS (SELECT CAST(p_partkey + 1000000 AS VARCHAR) AS id, CAST(p_partkey AS BIGINT) AS k, p_name, p_brand, p_type, p_size, p_size % 10 <> 0 AS active FROM part)"
@@ -41,7 +44,7 @@ def release_active_concepts(spark, sf_dir):
     return S.active_concepts(_read(spark, A.release(spark, sf_dir), "sct2_Concept_*.txt", S.CONCEPT_COLUMNS))
 
 
-@query("release_concept_terms", f"""WITH {_CONCEPTS} SELECT id AS sctid, p_name || ' (' || p_type || ')' AS fsn, array_to_string(list_distinct_ordered, '|') AS synonyms, k * 10 + 1 AS first FROM (SELECT *, CASE WHEN p_size % 7 = 0 THEN [p_name, p_type || ' "quoted"'] ELSE [p_name, p_brand, p_type || ' "quoted"'] END AS list_distinct_ordered FROM c WHERE active)""")
+@query("release_concept_terms", f"""WITH {_CONCEPTS} SELECT id AS sctid, p_name || ' (' || p_type || ')' AS fsn, array_to_string(list_distinct_ordered, '|') AS synonyms, k * 5 AS first FROM (SELECT *, CASE WHEN p_size % 7 = 0 THEN [p_name, p_type || ' "quoted"'] ELSE [p_name, p_brand, p_type || ' "quoted"'] END AS list_distinct_ordered FROM c WHERE active)""")
 def release_concept_terms(spark, sf_dir):
     root = A.release(spark, sf_dir)
     out = S.concept_terms(_read(spark, root, "sct2_Concept_*.txt", S.CONCEPT_COLUMNS), _descriptions(spark, root))
@@ -127,6 +130,47 @@ def glossary_lines(spark, sf_dir):
     return S.glossary_lines(p.select(F.col("p_partkey").alias("pos"), F.regexp_replace(line, "가  ", "가 ").alias("value")))
 
 
+@query("tab_glossary", """WITH l AS (SELECT p_partkey AS pos, CASE WHEN p_size % 5 = 0 THEN p_name ELSE p_name || '; ' || p_type END AS en, p_type FROM part WHERE p_size % 6 <> 0), r AS (SELECT en, '가 ' || p_type AS target, row_number() OVER (PARTITION BY lower(en) ORDER BY pos) AS k FROM l) SELECT en, target FROM r WHERE k = 1""")
+def tab_glossary(spark, sf_dir):
+    """Lines of two fields by tab, read from a file in its order; English synonyms stay together."""
+    where = _folder(spark, "glossary")
+    p = A.table(spark, sf_dir, "part")
+    en = F.concat("p_name", F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("; "), "p_type")).otherwise(F.lit("")))
+    line = F.concat(en, F.lit("\t"), F.when(F.col("p_size") % 6 == 0, "no target").otherwise(F.concat(F.lit("가 "), "p_type", F.lit(" 12"))))
+    p.orderBy("p_partkey").select(line.alias("value")).write.text(where)
+    return S.glossary_lines(positioned(spark.read.schema("value string").text(where)), split_synonyms=False)
+
+
+@query("file_positions", "SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey) - 1 AS pos FROM part")
+def file_positions(spark, sf_dir):
+    """Rows written in shuffled order to several files, and their places when they are read."""
+    where = _folder(spark, "shuffled")
+    p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"))
+    S.write_csv(p.orderBy(F.md5(F.col("id").cast("binary")), F.col("id").cast("long")), where)
+    return positioned(S.read_csv(spark, where, ("id",)))
+
+
+_FILE_ORDER = """WITH r AS (SELECT 'c' || p_partkey % 500 AS sctid, p_name AS ref, row_number() OVER (ORDER BY md5('r' || p_partkey), p_partkey) AS pos FROM part), t AS (SELECT 'c' || p_partkey % 700 AS sctid, p_name AS cand, row_number() OVER (ORDER BY md5('t' || p_partkey), p_partkey) AS pos FROM part),
+f AS (SELECT sctid, min(pos) AS first, max_by(ref, pos) AS ref FROM r GROUP BY sctid), g AS (SELECT sctid, max_by(cand, pos) AS cand FROM t GROUP BY sctid)"""
+
+
+@query("flow_file_order", f"{_FILE_ORDER} SELECT sctid, cand AS candidate, ref AS best_ref, CAST(replace(cand, ' ', '') = replace(ref, ' ', '') AS INT) AS exact FROM f JOIN g USING (sctid) ORDER BY first LIMIT 100")
+def flow_file_order(spark, sf_dir):
+    """A flow over files of shuffled, repeated keys: the last row of a key wins, the first hundred keys of the reference count."""
+    spec = {}
+    for name, keys, column in (("r", 500, "target"), ("t", 700, "target")):
+        spec[name] = {"kind": "csv", "path": _folder(spark, f"flow-{name}")}
+        p = A.table(spark, sf_dir, "part").orderBy(F.md5(F.concat(F.lit(name), F.col("p_partkey").cast("string")).cast("binary")), "p_partkey")
+        S.write_csv(p.select(F.concat(F.lit("c"), (F.col("p_partkey") % keys).cast("string")).alias("sctid"), F.lit("x").alias("en"), F.col("p_name").alias(column)), spec[name]["path"])
+    nodes = [{"id": n, "type": "datasource", "params": {"source": n}} for n in spec]
+    nodes += [{"id": "e", "type": "evaluate", "params": {"limit": 100}, "inputs": {"translations": "t", "reference": "r"}}]
+    built, context = config.assemble(spark, {"nodes": nodes}, {"sources": spec}, {})
+    done = flow.run(built, context)["e"]
+    if not done.ok:
+        raise RuntimeError(done.error)
+    return done.outputs["rows"].select("sctid", "candidate", "best_ref", "exact")
+
+
 @query("cell_cleaning", "SELECT p_partkey, p_name || ' x ' || p_type || ' end' AS cell, p_name || ' ' || p_type || '!' AS bare FROM part")
 def cell_cleaning(spark, sf_dir):
     p = A.table(spark, sf_dir, "part")

@@ -9,8 +9,9 @@ from .functions import replies as R
 from .functions import rules as H
 from .functions import similarity as S
 from .functions import text as T
-from .operators import corpus, dictionary, metrics, pairs, reports, sampling
-from .queries import _BARE, _DBREAK, _DSP, _NOISE, _SAMPLES, query
+from .operators import corpus, dictionary, graph, metrics, pairs, reports, sampling
+from .queries import _BARE, _DBREAK, _DSP, _EDGES, _NOISE, _SAMPLES, query
+from .sources import files as SRC
 
 
 def _part(spark, sf_dir):
@@ -73,10 +74,27 @@ def style_rule_triggers(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", F.array_join(T.triggered(F.upper("p_name"), rules), "|").alias("texts"))
 
 
-@query("guide_sections", "SELECT * FROM (VALUES ('First', 'one' || chr(10) || '## sub' || chr(10) || 'two'), ('Second', 'again')) AS t(title, body)")
+@query("guide_sections", f"""WITH {A.CORPUS_SQL}, g AS (SELECT doc_id, text || chr(10) || '# End' || chr(10) || 'again ' || doc_id AS text FROM cd),
+p AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS place, unnest(ps) AS part FROM (SELECT doc_id, string_split(chr(10) || array_to_string(regexp_split_to_array(text, '{_DBREAK}'), chr(10)), chr(10) || '# ') AS ps FROM g)),
+s AS (SELECT doc_id, place, regexp_replace(string_split(part, chr(10))[1], '^[{_DSP}]+|[{_DSP}]+$', '', 'g') AS title, regexp_replace(regexp_replace(part, '^[^\n]*', ''), '^[{_DSP}]+|[{_DSP}]+$', '', 'g') AS body FROM p WHERE place > 0)
+SELECT doc_id, title, CAST(min(place) AS INT) AS place, md5(max_by(body, place)) AS digest FROM s GROUP BY doc_id, title""")
 def guide_sections(spark, sf_dir):
-    found = T.parse_sections("before\n# First\n\none\n## sub\ntwo\n\n# Second\nfirst\n# Second\nagain\n")
-    return spark.createDataFrame(list(found.items()), "title string, body string")
+    """Documents as guides: their first-level sections, one title twice."""
+    d = A.corpus_docs(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n# End\nagain "), F.col("doc_id").cast("string")))
+    return corpus.sections(d).select("doc_id", "title", "place", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+@query("word_totals", "SELECT lang, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS pieces, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY lang")
+def word_totals(spark, sf_dir):
+    """Size of a corpus in pieces between spaces."""
+    d = A.table(spark, sf_dir, "documents").where("text is not null")
+    return d.groupBy("lang").agg(F.sum(SRC.word_total(F.col("text"))).alias("pieces"), F.count("*").alias("n"))
+
+
+@query("depth_histogram", f"WITH RECURSIVE {_EDGES}, c AS (SELECT child AS node, parent AS up FROM e UNION SELECT c.node, e.parent FROM c JOIN e ON e.child = c.up) SELECT ancestors, count(*) AS n FROM (SELECT node, count(*) AS ancestors FROM c GROUP BY node) GROUP BY ancestors")
+def depth_histogram(spark, sf_dir):
+    """How many concepts have how many ancestors."""
+    return graph.depth_histogram(graph.ancestor_closure(A.is_a(spark, sf_dir)))
 
 
 @query("truncate_texts", "SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN left(text, 500) || '…' ELSE text END) AS digest, length(text) > 500 AS cut FROM documents")

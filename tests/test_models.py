@@ -54,3 +54,23 @@ def test_reflective_agent(spark):
     critic = lambda s, u: "OK" if "!" in u or u.startswith("a") else "no"
     got = {r["sctid"]: (r["target"], r["steps"]) for r in M.reflective_agent(rows, draft, critic, lambda d: d.withColumn("context", F.lit(""))).collect()}
     assert got == {"1": ("a", 0), "2": ("bb!", 1)}
+
+
+def test_dense_and_sparse_by_one_call(spark):
+    """Sparse weights are pruned to the heaviest, and search among equal payloads only."""
+    from termloom.operators import models, retrieval
+
+    calls = []
+
+    def both(texts):
+        calls.append(len(texts))
+        return [([float(len(t)), 1.0], {w: float(t.split().count(w)) for w in t.split()}) for t in texts]
+
+    rows = spark.createDataFrame([(1, "a a b c"), (2, "b b b"), (3, None), (4, "c c a")], "id long, text string")
+    out = models.embed_both(rows, "id", "text", both, most=2)
+    got = {r["id"]: (list(r["vector"]), [tuple(w) for w in r["weights"]]) for r in out.collect()}
+    assert got[1] == ([7.0, 1.0], [(2.0, "a"), (1.0, "b")]) and got[3] == ([0.0, 1.0], [])
+    table = models.sparse_table(out)
+    payload = spark.createDataFrame([(1, "x"), (2, "y"), (4, "x"), (3, None)], "id long, value string")
+    hits = retrieval.sparse_topk(retrieval.within_payload(table, payload), retrieval.within_payload(table, payload), 5)
+    assert {(r["query_id"], r["point_id"]) for r in hits.collect()} == {(1, 1), (1, 4), (4, 4), (4, 1), (2, 2)}
