@@ -13,7 +13,7 @@ from .functions import replies as R
 from .functions import rules as H
 from .functions import similarity as S
 from .functions import text as T
-from .operators import axes, corpus, graph, metrics, pairs, reports, retrieval, sampling, vector_index
+from .operators import axes, corpus, graph, metrics, pairs, reports, retrieval, sampling, sparse_index, vector_index
 from .sources import files as SRC
 from .sources.tables import shared_dir
 
@@ -78,6 +78,14 @@ def sparse_topk(spark, sf_dir):
     return retrieval.sparse_topk(p, q, 10)
 
 
+@query("sparse_index_topk", f"WITH {_TOK} SELECT query_id, point_id, score, CAST(rank AS INT) AS rank FROM srk WHERE rank <= 10")
+def sparse_index_topk(spark, sf_dir):
+    """The same ranking from an index that is written by block and read only where a bound reaches the k-th score."""
+    where = f"{shared_dir(spark)}/termloom/sparse-index-{uuid.uuid4().hex}"
+    sparse_index.build_sparse_index(retrieval.lexical_weights(A.table(spark, sf_dir, "documents"), "doc_id", "text"), where)
+    return sparse_index.SparseIndex(spark, where).search(retrieval.lexical_weights(A.table(spark, sf_dir, "benchmark"), "item_id", "text"), 10)[0]
+
+
 @query("hybrid_rrf", f"WITH {_UNIT}, a AS (SELECT query_id, point_id, rank FROM rk WHERE rank <= 40), b AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, point_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS point_id, round(list_cosine_similarity(q.e, c.e), 6) AS s FROM vec q JOIN vec c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)), f AS (SELECT query_id, point_id, round(sum(1.0::DOUBLE / (2 + rank - 1)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE rank <= 40) GROUP BY 1, 2), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM f) SELECT query_id, point_id, score, CAST(rank AS INT) AS rank FROM fr WHERE rank <= 10")
 def hybrid_rrf(spark, sf_dir):
     c, q = A.dense_corpus(spark, sf_dir), A.dense_queries(spark, sf_dir)
