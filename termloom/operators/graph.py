@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
 from .pairs import first_by
+from .reachability import Reachability
 
 
 def descendants(edges: DataFrame, roots: DataFrame, inclusive: bool = True, most: int = 64) -> DataFrame:
@@ -98,6 +99,13 @@ def coherence(candidates: DataFrame, closure: DataFrame) -> DataFrame:
     return out.select("query_id", F.size("c").alias("n"), F.round(F.when(few, 1.0).otherwise(F.col("jaccard")), 6).alias("jaccard"), F.round(F.when(few, 1.0).otherwise(on_line), 6).alias("lineage"), F.when(few, 0).otherwise(F.coalesce("common_depth", F.lit(0))).cast("long").alias("common_depth"))
 
 
+def indexed_coherence(candidates: DataFrame, index: Reachability) -> DataFrame:
+    """``coherence`` by an index: only what stands above the candidates is looked up, not the closure of the hierarchy."""
+    near = checkpointed(index.ancestors(candidates.select("node")), "above")
+    higher = index.ancestors(near.select(F.col("ancestor").alias("node")))
+    return coherence(candidates, checkpointed(near.union(higher).distinct(), "above"))
+
+
 def tag_mismatch(matches: DataFrame, source_tags: DataFrame) -> DataFrame:
     """Whether the tag of the found concept differs: matches(id, found_tag), source_tags(id, tag); no source counts as a mismatch."""
     both = matches.join(source_tags, "id", "left")
@@ -121,8 +129,8 @@ def _scope_tokens(expression: str) -> list[str]:
     return out
 
 
-def scope(expression: str, edges: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
-    """(node) of a scope expression.
+def scope(expression: str, edges: DataFrame | Reachability, attributes: DataFrame | None = None) -> DataFrame:
+    """(node) of a scope expression, by edges(child, parent) or by an index.
 
     ``<<id`` (with descendants), ``<id``, ``id`` and parentheses, joined by OR, AND or
     MINUS from left to right; a refinement ``: attribute = value, ...`` keeps the nodes that
@@ -147,7 +155,10 @@ def scope(expression: str, edges: DataFrame, attributes: DataFrame | None = None
         if not re.fullmatch(r"\w+", name):
             raise ValueError(f"not a scope expression: {expression}")
         root = edges.sparkSession.createDataFrame([(name,)], "node string")
-        return root if kind is None else descendants(edges, root, inclusive=kind == "<<").select("node")
+        if kind is None:
+            return root
+        below = edges.descendants(root, kind == "<<") if isinstance(edges, Reachability) else descendants(edges, root, inclusive=kind == "<<")
+        return below.select("node")
 
     def joined() -> DataFrame:
         out = term()

@@ -13,7 +13,7 @@ from .functions import replies as R
 from .functions import rules as H
 from .functions import similarity as S
 from .functions import text as T
-from .operators import axes, corpus, graph, metrics, pairs, reports, retrieval, sampling, sparse_index, vector_index
+from .operators import axes, corpus, graph, metrics, pairs, reachability, reports, retrieval, sampling, sparse_index, vector_index
 from .sources import files as SRC
 from .sources.tables import shared_dir
 
@@ -169,7 +169,10 @@ def bidirectional_index_rows(spark, sf_dir):
     return retrieval.bidirectional_rows(A.pairs(spark, sf_dir))
 
 
-@query("surface_form_points", "SELECT p_partkey AS sctid, fsn, CAST(pos AS INT) AS pos, text FROM (SELECT p_partkey, p_name || ' (' || p_type || ')' AS fsn, unnest([p_name || ' (' || p_type || ')', p_name, p_brand]) AS text, unnest([0, 1, 2]) AS pos FROM part)")
+_FORMS_SQL = "SELECT p_partkey AS sctid, fsn, CAST(pos AS INT) AS pos, text FROM (SELECT p_partkey, p_name || ' (' || p_type || ')' AS fsn, unnest([p_name || ' (' || p_type || ')', p_name, p_brand]) AS text, unnest([0, 1, 2]) AS pos FROM part)"
+
+
+@query("surface_form_points", _FORMS_SQL)
 def surface_form_points(spark, sf_dir):
     p = A.table(spark, sf_dir, "part")
     fsn = F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))
@@ -704,11 +707,30 @@ def ancestor_closure(spark, sf_dir):
     return graph.ancestor_closure(A.is_a(spark, sf_dir))
 
 
-@query("coherence_features", f"WITH RECURSIVE {_EDGES}, a AS (SELECT child AS node, parent AS ancestor FROM e UNION SELECT a.node, e.parent FROM a JOIN e ON e.child = a.ancestor), s AS (SELECT node, ancestor FROM a UNION SELECT child, child FROM e), an AS (SELECT node, list(ancestor) AS anc FROM s GROUP BY node), cand AS (SELECT o_custkey AS q, 'c' || o_custkey AS node, 1 AS rank FROM orders GROUP BY o_custkey UNION ALL SELECT o_custkey, 's' || (o_custkey % 10), 2 FROM orders GROUP BY o_custkey), j AS (SELECT x.q, len(list_intersect(ax.anc, ay.anc))::DOUBLE / len(list_distinct(ax.anc || ay.anc)) AS j, list_intersect(ax.anc, ay.anc) AS common FROM cand x JOIN cand y ON x.q = y.q AND x.rank = 1 AND y.rank = 2 JOIN an ax ON ax.node = x.node JOIN an ay ON ay.node = y.node), dep AS (SELECT node AS ancestor, count(*) + 1 AS depth FROM a GROUP BY node) SELECT q AS query_id, 2 AS n, round(j, 6) AS jaccard, 0.5::DOUBLE AS lineage, CAST(coalesce(list_max(list_transform(common, lambda c: CASE WHEN c[1] = 'r' THEN 1 ELSE 2 END)), 0) AS BIGINT) AS common_depth FROM j")
+_COHERENCE = f"WITH RECURSIVE {_EDGES}, a AS (SELECT child AS node, parent AS ancestor FROM e UNION SELECT a.node, e.parent FROM a JOIN e ON e.child = a.ancestor), s AS (SELECT node, ancestor FROM a UNION SELECT child, child FROM e), an AS (SELECT node, list(ancestor) AS anc FROM s GROUP BY node), cand AS (SELECT o_custkey AS q, 'c' || o_custkey AS node, 1 AS rank FROM orders GROUP BY o_custkey UNION ALL SELECT o_custkey, 's' || (o_custkey % 10), 2 FROM orders GROUP BY o_custkey), j AS (SELECT x.q, len(list_intersect(ax.anc, ay.anc))::DOUBLE / len(list_distinct(ax.anc || ay.anc)) AS j, list_intersect(ax.anc, ay.anc) AS common FROM cand x JOIN cand y ON x.q = y.q AND x.rank = 1 AND y.rank = 2 JOIN an ax ON ax.node = x.node JOIN an ay ON ay.node = y.node), dep AS (SELECT node AS ancestor, count(*) + 1 AS depth FROM a GROUP BY node) SELECT q AS query_id, 2 AS n, round(j, 6) AS jaccard, 0.5::DOUBLE AS lineage, CAST(coalesce(list_max(list_transform(common, lambda c: CASE WHEN c[1] = 'r' THEN 1 ELSE 2 END)), 0) AS BIGINT) AS common_depth FROM j"
+
+
+@query("coherence_features", _COHERENCE)
 def coherence_features(spark, sf_dir):
+    return graph.coherence(_candidates(spark, sf_dir), graph.ancestor_closure(A.is_a(spark, sf_dir)))
+
+
+def _candidates(spark, sf_dir):
     o = A.table(spark, sf_dir, "orders").select("o_custkey").distinct()
     cand = o.select(F.col("o_custkey").alias("query_id"), F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node")), F.struct(F.lit(2).alias("rank"), F.concat(F.lit("s"), (F.col("o_custkey") % 10).cast("string")).alias("node")))).alias("x")).select("query_id", "x.*")
-    return graph.coherence(cand, graph.ancestor_closure(A.is_a(spark, sf_dir)))
+    return cand
+
+
+def _reachability(spark, sf_dir):
+    where = f"{shared_dir(spark)}/termloom/reachability-{uuid.uuid4().hex}"
+    reachability.build_reachability(A.is_a(spark, sf_dir), where)
+    return reachability.Reachability(spark, where)
+
+
+@query("indexed_coherence", _COHERENCE)
+def indexed_coherence(spark, sf_dir):
+    """The same features by an index of intervals."""
+    return graph.indexed_coherence(_candidates(spark, sf_dir), _reachability(spark, sf_dir))
 
 
 @query("attribute_pivot", "WITH x AS (SELECT l_orderkey AS src, l_returnflag AS k, l_suppkey AS dst, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_suppkey) AS r FROM lineitem), n AS (SELECT src, k, s_name FROM x JOIN supplier ON s_suppkey = dst WHERE r = 1) SELECT src, max(CASE WHEN k = 'A' THEN s_name END) AS site, max(CASE WHEN k = 'N' THEN s_name END) AS method, max(CASE WHEN k = 'R' THEN s_name END) AS access FROM n GROUP BY src")
@@ -723,11 +745,20 @@ def parents_capped(spark, sf_dir):
     return graph.parents(A.is_a(spark, sf_dir), 3).select("node", F.array_join("parents", "|").alias("parents"))
 
 
-@query("scope_expression", f"WITH RECURSIVE {_EDGES}, d AS (SELECT 'n3' AS node UNION SELECT 'n5' UNION SELECT e.child FROM d JOIN e ON e.parent = d.node) SELECT node FROM d WHERE node <> 'n5'")
+_SCOPE = f"WITH RECURSIVE {_EDGES}, d AS (SELECT 'n3' AS node UNION SELECT 'n5' UNION SELECT e.child FROM d JOIN e ON e.parent = d.node) SELECT node FROM d WHERE node <> 'n5'"
+
+
+@query("scope_expression", _SCOPE)
 def scope_expression(spark, sf_dir):
     return graph.scope("<<n3 OR <n5", A.is_a(spark, sf_dir))
 
 
+@query("indexed_scope", _SCOPE)
+def indexed_scope(spark, sf_dir):
+    """The same scope by an index of intervals."""
+    return graph.scope("<<n3 OR <n5", _reachability(spark, sf_dir))
+
+
 @query("tag_mismatch", "SELECT p_partkey AS id, p_brand AS found_tag, CASE WHEN p_size > 10 THEN p_type END AS tag, CASE WHEN coalesce(CASE WHEN p_size > 10 THEN p_type END, 'x') <> p_brand THEN 1 ELSE 0 END AS mismatch FROM part")
 def tag_mismatch(spark, sf_dir):
     p = A.table(spark, sf_dir, "part")

@@ -10,10 +10,10 @@ import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: Folders of local sessions that name none.
 _own: dict[str, str] = {}
 
@@ -88,7 +88,11 @@ _NAME = re.compile(r"[a-z0-9][a-z0-9_-]{0,62}")
 
 
 class Registry:
-    """Published datasets and guides in one folder of a file system that Spark reaches: immutable, with provenance."""
+    """Published datasets and guides in one folder of a file system that Spark reaches: immutable versions, with provenance.
+
+    The rows of a version are complete before its entry is put under the next number, and an entry is
+    only put where none is: of two writers one wins, and readers see an old version or a new one, never a part.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -98,30 +102,78 @@ class Registry:
             raise ValueError(f"not a name: {name!r}")
         return f"{self.root}/{kind}/{name}"
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-    def entry(self, kind: str, name: str) -> dict | None:
-        path = self._path(kind, name) + "/entry"
-        if not self._exists(path):
+    def _at(self, path: str):
+        """(file system, path) in the JVM."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def versions(self, kind: str, name: str) -> list[int]:
+        """Numbers of the published versions, in order."""
+        system, folder = self._at(self._path(kind, name) + "/entries")
+        if not system.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in system.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if re.fullmatch(r"\d{8}\.json", n))
+
+    def entry(self, kind: str, name: str, version: int | None = None) -> dict | None:
+        """The entry of a version, of the latest if none is given; None if there is none."""
+        have = self.versions(kind, name)
+        if not have or (version is not None and version not in have):
             return None
-        return json.loads(self.spark.read.text(path, wholetext=True).first()["value"])
+        system, p = self._at(f"{self._path(kind, name)}/entries/{version or have[-1]:08d}.json")
+        stream = system.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _put_if_absent(self, path: str, text: str) -> bool:
+        """Whether the file was put there; a file that is there already stays as it is."""
+        jvm = self.spark.sparkContext._jvm
+        system, target = self._at(path)
+        _, draft = self._at(f"{path}.{uuid.uuid4().hex}")
+        stream = system.create(draft, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        try:
+            if system.getUri().getScheme() == "file":  # a link is made or refused in one step
+                to = jvm.java.nio.file.Path.of(system.makeQualified(target).toUri())
+                jvm.java.nio.file.Files.createLink(to, jvm.java.nio.file.Path.of(system.makeQualified(draft).toUri()))
+                return True
+            none = jvm.org.apache.hadoop.fs.Options.Rename.valueOf("NONE")
+            options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = none
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri()).rename(draft, target, options)
+            return True
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            system.delete(draft, False)
 
     def publish(self, kind: str, name: str, df: DataFrame, provenance: dict | None = None, replace: bool = False) -> dict:
-        """Write the rows and an entry; an entry made by hand is never replaced."""
+        """Write the rows and put an entry; an entry made by hand is never replaced, nor one that another writer put meanwhile."""
         old = self.entry(kind, name)
         if old is not None and (old.get("origin") != "published" or not replace):
             raise FileExistsError(f"{kind}/{name} is already there")
+        version = (self.versions(kind, name) or [0])[-1] + 1
         path = self._path(kind, name)
-        df.write.mode("overwrite").parquet(f"{path}/rows")
-        made = {"name": name, "kind": kind, "origin": "published", "path": f"{path}/rows", "columns": df.columns, "published_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "provenance": provenance or {}}
-        self.spark.createDataFrame([(json.dumps(made, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/entry")
+        rows = f"{path}/rows/{version:08d}-{uuid.uuid4().hex}"
+        df.write.parquet(rows)
+        made = {"name": name, "kind": kind, "version": version, "origin": "published", "path": rows, "columns": df.columns, "published_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "provenance": provenance or {}}
+        if not self._put_if_absent(f"{path}/entries/{version:08d}.json", json.dumps(made, ensure_ascii=False)):
+            system, loser = self._at(rows)
+            system.delete(loser, True)
+            raise FileExistsError(f"{kind}/{name}: another writer put version {version}")
         return made
 
-    def read(self, kind: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(kind, name) + "/rows")
+    def read(self, kind: str, name: str, version: int | None = None) -> DataFrame:
+        """The rows of a version, of the latest if none is given."""
+        made = self.entry(kind, name, version)
+        if made is None:
+            raise FileNotFoundError(f"{kind}/{name}")
+        return self.spark.read.parquet(made["path"])
 
     def lineage(self, kind: str, name: str) -> list[str]:
         """The name, its parent, the parent's parent, ..."""

@@ -10,7 +10,8 @@ from .functions import rules as H
 from .functions import similarity as S
 from .functions import text as T
 from .operators import corpus, dictionary, graph, metrics, pairs, reports, sampling
-from .queries import _BARE, _DBREAK, _DSP, _EDGES, _NOISE, _SAMPLES, query
+from .plans.sql import register
+from .queries import _BARE, _DBREAK, _DSP, _EDGES, _FORMS_SQL, _NOISE, _SAMPLES, query
 from .sources import files as SRC
 
 
@@ -249,16 +250,35 @@ def length_ordered(spark, sf_dir):
     return sampling.by_length(c, "text", "id").select("conv_id", "turn", F.length("text").cast("long").alias("n"), "place")
 
 
-@query("sentence_chunks", r"""WITH b AS (SELECT item_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM benchmark),
+_CHUNKS = r"""WITH b AS (SELECT item_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM benchmark),
 f AS (SELECT item_id, list_reduce(list_prepend({'o': []::VARCHAR[], 'w': []::VARCHAR[]}, list_transform(s, lambda x: {'o': []::VARCHAR[], 'w': [x]})), lambda a, x: CASE WHEN len(a.w) > 0 AND coalesce(list_sum(list_transform(a.w, lambda y: length(y) + 1)), 0) + length(x.w[1]) > 200
   THEN {'o': list_append(a.o, array_to_string(a.w, ' ')), 'w': list_concat(list_reverse(list_reduce(list_prepend([]::VARCHAR[], list_transform(list_reverse(a.w), lambda y: [y])), lambda c, y: CASE WHEN coalesce(list_sum(list_transform(c, lambda z: length(z) + 1)), 0) + length(y[1]) + 1 <= 60 THEN list_concat(c, y) ELSE c END)), x.w)}
   ELSE {'o': a.o, 'w': list_concat(a.w, x.w)} END) AS r FROM b),
 c AS (SELECT item_id, CASE WHEN len(r.w) > 0 THEN list_append(r.o, array_to_string(r.w, ' ')) ELSE r.o END AS cs FROM f)
-SELECT item_id, CAST(generate_subscripts(cs, 1) - 1 AS INT) AS pos, unnest(cs) AS chunk FROM c""")
+SELECT item_id, CAST(generate_subscripts(cs, 1) - 1 AS INT) AS pos, unnest(cs) AS chunk FROM c"""
+
+
+@query("sentence_chunks", _CHUNKS)
 def sentence_chunks(spark, sf_dir):
     return A.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.sentence_chunks(F.col("text"), 200, 60)).alias("pos", "chunk"))
 
 
+@query("sql_sentence_chunks", _CHUNKS)
+def sql_sentence_chunks(spark, sf_dir):
+    """The same chunks by a table function in SQL."""
+    register(spark)
+    A.table(spark, sf_dir, "benchmark").createOrReplaceTempView("termloom_benchmark")
+    return spark.sql("SELECT item_id, c.pos, c.chunk FROM termloom_benchmark, LATERAL sentence_chunks(text, 200, 60) AS c")
+
+
+@query("sql_surface_forms", _FORMS_SQL)
+def sql_surface_forms(spark, sf_dir):
+    """Surface forms by a table function in SQL."""
+    register(spark)
+    _part(spark, sf_dir).createOrReplaceTempView("termloom_part")
+    return spark.sql("SELECT p_partkey AS sctid, fsn, f.pos, f.text FROM (SELECT p_partkey, p_name, p_brand, concat(p_name, ' (', p_type, ')') AS fsn FROM termloom_part), LATERAL surface_forms(fsn, array(p_name, fsn, p_brand)) AS f")
+
+
 @query("chunk_shingles", "SELECT item_id, CAST(len(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE w END)) AS INT) AS n FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark)")
 def chunk_shingles(spark, sf_dir):
     return A.table(spark, sf_dir, "benchmark").select("item_id", F.size(corpus.shingles(F.col("text"))).alias("n"))
