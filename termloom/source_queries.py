@@ -16,6 +16,7 @@ from .queries import query
 from .sources import files as S
 from .sources import tables as K
 from .sources.positions import positioned
+from .sources.walk import Walk
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -191,6 +192,23 @@ def page_crawl(spark, sf_dir):
     return S.crawl(made, spark.createDataFrame([("u3",)], "url string"))
 
 
+@query("page_walk", f"WITH RECURSIVE {_CRAWL}, r AS (SELECT 3::BIGINT AS p UNION SELECT b FROM r JOIN l ON l.a = r.p JOIN pages ON pages.page_id = l.b) SELECT 'u' || p AS url, CASE WHEN p % 3 = 0 THEN 2 ELSE 1 END AS tries FROM r")
+def page_walk(spark, sf_dir):
+    """The same pages by a walk that fetches them, where every third fails at first."""
+    pages = A.table(spark, sf_dir, "pages")
+    n = pages.count()
+    link = lambda x: F.concat(F.lit('<a class="x" href="u'), x.cast("string"), F.lit('">go</a>'))
+    stored = pages.select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), (F.col("page_id") % 3 == 0).alias("slow"), F.concat(F.lit("<p>"), link((F.col("page_id") * 2 + 1) % n), link(F.col("page_id") + 7)).alias("html"))
+
+    def fetch(frontier):
+        ok = F.col("html").isNotNull() & (~F.col("slow") | (F.col("tries") > 0))
+        return frontier.join(stored, "url", "left").select("url", F.when(ok, F.col("html")).alias("html"), F.when(~ok, "no page").alias("error"))
+
+    walk = Walk(spark, _folder(spark, "walk"), retries=2)
+    walk.run(spark.createDataFrame([("u3",)], "url string"), fetch)
+    return walk.pages().select("url", "tries")
+
+
 @query("text_files", "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS chars, CAST(count(*) FILTER (WHERE trim(text) <> '') > 0 AS BOOLEAN) AS some FROM benchmark")
 def text_files(spark, sf_dir):
     where = _folder(spark, "texts")
@@ -231,26 +249,29 @@ def resume_by_count(spark, sf_dir):
     return K.resume_by_count(A.table(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
 
 
-@query("content_names", "SELECT 8 AS width, true AS same, true AS other")
+@query("content_names", "WITH g AS (SELECT p_size, list_sort(list(DISTINCT p_type)) AS c FROM part GROUP BY p_size) SELECT p_size, min(p_size) OVER (PARTITION BY c) AS twin, 8 AS width FROM g")
 def content_names(spark, sf_dir):
-    """The name of a table's content: the same for another order, another if one row differs."""
-    p = A.table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    one = K.content_digest(p)
-    changed = p.withColumn("p_name", F.when(F.col("p_partkey") == 7, "other").otherwise(F.col("p_name")))
-    return spark.createDataFrame([(len(one), one == K.content_digest(p.orderBy(F.desc("p_name")).repartition(5)), one != K.content_digest(changed))], "width int, same boolean, other boolean")
+    """Groups of parts named by their content: the smallest group that has the same name, and the name's width."""
+    rows = A.table(spark, sf_dir, "part").select("p_size", "p_type").distinct()
+    named = K.content_groups(rows.repartition(5, F.rand(1)), "p_size")
+    twin = named.groupBy("name").agg(F.min("p_size").alias("twin"))
+    return named.join(twin, "name").select("p_size", "twin", F.length("name").alias("width"))
 
 
-@query("drop_stale_tables", "SELECT name FROM (VALUES ('kept'), ('other')) AS t(name)")
+@query("drop_stale_tables", "SELECT 'index_' || r_regionkey AS name, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey = (SELECT max(r_regionkey) FROM region) GROUP BY 1 UNION ALL SELECT 'other', count(*) FROM nation")
 def drop_stale_tables(spark, sf_dir):
+    """One table a region; all but the last one's are stale. What is left, with the rows of each."""
     prefix, where = f"tl_{uuid.uuid4().hex[:8]}_", _folder(spark, "stale")
-    r = A.table(spark, sf_dir, "region")
-    for name in ("a", "b", "kept"):
-        r.write.option("path", f"{where}/{name}").saveAsTable(f"{prefix}index_{name}")
-    r.write.option("path", f"{where}/other").saveAsTable(f"{prefix}other")
-    K.drop_stale(spark, f"{prefix}index_", f"{prefix}index_kept")
-    left = sorted(t.name.removeprefix(prefix).removeprefix("index_") for t in spark.catalog.listTables() if t.name.startswith(prefix))
+    n = A.table(spark, sf_dir, "nation")
+    keys = sorted(r["r_regionkey"] for r in A.table(spark, sf_dir, "region").select("r_regionkey").collect())  # a row a region
+    for k in keys:
+        n.where(F.col("n_regionkey") == k).write.option("path", f"{where}/{k}").saveAsTable(f"{prefix}index_{k}")
+    n.write.option("path", f"{where}/other").saveAsTable(f"{prefix}other")
+    K.drop_stale(spark, f"{prefix}index_", f"{prefix}index_{keys[-1]}")
+    left = [t.name for t in spark.catalog.listTables() if t.name.startswith(prefix)]
+    rows = [(x.removeprefix(prefix), spark.table(x).count()) for x in left]
     K.drop_stale(spark, prefix, "")
-    return spark.createDataFrame([(x,) for x in left], "name string")
+    return spark.createDataFrame(rows, "name string, n long")
 
 
 @query("collection_status", "WITH n AS (SELECT (SELECT count(*) FROM part) AS p, (SELECT count(*) FROM part WHERE trim(p_name) <> '' AND p_size < 10) AS f) SELECT 'full' AS name, 'ready' AS status FROM n UNION ALL SELECT 'filled', CASE WHEN f >= p THEN 'ready' ELSE 'partial' END FROM n UNION ALL SELECT 'empty', 'no_pairs' UNION ALL SELECT 'absent', 'missing' UNION ALL SELECT 'unbuilt', 'not_built'")

@@ -55,6 +55,13 @@ def content_digest(df: DataFrame, size: int = 4) -> str:
     return digest(str(r["n"]), str(r["a"]), str(r["b"]), ",".join(df.columns), size=size)
 
 
+def content_groups(df: DataFrame, by: str, size: int = 8) -> DataFrame:
+    """(by, name): a short name of each group's rows, whatever their order; groups of equal rows have one name."""
+    row = F.xxhash64(*[c for c in df.columns if c != by])
+    sums = df.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.pmod(row, F.lit(1 << 31))).alias("a"), F.bit_xor(row).alias("b"))
+    return sums.select(by, F.left(F.md5(F.concat_ws(",", "n", "a", "b").cast("binary")), F.lit(size)).alias("name"))
+
+
 def resume_by_key(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key has no output yet; a row with an error counts as done."""
     return todo.join(done.select(key).distinct(), key, "left_anti")
