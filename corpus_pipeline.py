@@ -37,6 +37,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     member = found.select(F.col("doc_id").alias("_key"), "component_id").join(ids, "_key")
     member = c.materialize(member, "members")
     first = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_key").alias("c"))).alias("first"))
+    first = c.materialize(first, "firsts")  # written, so that the members of one large component can be split in the join
     gone = member.join(first, "component_id").where(F.col("_key") != F.col("first.c")).select("_key").distinct()
     alike = Window.partitionBy("_key", "doc_id", "text").orderBy(F.lit(0))
     kept = keyed.join(gone, "_key", "left_anti").withColumn("_row", F.row_number().over(alike)).where(F.col("_row") == 1)
