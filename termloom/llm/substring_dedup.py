@@ -24,7 +24,8 @@ string of 400 bytes that repeats lies, at both places, within a run of bytes tha
 repeated strings of 240 bytes cover.
 
 Grouping is by content hash with partial counts, so copies of one passage, be
-they a third of all rows, are pre-aggregated and never meet in one task.
+they a third of all rows, are pre-aggregated; counts are written before rows are
+joined with them, so that the rows of one key can be split over tasks.
 
 Defined results: null text is empty; texts shorter than ``length`` keep all;
 repeated rows count as repetitions of each other; copies are all removed. Passages
@@ -221,10 +222,11 @@ def repeated_spans(texts: DataFrame, length: int, k: int = 0) -> DataFrame:
     keys = list(KEYS)
     long = texts.select(*keys, "text").where(F.octet_length("text") >= length)
     names = c.materialize(long.mapInArrow(_names(length, k), f"name long, whole long, {_KEYS}, at array<int>, back short, more short"), "names")
-    # The small side has one short row a name, so it is hashed rather than both sides sorted.
-    several = names.groupBy("name").agg(F.sum(F.size("at")).alias("total")).where("total > 1").select("name")
+    # The small side has one short row a name, so it is hashed rather than both sides sorted; as it is
+    # written first, and not an aggregate within the join, the rows of a frequent name can be split.
+    several = c.materialize(names.groupBy("name").agg(F.sum(F.size("at")).alias("total")).where("total > 1").select("name"), "several")
     shared = c.materialize(names.join(several.hint("shuffle_hash"), "name"), "shared")
-    c.discard(names)
+    c.discard(names, several)
     # Per (name, all bytes around): how often; per name: in how many ways.
     counts = c.materialize(shared.groupBy("name", "whole").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct(*keys)).alias("lead")), "counts")
     state = counts.join(counts.groupBy("name").agg(F.count("*").alias("m")), "name").select("name", "whole", "n", "m", "lead")
@@ -270,6 +272,7 @@ def longer_spans(found: DataFrame, length: int) -> DataFrame:
     # Equal runs repeat as a whole: one of each is searched for what it shares with others.
     runs = runs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text", F.octet_length("text"))})
     same = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "k3")).alias("lead"))
+    same = c.materialize(same, "same")  # so that the copies of a frequent run can be split in the join
     runs = c.materialize(runs.join(same, ["h1", "h2"]).select("k1", "k2", "k3", "n", (F.col("lead") == F.struct("k1", "k2", "k3")).alias("leads"), F.octet_length("text").alias("size"), F.when(F.col("lead") == F.struct("k1", "k2", "k3"), F.col("text")).alias("text")), "runs")
     whole = runs.where("n > 1").select("k1", "k2", "k3", F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"), F.lit(0).alias("words"))).alias("spans"))
     again = repeated_spans(runs.where("leads").dropDuplicates(["k1", "k2", "k3"]).select("k1", "k2", "k3", "text"), length)
