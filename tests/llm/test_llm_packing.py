@@ -193,3 +193,23 @@ def test_alignment(docs, empty, rows, odd_texts):
     assert Counter((r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_best"], r["count_sum"]) for r in scored.collect()) == want
     none = token_alignment.align_documents(empty)
     assert token_alignment.scored_documents(none, token_alignment.link_counts(none), len(pairs)).count() == 0
+
+
+def test_one_text_longer_than_a_block(spark, monkeypatch):
+    """Blocks end between texts; a longer text is a block of its own."""
+    import pyarrow as pa
+
+    from termloom.llm import units
+
+    texts = ["ab " * 40, None, "", "x y " * 900, "c", "d" * 300]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": texts})
+    found = list(units.blocks(batch, limit=100))
+    assert [(f, e) for f, e, _ in found] == [(0, 1), (1, 4), (4, 6)]
+    assert [t for _, _, part in found for t in part] == [t or "" for t in texts]
+
+    with open(default_path("byte_bpe_50k.json"), "rb") as f:
+        model = packing.ByteBpe(f.read())
+    long = " ".join(random.Random(9).choice(["alpha", "beta,", "gámma", "日本", "a\nb", "<|endoftext|>", "", "x\t"]) for _ in range(400_000))
+    assert len(long) > units.BLOCK
+    ids, at = model.encode([long, "tail"])
+    assert ids[: at[1]].tolist() == model.library.encode(long, add_special_tokens=False).ids

@@ -69,6 +69,6 @@ def test_run_on_an_empty_table(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_ten_queries():
+def test_thirteen_queries():
     names = sorted((n for n in queries.queries() if n.startswith("op")), key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
