@@ -103,20 +103,39 @@ def mt_cache(spark, sf_dir):
     return models.cached_translations(rows, cache, "et", _fussy)
 
 
-@query("optimise_rules", "SELECT * FROM (VALUES (0, 'keep', true), (1, 'good', true), (2, 'slack', true)) AS t(pos, rule, kept)")
+_RULE_WORDS = "w AS (SELECT string_split(p_name, ' ')[1] AS rule, p_partkey % 2 = 0 AS train FROM part), c AS (SELECT rule, count(*) AS n, count(*) FILTER (WHERE NOT train)::DOUBLE / (SELECT count(*) FROM w WHERE NOT train) AS hold FROM w GROUP BY rule)"
+
+
+@query("optimise_rules", f"WITH {_RULE_WORDS} SELECT CAST(row_number() OVER (ORDER BY n DESC, rule) - 1 AS INT) AS pos, rule, round(sum(hold) OVER (ORDER BY n DESC, rule), 6) AS holdout FROM c")
 def optimise_rules(spark, sf_dir):
-    """Proposals by their gains: accepted by held-out or by train within the slack, dropped when they cost nothing."""
-    gains = {"keep": (0.1, 0.1), "good": (0.02, 0.02), "bad": (-0.1, -0.1), "slack": (0.03, 0.004), "idle": (0.02, 0.001)}
-    offers = iter(["good", "bad", "slack", "idle"])
-    score = lambda rules: tuple(0.5 + sum(gains[r][i] for r in rules) for i in (0, 1))
-    kept, history = models.optimise_rules(["keep"], lambda rules, step: next(offers, None), score)
-    return spark.createDataFrame([(i, r, r in kept) for i, r in enumerate(["keep", *[h["rule"] for h in history if h.get("accepted")]]) if r in kept], "pos int, rule string, kept boolean")
+    """Rules are first words of part names, the most frequent first, and words that no name has; a score is the share of names that a list covers, of half the parts each."""
+    first = F.substring_index("p_name", " ", 1)
+    parts = _part(spark, sf_dir).select(first.alias("word"), (F.col("p_partkey") % 2 == 0).alias("train"))
+    words = [r["word"] for r in parts.groupBy("word").count().orderBy(F.desc("count"), "word").collect()]  # the few first words
+    offers = iter([x for w in words for x in (w, w + "zz")])
+
+    def score(kept):
+        hit = F.col("word").isin(kept).cast("double") if kept else F.lit(0.0)
+        r = parts.agg(F.avg(F.when(F.col("train"), hit)).alias("a"), F.avg(F.when(~F.col("train"), hit)).alias("b")).first()
+        return r["a"], r["b"]
 
+    kept, history = models.optimise_rules([], lambda rules, step: next(offers, None), score)
+    taken = [h for h in history if h.get("accepted") and h["rule"] in kept]
+    return spark.createDataFrame([(i, h["rule"], round(h["holdout"], 6)) for i, h in enumerate(taken)], "pos int, rule string, holdout double")
 
-@query("optimise_guide", "SELECT 'seed++' AS guide, 4.0::DOUBLE AS before, 6.0::DOUBLE AS after")
+
+@query("optimise_guide", "WITH t AS (SELECT p_type, count(*)::DOUBLE / (SELECT count(*) FROM part) AS share, row_number() OVER (ORDER BY count(*) DESC, p_type) AS r FROM part GROUP BY p_type) SELECT 'seed ' || string_agg(p_type, ' ' ORDER BY r) AS guide, 0.0::DOUBLE AS before, round(sum(share), 6) AS after FROM t WHERE r <= 3")
 def optimise_guide(spark, sf_dir):
-    guide, scores = models.optimise_guide("seed", lambda g, s: g + "+", lambda g: float(len(g) if len(g) < 7 else 0))
-    return spark.createDataFrame([(guide, scores["before"], scores["after"])], "guide string, before double, after double")
+    """A guide grows by a type of part a round; a part is right if the guide names its type."""
+    parts = _part(spark, sf_dir)
+    types = iter([r["p_type"] for r in parts.groupBy("p_type").count().orderBy(F.desc("count"), "p_type").collect()])  # the few types
+
+    def score(guide):
+        outputs = parts.select(F.when(F.lit(guide).contains(F.col("p_type")), F.col("p_name")).otherwise("").alias("candidate"), "p_name")
+        return outputs.agg(F.avg((F.col("candidate") == F.col("p_name")).cast("double")).alias("x")).first()["x"]
+
+    guide, scores = models.optimise_guide("seed", lambda g, s: f"{g} {next(types)}", score, rounds=3)
+    return spark.createDataFrame([(guide, round(scores["before"], 6), round(scores["after"], 6))], "guide string, before double, after double")
 
 
 def _critic(system: str, user: str) -> str:
