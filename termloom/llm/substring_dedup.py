@@ -24,7 +24,8 @@ string of 400 bytes that repeats lies, at both places, within a run of bytes tha
 repeated strings of 240 bytes cover.
 
 Grouping is by content hash with partial counts, so copies of one passage, be
-they a third of all rows, are pre-aggregated and never meet in one task.
+they a third of all rows, are pre-aggregated; the rows of one anchor name, one a
+block of text, still meet in one task where they are joined with their count.
 
 Defined results: null text is empty; texts shorter than ``length`` keep all;
 repeated rows count as repetitions of each other; copies are all removed. Passages
