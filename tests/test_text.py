@@ -92,3 +92,24 @@ def test_sentence_chunks(spark):
     got = one(spark, T.sentence_chunks(F.lit("Aa aa. Bb bb. Cc cc. Dd dd."), 14, 7))
     assert got == ["Aa aa. Bb bb.", "Bb bb. Cc cc.", "Cc cc. Dd dd."]
     assert one(spark, T.sentence_chunks(F.lit(""))) == []
+
+
+def test_lines_are_computed_once(spark):
+    docs = spark.createDataFrame([(1, "# A\nx\n## References\ny\n# B\nz ")], "doc_id long, text string")
+    found = docs.select(T.skip_sections(T.split_lines(T.markdown_strip(F.col("text")))).alias("x"))
+    assert found.first()["x"] == ["# A", "x", "# B", "z "]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?s)```.*?```") == 1
+    noise = docs.select(T.is_layout_noise(F.col("text")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert noise.count("\\u3000]+$") == 1
+
+
+def test_normalised_texts(spark):
+    for text, want in [("一" * 5000 + " a.b+c@d.ee, x@y", "一" * 5000 + " x y"), ("a@b.c+q@d.ef", ""), (".me@x.org Σ1Σ", "σ σ"), ("a　-  b", "a b")]:
+        got = one(spark, T.corpus_normalize(F.lit(text)))
+        assert got == want, (text[-20:], got)
+    assert one(spark, T.strip(F.lit("　 a b\n"))) == "a b"
+    assert one(spark, T.split_lines(F.lit("a\r\n"))) == ["a"]
+    assert one(spark, T.split_lines(F.lit("a\n\n"))) == ["a", ""]
+    assert one(spark, T.header_of(F.lit("ÜLDINE OSA")))["is_header"] is True
+    assert one(spark, T.header_of(F.lit("STRAßE")))["is_header"] is False
