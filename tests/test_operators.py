@@ -110,3 +110,19 @@ def test_minimal_pairs(spark):
     rows = spark.createDataFrame([(1, "red ball"), (2, "blue ball"), (3, "red cat")], "id long, t string")
     got = sampling.minimal_pairs(rows, "t", "red|blue", "id").collect()
     assert [(r["text_a"], r["text_b"]) for r in got] == [("blue ball", "red ball")]
+
+
+def test_clean_corpus_writes_texts_once(spark):
+    import os
+    import random
+
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(5000)]
+    body = [(i, "\n\n".join(" ".join(draw.choices(words, k=60)) for _ in range(20))) for i in range(200)]
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    used = lambda: sum(os.path.getsize(os.path.join(f, n)) for f, _, names in os.walk(root) for n in names)
+    before = used()
+    out, counters = corpus.clean_corpus(spark.createDataFrame(body, "doc_id long, text string"))
+    assert counters.first()["kept"] == counters.first()["chunks"] == 4000
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == dict(body)
+    assert used() - before < 2 * sum(len(t) for _, t in body)
