@@ -126,3 +126,19 @@ def test_clean_corpus_writes_texts_once(spark):
     assert counters.first()["kept"] == counters.first()["chunks"] == 4000
     assert {r["doc_id"]: r["text"] for r in out.collect()} == dict(body)
     assert used() - before < 2 * sum(len(t) for _, t in body)
+
+
+def test_exemplars_of_equal_words_are_asked_once(spark, monkeypatch):
+    names = ["red bolt", "blue bolt", "red ring", "steel plate", "bolt red"]
+    table = spark.createDataFrame([(i, names[i % 5]) for i in range(200)], "id long, text string")
+    asked = []
+    plain = retrieval._sparse_nearest
+    monkeypatch.setattr(retrieval, "_sparse_nearest", lambda p, q, k: asked.append((p.select("id").distinct().count(), q.select("id").distinct().count())) or plain(p, q, k))
+    queries = table.where("id % 2 = 0").select(F.col("id").alias("query_id"), "text")
+    got = retrieval.exemplar_lookup(queries, retrieval.lexical_weights(table, "id", "text"), 2)
+    want = {0: 2.0, 1: 2.0, 2: 2.0, 3: 2.0, 4: 2.0}
+    rows = got.orderBy("query_id", "rank").collect()
+    assert len(rows) == 2 * 100 and all(r["score"] == want[r["query_id"] % 5] for r in rows)
+    assert [r["point_id"] for r in rows if r["query_id"] == 10] == [0, 4] == [r["point_id"] for r in rows if r["query_id"] == 14]
+    # 4 sets of words as names and 5 words of more than three letters; 6 exemplars of each name.
+    assert asked == [(24, 9)]
