@@ -21,6 +21,11 @@ _ROUNDS = 24
 _POWERS = 40
 
 
+def _sorted(table: DataFrame) -> DataFrame:
+    """For joins of tables that have a row a node: they are small as files, but broadcast they stand whole in the driver's memory."""
+    return table.hint("merge")
+
+
 def _doubled(steps: DataFrame, value: str) -> DataFrame:
     """(node, value) of ``steps(node, up, value)``: the sum of the values from a node up to its root, by pointer doubling."""
     now = checkpointed(steps, "doubling")
@@ -28,26 +33,26 @@ def _doubled(steps: DataFrame, value: str) -> DataFrame:
         if now.where("up is not null").isEmpty():
             return now.select("node", value)
         far = now.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col(value).alias("_value"))
-        now = checkpointed(now.join(far, "up", "left").select("node", F.col("_up").alias("up"), (F.col(value) + F.coalesce("_value", F.lit(0))).alias(value)), "doubling")
+        now = checkpointed(now.join(_sorted(far), "up", "left").select("node", F.col("_up").alias("up"), (F.col(value) + F.coalesce("_value", F.lit(0))).alias(value)), "doubling")
     raise ValueError("the hierarchy has a cycle")
 
 
 def _preorder(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     """(node, start, end) of a forest ``tree(node, up)``: a node's number, and the last one below it."""
-    linked = checkpointed(nodes.join(tree, "node", "left"), "tree")
-    level = checkpointed(_doubled(linked.withColumn("level", F.col("up").isNotNull().cast("long")), "level").join(linked, "node"), "levels")
+    linked = checkpointed(nodes.join(_sorted(tree), "node", "left"), "tree")
+    level = checkpointed(_doubled(linked.withColumn("level", F.col("up").isNotNull().cast("long")), "level").join(_sorted(linked), "node"), "levels")
     deepest = level.agg(F.coalesce(F.max("level"), F.lit(0)).alias("n")).first()["n"]
     sizes = below = None
     for at in range(deepest, -1, -1):  # one round a level, each over that level's nodes
         here = level.where(F.col("level") == at)
         if below is not None:
-            here = here.join(below.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("_below")), "node", "left")
+            here = here.join(_sorted(below.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("_below"))), "node", "left")
         size = F.lit(1) + (F.coalesce("_below", F.lit(0)) if below is not None else F.lit(0))
         below = checkpointed(here.select("node", "up", size.cast("long").alias("size")), "sizes")
         sizes = below if sizes is None else sizes.unionAll(below)
     placed = running(sizes, ["node"], "size", by=["up"])
     step = placed.select("node", "up", (F.col("before") + F.col("up").isNotNull().cast("long")).alias("start"))
-    return _doubled(step, "start").join(sizes.select("node", "size"), "node").select("node", "start", (F.col("start") + F.col("size") - 1).alias("end"))
+    return _doubled(step, "start").join(_sorted(sizes.select("node", "size")), "node").select("node", "start", (F.col("start") + F.col("size") - 1).alias("end"))
 
 
 def _blocks(lo: Column, hi: Column) -> Column:
@@ -81,15 +86,15 @@ def build_reachability(edges: DataFrame, path: str) -> dict:
     labels = spark.read.parquet(f"{path}/labels")
 
     own = labels.select("node", "start", "end")
-    beyond = lambda rows: rows.join(own, "node").where((F.col("lo") < F.col("start")) | (F.col("hi") > F.col("end"))).select("node", "lo", "hi").distinct()
-    aside = e.join(tree, (e["child"] == tree["node"]) & (e["parent"] != tree["up"]), "left_semi")
-    given = aside.join(own.withColumnRenamed("node", "child"), "child").select(F.col("parent").alias("node"), F.col("start").alias("lo"), F.col("end").alias("hi"))
+    beyond = lambda rows: rows.join(_sorted(own), "node").where((F.col("lo") < F.col("start")) | (F.col("hi") > F.col("end"))).select("node", "lo", "hi").distinct()
+    aside = e.join(_sorted(tree), (e["child"] == tree["node"]) & (e["parent"] != tree["up"]), "left_semi")
+    given = aside.join(_sorted(own.withColumnRenamed("node", "child")), "child").select(F.col("parent").alias("node"), F.col("start").alias("lo"), F.col("end").alias("hi"))
     extra = new = checkpointed(beyond(given), "intervals")
     while not new.isEmpty():  # what is known grows with every round, and there are no more intervals than nodes
-        up = new.join(e, new["node"] == e["child"]).select(e["parent"].alias("node"), "lo", "hi")
-        new = checkpointed(beyond(up).join(extra, ["node", "lo", "hi"], "left_anti"), "intervals")
+        up = new.join(_sorted(e), new["node"] == e["child"]).select(e["parent"].alias("node"), "lo", "hi")
+        new = checkpointed(beyond(up).join(_sorted(extra), ["node", "lo", "hi"], "left_anti"), "intervals")
         extra = checkpointed(extra.unionAll(new), "intervals")
-    if not extra.join(own, "node").where("start between lo and hi").isEmpty():
+    if not extra.join(_sorted(own), "node").where("start between lo and hi").isEmpty():
         raise ValueError("the hierarchy has a cycle")
     covers = own.select("node", F.col("start").alias("lo"), F.col("end").alias("hi")).unionAll(extra)
     covers.write.parquet(f"{path}/covers")
@@ -108,24 +113,24 @@ class Reachability:
     def descendants(self, roots: DataFrame, inclusive: bool = True) -> DataFrame:
         """(root, node) below each of roots(node); a root that the index does not know is alone."""
         asked = roots.select(F.col("node").alias("root")).distinct()
-        wanted = self.blocks.join(asked, F.col("node") == F.col("root")).select("root", "power", "place")
+        wanted = _sorted(self.blocks).join(asked, F.col("node") == F.col("root")).select("root", "power", "place")
         numbers = self.labels.select("node", F.explode(_around(F.col("start"))).alias("b")).select("node", "b.*")
-        found = numbers.join(wanted, ["power", "place"]).select("root", "node").distinct()
-        lone = asked.join(self.labels.select("node"), F.col("root") == F.col("node"), "left_anti").select("root", F.col("root").alias("node"))
+        found = numbers.join(_sorted(wanted), ["power", "place"]).select("root", "node").distinct()
+        lone = asked.join(_sorted(self.labels.select("node")), F.col("root") == F.col("node"), "left_anti").select("root", F.col("root").alias("node"))
         both = found.unionByName(lone)
         return both if inclusive else both.where("root <> node")
 
     def ancestors(self, nodes: DataFrame) -> DataFrame:
         """(node, ancestor) above each of nodes(node), strictly."""
-        asked = self.labels.join(nodes.select("node").distinct(), "node").select("node", F.explode(_around(F.col("start"))).alias("b")).select("node", "b.*")
+        asked = _sorted(self.labels).join(nodes.select("node").distinct(), "node").select("node", F.explode(_around(F.col("start"))).alias("b")).select("node", "b.*")
         above = self.blocks.withColumnRenamed("node", "ancestor")
-        return asked.join(above, ["power", "place"]).where("node <> ancestor").select("node", "ancestor").distinct()
+        return asked.join(_sorted(above), ["power", "place"]).where("node <> ancestor").select("node", "ancestor").distinct()
 
     def is_below(self, pairs: DataFrame) -> DataFrame:
         """``pairs(above, below)`` with ``holds``: whether the one is an ancestor of the other, or the same."""
         rows = pairs.select("above", "below").distinct()
         number = self.labels.select(F.col("node").alias("below"), "start")
-        met = rows.join(number, "below").join(self.covers.withColumnRenamed("node", "above"), "above").where("start between lo and hi")
+        met = rows.join(_sorted(number), "below").join(_sorted(self.covers.withColumnRenamed("node", "above")), "above").where("start between lo and hi")
         held = met.select("above", "below", F.lit(True).alias("_held")).distinct()
         return pairs.join(held, ["above", "below"], "left").withColumn("holds", F.coalesce("_held", F.col("above") == F.col("below"))).drop("_held")
 

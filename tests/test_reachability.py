@@ -69,3 +69,17 @@ def test_coherence_and_scope_from_the_index(spark, made):
 def test_cycles_are_errors(spark, tmp_path, edges):
     with pytest.raises(ValueError, match="cycle"):
         build_reachability(spark.createDataFrame(edges, "child string, parent string"), str(tmp_path / "i"))
+
+
+def test_the_index_is_not_broadcast(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    edges = spark.range(1, 2000).select(F.concat(F.lit("n"), "id").alias("child"), F.concat(F.lit("n"), F.floor(F.col("id") / 10).cast("string")).alias("parent"))
+    build_reachability(edges, f"{tmp_path}/i")
+    index = Reachability(spark, f"{tmp_path}/i")
+    roots = spark.createDataFrame([("n1",), ("none",)], "node string")
+    below = index.descendants(roots)
+    assert below.where("root = 'n1'").count() == 1 + 10 + 100 + 1000
+    assert below.where("root = 'none'").count() == 1
+    for df in (below, index.ancestors(roots)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
