@@ -275,6 +275,7 @@ def score_documents(docs: DataFrame, mix: float | None = None) -> DataFrame:
     bits = max(5, (c.shuffle_partitions(spark) - 1).bit_length())
     blocks = c.materialize(slim.mapInArrow(_split, f"block string, doc_id array<{kind}>, held_out array<boolean>, docs binary, words binary, tokens binary"), "blocks")
     told = c.materialize(blocks.select("block", "docs", "words", "tokens").mapInArrow(_asked(bits), _ASKED).groupBy("bucket").applyInPandas(_told, _TOLD), "told")
+    c.release(spark)  # what the blocks have asked, the largest shuffle, goes before the answers are shuffled
     n = told.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "distinct", "singles")]).first()
     if mix is None:
         mix = min(0.95, max(0.05, 1 - n["singles"] / n["tokens"])) if n["tokens"] else 0.5

@@ -612,3 +612,17 @@ def test_embedding_dedup_of_large_groups(spark, monkeypatch):
     x = np.concatenate([rnd.standard_normal((150, 24)), tight, chain])
     ids = rnd.permutation(len(x)).tolist()
     assert outcome(spark, x, ids) == linked(x, ids)
+
+
+def test_lm_scoring_lets_its_largest_shuffle_go(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from termloom.llm import _common, lm_scoring
+
+    order = []
+    written, let_go = _common.materialize, _common.release
+    monkeypatch.setattr(_common, "materialize", lambda df, name: order.append(name) or written(df, name))
+    monkeypatch.setattr(_common, "release", lambda s: order.append("release") or let_go(s))
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    assert lm_scoring.score_documents(docs).count() == 2
+    assert order == ["blocks", "told", "release"]
