@@ -85,6 +85,17 @@ def _unpack(b: bytes) -> np.ndarray:
     return (np.frombuffer(b, "<u2", n).astype(_U) << _U(32)) | np.frombuffer(b, "<u4", n, 2 * n).astype(_U)
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in 1, 2 or 4 bytes each, behind a byte that says which."""
+    width = 1 if x.max(initial=0) < 1 << 8 else 2 if x.max(initial=0) < 1 << 16 else 4
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _wide(b: bytes, n: int = -1) -> np.ndarray:
+    """What ``_small`` has packed (its first ``n`` numbers)."""
+    return np.frombuffer(b, f"<u{b[0]}", n, 1).astype(np.int64)
+
+
 _REQUEST = pa.schema([("block", pa.string()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in ("shingles", "counts", "sets", "dups", "dup_counts", "dup_sets", "docs", "lists")]])
 _REQUEST_DDL = "block string, bucket int, shingles binary, counts binary, sets binary, dups binary, dup_counts binary, dup_sets binary, docs binary, lists binary"
 
@@ -115,7 +126,7 @@ def _requests(bits: int, width: int):
                 dup_n, dup_owner = runs[runs > 1], y[many]
                 heads = np.concatenate([[0], np.cumsum(dup_n)])[:-1].astype(np.int64)
                 lo, hi = (f.reduceat(digest[dup_owner], heads) if len(dup) else np.zeros(0, _U) for f in (np.minimum, np.maximum))
-                lists = np.concatenate([np.array([len(dup)]), dup_n, dup_owner]).astype("<u4").tobytes()
+                lists = len(dup).to_bytes(4, "little") + _small(dup_n) + _small(dup_owner)
                 # The others: by range and document.
                 alone = np.ones(len(h), bool)
                 alone[order[many]] = False
@@ -133,7 +144,7 @@ def _requests(bits: int, width: int):
                         mine = owner[s:e]  # ascending: the sort is stable
                         new = np.flatnonzero(np.diff(mine, prepend=-1))
                         who, n = mine[new], np.diff(np.append(new, len(mine)))
-                        rows.append((name, b, _pack(h[s:e]), np.concatenate([who, n]).astype("<u4").tobytes(), digest[who].tobytes(), _pack(dup[u:v]), dup_n[u:v].astype("<u4").tobytes(), np.concatenate([lo[u:v], hi[u:v]]).tobytes(), None, None))
+                        rows.append((name, b, _pack(h[s:e]), _small(np.concatenate([who, n])), digest[who].tobytes(), _pack(dup[u:v]), _small(dup_n[u:v]), np.concatenate([lo[u:v], hi[u:v]]).tobytes(), None, None))
                 serial += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _REQUEST, strict=True)], schema=_REQUEST)
 
@@ -149,10 +160,10 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     if pdf["bucket"].iloc[0] < 0:
         return pdf[["block", "bucket", "dups", "docs", "lists"]].assign(counts=None, shared=None, shared_counts=None, levels=None, dup_levels=None)[columns]
     tokens, dups = ([_unpack(x) for x in pdf[k]] for k in ("shingles", "dups"))
-    whom = [np.frombuffer(x, "<u4").astype(np.int64).reshape(2, -1) for x in pdf["counts"]]
+    whom = [_wide(x).reshape(2, -1) for x in pdf["counts"]]
     held = np.concatenate([np.repeat(np.frombuffer(x, _U), w[1]) for x, w in zip(pdf["sets"], whom, strict=True)])
     least, most = (np.concatenate([held, *[np.frombuffer(x, _U).reshape(2, -1)[k] for x in pdf["dup_sets"]]]) for k in (0, 1))
-    times = np.concatenate([np.ones(len(held), np.int64), *[np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["dup_counts"]]])
+    times = np.concatenate([np.ones(len(held), np.int64), *[_wide(x) for x in pdf["dup_counts"]]])
     h = np.concatenate([*tokens, *dups])
     level = np.zeros(len(h), np.uint8)
     if len(h):
@@ -169,7 +180,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
         at, dup_at = at + len(t), dup_at + len(d)
         share = lv > 0
         n_share = np.bincount(np.repeat(np.arange(w.shape[1]), w[1])[share], minlength=w.shape[1])
-        out.append((block, bucket, counts, _pack(t[share]), n_share.astype("<u4").tobytes(), lv[share].tobytes(), None, dup_lv.tobytes(), None, None))
+        out.append((block, bucket, counts, _pack(t[share]), _small(n_share), lv[share].tobytes(), None, dup_lv.tobytes(), None, None))
     del tokens, dups, whom, held, least, most, h, level
     c.trim()
     return pd.DataFrame(out, columns=columns)
@@ -199,13 +210,14 @@ def _gathered(num: int, den: int):
         n = np.zeros(n_docs, np.int64)
         own, tok, lev = [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, np.uint8)]
         for counts, shared, shared_counts, levels in zip(told["counts"], told["shared"], told["shared_counts"], told["levels"], strict=True):
-            who, many = np.frombuffer(counts, "<u4").astype(np.int64).reshape(2, -1)
+            who, many = _wide(counts).reshape(2, -1)
             n[who] += many
-            own.append(np.repeat(who, np.frombuffer(shared_counts, "<u4")))
+            own.append(np.repeat(who, _wide(shared_counts)))
             tok.append(_unpack(shared))
             lev.append(np.frombuffer(levels, np.uint8))
-        lists = np.frombuffer(mine["lists"], "<u4").astype(np.int64)
-        holders, owner = lists[1 : 1 + lists[0]], lists[1 + lists[0] :]
+        several = int.from_bytes(mine["lists"][:4], "little")
+        holders = _wide(mine["lists"][4:], several)
+        owner = _wide(mine["lists"][5 + several * mine["lists"][4] :])
         n += np.bincount(owner, minlength=n_docs)
         dup_level = np.repeat(np.frombuffer(b"".join(told["dup_levels"]), np.uint8), holders)
         share = dup_level > 0
