@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ..sources.tables import checkpointed
-from .retrieval import QUERY_BLOCK, _best_of, _matrix, _units, ranked
+from .retrieval import POINT_STEP, QUERY_BLOCK, QUERY_STEP, Best, _matrix, _units, ranked
 
 #: Cells of an index at most.
 MOST_CELLS = 4096
@@ -120,28 +120,28 @@ class Index:
         return rows.where(F.col("cell").isin(*self.cell[wanted].tolist()))
 
     def _probe(self, ids: np.ndarray, x: np.ndarray, visits: np.ndarray, k: int, digits: int, self_match: bool) -> DataFrame:
-        """(query_id, point_id, score): the best of each batch of the cells that ``visits`` (queries x cells) names."""
-        asked = {int(self.cell[c]): np.flatnonzero(visits[:, c]) for c in np.flatnonzero(visits.any(axis=0))}
-        shared = self.spark.sparkContext.broadcast((ids, x, asked))
+        """(query_id, point_id, score): the best of each task in the cells that ``visits`` (queries x cells) names."""
+        wanted = np.flatnonzero(visits.any(axis=0))
+        bits = np.packbits(visits[:, wanted].T, axis=1)  # a bit for each query and cell
+        shared = self.spark.sparkContext.broadcast((ids, x, {int(c): i for i, c in enumerate(self.cell[wanted])}, bits))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, x, asked = shared.value
-            for batch in batches:
-                point, cell = np.asarray(batch.column(0)), np.asarray(batch.column(2))
-                y = _units(_matrix(batch.column(1), x.shape[1]))
-                q, p, s = [], [], []
-                for c in np.unique(cell):
-                    here, who = np.flatnonzero(cell == c), asked[int(c)]
-                    sims = np.round(x[who] @ y[here].T, digits)
-                    if not self_match:
-                        sims[ids[who][:, None] == point[here][None, :]] = -np.inf
-                    for i, row in zip(who, sims, strict=True):
-                        best = _best_of(point[here], row, k)
-                        q.append(np.full(len(best), ids[i]))
-                        p.append(point[here][best])
-                        s.append(row[best])
-                none = np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *q])), pa.array(np.concatenate([none, *p])), pa.array(np.concatenate([none.astype(float), *s]))], ["query_id", "point_id", "score"])
+            ids, x, at, bits = shared.value
+            best = Best(len(ids), k, digits)
+            for whole in batches:
+                for low in range(0, len(whole), POINT_STEP):
+                    batch = whole.slice(low, POINT_STEP)
+                    point, cell = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+                    y = _units(_matrix(batch.column(1), x.shape[1]))
+                    for c in np.unique(cell):
+                        here, who = np.flatnonzero(cell == c), np.flatnonzero(np.unpackbits(bits[at[int(c)]], count=len(ids)))
+                        for first in range(0, len(who), QUERY_STEP):
+                            part = who[first : first + QUERY_STEP]
+                            sims = x[part] @ y[here].T
+                            if not self_match:
+                                sims[ids[part][:, None] == point[here][None, :]] = -np.inf
+                            best.add(part, point[here], sims)
+            yield from best.batches(ids)
 
         return self._cells(visits.any(axis=0)).select("point_id", "vector", "cell").mapInArrow(run, "query_id long, point_id long, score double")
 
