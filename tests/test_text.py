@@ -113,3 +113,29 @@ def test_normalised_texts(spark):
     assert one(spark, T.split_lines(F.lit("a\n\n"))) == ["a", ""]
     assert one(spark, T.header_of(F.lit("ÜLDINE OSA")))["is_header"] is True
     assert one(spark, T.header_of(F.lit("STRAßE")))["is_header"] is False
+
+
+def test_texts_without_what_a_pattern_needs(spark):
+    for text, want in [("Wwww.X.org a", "w a"), ("a WWW.x.org", "a"), ("wWW.é b", "b"), ("HTTPS://q r", "r"), ("a\r\nb\rc", "a b c"), ("now. view", "now view"), ("www. a", "www a"), ("www", "www"), ("", "")]:
+        got = one(spark, T.corpus_normalize(F.lit(text)))
+        assert got == want, (text, got)
+
+
+def test_frequent_chunks_are_counted_by_name(spark):
+    """Ids that repeat or are missing, chunks that normalise to one text or to none; texts are not shuffled."""
+    from termloom.operators import corpus
+
+    rows = [(1, "Aa 1|b"), (1, "aa|aa"), (2, "AA!|c"), (2, "b|--"), (3, "--|d"), (None, "d"), (None, None), (4, None), (5, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = F.split("text", r"\|")
+    found = corpus.frequent_texts(docs, raw, 2)
+    assert {(r["norm"], r["n"]) for r in found.collect()} == {("aa", 2), ("b", 3), ("", 2)} and found.count() == 3
+    assert {(r["norm"], r["n"]) for r in corpus.frequent_texts(docs, raw, 1).collect()} == {("aa", 2), ("b", 3), ("", 2), ("c", 1), ("d", 1)}
+
+
+def test_boilerplate_texts_are_not_shuffled(spark, sf):
+    import __spark_entry__ as entry
+
+    found = entry.queries()["chunk_df_boilerplate"](spark, sf)
+    found.collect()
+    assert "hashpartitioning(norm" not in found._jdf.queryExecution().executedPlan().toString()
